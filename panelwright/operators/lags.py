@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,35 +16,43 @@ def with_lags(
     df: DataFrame,
     keep: Sequence[Column | str],
     exprs: Mapping[str, Column | str],
-    window: WindowSpec,
+    by: Sequence[str],
+    order: Sequence[str],
     offsets: Sequence[int] = OFFSETS,
-    unique_order: str | None = None,
+    unique: bool = True,
 ) -> DataFrame:
-    """``keep`` and ``{name}_{k}`` over one shared window: one shuffle, one sort, one select.
+    """``keep`` and ``{name}_{k}`` over one window: one shuffle, one sort.
 
-    All expressions speak of the columns of ``df``, also where ``keep`` reuses a name for
-    something else. With ``unique_order`` a row whose order value equals its predecessor's fails
-    the job; the test rides on the same sort, and goes when nobody reads the lags.
+    ``keep`` and the lagged values are projected before the shuffle, so it carries results (a
+    few bands) and not their inputs (many fine counts). All expressions speak of the columns
+    of ``df``, also where ``keep`` reuses a name for something else. With ``unique`` a row whose
+    order value equals its predecessor's fails the job; the test rides on the same sort, and goes
+    when nobody reads the lags.
     """
+    kept = df.select(*keep).columns
     values = {n: F.col(e) if isinstance(e, str) else e for n, e in exprs.items()}
-    lags = {f"{n}_{k}": F.lag(v, k).over(window) for n, v in values.items() for k in offsets}
-    if not unique_order:
-        return df.select(*keep, *[c.alias(n) for n, c in lags.items()])
-    repeated = F.lag(unique_order, 1).over(window) == F.col(unique_order)
-    wide = df.select(
+    rows = df.select(
         *keep,
+        *[F.col(k) for k in dict.fromkeys([*by, *order]) if k not in kept],
+        *[v.alias(f"__value_{n}") for n, v in values.items()],
+    )
+    window = Window.partitionBy(*by).orderBy(*order)
+    lags = {f"{n}_{k}": F.lag(f"__value_{n}", k).over(window) for n in values for k in offsets}
+    if not unique:
+        return rows.select(*kept, *[c.alias(n) for n, c in lags.items()])
+    repeated = F.lag(order[0], 1).over(window) == F.col(order[0])
+    wide = rows.select(
+        *kept,
         *[c.alias(n) for n, c in lags.items()],
-        F.when(repeated, F.col(unique_order).cast("string")).alias("__repeated"),
+        F.when(repeated, F.col(order[0]).cast("string")).alias("__repeated"),
     )
     failure = F.raise_error(F.concat(F.lit("duplicate key: two rows at "), F.col("__repeated")))
     return wide.select(
+        *kept,
         *[
             F.when(F.col("__repeated").isNotNull(), failure).otherwise(F.col(c)).alias(c)
-            if c in lags
-            else F.col(c)
-            for c in wide.columns
-            if c != "__repeated"
-        ]
+            for c in lags
+        ],
     )
 
 
@@ -72,13 +80,12 @@ def add_lags(
     """
     keys = [by] if isinstance(by, str) else list(by)
     orders = [order] if isinstance(order, str) else list(order)
-    checked = orders[0] if unique and len(orders) == 1 else None
+    checked = unique and len(orders) == 1
     if calendar:
         return _calendar_lags(df, exprs, offsets, keys, orders[0], checked)
     if slice_by is not None:
         return _sliced_lags(df, exprs, offsets, keys, orders, checked, slice_by, slice_rows)
-    window = Window.partitionBy(*keys).orderBy(*orders)
-    return with_lags(df, ["*"], exprs, window, offsets, checked)
+    return with_lags(df, ["*"], exprs, keys, orders, offsets, checked)
 
 
 def _calendar_lags(df, exprs, offsets, keys, order, checked):
@@ -137,8 +144,9 @@ def _sliced_lags(df, exprs, offsets, keys, orders, checked, slice_by, slice_rows
             F.when(near_end, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))
         ),
     )
-    window = Window.partitionBy(*keys, "__chunk").orderBy("__pos")
+    # Ties share a chunk or meet in its halo, so the check for repeated keys holds here too.
+    order = [*orders, "__pos"]
     lagged = with_lags(
-        copies, [*df.columns, "__home", "__chunk"], exprs, window, offsets, checked
+        copies, [*df.columns, "__home", "__chunk"], exprs, [*keys, "__chunk"], order, offsets, checked
     )
     return lagged.where(F.col("__home") == F.col("__chunk")).drop("__home", "__chunk")

@@ -42,7 +42,7 @@ COUNTY = PanelSpec(
     deaths="DEATHS",
     population="E_TOTPOP",
     positive=("RPL_THEMES", "DEATHS"),
-    log_statics={"MEDIAN_INCOME": "MEDIAN_INCOME"},
+    log_statics=("MEDIAN_INCOME",),
     statics=STATICS,
     percapita_statics=("EP_PCI", "EP_POV"),
     shares=SHARES,

@@ -11,9 +11,8 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelwright.functions import band_share, ratio, round_ln
 from panelwright.operators.lags import OFFSETS, with_lags
@@ -34,7 +33,7 @@ class PanelSpec:
     deaths: str
     population: str
     positive: Sequence[str]
-    log_statics: Mapping[str, Column | str]
+    log_statics: Sequence[str]
     statics: Sequence[str]
     percapita_statics: Sequence[str]
     shares: Mapping[str, str]
@@ -53,11 +52,11 @@ class PanelSpec:
     def lags_of(self, name: str, skip: Sequence[int] = ()) -> list[str]:
         return [f"{name}_{k}" for k in self.offsets if k not in skip]
 
-    def window(self, by_name: bool) -> WindowSpec:
+    def lag_keys(self, by_name: bool) -> tuple[list[str], list[str]]:
         if by_name and self.name:
             # Entities sharing a name mix; the entity key makes their order repeatable.
-            return Window.partitionBy(self.name).orderBy(self.date, self.entity)
-        return Window.partitionBy(self.entity).orderBy(self.date)
+            return [self.name], [self.date, self.entity]
+        return [self.entity], [self.date]
 
     def with_ratios(self) -> list[Column]:
         per_capita, deaths_per_capita, deaths_per_case = self.ratios
@@ -70,9 +69,8 @@ class PanelSpec:
     def with_bands(self) -> list[Column]:
         return [band_share(c, self.population).alias(n) for n, c in self.bands.items()]
 
-    def logged(self, cols: Mapping[str, Column | str] | Sequence[str]) -> list[Column]:
-        items = cols.items() if isinstance(cols, Mapping) else [(c, c) for c in cols]
-        return [round_ln(source).alias(f"{self.log_prefix}{n}") for n, source in items]
+    def logged(self, cols: Sequence[str]) -> list[Column]:
+        return [round_ln(c).alias(f"{self.log_prefix}{c}") for c in cols]
 
 
 def panel_filter(spec: PanelSpec) -> Column:
@@ -137,5 +135,5 @@ def _panel(
     lags: Mapping[str, Column],
     by_name: bool,
 ) -> DataFrame:
-    unique = None if by_name else spec.date
-    return with_lags(rows, keep, lags, spec.window(by_name), spec.offsets, unique)
+    by, order = spec.lag_keys(by_name)
+    return with_lags(rows, keep, lags, by, order, spec.offsets, unique=not by_name)

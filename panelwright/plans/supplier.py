@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from panelwright.plans.panels import PanelSpec
 from panelwright.sources.standin import DISCOUNT_COUNTS, QUANTITY_BANDS, STATUSES
 
@@ -29,8 +27,7 @@ SUPPLIER = PanelSpec(
     deaths="deaths",
     population="pop",
     positive=("acctbal", "deaths"),
-    # A negative balance has no log.
-    log_statics={"acctbal": F.nullif(F.greatest("acctbal", F.lit(0.0)), F.lit(0.0))},
+    log_statics=("acctbal",),
     statics=("acctbal",),
     percapita_statics=("nation_id",),
     shares={f"share_{c}": c for c in DISCOUNT_COUNTS},

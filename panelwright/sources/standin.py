@@ -53,44 +53,23 @@ def panel_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.join(static, "entity_id")
 
 
-def panel_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide panel, supplier x month: measures, population, 20 band counts, 11 share counts.
-
-    The line items are read and shuffled once, already collapsed to supplier x month. The
-    supplier totals are window sums over those rows, so they share the ``entity_id``
-    partitioning with the join to the supplier table and with later lag windows.
+def panel_supplier(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    """Supplier x month: cases, deaths, population, the supplier's balance, and, if ``wide``,
+    20 band counts and 11 share counts per supplier.
+
+    Line items collapse to supplier x month before the shuffle. The population is a window sum
+    over those rows, which shares the ``entity_id`` partitioning with the joins and with
+    later lag windows. The 31 counts come from their own aggregation over disjoint columns, in
+    long form: far less to shuffle than 31 counters on every supplier x month row.
     """
-    lines = _table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("entity_id"),
-        _month("l_shipdate").alias("ds"),
-        "l_returnflag",
-        "l_linestatus",
-        "l_quantity",
-        F.round(F.col("l_discount") * 100).cast("int").alias("discount"),
-    )
-    counts = [
-        F.count_if(
-            (F.col("l_linestatus") == s) & F.col("l_quantity").between(lo, hi)
-        ).alias(f"{s}_q{lo:02d}_{hi:02d}")
-        for s in STATUSES
-        for lo, hi in QUANTITY_BANDS
-    ] + [
-        F.count_if(F.col("discount") == d).alias(name)
-        for d, name in zip(DISCOUNTS, DISCOUNT_COUNTS)
-    ]
-    monthly = lines.groupBy("entity_id", "ds").agg(
-        F.count(F.lit(1)).alias("cases"),
-        F.count_if(F.col("l_returnflag") == "R").alias("deaths"),
-        *counts,
-    )
-    entity = Window.partitionBy("entity_id")
-    panel = monthly.select(
-        "entity_id",
-        "ds",
-        "cases",
-        "deaths",
-        F.sum("cases").over(entity).alias("pop"),
-        *[F.sum(c).over(entity).alias(c) for c in (*BAND_COUNTS, *DISCOUNT_COUNTS)],
+    lines = _table(spark, sf_dir, "lineitem")
+    monthly = (
+        lines.groupBy(F.col("l_suppkey").alias("entity_id"), _month("l_shipdate").alias("ds"))
+        .agg(
+            F.count(F.lit(1)).alias("cases"),
+            F.count_if(F.col("l_returnflag") == "R").alias("deaths"),
+        )
+        .withColumn("pop", F.sum("cases").over(Window.partitionBy("entity_id")))
     )
     supplier = _table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("entity_id"),
@@ -98,7 +77,32 @@ def panel_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").alias("acctbal"),
         F.col("s_nationkey").alias("nation_id"),
     )
-    return panel.join(supplier, "entity_id")
+    panel = monthly.join(supplier, "entity_id")
+    return panel.join(_supplier_counts(lines), "entity_id", "left") if wide else panel
+
+
+def _supplier_counts(lines: DataFrame) -> DataFrame:
+    """One row per supplier with the lines in each status x quantity band and discount."""
+    band = F.floor((F.col("l_quantity") - 1) / 5)
+    status = F.when(F.col("l_linestatus") == "O", 0).when(F.col("l_linestatus") == "F", 1)
+    discount = F.round(F.col("l_discount") * 100)
+    names = (*BAND_COUNTS, *DISCOUNT_COUNTS)
+    cell = F.explode(
+        F.array(
+            F.when(band.between(0, 9), status * 10 + band).cast("int"),
+            F.when(discount.between(0, 10), F.lit(len(BAND_COUNTS)) + discount).cast("int"),
+        )
+    )
+    counts = (
+        lines.select(F.col("l_suppkey").alias("entity_id"), cell.alias("cell"))
+        .groupBy("entity_id", "cell")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    wide = counts.groupBy("entity_id").pivot("cell", list(range(len(names)))).agg(F.first("n"))
+    return wide.select(
+        "entity_id",
+        *[F.coalesce(F.col(str(i)), F.lit(0)).alias(name) for i, name in enumerate(names)],
+    )
 
 
 def series_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
