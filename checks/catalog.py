@@ -1,6 +1,7 @@
 """One query per operator: each takes a session and a table folder, returns a DataFrame.
 
-Doubles are rounded, so that sums added in another order compare equal.
+Doubles that come out of sums are rounded, so that sums added in another order compare equal.
+Ratios, logs, lags and scaled values are single operations on exact inputs and stay as they are.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ FIT_CHECKED = (
 )
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded; -0.0 becomes 0.0."""
+def rounded(df: DataFrame, places: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded to ``places``, or to ``other[column]``; -0.0 becomes 0.0."""
     return df.select(
         *[
-            (F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            (F.round(c, other.get(c, places)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -89,11 +90,11 @@ def q_panel_filtered(spark, sf):
 
 
 def q_panel_log(spark, sf):
-    return rounded(_log(spark, sf))
+    return _log(spark, sf)
 
 
 def q_panel_percapita(spark, sf):
-    return rounded(_percapita(spark, sf))
+    return _percapita(spark, sf)
 
 
 # Features ----------------------------------------------------------------------------------
@@ -112,18 +113,18 @@ def q_per_capita(spark, sf):
         "d_per_capita": ("deaths", "pop"),
         "d_per_cc": ("deaths", "cases"),
     }
-    return rounded(op.per_capita(panel_nation(spark, sf), ratios).select(*KEYS, *ratios))
+    return op.per_capita(panel_nation(spark, sf), ratios).select(*KEYS, *ratios)
 
 
 def q_population_shares(spark, sf):
     shares = {f"share_{s}": c for s, c in zip(SEGMENTS, SEGMENT_COUNTS)}
     out = op.population_shares(panel_nation(spark, sf), shares, "pop")
-    return rounded(out.select(*KEYS, *shares))
+    return out.select(*KEYS, *shares)
 
 
 def q_band_shares(spark, sf):
     out = op.band_shares(panel_supplier(spark, sf), SUPPLIER.bands, "pop")
-    return rounded(out.select(*KEYS, *SUPPLIER.bands))
+    return out.select(*KEYS, *SUPPLIER.bands)
 
 
 def q_date_keys(spark, sf):
@@ -160,7 +161,7 @@ def q_lags_unfiltered(spark, sf):
 def q_lags_percapita(spark, sf):
     ratios = {"cc": ("cases", "pop"), "d": ("deaths", "pop")}
     panel = op.per_capita(_filtered(spark, sf), ratios)
-    return rounded(_lags(panel, {"CCT": "cc", "DT": "d"}), 8)
+    return _lags(panel, {"CCT": "cc", "DT": "d"})
 
 
 def q_lags_calendar(spark, sf):
@@ -218,12 +219,12 @@ def q_weekday_profile(spark, sf):
 
 
 def q_minmax_params(spark, sf):
-    return rounded(op.minmax_fit(_log(spark, sf), sup.SCALED))
+    return op.minmax_fit(_log(spark, sf), sup.SCALED)
 
 
 def q_minmax_scaled(spark, sf):
     panel = _log(spark, sf)
-    return rounded(wf.scaled(panel, sup.SCALED).select(*KEYS, *sup.SCALED))
+    return wf.scaled(panel, sup.SCALED).select(*KEYS, *sup.SCALED)
 
 
 def q_corr_matrix(spark, sf):
@@ -249,7 +250,7 @@ def q_cross_corr_lags(spark, sf):
 
 def q_ols_simple(spark, sf):
     model = op.ols(_percapita(spark, sf), SIMPLE_OLS[0], SIMPLE_OLS[1])
-    return rounded(model.coef.select("term", "coef", "se", "t"), 8)
+    return rounded(model.coef.select("term", "coef", "se", "t"), 8, t=6)
 
 
 def q_ols_multi(spark, sf):
@@ -260,7 +261,7 @@ def q_ols_multi(spark, sf):
 
 def q_ols_summary_coef(spark, sf):
     model = op.ols(_percapita(spark, sf), *SIMPLE_OLS, *KEYS)
-    return rounded(model.coef, 8)
+    return rounded(model.coef, 8, t=6, p=6)
 
 
 def q_ols_summary_fit(spark, sf):
@@ -275,7 +276,7 @@ def _model(name: str, spark, sf):
 
 
 def _coef(name: str) -> Callable:
-    return lambda spark, sf: rounded(_model(name, spark, sf).coef, 8)
+    return lambda spark, sf: rounded(_model(name, spark, sf).coef, 8, t=6, p=6)
 
 
 def _fit(name: str) -> Callable:
@@ -384,9 +385,8 @@ def q_forecast_suppliers(spark, sf):
 
 def q_forecast_error_model(spark, sf):
     """Forecast every supplier, join errors to the features, regress them on the statics."""
-    panel = _log(spark, sf)
-    errors = wf.training_error(op.forecast(panel.select(*KEYS, "y")), panel)
-    return rounded(op.ols(errors, *sup.FORMULAS["forecast_error"], *KEYS).coef, 6)
+    model = wf.forecast_error_model(_log(spark, sf), *sup.FORMULAS["forecast_error"])
+    return rounded(model.coef)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

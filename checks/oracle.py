@@ -132,10 +132,8 @@ _PC_DOUBLE = (
 )
 
 
-def _project(ctes: str, exact: Sequence[str], doubles: Sequence[str], table: str = "panel",
-             places: int = 6) -> str:
-    cols = [*exact, *[_round(c, c, places) for c in doubles]]
-    return f"WITH {ctes}\nSELECT {_list(cols)} FROM {table}"
+def _project(ctes: str, exact: Sequence[str], doubles: Sequence[str], table: str = "panel"):
+    return f"WITH {ctes}\nSELECT {_list([*exact, *doubles])} FROM {table}"
 
 
 # Descriptions ------------------------------------------------------------------------------
@@ -291,7 +289,7 @@ tested AS (
   FROM tails),
 table_ AS (SELECT term, coef, se, t, p, CASE WHEN t IS NOT NULL THEN coef - q * se END AS lo,
                   CASE WHEN t IS NOT NULL THEN coef + q * se END AS hi FROM tested)
-SELECT term, {_list(_round(c, c, 8) for c in columns)} FROM table_"""
+SELECT term, {_list(_round(c, c, 6 if c in ('t', 'p') else 8) for c in columns)} FROM table_"""
 
 
 def _fit(ctes: str, table: str, y: str, xs: Sequence[str], columns: Sequence[str]) -> str:
@@ -391,7 +389,7 @@ terms AS (
   SELECT 'Intercept' AS term, a AS coef, sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se
   FROM line
   UNION ALL SELECT '{x}', b, sqrt(rss / (n - 2) / sxx) FROM line)
-SELECT term, {_round('coef', 'coef', 8)}, {_round('se', 'se', 8)}, {_round('coef / se', 't', 8)}
+SELECT term, {_round('coef', 'coef', 8)}, {_round('se', 'se', 8)}, {_round('coef / se', 't')}
 FROM terms"""
 
 
@@ -463,14 +461,13 @@ SELECT entity_id, ds, entity_name, cases, deaths, pop, acctbal, nation_id FROM f
 SELECT entity_id, ds, {_ln('cases')} AS log_cases, {_ln('deaths')} AS log_deaths,
        {_ln('pop')} AS log_pop FROM nation_panel""",
     "per_capita": f"""WITH {NATION}
-SELECT entity_id, ds, {_round(_ratio('cases', 'pop'), 'cc_per_capita')},
-  {_round(_ratio('deaths', 'pop'), 'd_per_capita')},
-  {_round(_ratio('deaths', 'cases'), 'd_per_cc')} FROM nation_panel""",
+SELECT entity_id, ds, {_ratio('cases', 'pop')} AS cc_per_capita,
+  {_ratio('deaths', 'pop')} AS d_per_capita, {_ratio('deaths', 'cases')} AS d_per_cc
+FROM nation_panel""",
     "population_shares": f"""WITH {NATION}
-SELECT entity_id, ds, {_list(_round(_ratio(c, 'pop'), f'share_{s}')
+SELECT entity_id, ds, {_list(f"{_ratio(c, 'pop')} AS share_{s}"
                              for s, c in zip(SEGMENTS, SEGMENT_COUNTS))} FROM nation_panel""",
-    "band_shares": f"""WITH {SUPPLIERS}, bands AS (SELECT entity_id, ds, {_list(_BANDS)} FROM wide)
-SELECT entity_id, ds, {_list(_round(b, b) for b in SUPPLIER.bands)} FROM bands""",
+    "band_shares": f"WITH {SUPPLIERS}\nSELECT entity_id, ds, {_list(_BANDS)} FROM wide",
     "date_keys": f"""WITH {NATION}
 SELECT entity_id, ds, strftime(ds, '%Y-%m-%d') AS ds_key, ds::VARCHAR AS ds_text
 FROM nation_panel""",
@@ -485,7 +482,7 @@ SELECT entity_id, ds, {_list(_lag('CCT', 'cases'))}, {_list(_lag('DT', 'deaths')
         f"""{SUPPLIERS}, lagged AS (SELECT entity_id, ds,
   {_list(_lag('CCT', _ratio('cases', 'pop')))}, {_list(_lag('DT', _ratio('deaths', 'pop')))}
   FROM filtered)""",
-        ("entity_id", "ds"), (*SUPPLIER.lags_of("CCT"), *SUPPLIER.lags_of("DT")), "lagged", 8,
+        ("entity_id", "ds"), (*SUPPLIER.lags_of("CCT"), *SUPPLIER.lags_of("DT")), "lagged",
     ),
     "lags_calendar": f"""WITH {SUPPLIERS}
 SELECT f.entity_id, f.ds, a.cases AS cases_31, b.cases AS cases_61 FROM filtered f
@@ -508,9 +505,7 @@ FROM last, range(1, 15) AS r(i)""",
     "weekday_profile": f"""WITH {SERIES}
 SELECT (dayofweek(ds) + 1)::INTEGER AS weekday, count(y) AS n, {_round('avg(y)', 'mean_y')}
 FROM series GROUP BY 1""",
-    "minmax_params": f"""WITH {PANEL_LOG}, params AS (SELECT {_minmax(sup.SCALED)} FROM panel)
-SELECT {_list(_round(f'{c}_{e}', f'{c}_{e}') for c in sup.SCALED for e in ('min', 'max'))}
-FROM params""",
+    "minmax_params": f"WITH {PANEL_LOG}\nSELECT {_minmax(sup.SCALED)} FROM panel",
     "minmax_scaled": _project(
         f"{PANEL_LOG},\n{_scaled_cte(sup.SCALED, ('entity_id', 'ds'))}",
         ("entity_id", "ds"), sup.SCALED, "scaled",

@@ -10,13 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def ln_or_null(c: Column | str) -> Column:
     """Natural log; NULL for zero and negative values."""
-    return F.ln(_col(c))
+    return F.ln(c)
 
 
 def round_ln(c: Column | str) -> Column:
@@ -26,7 +22,7 @@ def round_ln(c: Column | str) -> Column:
 
 def ratio(num: Column | str, den: Column | str) -> Column:
     """True division that gives NULL on a zero denominator instead of an error."""
-    return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
+    return F.try_divide(num, den)
 
 
 def band_share(counts: Sequence[str], denominator: Column | str) -> Column:
@@ -36,4 +32,4 @@ def band_share(counts: Sequence[str], denominator: Column | str) -> Column:
 
 def date_key(c: Column | str) -> Column:
     """Date or timestamp as a ``yyyy-MM-dd`` string."""
-    return F.date_format(_col(c), "yyyy-MM-dd")
+    return F.date_format(c, "yyyy-MM-dd")

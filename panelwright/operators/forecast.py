@@ -44,23 +44,44 @@ class _Series:
         self.scale = scale or 1.0
         self.changepoints = self._place_changepoints(days)
         self.weekly = days[-1] - days[0] >= 14
-        y, yy = sum_y / self.scale, sum_yy / self.scale**2
+        y = sum_y / self.scale
         x = self.design(days)
-        penalty = np.zeros(x.shape[1])
-        penalty[2 : 2 + len(self.changepoints)] = 1.0
         gram, cross = x.T @ (x * n[:, None]), x.T @ y
-        total = n.sum()
-        sigma2 = 0.0
+        self._ridge(gram, cross, float((sum_yy / self.scale**2).sum()), n.sum(), prior)
+
+    def _ridge(self, gram, cross, total_square, n, prior):
+        """Ridge on the hinges (h), none on level, slope and weekly terms (u).
+
+        With u eliminated, one eigendecomposition of the hinges' Gram matrix serves every penalty,
+        so alternating between the noise variance and the penalty costs a few sums a step.
+        """
+        h = np.zeros(len(gram), dtype=bool)
+        h[2 : 2 + len(self.changepoints)] = True
+        u = ~h
+        inverse_u = np.linalg.pinv(gram[np.ix_(u, u)], hermitian=True)
+        carry = inverse_u @ gram[np.ix_(u, h)]
+        roots, basis = np.linalg.eigh(gram[np.ix_(h, h)] - gram[np.ix_(h, u)] @ carry)
+        roots = np.maximum(roots, 0.0)
+        lean = basis.T @ (cross[h] - carry.T @ cross[u])
+        unexplained = total_square - cross[u] @ inverse_u @ cross[u]
+        free = n - np.linalg.matrix_rank(gram[np.ix_(u, u)], hermitian=True)
         weight = 1.0
         for _ in range(self.iterations):
-            self.cov = np.linalg.pinv(gram + np.diag(weight * penalty), hermitian=True)
-            beta = self.cov @ cross
-            fitted = x @ beta
-            rss = max(float((yy - 2 * fitted * y + n * fitted**2).sum()), 0.0)
-            free = total - float(np.trace(self.cov @ gram))
-            sigma2 = rss / free if free > 1e-6 else 0.0
-            weight = max(sigma2 / prior**2, 1e-12)
-        self.beta, self.sigma2 = beta, sigma2
+            shrunk = lean / (roots + weight)
+            rss = max(unexplained - shrunk @ (2 * lean - roots * shrunk), 0.0)
+            left = free - float((roots / (roots + weight)).sum())
+            sigma2 = rss / left if left > 1e-6 else 0.0
+            last, weight = weight, max(sigma2 / prior**2, 1e-12)
+            if abs(weight - last) <= 1e-12 * last:
+                break
+        self.sigma2 = sigma2
+        self.cov = np.zeros_like(gram)
+        inverse_h = (basis / (roots + last)) @ basis.T
+        self.cov[np.ix_(h, h)] = inverse_h
+        self.cov[np.ix_(u, h)] = -carry @ inverse_h
+        self.cov[np.ix_(h, u)] = self.cov[np.ix_(u, h)].T
+        self.cov[np.ix_(u, u)] = inverse_u + carry @ inverse_h @ carry.T
+        self.beta = self.cov @ cross
 
     def _place_changepoints(self, days):
         early = days[: int(np.floor(len(days) * self.changepoint_range))]
@@ -93,7 +114,7 @@ class _Series:
         deltas = np.abs(self.beta[2:cut])
         size = deltas.mean() if len(deltas) else 0.0
         variance = (
-            self.sigma2 * (1.0 + np.einsum("ij,jk,ik->i", x, self.cov, x))
+            self.sigma2 * (1.0 + (x @ self.cov * x).sum(axis=1))
             + len(deltas) * 2 * size**2 * ahead**3 / 3
         )
         half = normal_quantile((1 + level) / 2) * np.sqrt(np.maximum(variance, 0.0))
@@ -150,6 +171,11 @@ def _grouped(
             out.insert(i, k, rows[k].iloc[0])
         return out
 
+    if keys:
+        # A fit costs far more than its bytes suggest: keep all partitions, where adaptive
+        # coalescing would go by size. It is the shuffle the grouping needs anyway.
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        daily = daily.repartition(partitions, *keys)
     return daily.groupBy(*keys).applyInPandas(run, head + schema)
 
 

@@ -51,3 +51,17 @@ def training_error(
 def training_rmse(forecasts: DataFrame, by: str = "entity_id") -> DataFrame:
     """RMSE per entity on the training dates; the forecast carries the actual, so no join."""
     return rmse(forecasts.where("not is_future"), by=(by,))
+
+
+def forecast_error_model(
+    panel: DataFrame, y: str, xs: Sequence[str], by: str = "entity_id", **settings
+) -> OlsModel:
+    """Forecast the raw cases of every entity in ``panel``, join the in-sample errors back to
+    the features, and regress ``y`` (``error``) on ``xs``. The panel is kept while both the
+    forecast and the join read it."""
+    data = panel.select(*dict.fromkeys([by, "ds", "y", *xs])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        forecasts = forecast(data.select(by, "ds", "y"), by=(by,), **settings)
+        return ols(training_error(forecasts, data, by), y, xs, by, "ds")
+    finally:
+        data.unpersist()
