@@ -169,14 +169,16 @@ def _even_cuts(lo: float, hi: float, parts: int) -> list[float]:
     return sorted({lo, hi} | {m for m in middle if lo < m < hi})
 
 
+def _slot(x: Column, cuts: Sequence[float]) -> Column:
+    points = F.array(*[F.lit(float(v)) for v in cuts])
+    up_to = F.size(F.filter(points, lambda v: v <= x))
+    under = F.size(F.filter(points, lambda v: v < x))
+    return F.when(x.between(cuts[0], cuts[-1]), up_to + under - 1)
+
+
 def _count_between(df: DataFrame, zones: Sequence[tuple]) -> list[tuple]:
     """Rows per zone and slot: slot 2i is cut i itself, slot 2i + 1 the gap after it."""
-    exprs = {}
-    for k, (c, _, _, cuts) in enumerate(zones):
-        x, points = F.col(c), F.array(*[F.lit(float(v)) for v in cuts])
-        up_to = F.size(F.filter(points, lambda v, x=x: v <= x))
-        under = F.size(F.filter(points, lambda v, x=x: v < x))
-        exprs[k] = [F.when(x.between(cuts[0], cuts[-1]), up_to + under - 1), x]
+    exprs = {k: [_slot(F.col(c), cuts), F.col(c)] for k, (c, _, _, cuts) in enumerate(zones)}
     long = _long(df, exprs, ["slot", "x"]).where(F.col("slot").isNotNull())
     counted = (
         long.groupBy(F.col("variable").alias("zone"), "slot")
