@@ -16,7 +16,7 @@ _SCHEMA = "variable string, count bigint, " + ", ".join(f"{n} double" for n in _
 
 
 def describe(
-    df: DataFrame, cols: Sequence[str], approx: bool = False, exact_rows: int = 2_000_000
+    df: DataFrame, cols: Sequence[str], approx: bool = False, exact_rows: int = 200_000
 ) -> DataFrame:
     """One row per variable: count, mean, std (n - 1), min, quartiles, max; NULLs left out.
 
@@ -29,7 +29,7 @@ def describe(
 
 
 def skew_report(
-    df: DataFrame, cols: Sequence[str], approx: bool = False, exact_rows: int = 2_000_000
+    df: DataFrame, cols: Sequence[str], approx: bool = False, exact_rows: int = 200_000
 ) -> DataFrame:
     """Skewness (population) per variable with the two signs of a long right tail: the third
     quartile as a share of the maximum, and the mean over the median."""

@@ -30,7 +30,12 @@ def _month(ts: str) -> Column:
 
 
 def panel_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Narrow panel, nation x month: cases, deaths, population and five segment counts."""
+    """Narrow panel, nation x month: cases, deaths, population and five segment counts.
+
+    The join on the customer key is left to the planner: broadcast if the customers prove small,
+    else a shuffle join whose skewed partitions adaptive execution splits. The aggregation after
+    it shuffles anew, so splitting costs no further shuffle.
+    """
     orders = _table(spark, sf_dir, "orders")
     customer = _table(spark, sf_dir, "customer")
     monthly = (
