@@ -440,6 +440,131 @@ predicted AS (
   SELECT entity_id, ds, y, start + slope * {day} AS yhat FROM {table} JOIN line USING (entity_id))"""
 
 
+# Forecasts ---------------------------------------------------------------------------------
+
+
+def _forecast(train: str, select: str) -> str:
+    """The additive model in SQL: a list of design values per date, cross products per entity,
+    and the fixed-point iteration between ridge penalty and noise variance, in which each
+    round inverts the penalised matrix pivot by pivot with the sweep operator."""
+    dot = "list_sum(list_transform(range(1, m + 1), lambda i: {0} * {1}))"
+    waves = _list(
+        f"{f}(2 * pi() * {k} * (date_diff('day', DATE '1970-01-01', ds) % 7) / 7)"
+        for k in (1, 2, 3)
+        for f in ("sin", "cos")
+    )
+    return f"""WITH RECURSIVE {train},
+daily AS (
+  SELECT entity_id, ds, count(y)::DOUBLE AS n, sum(y)::DOUBLE AS sy, sum(y * y)::DOUBLE AS syy,
+         max(abs(y))::DOUBLE AS top
+  FROM train GROUP BY 1, 2),
+info AS (
+  SELECT entity_id, min(ds) AS start, max(ds) AS last, max(top) AS scale, sum(n) AS total,
+    greatest(date_diff('day', min(ds), max(ds)), 1)::DOUBLE AS span, sum(syy) AS syy,
+    floor(count(*) * 0.8) AS early, date_diff('day', min(ds), max(ds)) >= 14 AS weekly
+  FROM daily GROUP BY 1),
+wanted AS (
+  SELECT *, least(25, (date_diff('day', start, last) + 1) // 7, early - 1) AS cnt FROM info),
+places AS (
+  SELECT DISTINCT entity_id, round_even(g * (early - 1.0) / cnt, 0)::BIGINT AS place
+  FROM wanted, range(1, 26) AS r(g) WHERE g <= cnt),
+ranked AS (
+  SELECT entity_id, ds, row_number() OVER (PARTITION BY entity_id ORDER BY ds) - 1 AS place
+  FROM daily),
+points AS (
+  SELECT entity_id, list(ds ORDER BY ds) AS cps
+  FROM places JOIN ranked USING (entity_id, place) GROUP BY 1),
+dates AS (
+  SELECT entity_id, ds, false AS is_future FROM daily
+  UNION ALL
+  SELECT entity_id, CAST(last + CAST(i AS INTEGER) AS DATE), true FROM info, range(1, 15) AS r(i)),
+design AS (
+  SELECT d.entity_id, d.ds, is_future, cps, scale, span,
+    greatest(date_diff('day', last, d.ds), 0) / span AS ahead,
+    list_concat([1.0, date_diff('day', start, d.ds) / span],
+      list_transform(cps, lambda c: greatest(date_diff('day', c, d.ds), 0) / span),
+      CASE WHEN weekly THEN [{waves.replace('ds)', 'd.ds)')}] ELSE [] END) AS x
+  FROM dates d JOIN info USING (entity_id) JOIN points USING (entity_id)),
+seen AS (SELECT * FROM design JOIN daily USING (entity_id, ds) WHERE NOT is_future),
+cells AS (
+  SELECT entity_id, i, j, sum(x[i] * x[j] * n) AS v
+  FROM seen, range(1, 34) AS a(i), range(1, 34) AS b(j) WHERE i <= len(x) AND j <= len(x)
+  GROUP BY 1, 2, 3),
+gram AS (
+  SELECT entity_id, list(line ORDER BY i) AS g
+  FROM (SELECT entity_id, i, list(v ORDER BY j) AS line FROM cells GROUP BY 1, 2) GROUP BY 1),
+crossed AS (
+  SELECT entity_id, list(v ORDER BY i) AS c
+  FROM (SELECT entity_id, i, sum(x[i] * sy / scale) AS v
+        FROM seen, range(1, 34) AS a(i) WHERE i <= len(x) GROUP BY 1, 2) GROUP BY 1),
+ready AS (
+  SELECT entity_id, g, c, len(c) AS m, len(cps) AS s, syy / (scale * scale) AS yy, total
+  FROM gram JOIN crossed USING (entity_id) JOIN info USING (entity_id)
+  JOIN points USING (entity_id)),
+rounds AS (
+  SELECT entity_id, g, c, m, s, yy, total, 0 AS done, 1::BIGINT AS k, 1.0::DOUBLE AS weight,
+    NULL::DOUBLE AS sigma2, NULL::DOUBLE[][] AS p,
+    list_transform(range(1, m + 1), lambda i: list_transform(range(1, m + 1), lambda j:
+      g[i][j] + CASE WHEN i = j AND i > 2 AND i <= s + 2 THEN 1.0 ELSE 0.0 END)) AS a
+  FROM ready
+  UNION ALL
+  SELECT entity_id, g, c, m, s, yy, total, done + (k > m)::INTEGER,
+    CASE WHEN k > m THEN 1 ELSE k + 1 END, next_weight,
+    CASE WHEN k > m THEN next_sigma2 ELSE sigma2 END, CASE WHEN k > m THEN q ELSE p END,
+    list_transform(range(1, m + 1), lambda i: list_transform(range(1, m + 1), lambda j:
+      CASE WHEN k > m THEN g[i][j]
+             + CASE WHEN i = j AND i > 2 AND i <= s + 2 THEN next_weight ELSE 0.0 END
+           WHEN i = k AND j = k THEN -1 / a[k][k]
+           WHEN i = k THEN a[k][j] / a[k][k]
+           WHEN j = k THEN a[i][k] / a[k][k]
+           ELSE a[i][j] - a[i][k] * a[k][j] / a[k][k] END))
+  FROM (
+    SELECT *, CASE WHEN k > m THEN greatest(next_sigma2 / 0.25, 1e-12) ELSE weight END
+      AS next_weight
+    FROM (
+      SELECT *, CASE WHEN k > m THEN
+          greatest(yy - 2 * {dot.format('b[i]', 'c[i]')} + {dot.format('b[i]', 'gb[i]')}, 0)
+          / (total - list_sum(list_transform(range(1, m + 1), lambda i:
+               {dot.format('q[i][j]', 'g[j][i]').replace('lambda i', 'lambda j')}))) END
+        AS next_sigma2
+      FROM (
+        SELECT *, list_transform(range(1, m + 1), lambda i:
+          list_sum(list_transform(range(1, m + 1), lambda j: g[i][j] * b[j]))) AS gb
+        FROM (
+          SELECT *, list_transform(range(1, m + 1), lambda i:
+            list_sum(list_transform(range(1, m + 1), lambda j: q[i][j] * c[j]))) AS b
+          FROM (
+            SELECT *, list_transform(a, lambda r: list_transform(r, lambda v: -v)) AS q
+            FROM rounds WHERE done < 30)))))),
+fitted AS (
+  SELECT *, list_transform(range(1, m + 1), lambda i:
+      list_sum(list_transform(range(1, m + 1), lambda j: p[i][j] * c[j]))) AS b
+  FROM rounds WHERE done = 30 AND k = 1),
+parts AS (
+  SELECT d.*, f.b, f.s, f.sigma2, n.n, n.sy,
+    list_sum(list_transform(range(1, s + 3), lambda i: x[i] * b[i])) AS trend,
+    coalesce(list_sum(list_transform(range(s + 3, m + 1), lambda i: x[i] * b[i])), 0) AS weekly,
+    sigma2 * (1 + list_sum(list_transform(range(1, m + 1), lambda i: x[i] * list_sum(
+      list_transform(range(1, m + 1), lambda j: p[i][j] * x[j])))))
+    + s * 2 * pow(list_avg(list_transform(range(3, s + 3), lambda i: abs(b[i]))), 2)
+      * pow(ahead, 3) / 3 AS variance
+  FROM design d JOIN fitted f USING (entity_id) LEFT JOIN daily n USING (entity_id, ds)),
+frame AS (
+  SELECT entity_id, ds, is_future, n::BIGINT AS n_obs, sy / n AS y, scale * (trend + weekly) AS yhat,
+    scale * (trend + weekly - {Z975} * sqrt(variance)) AS yhat_lower,
+    scale * (trend + weekly + {Z975} * sqrt(variance)) AS yhat_upper,
+    scale * trend AS trend, scale * weekly AS weekly, cps, b, scale, span FROM parts)
+{select}"""
+
+
+_FRAME = ("y", "yhat", "yhat_lower", "yhat_upper", "trend", "weekly")
+
+
+def _frame(train: str, keys: str = "entity_id, ", where: str = "true") -> str:
+    cols = _list(_round(c, c) for c in _FRAME)
+    return _forecast(train, f"SELECT {keys}ds, is_future, n_obs, {cols} FROM frame WHERE {where}")
+
+
 def _union() -> str:
     first, *others = cat.ENTITIES
     parts = [
@@ -555,6 +680,45 @@ errors AS (SELECT q.*, q.y - yhat AS error FROM predicted p
     ),
 }
 
+_POOLED = f"""{SERIES},
+train AS (SELECT 'all' AS entity_id, ds, y FROM series WHERE ds <= DATE '{cat.CUTOFF}')"""
+
+ORACLE.update(
+    {
+        "forecast_entities": _frame(TRAIN),
+        "forecast_insample": _frame(TRAIN, where="NOT is_future"),
+        "forecast_pooled": _frame(_POOLED, keys=""),
+        "forecast_components": _forecast(
+            TRAIN,
+            f"""SELECT entity_id, ds, is_future, {_round('trend', 'trend')},
+  {_round('weekly', 'weekly')}, {_round('yhat', 'yhat')} FROM frame""",
+        ),
+        "forecast_changepoints": _forecast(
+            TRAIN,
+            f"""SELECT entity_id, cps[i] AS changepoint_ds,
+  {_round('b[i + 2] * scale / span', 'delta')}
+FROM (SELECT DISTINCT entity_id, cps, b, scale, span FROM frame), range(1, 26) AS r(i)
+WHERE i <= len(cps)""",
+        ),
+        "forecast_rmse": _forecast(
+            TRAIN,
+            f"""SELECT entity_id, count(*) AS n,
+  {_round('sqrt(sum(pow(y - yhat, 2)) / count(*))', 'rmse')}
+FROM frame WHERE NOT is_future GROUP BY 1""",
+        ),
+        "forecast_trend_shape": _forecast(
+            TRAIN,
+            f""", bends AS (
+  SELECT entity_id, trend, trend - 2 * lag(trend, 1) {_OVER} + lag(trend, 2) {_OVER} AS bend
+  FROM frame),
+means AS (SELECT entity_id, avg(bend) AS m, avg(abs(trend)) * 1e-9 AS noise FROM bends GROUP BY 1)
+SELECT entity_id, {_round('m', 'mean_second_difference')},
+  CASE WHEN m > noise THEN 'convex' WHEN m < -noise THEN 'concave' ELSE 'linear' END AS shape
+FROM means""",
+        ),
+    }
+)
+
 for _name, (_y, _xs) in sup.FORMULAS.items():
     if _name == "forecast_error":
         continue

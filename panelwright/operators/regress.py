@@ -142,9 +142,13 @@ def ols(
     by: str | None = None,
     order: str | None = None,
     level: float = 0.95,
+    keep: bool = True,
 ) -> OlsModel:
     """Regress ``y`` on ``xs`` with an intercept, over the rows complete in these columns.
 
+    The rows are read twice; ``keep`` holds them between, needless where ``df`` comes straight
+    from a cached table.
+
     ``by`` and ``order`` name the entity and date keys. The Durbin-Watson statistic needs them:
     it sums successive differences inside each entity; without them it is NULL.
     """
@@ -152,7 +156,8 @@ def ols(
     xs = list(xs)
     keys = [k for k in (by, order) if k]
     data = df.select(*dict.fromkeys([*keys, y, *xs])).dropna(subset=[y, *xs])
-    data.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         moments = collect_moments(data, [y, *xs]).get("")
         if moments is None:
@@ -160,7 +165,8 @@ def ols(
         model = solve(moments, 0, range(1, len(xs) + 1))
         diagnostics = _residual_moments(data, y, linear_predictor(model.beta, xs), by, order)
     finally:
-        data.unpersist()
+        if keep:
+            data.unpersist()
     fitted = df.dropna(subset=[y, *xs]).withColumn("yhat", linear_predictor(model.beta, xs))
     return OlsModel(
         spark.createDataFrame(_coef_rows(model, xs, diagnostics["rss"], level), COEF_SCHEMA),

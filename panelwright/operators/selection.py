@@ -21,7 +21,7 @@ def forward_selection(
     df: DataFrame,
     y: str,
     candidates: Sequence[str] | None = None,
-    max_patterns: int = 4096,
+    max_patterns: int = 1024,
 ) -> DataFrame:
     """Add the term that raises adjusted R squared most, while one raises it, from 0 upwards.
 

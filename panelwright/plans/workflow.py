@@ -27,7 +27,7 @@ def scaled_ols(
     keys = [k for k in (by, order) if k]
     data = df.select(*dict.fromkeys([*keys, y, *xs])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return ols(scaled(data, [y, *xs]), y, xs, by, order)
+        return ols(scaled(data, [y, *xs]), y, xs, by, order, keep=False)
     finally:
         data.unpersist()
 
