@@ -3,17 +3,18 @@
 Two shingle sets of sizes a and b with Jaccard similarity of t % or more differ in at most
 H = (100 - t)(a + b) / (100 + t) shingles. Sizes fall into bands [2^k, 2^(k+1)). In each band a
 hash deals the universe of shingles into m segments. By the pigeonhole principle two similar sets agree
-wholly in at least m - H segments, so each set need be indexed under H + 1 of its segment subsets
+wholly in m - H segments or more, so a set need be indexed under H + 1 of its segment subsets
 only, if both choose by one order of subsets. The order is by cost: subsets of many shingles are
-rare and come first, small ones and empty ones last. In bands where it is cheaper (short
-texts), there are half as many, larger segments, each indexed under its subset and its one-deletion
-neighbourhood, which covers two differences.
-
-A set is also indexed in the band below its own if a partner can be there. Texts that meet
-under a key are tested against the key's least text, exactly, on the shingle sets. Only where that
-leaves a key with several components are pairs between components tested. Keys that very many
-unconnected texts share are costly to resolve so; their texts go through a second index of larger
-segments with one-deletion neighbourhoods, and what that leaves is compared in full.
+rare and come first, small ones and empty ones last. A set is also indexed in the band below its
+own if a partner can be there.
+
+Texts that meet under a key are tested against the key's least text, exactly, on the shingle sets.
+Only where that leaves a key with several components are pairs between components tested. Keys that very
+many unconnected texts share would be costly to resolve so. Their texts are allotted other segments, none of
+them under such a key, and meet again; two similar sets can be missed by this only if both are made
+up of such keys, up to H segments. Those sets go through an index of half as many, larger
+segments, each under its subset and its one-deletion neighbourhood, which covers two differences;
+what that leaves open is compared in full.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ WIDE = 48
 LOCAL = 64
 #: Entries of one list, so that no row grows with a key.
 CHUNK = 4096
+#: Ids up to this number (16 bytes each) go to all executors to pick texts; more are joined.
+SMALL = 500_000
 BANDS = 40
 
 
@@ -45,23 +48,21 @@ class Scheme:
     def __init__(self, percent: int, deletions: bool = False) -> None:
         if not 50 <= percent <= 100:
             raise ValueError("the similarity must be 50 to 100 percent")
-        self.percent = percent
-        self.exact = np.zeros(BANDS, bool)
-        self.segments = np.zeros(BANDS, np.int64)
-        for k in range(BANDS):
-            high = 2 ** (k + 1) - 1
-            need = self.differences(high, 100 * high // percent) + 1
-            spare, halved = need + need // 10 + 1, (need + 1) // 2
-            cost = need * (1 + 1000 * 0.1 ** (high / spare)), (high + halved) * (1 + 1000 * 0.1 ** (high / halved))
-            self.exact[k] = not deletions and cost[0] < cost[1]
-            self.segments[k] = spare if self.exact[k] else halved
+        self.percent, self.deletions = percent, deletions
+        high = 2 ** np.arange(1, BANDS + 1, dtype=np.int64) - 1
+        need = self.differences(high, 100 * high // percent) + 1
+        self.segments = (need + 1) // 2 if deletions else need + np.maximum(1, 35 * need // 100)
 
     def differences(self, a, b):
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
-    def keys(self, hashes: np.ndarray, of: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys and their text numbers, for distinct shingle hashes ``of`` the texts with set sizes ``size``."""
-        own = np.frexp(np.maximum(size, 1).astype(float))[1] - 1
+    def keys(self, hashes: np.ndarray, of: np.ndarray, size: np.ndarray, costly: np.ndarray, parts: int, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys, their text numbers, and texts that costly keys may hide.
+
+        ``hashes`` are distinct shingles ``of`` the texts with set sizes ``size``; ``costly`` holds
+        :func:`tagged` keys that a text is not to be indexed under; ``every`` gives the keys of all segments.
+        """
+        own = np.frexp(np.maximum(size, 1).astype(float))[1].astype(np.int64) - 1
         low = np.left_shift(1, own)
         least = -(-self.percent * size // 100)
         for below in (0, 1):
@@ -80,26 +81,33 @@ class Scheme:
             element = mix(h ^ salt(11))
             sums = np.zeros(count.sum(), U)
             np.add.at(sums, at, element)
-            held = np.bincount(at, minlength=len(sums))
             text = np.repeat(np.arange(len(size)), count)
             segment = (np.arange(len(sums)) - base[text]).astype(U)
-            named = mix(segment * salt(13) + band[text].astype(U) * salt(17) + U(int(self.exact.all())))
-            key = mix(sums + named)
+            named = mix(segment * salt(13) + band[text].astype(U) * salt(17) + U(self.deletions))
+            key = _placed(mix(sums + named), parts)
+            if self.deletions:
+                yield key, text, np.empty(0, np.int64)
+                yield _placed(mix(sums[at] - element + named[at]), parts), t, np.empty(0, np.int64)
+                continue
+            if every:
+                yield key, text, np.empty(0, np.int64)
+                continue
+            held = np.bincount(at, minlength=len(sums))
             order = (U(255) - np.minimum(held, 255).astype(U) << U(56)) | (key >> U(8))
-            exact = self.exact[band]
-            pick = np.flatnonzero(exact[text])
-            pick = pick[np.lexsort((order[pick], text[pick]))]
-            if len(pick):
-                first = np.r_[True, text[pick][1:] != text[pick][:-1]]
-                rank = np.arange(len(pick)) - np.maximum.accumulate(np.where(first, np.arange(len(pick)), 0))
-                pick = pick[rank < need[text[pick]]]
-                yield key[pick], text[pick]
-            pick = np.flatnonzero(~exact[text])
-            if len(pick):
-                yield key[pick], text[pick]
-                short = ~exact[t]
-                at, element, t = at[short], element[short], t[short]
-                yield mix(sums[at] - element + named[at]), t
+            left, hidden = np.arange(len(sums)), np.empty(0, np.int64)
+            if len(costly):
+                shut = np.isin(tagged(key, text), costly)
+                left = np.flatnonzero(~shut)
+                hidden = np.flatnonzero(there & (np.bincount(text[shut], minlength=len(size)) > count - need))
+            left = left[np.lexsort((order[left], text[left]))]
+            first = np.searchsorted(text[left], np.arange(len(size)))
+            rank = np.arange(len(left)) - first[text[left]]
+            left = left[rank < need[text[left]]]
+            yield key[left], text[left], hidden
+
+
+def tagged(keys: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    return mix(keys + mix(texts.astype(U)))
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,9 +160,10 @@ def _runs(keys: np.ndarray) -> np.ndarray:
 
 
 def _lists(keys: np.ndarray, ids: np.ndarray, named: np.ndarray, name_all: bool = False) -> Iterator[pa.RecordBatch]:
-    """Texts under one key, for every key with two or more; equal lists once, but for those that keep their name.
+    """Texts under one key, for every key with two or more.
 
-    ``keys`` and ``ids`` are sorted and distinct pairs.
+    Lists of many texts are named by their key, and so are those whose key is in ``named``; others
+    by their texts, and equal ones come once. ``keys`` and ``ids`` are sorted and distinct pairs.
     """
     cuts = _runs(keys)
     size = np.diff(cuts)
@@ -162,11 +171,11 @@ def _lists(keys: np.ndarray, ids: np.ndarray, named: np.ndarray, name_all: bool
     if not len(many):
         return
     total = np.add.reduceat(mix(ids.view(U) + salt(29)), cuts[:-1])[many]
-    own = np.isin(keys[cuts[many]], named) | (size[many] > CHUNK) | name_all
-    bucket = np.where(own, keys[cuts[many]] | U(1), mix(total + size[many].astype(U)) & ~U(1))
+    own = np.isin(keys[cuts[many]], named) | (size[many] > WIDE) | name_all
+    bucket = np.where(own, keys[cuts[many]], mix(total + size[many].astype(U)) | U(1 << 63))
     once = np.unique(bucket, return_index=True)[1]
     out = []
-    for b, k in zip(bucket[once].view(np.int64).tolist(), many[once], strict=True):
+    for b, k in zip(bucket[once].view(np.int64).tolist(), many[once].tolist(), strict=True):
         low, high = cuts[k], cuts[k + 1]
         out += [(b, ids[low], ids[i : min(i + CHUNK, high)]) for i in range(low, high, CHUNK)]
     for i in range(0, len(out), 2000):
@@ -189,34 +198,52 @@ def _sorted(keys: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray,
     return k[keep], i[keep]
 
 
-def _index(scheme: Scheme, width: int, parts: int, flush: int = 4_000_000):
-    """Keys of every text, packed for each part of the key space: ``(part, bytes of keys and ids)``.
+def _placed(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the key space in the high bits, which grow with the data, and 40 bits within it."""
+    part = ((keys >> U(32)) * U(parts)) >> U(32)
+    return part << U(40) | (keys & U((1 << 40) - 1))
+
+
+def _packed(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted keys of one part and their ids: differences of four bytes if that is enough, ids by number."""
+    known, at = np.unique(ids, return_inverse=True)
+    step = np.diff(keys, prepend=keys[:1])
+    steps = step.astype(np.uint32) if step.max() < 1 << 32 else step
+    at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    head = np.array([len(keys), len(known), steps.itemsize, at.itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, keys[:1], known, steps, at))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m, wide, far = np.frombuffer(data, np.int64, 4).tolist()
+    first = np.frombuffer(data, U, 1, 32)
+    known = np.frombuffer(data, np.int64, m, 40)
+    steps = np.frombuffer(data, f"u{wide}", n, 40 + 8 * m)
+    at = np.frombuffer(data, f"u{far}", n, 40 + 8 * m + wide * n)
+    return first + np.cumsum(steps, dtype=U), known[at]
+
+
+def _index(scheme: Scheme, width: int, parts: int, flush: int = 2_000_000):
+    """Keys of every text, packed for each part of the key space.
 
     Of texts with equal sets in a task only the first is indexed. A key that many texts of a task
-    share goes out under its least text, with the rest as a list of its own.
+    share goes out under its least text, with the rest as a list of its own. Texts that costly keys may
+    hide go out as a list with no leader.
     """
 
     def packed(keys, ids):
         k, i = _sorted(keys, ids)
-        cuts = _runs(k)
-        size = np.diff(cuts)
-        hot = np.flatnonzero(size > LOCAL)
-        yield from _as_rows(_lists(k[np.repeat(size > LOCAL, size)], i[np.repeat(size > LOCAL, size)], np.empty(0, U), True))
-        lead = np.ones(len(k), bool)
-        for x in hot:
-            lead[cuts[x] + 1 : cuts[x + 1]] = False
+        size = np.diff(_runs(k))
+        hot = np.repeat(size > LOCAL, size)
+        yield from _as_rows(_lists(k[hot], i[hot], np.empty(0, U), True))
+        lead = ~hot | np.r_[True, k[1:] != k[:-1]][: len(k)]
         k, i = k[lead], i[lead]
-        part = (((k >> U(32)) * U(parts)) >> U(32)).astype(np.int64)  # grows with k
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        known, short = np.unique(i, return_inverse=True)
-        short = short.astype(np.uint32)
-        out = [(p, ends[p], ends[p + 1]) for p in range(parts) if ends[p] < ends[p + 1]]
-        for low in range(0, len(out), 256):
-            rows = []
-            for _, a, b in out[low : low + 256]:
-                used, at = np.unique(short[a:b], return_inverse=True)
-                rows.append(b"".join((np.array([b - a, len(used)], np.int64).tobytes(), k[a:b].tobytes(), known[used].tobytes(), at.astype(np.uint32).tobytes())))
-            yield _row([x[0] for x in out[low : low + 256]], rows, [None] * len(rows))
+        part = (k >> U(40)).astype(np.int64)
+        cuts = _runs(part)
+        for low in range(0, len(cuts) - 1, 64):
+            here = range(low, min(low + 64, len(cuts) - 1))
+            data = [_packed(k[cuts[x] : cuts[x + 1]], i[cuts[x] : cuts[x + 1]]) for x in here]
+            yield _row([part[cuts[x]] for x in here], data, [None] * len(data))
 
     def run(batches):
         seen, keys, ids, n = set(), [], [], 0
@@ -230,10 +257,17 @@ def _index(scheme: Scheme, width: int, parts: int, flush: int = 4_000_000):
                     new[x] = True
             id_ = _ids(rows)
             here = new[of]
-            for k, t in scheme.keys(hashes[here], of[here], np.where(new, size, 0)):
+            costly = np.empty(0, U)
+            if "costly" in rows.schema.names:
+                column = rows.column("costly")
+                of_text = np.repeat(np.arange(len(size)), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                costly = tagged(column.flatten().to_numpy(zero_copy_only=False).view(U), of_text)
+            for k, t, hidden in scheme.keys(hashes[here], of[here], np.where(new, size, 0), costly, parts):
                 keys.append(k)
                 ids.append(id_[t])
                 n += len(k)
+                if len(hidden):
+                    yield _row([-1], [None], [{"bucket": 0, "leader": None, "members": id_[hidden]}])
             if n > flush:
                 yield from packed(keys, ids)
                 keys, ids, n = [], [], 0
@@ -243,6 +277,20 @@ def _index(scheme: Scheme, width: int, parts: int, flush: int = 4_000_000):
     return run
 
 
+def _all_keys(scheme: Scheme, width: int, parts: int):
+    """The keys of every segment of every text."""
+
+    def run(batches):
+        for rows, data, at in pieces(batches, "text"):
+            found = [x[:2] for x in scheme.keys(*shingle_sets(data, at, width), np.empty(0, U), parts, every=True)]
+            keys, of = (np.concatenate([x[k] for x in found] + [np.empty(0, (U, np.int64)[k])]) for k in (0, 1))
+            order = np.argsort(of, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(rows.num_rows + 1)), pa.int32()), pa.array(keys[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), lists], names=["id", "keys"])
+
+    return run
+
+
 def _row(part: list, data: list, lists: list) -> pa.RecordBatch:
     kind = pa.struct([("bucket", pa.int64()), ("leader", pa.int64()), ("members", pa.list_(pa.int64()))])
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.large_binary()), pa.array(lists, kind)], names=["part", "data", "list"])
@@ -251,7 +299,7 @@ def _row(part: list, data: list, lists: list) -> pa.RecordBatch:
 def _as_rows(lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in lists:
         rows = x.to_pylist()
-        yield _row([(r["bucket"] % 2**64) >> 44 for r in rows], [None] * len(rows), rows)
+        yield _row([r["bucket"] >> 40 for r in rows], [None] * len(rows), rows)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +307,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ids, named = [], [], []
     for rows in batches:
         for data in rows.column("data").drop_null().to_pylist():
-            n, m = np.frombuffer(data, np.int64, 2)
-            keys.append(np.frombuffer(data, U, n, 16))
-            known = np.frombuffer(data, np.int64, m, 16 + 8 * n)
-            ids.append(known[np.frombuffer(data, np.uint32, n, 16 + 8 * n + 8 * m)])
+            k, i = _unpacked(data)
+            keys.append(k)
+            ids.append(i)
         if rows.column("list").null_count < rows.num_rows:
             lists = pa.RecordBatch.from_struct_array(rows.column("list").drop_null())
             named.append(lists.column("bucket").to_numpy().view(U))
@@ -275,9 +322,16 @@ LIST = "bucket long, leader long, members array<long>"
 
 
 def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
-    """``(bucket, leader, members)`` of every key that two or more texts share."""
-    packed = docs.mapInArrow(_index(scheme, width, 8 * parts), f"part long, data binary, list struct<{LIST.replace(' ', ':').replace(',:', ',')}>")
-    return packed.repartition(parts, "part").mapInArrow(_meet, LIST)
+    """``(bucket, leader, members)`` of every key that two or more texts share; leader null: texts that costly keys may hide."""
+    packed = docs.mapInArrow(_index(scheme, width, 8 * parts), "part long, data binary, list struct<bucket:long,leader:long,members:array<long>>")
+    lists = packed.repartition(parts, "part").mapInArrow(_meet, LIST)
+    return written(lists.dropDuplicates(["bucket", "leader", "members"]), "lists")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an ``id`` of ``ids``, without moving texts where the ids are few."""
+    ids = written(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id")
 
 
 def _agree(percent: int):
@@ -297,11 +351,11 @@ def _agree(percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose shingle sets are similar enough, tested on the whole sets."""
-    ids = pairs.select(F.col("u").alias("wanted")).union(pairs.select("v")).distinct()
-    sets = written(docs.join(ids, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(_sets(width), "id long, set binary"), "sets")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = written(_only(docs, ids).mapInArrow(_sets(width), "id long, set binary"), "sets")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("set_b"))
-    return pairs.join(a, "u").join(b, "v").mapInArrow(_agree(percent), "u long, v long")
+    return written(pairs.join(a, "u").join(b, "v").mapInArrow(_agree(percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -324,31 +378,43 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     sets = written(sizes.join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ids")
     same = sets.where("n > 0 and id != set_id").select(F.col("id").alias("u"), F.col("set_id").alias("v"))
     named = docs.where("id is not null")
-
-    linked = written(same, "links")
-    for last, scheme in enumerate((Scheme(percent), Scheme(percent, deletions=True))):
-        lists = written(_candidates(named, scheme, width, parts).dropDuplicates(["bucket", "leader", "members"]), "lists")
-        led = lists.select("leader", F.explode("members").alias("member"))
-        pairs = _named(led.select(F.col("leader").alias("u"), F.col("member").alias("v")), sets)
-        pairs = written(pairs, "pairs")
-        linked = linked.unionByName(written(_verified(pairs, named, width, percent), "links"))
-        found = components(linked)
-        entry = lists.select("bucket", F.explode("members").alias("id")).join(found, F.col("id") == F.col("node"), "left")
-        entry = entry.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        open_ = written(_unresolved(entry), "open")
-        if open_.isEmpty():
+    linked, tested = written(same, "links"), None
+    to = sets.where("n > 0 and id is not null").select("id", "set_id", "n").distinct()
+    texts, scheme, costly, hidden = named, Scheme(percent), None, None
+    while True:
+        lists = _candidates(texts, scheme, width, parts)
+        gone = lists.where("leader is null").select(F.explode("members").alias("id"))
+        lists = lists.where("leader is not null")
+        led = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v"))
+        pairs = written(_similar_sizes(led, to, percent), "pairs")
+        linked = linked.unionByName(_verified(pairs, named, width, percent))
+        entries = written(_unresolved(lists, linked, to), "open")
+        if entries.isEmpty():
             break
-        near = open_ if last else open_.where(F.col("texts") <= WIDE)
+        # In the last round nothing is too wide; before that, keys with a wide list are for other segments.
+        wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
+        near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
         left = near.select("bucket", F.col("component").alias("c"), F.col("id").alias("u"))
         right = near.select("bucket", F.col("component").alias("d"), F.col("id").alias("v"))
-        across = written(_named(left.join(right, "bucket").where("c < d").select("u", "v"), sets).join(pairs, ["u", "v"], "left_anti"), "pairs")
-        linked = linked.unionByName(written(_verified(across, named, width, percent), "links"))
-        found = components(linked)
-        wide = open_.where(F.col("texts") > WIDE).select("id").distinct()
-        if last or wide.isEmpty():
+        across = left.join(right, "bucket").where("c < d").select("u", "v")
+        across = written(_similar_sizes(across, to, percent).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        linked = linked.unionByName(_verified(across, named, width, percent))
+        if scheme.deletions:
             break
-        named = written(named.join(wide, "id", "left_semi"), "texts")
-    found = found.withColumnRenamed("node", "id")
+        hidden = gone if hidden is None else hidden.union(gone)
+        shut = wide.select("bucket").distinct()
+        costly = shut if costly is None else costly.union(shut).distinct()
+        if not wide.isEmpty():
+            again = written(_only(named, wide.select("id").distinct()), "texts")
+            held = again.mapInArrow(_all_keys(scheme, width, 8 * parts), "id long, keys array<long>").select("id", F.explode("keys").alias("bucket"))
+            held = held.join(costly, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("costly"))
+            texts = written(again.join(held, "id"), "texts")
+        else:
+            again = hidden.distinct()
+            if again.isEmpty():
+                break
+            texts, scheme = written(_only(named, again), "texts"), Scheme(percent, deletions=True)
+    found = components(linked).withColumnRenamed("node", "id")
     return sets.join(found, "id", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -357,21 +423,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def _named(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with each text replaced by the least text of the same set, once each."""
-    to = sets.where("id is not null").select("id", "set_id").distinct()
+def _similar_sizes(pairs: DataFrame, to: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of sets, each by its least text, that are near enough in size to be similar."""
     for side in ("u", "v"):
-        to_side = to.select(F.col("id").alias(side), F.col("set_id").alias(f"{side}_set"))
-        pairs = pairs.distinct().join(to_side, side).drop(side).withColumnRenamed(f"{side}_set", side)
-    return pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = pairs.distinct().join(to.select(F.col("id").alias(side), F.col("set_id").alias(f"{side}_set"), F.col("n").alias(f"{side}_n")), side)
+    pairs = pairs.where((F.col("u_set") != F.col("v_set")) & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")))
+    return pairs.select(F.least("u_set", "v_set").alias("u"), F.greatest("u_set", "v_set").alias("v")).distinct()
 
 
-def _unresolved(entry: DataFrame) -> DataFrame:
-    """Entries of the keys whose texts are not all in one component, one text a component and set."""
-    entry = entry.distinct()
+def _unresolved(lists: DataFrame, linked: DataFrame, to: DataFrame) -> DataFrame:
+    """``(bucket, id, component, texts)`` of the keys whose texts are not all in one component, one text a set."""
+    entry = lists.select("bucket", F.explode("members").alias("id")).join(to, "id").select("bucket", F.col("set_id").alias("id")).distinct()
+    entry = entry.join(components(linked).select(F.col("node").alias("id"), "component"), "id", "left")
+    entry = entry.withColumn("component", F.coalesce("component", "id"))
     several = entry.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("texts"))
-    several = several.where("low != high").select("bucket", "texts")
-    return entry.join(several, "bucket")
+    return entry.join(several.where("low != high").select("bucket", "texts"), "bucket")
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

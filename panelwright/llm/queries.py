@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import ngram_join
+from panelwright.llm import lines, mixing, ngram_join, quality, subwords
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,47 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality(table(spark, sf_dir, "documents"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("row.doc_id", *base, "base_failed", "kept")
+
+
+def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document under dropout, and the hash of what they decode to."""
+    docs = table(spark, sf_dir, "documents")
+    spelled = subwords.decode(subwords.encode(docs, dropout=0.1, seed=1))
+    return spelled.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+#: Domains are the languages of good documents, and poor documents of any language.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, "low": 0.05}
+
+
+def known_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, domain)`` of the labelled documents."""
+    domain = F.when(F.col("quality") == 0, "low").otherwise(F.col("lang"))
+    return labels.select("doc_id", "quality").join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", domain.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rates, _ = mixing.mixing_rates(docs, known_domains(docs, labels), TARGETS)
+    return rates.select("row.doc_id", "tokens", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS)], "rate")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_join,)
+    for f in (
+        op1_ngram_join,
+        op3_quality_rules,
+        op7_subwords,
+        op9_mixing,
+        op10_line_dedup,
+    )
 }
-
