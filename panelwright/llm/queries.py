@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import lines, mixing, ngram_join, quality, subwords
+from panelwright.llm import fingerprints, html_text, lines, mixing, ngram_join, privacy, quality, subwords, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,55 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    own, changed, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(own).alias("fingerprint"),
+        fingerprints.fingerprint(changed).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, changed).alias("near_edited"),
+        fingerprints.resemblance(own, following).alias("near_next"),
+        fingerprints.distinct_shingles(own).alias("n_shingles"),
+        fingerprints.containment(own, changed).alias("kept_share"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("row.doc_id", *base, "base_failed", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def fold(id):
+        return F.crc32(F.col(id).cast("string")) % 5
+
+    field = toxicity.learned(docs, table(spark, sf_dir, "labels"), fold("known_id") != 0)
+    found = toxicity.toxicity(docs, field)
+    held_out = F.coalesce(fold("row.doc_id") == 0, F.lit(False))
+    return found.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("entities", lambda s: s["kind"] == privacy.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(privacy.written_out(F.col("entities")), 256)
+    return found.select("row.doc_id", *[count(k) for k in privacy.PATTERNS], base.alias("base_sha256"), privacy.written_out(F.col("spans")).alias("spans"))
+
+
 def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under dropout, and the hash of what they decode to."""
     docs = table(spark, sf_dir, "documents")
@@ -56,7 +99,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join,
+        op2_fingerprints,
         op3_quality_rules,
+        op4_toxicity,
+        op5_html_text,
+        op6_privacy,
         op7_subwords,
         op9_mixing,
         op10_line_dedup,
