@@ -8,7 +8,8 @@ only, if both choose by one order of subsets. The order is by cost: subsets of m
 rare and come first, small ones and empty ones last. A set is also indexed in the band below its
 own if a partner can be there.
 
-Texts that meet under a key are tested against the key's least text, exactly, on the shingle sets.
+Texts that meet under a key are tested against the key's least text, exactly, on the shingle sets; only
+pairs whose numbers of shingles in each of some finer segments differ by H at most in all need that.
 Only where that leaves a key with several components are pairs between components tested. Keys that very
 many unconnected texts share would be costly to resolve so. Their texts are allotted other segments, none of
 them under such a key, and meet again; two similar sets can be missed by this only if both are made
@@ -133,12 +134,39 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
     return rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _spread_counts(hashes: np.ndarray, of: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """How many shingles of each set fall into each of 2^k segments, k by the set's size; a byte each, up to 255."""
+    bits = np.maximum(np.frexp(np.maximum(size, 1).astype(float))[1].astype(np.int64) - 2, 3)
+    segments = np.left_shift(1, bits)
+    base = np.cumsum(segments) - segments
+    place = mix(hashes ^ salt(43)) >> (64 - bits).astype(U)[of]
+    counts = np.minimum(np.bincount(base[of] + place.astype(np.int64), minlength=segments.sum()), 255).astype(np.uint8)
+    return [counts[a : a + n].tobytes() for a, n in zip(base.tolist(), segments.tolist(), strict=True)]
+
+
+def _may_agree(percent: int):
+    """Pairs that the counts do not rule out: two sets differ by no less than their counts do."""
+
+    def run(batches):
+        for rows in batches:
+            keep = []
+            for a, b, x, y in zip(*(rows.column(c).to_pylist() for c in ("n_u", "n_v", "counts_u", "counts_v")), strict=True):
+                x, y = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
+                while len(x) != len(y):  # neighbouring segments are one at half the number
+                    x, y = (x, np.minimum(y.reshape(-1, 2).sum(1), 255)) if len(x) < len(y) else (np.minimum(x.reshape(-1, 2).sum(1), 255), y)
+                keep.append(int(np.abs(x - y).sum()) * (100 + percent) <= (100 - percent) * (a + b))
+            yield rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sizes(width: int):
     def run(batches):
         for rows, data, at in pieces(batches, "text"):
             hashes, of, size = shingle_sets(data, at, width)
             one, two = _digests(hashes, of, size)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(size), pa.array(one), pa.array(two)], names=["id", "n", "d1", "d2"])
+            counts = _spread_counts(hashes, of, size)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(size), pa.array(one), pa.array(two), pa.array(counts, pa.binary())], names=["id", "n", "d1", "d2", "counts"])
 
     return run
 
@@ -351,6 +379,8 @@ def _agree(percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose shingle sets are similar enough, tested on the whole sets."""
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
     sets = written(_only(docs, ids).mapInArrow(_sets(width), "id long, set binary"), "sets")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("set_a"))
@@ -373,20 +403,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     parts = shuffle_width(spark, docs, "text", 16)
-    sizes = written(docs.mapInArrow(_sizes(width), "id long, n long, d1 long, d2 long"), "sizes")
+    sizes = written(docs.mapInArrow(_sizes(width), "id long, n long, d1 long, d2 long, counts binary"), "sizes")
     first = sizes.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("set_id"))
     sets = written(sizes.join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ids")
     same = sets.where("n > 0 and id != set_id").select(F.col("id").alias("u"), F.col("set_id").alias("v"))
     named = docs.where("id is not null")
-    linked, tested = written(same, "links"), None
+    linked = written(same, "links")
     to = sets.where("n > 0 and id is not null").select("id", "set_id", "n").distinct()
+    counts = sizes.where("n > 0 and id is not null").select("id", "n", "counts")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        for side in ("u", "v"):
+            pairs = pairs.join(counts.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side)
+        return pairs.mapInArrow(_may_agree(percent), "u long, v long").distinct()
+
     texts, scheme, costly, hidden = named, Scheme(percent), None, None
     while True:
         lists = _candidates(texts, scheme, width, parts)
         gone = lists.where("leader is null").select(F.explode("members").alias("id"))
         lists = lists.where("leader is not null")
         led = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v"))
-        pairs = written(_similar_sizes(led, to, percent), "pairs")
+        pairs = written(possible(_similar_sizes(led, to, percent)), "pairs")
         linked = linked.unionByName(_verified(pairs, named, width, percent))
         entries = written(_unresolved(lists, linked, to), "open")
         if entries.isEmpty():
@@ -397,7 +434,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         left = near.select("bucket", F.col("component").alias("c"), F.col("id").alias("u"))
         right = near.select("bucket", F.col("component").alias("d"), F.col("id").alias("v"))
         across = left.join(right, "bucket").where("c < d").select("u", "v")
-        across = written(_similar_sizes(across, to, percent).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        across = written(possible(_similar_sizes(across, to, percent)).join(pairs, ["u", "v"], "left_anti"), "pairs")
         linked = linked.unionByName(_verified(across, named, width, percent))
         if scheme.deletions:
             break

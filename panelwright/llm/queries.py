@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import fingerprints, html_text, lines, mixing, ngram_join, privacy, quality, subwords, toxicity
+from panelwright.llm import fingerprints, html_text, lines, mixing, ngram_join, privacy, quality, repeats, subwords, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,12 @@ def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelled.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Domains are the languages of good documents, and poor documents of any language.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, "low": 0.05}
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_html_text,
         op6_privacy,
         op7_subwords,
+        op8_repeats,
         op9_mixing,
         op10_line_dedup,
     )
