@@ -2,4 +2,46 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from panelwright.llm.lines import LOWER, UPPER
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP1 = rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END)) AS shingles
+  FROM texts
+), named AS (
+  SELECT doc_id, shingles, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS set_id FROM sets
+), entry AS (
+  SELECT doc_id, n, unnest(shingles) AS shingle FROM named WHERE doc_id = set_id
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM entry a JOIN entry b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM named WHERE doc_id = set_id
+  UNION SELECT r.x, l.v FROM reached r JOIN links l ON r.y = l.u
+), least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, n AS n_shingles, set_id, component_id FROM named JOIN least ON set_id = x
+"""
+
+OP10 = f"""
+WITH line AS (
+  SELECT doc_id, p AS pos, string_split(coalesce(text, ''), chr(10))[p] AS line
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS p FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, {_WHITE}), '{UPPER}', '{LOWER}') AS key FROM line
+), often AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT k.*, coalesce(k.doc_id <> o.keeper, false) AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_join": OP1, "op10_line_dedup": OP10}

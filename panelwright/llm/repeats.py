@@ -30,8 +30,8 @@ LENGTH = 400
 U = np.uint64
 #: Bytes of one index, and of one anchor's stretches above which its windows are compared by 128-bit hashes instead.
 SHARE, HEAVY = 2 << 20, 16 << 20
-#: Texts up to which what is known of them (some 200 bytes each) goes to all executors; more are joined.
-SMALL = 300_000
+#: Entries of lists (40 bytes each) up to which what is known of texts goes to all executors; more are joined.
+SMALL = 1_000_000
 
 
 def _sums(data: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,11 +270,12 @@ def _hashed(length: int):
     return run
 
 
-def _with(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with what is known of texts by ``id`` (null matching null) and hash; few go to all executors."""
+def _with(docs: DataFrame, known: DataFrame, entries: str, how: str) -> DataFrame:
+    """``docs`` joined with the list of ``entries`` known of texts by ``id`` (null matching null) and hash; few go to all executors."""
     renamed = known.withColumnsRenamed({"id": "known_id", "t": "known_t"})
     same = docs["id"].eqNullSafe(renamed["known_id"]) & (docs["t"] == renamed["known_t"])
-    return docs.join(F.broadcast(renamed) if known.count() <= SMALL else renamed, same, how).drop("known_id", "known_t")
+    size = known.agg(F.sum(F.size(entries) + 1)).first()[0] or 0
+    return docs.join(F.broadcast(renamed) if size <= SMALL else renamed, same, how).drop("known_id", "known_t")
 
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -297,7 +298,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if total[1] is None or (total[1] <= HEAVY if heavy else total[0] is None):
             continue
         part = wanted.withColumn("wanted", F.filter("wanted", lambda w: (w["bytes"] > HEAVY) if heavy else (w["bytes"] <= HEAVY))).where(F.size("wanted") > 0)
-        cut = _with(docs, written(part, "wanted"), "inner").mapInArrow(_cut(length), "anchor long, held long, n long, id long, t long, first long, data binary")
+        cut = _with(docs, written(part, "wanted"), "wanted", "inner").mapInArrow(_cut(length), "anchor long, held long, n long, id long, t long, first long, data binary")
         if heavy:
             windows = written(cut.dropDuplicates(["anchor", "held"]).mapInArrow(_hashed(length), "h1 long, h2 long, id long, t long, n long, first long"), "windows")
             twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
@@ -344,5 +345,5 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     rows = docs.select(F.struct(*rest).alias("row"), F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     marks = repeated_stretches(rows.select("id", "t", "text"), length)
     marks = written(marks.groupBy("id", "t").agg(F.collect_set(F.struct("first", "last")).alias("marks")), "marks")
-    marked = _with(rows, marks, "left").select("row", "text", "marks")
+    marked = _with(rows, marks, "marks", "left").select("row", "text", "marks")
     return marked.mapInArrow(_removed(length), f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
