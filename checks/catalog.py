@@ -25,6 +25,8 @@ KEYS = ("entity_id", "ds")
 LINEITEM_OLS = ("l_extendedprice", ("l_quantity", "l_discount"))
 SIMPLE_OLS = ("D_PER_CAPITA", ("CC_PER_CAPITA",))
 CROSS_CORR = ("cases", "deaths", *SUPPLIER.lags_of("CCT"), *SUPPLIER.lags_of("DT"))
+# The rounded log of the population is the same for all suppliers here, so its coefficient is not determined.
+ERROR_OLS = ("error", tuple(x for x in sup.FORMULAS["forecast_error"][1] if x != "log_pop"))
 SELECT_Y = "deaths"
 SELECT_X = (
     "acctbal", "cases", "pop", "CC_PER_CAPITA", "D_PER_CC", "O_q01_10", "O_q31_50",
@@ -80,7 +82,7 @@ def q_scan_panel(spark, sf):
         "status": "o_orderstatus",
         "amount": "o_totalprice",
     }
-    return scan_panel(spark, f"{sf}/orders.parquet", columns, F.col("o_totalprice") > 1000)
+    return scan_panel(spark, f"{sf}/orders.parquet", columns, F.col("o_totalprice") > 150000)
 
 
 def q_panel_filtered(spark, sf):
@@ -191,9 +193,7 @@ def q_future_dates(spark, sf):
 
 def q_union_entities(spark, sf):
     series = series_event_type(spark, sf)
-    frames = [series.where(F.col("entity_id") == e) for e in ENTITIES]
-    frames[0] = frames[0].withColumn("weekday", F.dayofweek("ds"))
-    return op.union_entities(*frames)
+    return op.entity_frames(series, ENTITIES, {ENTITIES[0]: {"weekday": F.dayofweek("ds")}})
 
 
 # Descriptions ------------------------------------------------------------------------------
@@ -231,6 +231,10 @@ def q_corr_matrix(spark, sf):
     return rounded(op.correlate(_log(spark, sf), sup.CORRELATED))
 
 
+def q_corr_matrix_wide(spark, sf):
+    return rounded(op.corr_matrix(_log(spark, sf), sup.CORRELATED))
+
+
 def q_corr_targets(spark, sf):
     return rounded(op.corr_targets(_log(spark, sf), sup.CORRELATED, ("log_cases", "log_deaths")))
 
@@ -344,9 +348,22 @@ def q_trend_concavity(spark, sf):
     return rounded(op.trend_concavity(_train(spark, sf), "y"))
 
 
+def _pooled_line_model(spark, sf):
+    """Errors of one line through all suppliers, regressed on the features: unlike those of a line
+    per supplier, they do not sum to zero in each, so the coefficients mean something."""
+    panel = _log(spark, sf).withColumn("t", F.datediff("ds", F.lit("2024-01-01").cast("date")).cast("double"))
+    line = panel.agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("start")).first()
+    predictions = panel.select(*KEYS, (F.lit(line["start"]) + F.lit(line["slope"]) * F.col("t")).alias("yhat"))
+    return op.ols(op.forecast_error(predictions, panel), *ERROR_OLS, *KEYS)
+
+
 def q_ols_forecast_error(spark, sf):
-    model = op.ols(_supplier_line_errors(spark, sf), *sup.FORMULAS["forecast_error"], *KEYS)
-    return rounded(model.fit.select("y", "n", "rank", "df_model", "df_resid", "r2", "rss"))
+    return rounded(_pooled_line_model(spark, sf).coef, 5, t=4, p=6)
+
+
+def q_ols_forecast_error_fit(spark, sf):
+    fit = _pooled_line_model(spark, sf).fit
+    return rounded(fit.select("y", "n", "rank", "df_model", "df_resid", "r2", "f", "rss"), 4)
 
 
 def q_forecast_entities(spark, sf):
@@ -361,6 +378,20 @@ def q_forecast_pooled(spark, sf):
     return rounded(op.forecast_pooled(_train(spark, sf)))
 
 
+def _pooled_rows(spark, sf):
+    train = _train(spark, sf)
+    return op.predict_rows(train, op.forecast_pooled(train))
+
+
+def q_forecast_pooled_rows(spark, sf):
+    """The pooled model's prediction and error for every row of every entity."""
+    return rounded(_pooled_rows(spark, sf))
+
+
+def q_forecast_pooled_rmse(spark, sf):
+    return rounded(op.rmse(_pooled_rows(spark, sf)))
+
+
 def q_forecast_components(spark, sf):
     return rounded(op.components(_forecast(spark, sf)))
 
@@ -418,6 +449,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minmax_params": q_minmax_params,
     "minmax_scaled": q_minmax_scaled,
     "corr_matrix": q_corr_matrix,
+    "corr_matrix_wide": q_corr_matrix_wide,
     "corr_targets": q_corr_targets,
     "autocorr_raw": q_autocorr_raw,
     "cross_corr_lags": q_cross_corr_lags,
@@ -432,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ols_percapita": _coef("percapita"),
     "ols_percapita_fit": _fit("percapita"),
     "ols_forecast_error": q_ols_forecast_error,
+    "ols_forecast_error_fit": q_ols_forecast_error_fit,
     "forward_selection": q_forward_selection,
     "forward_selection_lags": q_forward_selection_lags,
     "join_actual_pred": q_join_actual_pred,
@@ -441,6 +474,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_entities": q_forecast_entities,
     "forecast_insample": q_forecast_insample,
     "forecast_pooled": q_forecast_pooled,
+    "forecast_pooled_rows": q_forecast_pooled_rows,
+    "forecast_pooled_rmse": q_forecast_pooled_rmse,
     "forecast_components": q_forecast_components,
     "forecast_changepoints": q_forecast_changepoints,
     "forecast_rmse": q_forecast_rmse,

@@ -44,10 +44,10 @@ def _sorted(rows, names):
 
 def mismatch(spark, con, sf_dir: str, key: str) -> str | None:
     """None if Spark and SQL agree in names, types, row count and every value."""
+    if key not in ORACLE:
+        return "no SQL"
     df = QUERIES[key](spark, sf_dir)
     got = _sorted([tuple(r) for r in df.collect()], df.columns)
-    if key not in ORACLE:
-        return None if got else "no rows"
     cur = con.execute(ORACLE[key])
     names = [d[0] for d in cur.description]
     want = _sorted(cur.fetchall(), names)

@@ -260,10 +260,11 @@ residuals AS (
 rss AS (SELECT sum(e * e) AS rss FROM residuals)"""
 
 
-def _coef(ctes: str, table: str, y: str, xs: Sequence[str], columns: Sequence[str]) -> str:
+def _coef(ctes: str, table: str, y: str, xs: Sequence[str], columns) -> str:
     """Coefficient table. The t tail is integrated by Simpson's rule after t = sqrt(df) tan(u);
     the t quantile is the Cornish-Fisher series, exact to double precision for large df."""
     names = _list(f"'{x}'" for x in xs)
+    places = columns if isinstance(columns, dict) else {c: 6 if c in ("t", "p") else 8 for c in columns}
     steps = 4000
     z = Z975
     return f"""WITH RECURSIVE {ctes},
@@ -289,14 +290,16 @@ tested AS (
   FROM tails),
 table_ AS (SELECT term, coef, se, t, p, CASE WHEN t IS NOT NULL THEN coef - q * se END AS lo,
                   CASE WHEN t IS NOT NULL THEN coef + q * se END AS hi FROM tested)
-SELECT term, {_list(_round(c, c, 6 if c in ('t', 'p') else 8) for c in columns)} FROM table_"""
+SELECT term, {_list(_round(c, c, places[c]) for c in columns)} FROM table_"""
 
 
-def _fit(ctes: str, table: str, y: str, xs: Sequence[str], columns: Sequence[str]) -> str:
+def _fit(
+    ctes: str, table: str, y: str, xs: Sequence[str], columns: Sequence[str], places: int = 6
+) -> str:
     """Fit row; the omnibus statistic from the D'Agostino skewness and Anscombe-Glynn
     kurtosis tests."""
     exact = ("y", "n", "rank", "df_model", "df_resid")
-    cols = [c if c in exact else _round(c, c) for c in columns]
+    cols = [c if c in exact else _round(c, c, places) for c in columns]
     return f"""WITH RECURSIVE {ctes},
 {_ols_ctes(table, y, xs)},
 steps AS (SELECT e, e - lag(e) OVER (PARTITION BY entity_id ORDER BY ds) AS step FROM residuals),
@@ -553,11 +556,11 @@ frame AS (
   SELECT entity_id, ds, is_future, n::BIGINT AS n_obs, sy / n AS y, scale * (trend + weekly) AS yhat,
     scale * (trend + weekly - {Z975} * sqrt(variance)) AS yhat_lower,
     scale * (trend + weekly + {Z975} * sqrt(variance)) AS yhat_upper,
-    scale * trend AS trend, scale * weekly AS weekly, cps, b, scale, span FROM parts)
+    scale * trend AS trend, scale * weekly AS weekly, 0.0::DOUBLE AS yearly, cps, b, scale, span FROM parts)
 {select}"""
 
 
-_FRAME = ("y", "yhat", "yhat_lower", "yhat_upper", "trend", "weekly")
+_FRAME = ("y", "yhat", "yhat_lower", "yhat_upper", "trend", "weekly", "yearly")
 
 
 def _frame(train: str, keys: str = "entity_id, ", where: str = "true") -> str:
@@ -577,7 +580,7 @@ def _union() -> str:
 
 ORACLE: dict[str, str] = {
     "scan_panel": """SELECT o_orderkey AS order_id, o_custkey AS entity_id,
-        o_orderstatus AS status, o_totalprice AS amount FROM orders WHERE o_totalprice > 1000""",
+        o_orderstatus AS status, o_totalprice AS amount FROM orders WHERE o_totalprice > 150000""",
     "panel_filtered": f"""WITH {SUPPLIERS}
 SELECT entity_id, ds, entity_name, cases, deaths, pop, acctbal, nation_id FROM filtered""",
     "panel_log": _project(PANEL_LOG, _LOG_EXACT, _LOG_DOUBLE),
@@ -636,8 +639,10 @@ FROM series GROUP BY 1""",
         ("entity_id", "ds"), sup.SCALED, "scaled",
     ),
     "corr_matrix": _corr(PANEL_LOG, sup.CORRELATED, sup.CORRELATED),
+    "corr_matrix_wide": f"""SELECT var_x, {_list(f"max(r) FILTER (WHERE var_y = '{c}') AS {c}" for c in sup.CORRELATED)}
+FROM ({_corr(PANEL_LOG, sup.CORRELATED, sup.CORRELATED)}) GROUP BY var_x""",
     "corr_targets": _corr(PANEL_LOG, sup.CORRELATED, ("log_cases", "log_deaths"))
-    + " ORDER BY var_x, var_y LIMIT 100",
+    + " ORDER BY var_x, var_y",
     "autocorr_raw": _corr(
         f"""{SUPPLIERS}, panel AS (SELECT {_list(_lag('CCT', 'cases'))},
   {_list(_lag('DT', 'deaths'))} FROM wide)""",
@@ -671,13 +676,6 @@ means AS (SELECT entity_id, avg(bend) AS m, avg(abs(y)) * 1e-9 AS noise FROM ben
 SELECT entity_id, {_round('m', 'mean_second_difference')},
   CASE WHEN m > noise THEN 'convex' WHEN m < -noise THEN 'concave'
        WHEN m IS NOT NULL THEN 'linear' END AS shape FROM means""",
-    "ols_forecast_error": _fit(
-        f"""{PANEL_LOG}, {_line_ctes('panel')},
-errors AS (SELECT q.*, q.y - yhat AS error FROM predicted p
-           JOIN panel q ON p.entity_id = q.entity_id AND p.ds = q.ds)""",
-        "errors", *sup.FORMULAS["forecast_error"],
-        ("y", "n", "rank", "df_model", "df_resid", "r2", "rss"),
-    ),
 }
 
 _POOLED = f"""{SERIES},
@@ -688,10 +686,20 @@ ORACLE.update(
         "forecast_entities": _frame(TRAIN),
         "forecast_insample": _frame(TRAIN, where="NOT is_future"),
         "forecast_pooled": _frame(_POOLED, keys=""),
+        "forecast_pooled_rows": _forecast(
+            _POOLED,
+            f"""SELECT s.entity_id, s.ds, s.y, {_round('f.yhat', 'yhat')}, {_round('s.y - f.yhat', 'error')}
+FROM series s JOIN frame f USING (ds) WHERE NOT f.is_future""",
+        ),
+        "forecast_pooled_rmse": _forecast(
+            _POOLED,
+            f"""SELECT s.entity_id, count(*) AS n, {_round('sqrt(avg(pow(s.y - f.yhat, 2)))', 'rmse')}
+FROM series s JOIN frame f USING (ds) WHERE NOT f.is_future GROUP BY 1""",
+        ),
         "forecast_components": _forecast(
             TRAIN,
             f"""SELECT entity_id, ds, is_future, {_round('trend', 'trend')},
-  {_round('weekly', 'weekly')}, {_round('yhat', 'yhat')} FROM frame""",
+  {_round('weekly', 'weekly')}, {_round('yearly', 'yearly')}, {_round('yhat', 'yhat')} FROM frame""",
         ),
         "forecast_changepoints": _forecast(
             TRAIN,
@@ -719,6 +727,20 @@ FROM means""",
     }
 )
 
+_ERRORS = f"""{PANEL_LOG},
+pooled AS (SELECT regr_slope(y, t) AS slope, regr_intercept(y, t) AS start
+           FROM (SELECT y, date_diff('day', DATE '2024-01-01', ds) AS t FROM panel)),
+missed AS (SELECT panel.*, y - (start + slope * date_diff('day', DATE '2024-01-01', ds)) AS error
+           FROM panel, pooled)"""
+_HEAD = ("y", "n", "rank", "df_model", "df_resid")
+ORACLE["ols_forecast_error"] = _coef(
+    _ERRORS, "missed", *cat.ERROR_OLS,
+    {"coef": 5, "se": 5, "t": 4, "p": 6, "lo": 5, "hi": 5},
+)
+ORACLE["ols_forecast_error_fit"] = _fit(
+    _ERRORS, "missed", *cat.ERROR_OLS, (*_HEAD, "r2", "f", "rss"), 4
+)
+
 for _name, (_y, _xs) in sup.FORMULAS.items():
     if _name == "forecast_error":
         continue

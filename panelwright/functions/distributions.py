@@ -8,12 +8,14 @@ from statistics import NormalDist
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, evaluated by Lentz's method."""
+    """Continued fraction of the incomplete beta function, evaluated by Lentz's method until it no
+    longer changes; that takes some sqrt(max(a, b)) terms."""
     tiny = 1e-300
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 5000):
+    limit = 1000 + 20 * math.isqrt(int(max(a, b)) + 1)
+    for m in range(1, limit):
         for term in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -25,8 +27,21 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the incomplete beta function at ({a}, {b}, {x}) does not converge")
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)). For large ``a`` the difference of Stirling's series, term by
+    term: the logarithms themselves are too large to be subtracted."""
+    if a < 50.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    c = a + b
+
+    def rest(x: float) -> float:
+        return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(c) - b + rest(c) - rest(a)
 
 
 def beta_cdf(x: float, y: float, a: float, b: float) -> float:
@@ -38,23 +53,25 @@ def beta_cdf(x: float, y: float, a: float, b: float) -> float:
         return 1.0
     log_x = math.log1p(-y) if y < 0.5 else math.log(x)
     log_y = math.log1p(-x) if x < 0.5 else math.log(y)
-    log_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    large, small = max(a, b), min(a, b)
+    log_beta = math.lgamma(small) - _log_gamma_ratio(large, small)
     front = math.exp(a * log_x + b * log_y - log_beta)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
     return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
-_LARGE = 1e6
+_EXACT = 1e6
 
 
 def _by_degrees(tail: Callable[[float], float], df: float) -> float:
-    """``tail(df)``; beyond a million degrees of freedom, where the fraction converges slowly,
-    continued linearly in 1 / df, which is exact to about 1e-12."""
-    if df <= _LARGE:
+    """``tail(df)``. A tail is a power series in 1 / df; beyond a million degrees of freedom, where
+    the fraction's argument is too near 1 for double precision, its first two terms are
+    exact to 1e-12, and two values give them."""
+    if df <= _EXACT:
         return tail(df)
-    far, near = tail(_LARGE), tail(_LARGE / 2)
-    return far + (near - far) * (_LARGE / df - 1.0)
+    far, near = tail(_EXACT), tail(_EXACT / 2)
+    return far + (near - far) * (_EXACT / df - 1.0)
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -78,17 +95,23 @@ def chi2_upper_2df(x: float) -> float:
 
 
 def t_quantile(p: float, df: float) -> float:
-    """Upper quantile for ``p`` > 0.5, by bisection on the two-sided tail."""
+    """Upper quantile for ``p`` > 0.5: Newton's method on the two-sided tail, kept inside a bracket."""
     target = 2.0 * (1.0 - p)
     lo, hi = 0.0, 1.0
     while t_two_sided(hi, df) > target:
-        hi *= 2.0
-    for _ in range(200):
-        mid = (lo + hi) / 2.0
-        if mid in (lo, hi):
-            break
-        lo, hi = (mid, hi) if t_two_sided(mid, df) > target else (lo, mid)
-    return (lo + hi) / 2.0
+        lo, hi = hi, 2.0 * hi
+    log_scale = _log_gamma_ratio(df / 2, 0.5) - math.log(df * math.pi) / 2
+    t = (lo + hi) / 2.0
+    while True:
+        gap = t_two_sided(t, df) - target
+        lo, hi = (t, hi) if gap > 0 else (lo, t)
+        density = math.exp(log_scale - (df + 1) / 2 * math.log1p(t * t / df))
+        new = t + gap / (2.0 * density)
+        if not lo < new < hi:
+            new = (lo + hi) / 2.0
+        if new in (lo, hi) or abs(new - t) <= 1e-15 * t:
+            return new
+        t = new
 
 
 def normal_quantile(p: float) -> float:

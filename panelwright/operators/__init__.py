@@ -19,12 +19,13 @@ from panelwright.operators.forecast import (
     components,
     forecast,
     forecast_pooled,
+    predict_rows,
 )
 from panelwright.operators.lags import OFFSETS, add_lags
 from panelwright.operators.regress import OlsModel, ols
 from panelwright.operators.scaling import minmax_fit, minmax_transform
 from panelwright.operators.selection import forward_selection
-from panelwright.operators.split import future_dates, train_split, union_entities
+from panelwright.operators.split import entity_frames, future_dates, train_split, union_entities
 
 __all__ = [
     "OFFSETS",
@@ -38,6 +39,7 @@ __all__ = [
     "correlate",
     "date_keys",
     "describe",
+    "entity_frames",
     "forecast",
     "forecast_error",
     "forecast_pooled",
@@ -51,6 +53,7 @@ __all__ = [
     "ols",
     "per_capita",
     "population_shares",
+    "predict_rows",
     "rmse",
     "skew_report",
     "train_split",

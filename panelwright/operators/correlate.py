@@ -19,7 +19,7 @@ def correlate(
     (default: all). ``n`` counts the rows where both are present; a constant gives NULL."""
     cols = list(cols)
     names = cols + [t for t in targets or () if t not in cols]
-    moments = collect_moments(df, names).get("")
+    moments = collect_moments(df, names)
     rows = []
     r = None if moments is None else moments.correlation()
     for i, x in enumerate(cols):
@@ -38,8 +38,6 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def corr_targets(
-    df: DataFrame, cols: Sequence[str], targets: Sequence[str], limit: int = 100
-) -> DataFrame:
-    """Correlation of every column with a few targets, in a fixed order, the first rows."""
-    return correlate(df, cols, targets).orderBy("var_x", "var_y").limit(limit)
+def corr_targets(df: DataFrame, cols: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Correlation of every column with a few targets, in a fixed order."""
+    return correlate(df, cols, targets).orderBy("var_x", "var_y")

@@ -3,37 +3,34 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from panelwright.sources.scan import nan_to_null
 
 QUARTILES = (0.25, 0.5, 0.75)
 _NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max", "skew")
 _SCHEMA = "variable string, count bigint, " + ", ".join(f"{n} double" for n in _NUMBERS)
 
 
-def describe(
-    df: DataFrame, cols: Sequence[str], approx: bool = False, exact_rows: int = 200_000
-) -> DataFrame:
-    """One row per variable: count, mean, std (n - 1), min, quartiles, max; NULLs left out.
+def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
+    """One row per variable: count, mean, std (n - 1), min, quartiles, max; NULL and NaN left out.
 
-    Quartiles interpolate linearly between order statistics. Up to ``exact_rows`` values a
-    variable's quartiles come from one ``percentile`` aggregate; above, where that aggregate
-    would gather all distinct values in one task, from :func:`order_statistics`, which counts
-    instead of gathering. ``approx=True`` takes the quantile sketch of the first pass.
+    Quartiles interpolate linearly between order statistics, which :func:`order_statistics` finds
+    by counting, with a handful of passes over ``df`` (worth keeping if it is costly to compute).
+    ``approx=True`` takes them from a quantile sketch in the first pass.
     """
-    return _summary(df, cols, approx, exact_rows).drop("skew")
+    return _summary(df, cols, approx).drop("skew")
 
 
-def skew_report(
-    df: DataFrame, cols: Sequence[str], approx: bool = False, exact_rows: int = 200_000
-) -> DataFrame:
+def skew_report(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Skewness (population) per variable with the two signs of a long right tail: the third
     quartile as a share of the maximum, and the mean over the median."""
-    return _summary(df, cols, approx, exact_rows).select(
+    return _summary(df, cols, approx).select(
         "variable",
         "skew",
         F.try_divide("p75", "max").alias("p75_over_max"),
@@ -57,13 +54,22 @@ def _long(df: DataFrame, per_column: Mapping[str, Sequence[Column]], names: Sequ
     return df.select(F.inline(F.array(*parts)))
 
 
-def _summary(df: DataFrame, cols: Sequence[str], approx: bool, exact_rows: int) -> DataFrame:
+def _is_scan(df: DataFrame) -> bool:
+    """Whether reading ``df`` again costs no more than a scan: no join, aggregate, window or sort below."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not re.search(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Union|Distinct|MapIn)", plan, re.M)
+
+
+def _summary(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
     spark = df.sparkSession
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    keep = not approx and not _is_scan(data)
+    if keep:
+        data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         x = F.col("x")
         long = _long(data, {c: [F.col(c)] for c in cols}, ["x"]).where(x.isNotNull())
+        sketch = [F.percentile_approx(x, list(QUARTILES), 1000).alias("sketch")] if approx else []
         stats = {
             row["variable"]: row.asDict()
             for row in long.groupBy("variable")
@@ -74,25 +80,21 @@ def _summary(df: DataFrame, cols: Sequence[str], approx: bool, exact_rows: int)
                 F.min(x).alias("min"),
                 F.max(x).alias("max"),
                 F.skewness(x).alias("skew"),
-                F.percentile_approx(x, list(_sketch_points()), 10_000).alias("sketch"),
+                *sketch,
             )
             .collect()
         }
         counts = {c: s["count"] for c, s in stats.items()}
         if approx:
-            quartiles = {c: dict(zip(_sketch_points(), s["sketch"])) for c, s in stats.items()}
-        elif max(counts.values(), default=0) <= exact_rows:
-            exact = long.groupBy("variable").agg(F.percentile(x, list(QUARTILES)).alias("q"))
-            quartiles = {
-                row["variable"]: dict(zip(QUARTILES, row["q"])) for row in exact.collect()
-            }
+            quartiles = {c: dict(zip(QUARTILES, s["sketch"])) for c, s in stats.items()}
         else:
             ranks = {c: _ranks(n) for c, n in counts.items()}
-            cuts = {c: sorted({s["min"], *s["sketch"], s["max"]}) for c, s in stats.items()}
-            found = order_statistics(data, ranks, cuts)
+            ends = {c: (s["min"], s["max"]) for c, s in stats.items()}
+            found = order_statistics(data, ranks, ends)
             quartiles = {c: _interpolate(n, found[c]) for c, n in counts.items()}
     finally:
-        data.unpersist()
+        if keep:
+            data.unpersist()
 
     rows = []
     for c in cols:
@@ -108,11 +110,6 @@ def _summary(df: DataFrame, cols: Sequence[str], approx: bool, exact_rows: int)
     return spark.createDataFrame(rows, _SCHEMA)
 
 
-def _sketch_points() -> tuple[float, ...]:
-    """The quartiles with a neighbour on each side, to start the search for them close by."""
-    return tuple(p + d for p in QUARTILES for d in (-0.0005, 0.0, 0.0005))
-
-
 def _ranks(n: int) -> set[int]:
     """0-based ranks that the quartiles of ``n`` values interpolate between."""
     return {r for p in QUARTILES for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
@@ -130,85 +127,55 @@ def _interpolate(n: int, at: Mapping[int, float]) -> dict[float, float]:
 def order_statistics(
     df: DataFrame,
     ranks: Mapping[str, set[int]],
-    cuts: Mapping[str, Sequence[float]],
-    fetch_rows: int = 100_000,
-    split: int = 64,
+    ends: Mapping[str, tuple[float, float]],
+    parts: int = 512,
 ) -> dict[str, dict[int, float]]:
-    """Exact values at the given 0-based ranks of each column, by counting between cut points.
+    """Exact values at the given 0-based ranks of each column, by counting.
 
-    ``cuts`` starts with each column's minimum and ends with its maximum. Each pass counts, map-side
-    combined, the rows on and between the cuts; a wanted rank then lies on a cut, or in a gap
-    whose rows are all equal, or in a gap that is cut into ``split`` parts for the next pass.
-    A gap of at most ``fetch_rows`` rows is ranked by a window. State is a few hundred
-    counters per column at any data size.
+    ``ends`` are each column's minimum and maximum. Each pass counts, map-side combined, the rows in
+    ``parts`` equal parts of every zone that holds a wanted rank, with the least and greatest
+    value of each part; parts that hold a rank are the next pass's zones, until a part is a single
+    value. State is ``parts`` counters a zone at any data size, and no task gathers rows.
     """
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    # A zone: a column, the ranks wanted in it, how many rows lie below it, its cut points.
-    zones = [(c, set(r), 0, sorted(cuts[c])) for c, r in ranks.items() if r]
+    # A zone: a column, the ranks wanted in it, how many rows lie below it, its least and greatest value.
+    zones = [(c, set(r), 0, *ends[c]) for c, r in ranks.items() if r]
     while zones:
-        narrower, fetch = [], []
-        for c, zone_ranks, lo, hi, below, n in _count_between(df, zones):
-            wanted = {r for r in zone_ranks if below <= r < below + n}
-            if not wanted:
-                continue
-            if lo == hi:
-                found[c].update(dict.fromkeys(wanted, lo))
-            elif n <= fetch_rows:
-                fetch.append((c, wanted, below, lo, hi))
-            else:
-                narrower.append((c, wanted, below, _even_cuts(lo, hi, split)))
-        for c, by_rank in _fetch(df, fetch).items():
-            found[c].update(by_rank)
+        narrower = []
+        for c, wanted, below, n, lo, hi in _count_parts(df, zones, parts):
+            inside = {r for r in wanted if below <= r < below + n}
+            if inside and lo == hi:
+                found[c].update(dict.fromkeys(inside, lo))
+            elif inside:
+                narrower.append((c, inside, below, lo, hi))
         zones = narrower
     return found
 
 
-def _even_cuts(lo: float, hi: float, parts: int) -> list[float]:
-    step = hi / parts - lo / parts
-    middle = {lo + step * i for i in range(1, parts)} | {lo / 2 + hi / 2}
-    return sorted({lo, hi} | {m for m in middle if lo < m < hi})
+def _part(x: Column, lo: float, hi: float, parts: int) -> Column:
+    """A number from 0 to ``parts`` - 1 that does not fall as x grows, 0 at ``lo`` and the last at ``hi``."""
+    width = hi / parts - lo / parts
+    if width > 0:
+        step = F.floor((x / parts - F.lit(lo / parts)) / F.lit(width) * parts).cast("int")
+        part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), step))
+    else:  # neighbouring numbers
+        part = F.lit(1)
+    part = F.when(x == lo, 0).when(x == hi, parts - 1).otherwise(part)
+    return F.when(x.between(lo, hi), part)
 
 
-def _slot(x: Column, cuts: Sequence[float]) -> Column:
-    points = F.array(*[F.lit(float(v)) for v in cuts])
-    up_to = F.size(F.filter(points, lambda v: v <= x))
-    under = F.size(F.filter(points, lambda v: v < x))
-    return F.when(x.between(cuts[0], cuts[-1]), up_to + under - 1)
-
-
-def _count_between(df: DataFrame, zones: Sequence[tuple]) -> list[tuple]:
-    """Rows per zone and slot: slot 2i is cut i itself, slot 2i + 1 the gap after it."""
-    exprs = {k: [_slot(F.col(c), cuts), F.col(c)] for k, (c, _, _, cuts) in enumerate(zones)}
-    long = _long(df, exprs, ["slot", "x"]).where(F.col("slot").isNotNull())
+def _count_parts(df: DataFrame, zones: Sequence[tuple], parts: int) -> list[tuple]:
+    exprs = {k: [_part(F.col(c), lo, hi, parts), F.col(c)] for k, (c, _, _, lo, hi) in enumerate(zones)}
+    long = _long(df, exprs, ["part", "x"]).where(F.col("part").isNotNull())
     counted = (
-        long.groupBy(F.col("variable").alias("zone"), "slot")
+        long.groupBy(F.col("variable").alias("zone"), "part")
         .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .collect()
     )
     out = []
-    below = [start for _, _, start, _ in zones]
-    for row in sorted(counted, key=lambda r: (r["zone"], r["slot"])):
-        c, wanted, _, _ = zones[row["zone"]]
-        out.append((c, wanted, row["lo"], row["hi"], below[row["zone"]], row["n"]))
+    below = [start for _, _, start, _, _ in zones]
+    for row in sorted(counted, key=lambda r: (r["zone"], r["part"])):
+        c, wanted, *_ = zones[row["zone"]]
+        out.append((c, wanted, below[row["zone"]], row["n"], row["lo"], row["hi"]))
         below[row["zone"]] += row["n"]
     return out
-
-
-def _fetch(df: DataFrame, gaps: Sequence[tuple]) -> dict[str, dict[int, float]]:
-    """Values at the wanted ranks of small gaps, each ranked by its own window."""
-    if not gaps:
-        return {}
-    exprs = {
-        k: [F.when(F.col(c).between(lo, hi), F.col(c))]
-        for k, (c, _, _, lo, hi) in enumerate(gaps)
-    }
-    long = _long(df, exprs, ["x"]).where(F.col("x").isNotNull())
-    position = F.row_number().over(Window.partitionBy("variable").orderBy("x")) - 1
-    keep = F.lit(False)
-    for k, (_, wanted, below, _, _) in enumerate(gaps):
-        keep |= (F.col("variable") == k) & F.col("position").isin([r - below for r in wanted])
-    out: dict[str, dict[int, float]] = {}
-    for row in long.withColumn("position", position).where(keep).collect():
-        c, _, below, _, _ = gaps[row["variable"]]
-        out.setdefault(c, {})[below + row["position"]] = row["x"]
-    return out

@@ -26,9 +26,11 @@ def forecast_error(
 ) -> DataFrame:
     """Predictions joined back to the feature panel, with ``error`` = panel's y - yhat.
 
-    Panel columns whose names clash get the suffix ``_panel``.
+    Panel columns whose names clash, one named ``error`` included, get the suffix ``_panel``.
     """
-    clash = set(predicted.columns) & set(panel.columns) - set(keys)
+    if "error" in predicted.columns:
+        raise ValueError("the predictions have a column named error already")
+    clash = {*predicted.columns, "error"} & set(panel.columns) - set(keys)
     right = panel.select(*[F.col(c).alias(f"{c}_panel") if c in clash else c for c in panel.columns])
     actual = f"{y}_panel" if y in clash else y
     return predicted.join(unique_rows(right, keys), list(keys), "left").withColumn(

@@ -1,7 +1,8 @@
-"""Additive trend + weekly forecasts, one series per entity or one for all.
+"""Additive trend, weekly and yearly forecasts, one series per entity or one for all.
 
 The model form is that of Taylor & Letham, "Forecasting at Scale" (2018): a piecewise linear
-trend with a hinge at each changepoint, plus weekly Fourier terms. Hinges are shrunk by a ridge
+trend with a hinge at each changepoint, plus Fourier terms: weekly ones for series of two weeks or more
+with dates less than a week apart, yearly ones for series of two years or more. Hinges are shrunk by a ridge
 penalty with the changepoint prior scale, which has a closed-form, deterministic solution.
 
 The design depends on the date alone, so rows are first collapsed to one per entity and date
@@ -26,7 +27,7 @@ LEVEL = 0.95
 
 _FORECAST = (
     "is_future boolean, n_obs bigint, y double, yhat double, yhat_lower double, "
-    "yhat_upper double, trend double, weekly double"
+    "yhat_upper double, trend double, weekly double, yearly double"
 )
 _DAY = np.timedelta64(1, "D")
 
@@ -36,14 +37,16 @@ class _Series:
 
     max_changepoints = 25
     changepoint_range = 0.8
-    fourier_order = 3
-    iterations = 30
+    weekly_order, yearly_order, year = 3, 10, 365.25
+    iterations = 10_000
 
     def __init__(self, days, n, sum_y, sum_yy, scale, prior):
         self.start, self.span = days[0], max(days[-1] - days[0], 1)
         self.scale = scale or 1.0
         self.changepoints = self._place_changepoints(days)
-        self.weekly = days[-1] - days[0] >= 14
+        step = int(np.diff(days).min()) if len(days) > 1 else 1
+        self.weekly = days[-1] - days[0] >= 14 and step < 7
+        self.yearly = days[-1] - days[0] >= 730
         y = sum_y / self.scale
         x = self.design(days)
         gram, cross = x.T @ (x * n[:, None]), x.T @ y
@@ -74,6 +77,8 @@ class _Series:
             last, weight = weight, max(sigma2 / prior**2, 1e-12)
             if abs(weight - last) <= 1e-12 * last:
                 break
+        else:
+            raise ArithmeticError(f"no balance of noise and penalty: {last} and {weight}")
         self.sigma2 = sigma2
         self.cov = np.zeros_like(gram)
         inverse_h = (basis / (roots + last)) @ basis.T
@@ -99,15 +104,18 @@ class _Series:
         hinges = np.maximum(t[:, None] - self._time(self.changepoints)[None, :], 0.0)
         columns = [np.ones_like(t), t, *hinges.T]
         if self.weekly:
-            for k in range(1, self.fourier_order + 1):
-                angle = 2 * np.pi * k * (days % 7) / 7
-                columns += [np.sin(angle), np.cos(angle)]
+            columns += _waves((days % 7) / 7, self.weekly_order)
+        if self.yearly:
+            columns += _waves(days / self.year, self.yearly_order)
         return np.column_stack(columns)
 
     def predict(self, days, level):
         x = self.design(days)
         cut = 2 + len(self.changepoints)
-        trend, weekly = x[:, :cut] @ self.beta[:cut], x[:, cut:] @ self.beta[cut:]
+        weeks = cut + 2 * self.weekly_order * self.weekly
+        trend, weekly, yearly = (
+            x[:, a:b] @ self.beta[a:b] for a, b in ((0, cut), (cut, weeks), (weeks, None))
+        )
         # Noise, uncertainty of the coefficients, and slope changes still to come: Laplace
         # sized, arriving at the rate seen in training, integrated over the time ahead.
         ahead = np.maximum(self._time(days) - 1.0, 0.0)
@@ -118,8 +126,8 @@ class _Series:
             + len(deltas) * 2 * size**2 * ahead**3 / 3
         )
         half = normal_quantile((1 + level) / 2) * np.sqrt(np.maximum(variance, 0.0))
-        yhat = trend + weekly
-        return [self.scale * v for v in (yhat, yhat - half, yhat + half, trend, weekly)]
+        yhat = trend + weekly + yearly
+        return [self.scale * v for v in (yhat, yhat - half, yhat + half, trend, weekly, yearly)]
 
     @property
     def deltas(self):
@@ -127,6 +135,36 @@ class _Series:
         return self.beta[2 : 2 + len(self.changepoints)] * self.scale / self.span
 
 
+def _waves(phase: np.ndarray, order: int) -> list[np.ndarray]:
+    angles = [2 * np.pi * k * phase for k in range(1, order + 1)]
+    return [f(a) for a in angles for f in (np.sin, np.cos)]
+
+
+def _step(days: np.ndarray) -> tuple[str, int]:
+    """Spacing of a series: whole months if every date is the same day of a month, else days."""
+    gaps = np.diff(days)
+    if len(gaps) and gaps.min() >= 28:
+        dates = np.datetime64(0, "D") + days * _DAY
+        months = dates.astype("datetime64[M]")
+        if len(set((dates - months.astype("datetime64[D]")).tolist())) == 1:
+            return "months", int(np.diff(months.astype(int)).min())
+    return "days", int(gaps.min()) if len(gaps) else 1
+
+
+def _ahead(days: np.ndarray, horizon: int) -> np.ndarray:
+    """``horizon`` further dates at the spacing of the series."""
+    unit, size = _step(days)
+    if unit == "days":
+        return days[-1] + size * np.arange(1, horizon + 1)
+    last = np.datetime64(0, "D") + days[-1] * _DAY
+    month = last.astype("datetime64[M]")
+    day = last - month.astype("datetime64[D]")
+    later = month + size * np.arange(1, horizon + 1)
+    # A day that a month lacks is that month's last.
+    end = (later + 1).astype("datetime64[D]") - _DAY
+    return (np.minimum(later.astype("datetime64[D]") + day, end) - np.datetime64(0, "D")) // _DAY
+
+
 def _daily(df: DataFrame, by: Sequence[str], order: str, y: str) -> DataFrame:
     value = F.col(y).cast("double")
     return (
@@ -189,13 +227,15 @@ def forecast(
     level: float = LEVEL,
 ) -> DataFrame:
     """One model per entity, all entities in parallel. One row per training date
-    (``is_future`` false, with the actual ``y``) and ``horizon`` further days, with the
-    interval and the components. ``by=()`` fits one model to all rows."""
+    (``is_future`` false, with the mean actual ``y`` of its ``n_obs`` rows) and ``horizon`` further
+    dates at the spacing of the series (days, or months where every date is the same day of a
+    month), with the interval and the components. ``by=()`` fits one model to all rows.
+    A fit that does not converge fails the job."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         series, rows, days = _fit(rows, prior)
-        dates = np.concatenate([days, days[-1] + np.arange(1, horizon + 1)])
-        yhat, lower, upper, trend, weekly = series.predict(dates, level)
+        dates = np.concatenate([days, _ahead(days, horizon)])
+        yhat, lower, upper, trend, weekly, yearly = series.predict(dates, level)
         ahead = [None] * horizon
         return pd.DataFrame(
             {
@@ -208,6 +248,7 @@ def forecast(
                 "yhat_upper": upper,
                 "trend": trend,
                 "weekly": weekly,
+                "yearly": yearly,
             }
         )
 
@@ -216,10 +257,27 @@ def forecast(
 
 def forecast_pooled(df: DataFrame, **settings) -> DataFrame:
     """One model over the rows of all entities; dates may repeat across them, and ``y`` in the
-    result is the mean over a date's rows."""
+    result is the mean over a date's rows. See :func:`predict_rows` for every row's prediction."""
     return forecast(df, by=(), **settings)
 
 
+def predict_rows(
+    df: DataFrame, forecasts: DataFrame, by: Sequence[str] = (), order: str = "ds", y: str = "y"
+) -> DataFrame:
+    """Every row of ``df`` with ``yhat`` of its date (and entity, if ``by``) and ``error`` = y - yhat,
+    also where a date repeats."""
+    keys = [*by, "ds"]
+    found = forecasts.select(*keys, F.col("yhat").alias("__yhat"))
+    rows = df.withColumn("__ds", F.col(order).cast("date")).alias("r")
+    for k in keys:
+        found = found.withColumnRenamed(k, f"__f_{k}")
+    same = [F.col(f"r.{'__ds' if k == 'ds' else k}") == F.col(f"__f_{k}") for k in keys]
+    out = rows.join(found, same, "left")
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], F.col("__yhat").alias("yhat")).withColumn(
+        "error", F.col(y) - F.col("yhat")
+    )
+
+
 def changepoints(
     df: DataFrame,
     by: Sequence[str] = ("entity_id",),
@@ -240,4 +298,4 @@ def changepoints(
 
 def components(forecasts: DataFrame, by: Sequence[str] = ("entity_id",)) -> DataFrame:
     """The additive parts of a forecast frame."""
-    return forecasts.select(*by, "ds", "is_future", "trend", "weekly", "yhat")
+    return forecasts.select(*by, "ds", "is_future", "trend", "weekly", "yearly", "yhat")

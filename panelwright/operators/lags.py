@@ -26,8 +26,8 @@ def with_lags(
     ``keep`` and the lagged values are projected before the shuffle, so it carries results (a
     few bands) and not their inputs (many fine counts). All expressions speak of the columns
     of ``df``, also where ``keep`` reuses a name for something else. With ``unique`` a row whose
-    order value equals its predecessor's fails the job; the test rides on the same sort, and goes
-    when nobody reads the lags.
+    order value equals its predecessor's, or with a NULL key, fails the job; the test rides on the same
+    sort, and goes when nobody reads the lags (``scan_panel(..., unique=)`` tests a table once and for all).
     """
     kept = df.select(*keep).columns
     values = {n: F.col(e) if isinstance(e, str) else e for n, e in exprs.items()}
@@ -44,9 +44,11 @@ def with_lags(
     wide = rows.select(
         *kept,
         *[c.alias(n) for n, c in lags.items()],
-        F.when(repeated, F.col(order[0]).cast("string")).alias("__repeated"),
+        F.when(_null_key([*by, *order]), F.lit("NULL key"))
+        .when(repeated, F.concat(F.lit("duplicate key: two rows at "), F.col(order[0]).cast("string")))
+        .alias("__repeated"),
     )
-    failure = F.raise_error(F.concat(F.lit("duplicate key: two rows at "), F.col("__repeated")))
+    failure = F.raise_error(F.col("__repeated"))
     return wide.select(
         *kept,
         *[
@@ -56,6 +58,13 @@ def with_lags(
     )
 
 
+def _null_key(keys: Sequence[str]) -> Column:
+    missing = F.lit(False)
+    for k in keys:
+        missing |= F.col(k).isNull()
+    return missing
+
+
 def add_lags(
     df: DataFrame,
     exprs: Mapping[str, Column | str],
@@ -95,9 +104,12 @@ def _calendar_lags(df, exprs, offsets, keys, order, checked):
         # Rows on this very day, read with every value so that it goes when they go.
         same_day = F.count(F.lit(1)).over(base.rangeBetween(0, 0))
         df = df.withColumn("__same_day", same_day)
-        message = F.concat(F.lit("duplicate key: two rows at "), F.col(order).cast("string"))
+        null_key = _null_key([*keys, order])
+        message = F.when(null_key, "NULL key").otherwise(
+            F.concat(F.lit("duplicate key: two rows at "), F.col(order).cast("string"))
+        )
         values = {
-            n: F.when(F.col("__same_day") > 1, F.raise_error(message)).otherwise(v)
+            n: F.when(null_key | (F.col("__same_day") > 1), F.raise_error(message)).otherwise(v)
             for n, v in values.items()
         }
     lagged = df.select(

@@ -1,8 +1,8 @@
 """Pairwise-complete second moments of many columns in one pass.
 
 Each task turns its Arrow batches into K x K matrices and emits one row; those rows are merged
-in two further steps, spread over a fixed number of groups, so no task and not the driver ever
-sees more than a bounded number of K x K matrices, whatever the number of rows. Matrices are
+by a tree of fixed fan-in, so no task and not the driver ever sees more than ``FAN_IN`` K x K
+matrices of a key at once, whatever the number of rows and tasks. Matrices are
 centred where they are made and merged with the parallel update of Chan, Golub & LeVeque
 (1983), so no precision is lost on columns with a large mean, and no earlier pass is needed
 to find the means.
@@ -20,8 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MERGE_GROUPS = 64
-_SCHEMA = "key string, part int, moments binary"
+FAN_IN = 64
+#: Levels of the tree: 64^4 = 16.8 million tasks meet in 64 groups of 64 groups of ... of one.
+LEVELS = 3
+SCHEMA = "key string, part int, payload binary"
 
 
 @dataclass
@@ -79,10 +81,6 @@ class Moments:
         with np.errstate(invalid="ignore", divide="ignore"):
             return np.where(norm > 0, np.clip(self.sxy / norm, -1.0, 1.0), np.nan)
 
-    def take(self, index: Sequence[int]) -> Moments:
-        ix = np.ix_(index, index)
-        return Moments(self.n[ix], self.mean[ix], self.sxx[ix], self.sxy[ix])
-
     def to_bytes(self) -> bytes:
         return np.stack([self.n, self.mean, self.sxx, self.sxy]).tobytes()
 
@@ -100,63 +98,63 @@ def all_rows(x: np.ndarray) -> Iterable[tuple[str, np.ndarray]]:
     return [("", x)]
 
 
-def null_patterns(x: np.ndarray) -> Iterable[tuple[str, np.ndarray]]:
-    """The rows of each NULL pattern, keyed by a string of 0 (present) and 1 (missing)."""
-    patterns, which = np.unique(np.isnan(x), axis=0, return_inverse=True)
-    which = which.reshape(-1)
-    for g, pattern in enumerate(patterns):
-        yield "".join("1" if missing else "0" for missing in pattern), x[which == g]
-
+def partials(of: Callable[[np.ndarray], object], group: Grouping):
+    """One row per task and key, with the combined ``of`` of its row blocks."""
 
-def _partials(group: Grouping):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[str, Moments] = {}
+        acc: dict[str, object] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             for key, rows in group(x.astype(float, copy=False)):
                 if len(rows):
-                    part = Moments.of(rows)
+                    part = of(rows)
                     acc[key] = acc[key] + part if key in acc else part
         if acc:
-            part_id = TaskContext.get().partitionId() % MERGE_GROUPS
             yield pa.RecordBatch.from_pydict(
                 {
                     "key": list(acc),
-                    "part": pa.array([part_id] * len(acc), pa.int32()),
-                    "moments": pa.array([m.to_bytes() for m in acc.values()], pa.binary()),
+                    "part": pa.array([TaskContext.get().partitionId()] * len(acc), pa.int32()),
+                    "payload": pa.array([m.to_bytes() for m in acc.values()], pa.binary()),
                 }
             )
 
     return run
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for data in rows["moments"]:
-        part = Moments.from_bytes(data)
-        total = part if total is None else total + part
-    return pd.DataFrame(
-        {"key": rows["key"].iloc[:1], "part": rows["part"].iloc[:1], "moments": total.to_bytes()}
-    )
+def merged(rows: DataFrame, kind: type) -> dict:
+    """All rows ``(key, part, payload)`` of each key combined, by a tree over ``part``.
 
+    A group holds the rows of ``FAN_IN`` neighbouring parts, so its size does not grow with the
+    number of tasks.
+    """
 
-def collect_moments(
-    df: DataFrame, cols: Sequence[str], group: Grouping = all_rows
-) -> dict[str, Moments]:
-    """Moments of ``cols`` in each group of rows; by default of all rows, under ``""``.
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = _sum(kind, group["payload"])
+        return pd.DataFrame(
+            {"key": group["key"].iloc[:1], "part": group["part"].iloc[:1], "payload": total.to_bytes()}
+        )
 
-    ``group`` splits a batch into keyed row blocks (NaN stands for NULL). The caller bounds the
-    number of keys: each costs one K x K result.
-    """
-    partial = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    merged = partial.mapInArrow(_partials(group), _SCHEMA)
-    merged = merged.groupBy("key", "part").applyInPandas(_merge, _SCHEMA)
-    if group is not all_rows:
-        merged = merged.groupBy("key").applyInPandas(_merge, _SCHEMA)
-    out: dict[str, Moments] = {}
-    for row in merged.collect():
-        part = Moments.from_bytes(row["moments"])
+    for _ in range(LEVELS):
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        rows = rows.groupBy("key", "part").applyInPandas(merge, SCHEMA)
+    out: dict = {}
+    for row in rows.collect():
+        part = kind.from_bytes(row["payload"])
         out[row["key"]] = out[row["key"]] + part if row["key"] in out else part
     return out
+
+
+def _sum(kind: type, payloads: Iterable[bytes]):
+    total = None
+    for data in payloads:
+        part = kind.from_bytes(data)
+        total = part if total is None else total + part
+    return total
+
+
+def collect_moments(df: DataFrame, cols: Sequence[str]) -> Moments | None:
+    """Moments of ``cols`` over all rows, NaN and NULL being missing; None without a row."""
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    return merged(numbers.mapInArrow(partials(Moments.of, all_rows), SCHEMA), Moments).get("")

@@ -1,8 +1,8 @@
 """Ordinary least squares with intercept, on complete rows.
 
-One pass over the data builds the K x K centred cross-products in the tasks; the K x K solve
-happens on the driver. A second pass, made of built-in expressions only, takes the moments of
-the residuals.
+One pass over the data reduces the design to its K x K triangular factor in the tasks; the solve
+happens on the driver, by singular values of that factor. A second pass, made of built-in
+expressions only, takes the moments of the residuals.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from panelwright.functions.distributions import (
     t_quantile,
     t_two_sided,
 )
-from panelwright.operators.moments import Moments, collect_moments
+from panelwright.operators.factors import Factor, collect_factors
+from panelwright.sources.scan import nan_to_null
 
 COEF_SCHEMA = "term string, coef double, se double, t double, p double, lo double, hi double"
 FIT_SCHEMA = (
@@ -34,12 +35,11 @@ FIT_SCHEMA = (
     "skew double, kurtosis double, omnibus double, omnibus_p double, jarque_bera double, "
     "jarque_bera_p double, durbin_watson double, condition_number double"
 )
-_RANK_TOLERANCE = 1e-12
 
 
 @dataclass
 class LinearFit:
-    """Solution of the normal equations; the intercept comes first in ``beta`` and ``cov``."""
+    """Least-squares solution; the intercept comes first in ``beta`` and ``unit_cov``."""
 
     n: int
     rank: int
@@ -64,62 +64,42 @@ class LinearFit:
         return 1.0 - (1.0 - self.r2) * (self.n - 1) / self.df_resid
 
 
-def solve(moments: Moments, y: int, xs: Sequence[int]) -> LinearFit:
-    """Least squares of column ``y`` on columns ``xs`` from moments of complete rows.
+def solve(factor: Factor, y: int, xs: Sequence[int]) -> LinearFit:
+    """Least squares of column ``y`` on columns ``xs`` and a constant, from the rows' factor.
 
-    On a collinear design it gives the shortest coefficient vector, as a pseudo-inverse of the
-    design would, and ``rank`` counts the independent columns, intercept included.
+    Columns are scaled to length 1 before singular values are judged, so units do not matter;
+    values under rounding error count as zero. On a collinear design the result is the
+    shortest coefficient vector, as a pseudo-inverse of the design would give, and ``rank`` counts
+    the independent columns, the constant included.
     """
     xs = list(xs)
-    n = int(moments.n[y, y])
-    mean = np.array([moments.mean[x, x] for x in xs])
-    square = np.array([moments.sxx[x, x] for x in xs])
-    scale = np.sqrt(np.where(square > n * (1e-12 * mean) ** 2, square, 0.0))
-    unit = np.where(scale > 0, scale, 1.0)
-    live = (scale > 0).astype(float)
-    gram = moments.sxy[np.ix_(xs, xs)] / np.outer(unit, unit) * np.outer(live, live)
-    cross = moments.sxy[xs, y] / unit * live
-    values, vectors = np.linalg.eigh(gram) if xs else (np.zeros(0), np.zeros((0, 0)))
-    kept = values > _RANK_TOLERANCE * max(values.max(initial=0.0), 1e-300)
-    inverse = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T
-    slope = inverse @ cross
-    rss = max(float(moments.sxx[y, y] - cross @ slope), 0.0)
-
-    # Back to the units of the columns, intercept first.
-    k = len(xs)
-    to_raw = np.zeros((k + 1, k))
-    to_raw[1:] = np.diag(1.0 / unit)
-    to_raw[0] = -mean / unit
-    beta = to_raw @ slope
-    beta[0] += moments.mean[y, y]
-    unit_cov = to_raw @ inverse @ to_raw.T
-    unit_cov[0, 0] += 1.0 / n if n else 0.0
+    k = len(xs) + 1
+    r = factor.take([*xs, y])
+    x, target = r[:, :k], r[:, k]
+    size = np.linalg.norm(x, axis=0)
+    unit = np.where(size > 0, size, 1.0)
+    left, values, right = np.linalg.svd(x / unit, full_matrices=False)
+    kept = values > np.finfo(float).eps * max(factor.n, k) ** 0.5 * k * values[0]
+    inverse = (right[kept].T / values[kept]) / unit[:, None]
+    beta = inverse @ (left[:, kept].T @ target)
+    unit_cov = inverse @ inverse.T
     if not kept.all():
-        null = to_raw @ vectors[:, ~kept]
-        q, _ = np.linalg.qr(null)
-        project = np.eye(k + 1) - q @ q.T
+        q, _ = np.linalg.qr((right[~kept] / unit).T)
+        project = np.eye(k) - q @ q.T
         beta = project @ beta
         unit_cov = project @ unit_cov @ project
         # A term that lies in the null space as a whole (a column of zeros) is exactly zero.
         void = np.diag(project) < 1e-12
         beta[void] = 0.0
         unit_cov[void, :] = unit_cov[:, void] = 0.0
+    missed = target - left[:, kept] @ (left[:, kept].T @ target)
+    raw = np.linalg.svd(x, compute_uv=False)
     return LinearFit(
-        n, 1 + int(kept.sum()), beta, unit_cov, rss, float(moments.sxx[y, y]),
-        _condition(n, mean, moments.sxy[np.ix_(xs, xs)]),
+        factor.n, int(kept.sum()), beta, unit_cov, float(missed @ missed), float(target[1:] @ target[1:]),
+        float(raw[0] / raw[-1]) if raw[-1] > 0 else math.inf,
     )
 
 
-def _condition(n: int, mean: np.ndarray, centred: np.ndarray) -> float:
-    """Ratio of the largest to the smallest singular value of the design with intercept."""
-    design = np.empty((len(mean) + 1, len(mean) + 1))
-    design[0, 0] = n
-    design[0, 1:] = design[1:, 0] = n * mean
-    design[1:, 1:] = centred + n * np.outer(mean, mean)
-    values = np.linalg.eigvalsh(design)
-    return math.sqrt(values[-1] / values[0]) if values[0] > 0 else math.inf
-
-
 def linear_predictor(beta: Sequence[float], xs: Sequence[str]) -> Column:
     terms = [F.lit(float(b)) * F.col(x).cast("double") for b, x in zip(beta[1:], xs)]
     return reduce(add, terms, F.lit(float(beta[0])))
@@ -149,20 +129,21 @@ def ols(
     The rows are read twice; ``keep`` holds them between, needless where ``df`` comes straight
     from a cached table.
 
-    ``by`` and ``order`` name the entity and date keys. The Durbin-Watson statistic needs them:
+    NaN counts as NULL. ``by`` and ``order`` name the entity and date keys. The Durbin-Watson statistic needs them:
     it sums successive differences inside each entity; without them it is NULL.
     """
     spark = df.sparkSession
     xs = list(xs)
     keys = [k for k in (by, order) if k]
+    df = nan_to_null(df, [y, *xs])
     data = df.select(*dict.fromkeys([*keys, y, *xs])).dropna(subset=[y, *xs])
     if keep:
         data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        moments = collect_moments(data, [y, *xs]).get("")
-        if moments is None:
+        factor = collect_factors(data, [y, *xs]).get("")
+        if factor is None:
             raise ValueError("no complete row for this formula")
-        model = solve(moments, 0, range(1, len(xs) + 1))
+        model = solve(factor, 0, range(1, len(xs) + 1))
         diagnostics = _residual_moments(data, y, linear_predictor(model.beta, xs), by, order)
     finally:
         if keep:
@@ -178,14 +159,13 @@ def ols(
 def _residual_moments(
     data: DataFrame, y: str, predictor: Column, by: str | None, order: str | None
 ) -> dict[str, float | None]:
-    e = F.col("e")
-    rows = data.select(*[c for c in (by, order) if c], (F.col(y) - predictor).alias("e"))
+    e = F.col("__e")
+    keys = [F.col(c).alias(f"__{n}") for n, c in (("by", by), ("order", order)) if c]
+    rows = data.select(*keys, (F.col(y) - predictor).alias("__e"))
     successive = F.lit(None).cast("double")
     if by and order:
-        rows = rows.withColumn(
-            "before", F.lag("e").over(Window.partitionBy(by).orderBy(order))
-        )
-        successive = F.sum((e - F.col("before")) * (e - F.col("before")))
+        rows = rows.withColumn("__before", F.lag("__e").over(Window.partitionBy("__by").orderBy("__order")))
+        successive = F.sum((e - F.col("__before")) * (e - F.col("__before")))
     row = rows.agg(
         F.sum(e * e).alias("rss"),
         F.skewness(e).alias("skew"),

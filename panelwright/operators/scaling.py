@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.sources.scan import nan_to_null
+
 
 def minmax_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row with ``{col}_min`` and ``{col}_max``; combined map-side in a single pass."""
-    return df.agg(
+    """One row with ``{col}_min`` and ``{col}_max``; combined map-side in a single pass. NaN counts
+    as NULL."""
+    return nan_to_null(df.select(*cols)).agg(
         *[
             f(F.col(c).cast("double")).alias(f"{c}_{end}")
             for c in cols
@@ -20,12 +23,13 @@ def minmax_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def minmax_transform(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Scale ``cols`` to [0, 1] in place; a constant column gives 0, NULL stays NULL.
+    """Scale ``cols`` to [0, 1] in place; a constant column gives 0, NULL and NaN give NULL.
 
     The parameters are two numbers per column. They become literals of the plan, so scaling
     is a projection and needs neither a join nor a broadcast.
     """
     row = params.first()
+    df = nan_to_null(df, cols)
     scaled = {}
     for c in cols:
         lo, hi = row[f"{c}_min"], row[f"{c}_max"]

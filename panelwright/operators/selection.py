@@ -11,37 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.operators.moments import Moments, collect_moments, null_patterns
+from panelwright.operators.factors import Factor, collect_factors
 from panelwright.operators.regress import solve
+from panelwright.sources.scan import nan_to_null
 
 _SCHEMA = "step int, term string, adj_r2 double"
 
 
-def forward_selection(
-    df: DataFrame,
-    y: str,
-    candidates: Sequence[str] | None = None,
-    max_patterns: int = 1024,
-) -> DataFrame:
+def forward_selection(df: DataFrame, y: str, candidates: Sequence[str] | None = None) -> DataFrame:
     """Add the term that raises adjusted R squared most, while one raises it, from 0 upwards.
 
-    Every candidate model is fitted on its own complete rows. Moments are taken per NULL
-    pattern in one pass, and a subset's complete rows are the patterns with none of its columns
-    missing, so no candidate reads the data again. With more than ``max_patterns`` patterns each
-    step takes one pass for all its candidates instead; the result is the same.
+    Every candidate model is fitted on its own complete rows. Rows complete in all candidates are
+    reduced to one triangular factor in one pass, which serves every step. Each step then reads the
+    rows that lack something, where its terms are complete, and adds to every
+    candidate's factor those that have it; without such rows there is no further pass. The driver
+    gets one small factor a candidate and step, whatever the pattern of missing values.
     Equal scores go to the name that sorts last. Candidates are all other numeric columns by
     default. Nothing selected gives no rows: the intercept alone.
     """
     names = list(candidates) if candidates is not None else _numeric_columns(df, y)
-    data = df.select(y, *names).persist(StorageLevel.MEMORY_AND_DISK)
+    columns = [y, *names]
+    data = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    data = data.where(F.col(y).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        nulls = F.concat(
-            *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in data.columns]
-        )
-        patterns = data.select(nulls.alias("pattern")).distinct().limit(max_patterns + 1).count()
-        few = patterns <= max_patterns
-        scores = _scores_from_patterns(data, y, names) if few else _scores_by_pass(data, y)
-        rows = _greedy(names, scores)
+        whole = collect_factors(data.dropna(), columns).get("")
+        gaps = data.where(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False)))
+        rows = _greedy(names, _scores(whole, columns, None if gaps.isEmpty() else gaps))
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, _SCHEMA)
@@ -77,44 +72,27 @@ def _greedy(names: Sequence[str], scores: Callable[[list[str], list[str]], dict]
     return rows
 
 
-def _score(moments: Moments | None) -> float:
-    """Adjusted R squared of the first column on the others."""
-    return math.nan if moments is None else solve(moments, 0, range(1, len(moments.n))).adj_r2
-
-
-def _scores_from_patterns(
-    data: DataFrame, y: str, names: Sequence[str]
-) -> Callable[[list[str], list[str]], dict[str, float]]:
-    columns = [y, *names]
-    by_pattern = collect_moments(data, columns, null_patterns)
-
-    def one(terms: list[str]) -> float:
-        index = [columns.index(c) for c in (y, *terms)]
-        total = None
-        for pattern, moments in by_pattern.items():
-            if all(pattern[i] == "0" for i in index):
-                part = moments.take(index)
-                total = part if total is None else total + part
-        return _score(total)
-
-    return lambda selected, remaining: {c: one([*selected, c]) for c in remaining}
-
-
-def _scores_by_pass(
-    data: DataFrame, y: str
+def _scores(
+    whole: Factor | None, columns: list[str], gaps: DataFrame | None
 ) -> Callable[[list[str], list[str]], dict[str, float]]:
-    """One pass per step: the rows complete in the selected terms, then per candidate those
-    where it is present."""
+    """Adjusted R squared of the first column on the selected ones and each remaining one."""
 
     def scores(selected: list[str], remaining: list[str]) -> dict[str, float]:
-        base = [y, *selected]
+        base = [columns[0], *selected]
         head = list(range(len(base)))
 
         def per_candidate(x: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
             for i, name in enumerate(remaining, start=len(base)):
                 yield name, x[~np.isnan(x[:, i])][:, [*head, i]]
 
-        found = collect_moments(data.dropna(subset=base), [*base, *remaining], per_candidate)
-        return {c: _score(found.get(c)) for c in remaining}
+        found = {} if gaps is None else collect_factors(gaps.dropna(subset=base), [*base, *remaining], per_candidate)
+        out = {}
+        for name in remaining:
+            part = found.get(name)
+            if whole is not None:
+                full = Factor(whole.n, whole.take([columns.index(c) for c in (*base, name)]))
+                part = full if part is None else full + part
+            out[name] = math.nan if part is None else solve(part, 0, range(1, len(base) + 1)).adj_r2
+        return out
 
     return scores

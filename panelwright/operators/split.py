@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,20 @@ def future_dates(
     return history.unionByName(future)
 
 
+def entity_frames(
+    df: DataFrame, entities: Sequence, extra: dict | None = None, by: str = "entity_id"
+) -> DataFrame:
+    """The frames of chosen entities appended by name, from one scan: the rows of all of them, with
+    the columns ``extra = {entity: {name: expression}}`` of some, NULL for the others."""
+    out = df.where(F.col(by).isin(*entities))
+    names: dict[str, Column] = {}
+    for entity, columns in (extra or {}).items():
+        for name, e in columns.items():
+            here = F.when(F.col(by) == entity, e)
+            names[name] = F.coalesce(names[name], here) if name in names else here
+    return out.withColumns(names) if names else out
+
+
 def union_entities(*frames: DataFrame) -> DataFrame:
     """Append frames by column name; a column a frame lacks becomes NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

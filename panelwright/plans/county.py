@@ -92,3 +92,4 @@ CORRELATED = (
 
 # The scaler leaves these out: keys, and two shares used unscaled.
 UNSCALED = ("DATE", "COUNTY", "FIPS", "ds", "PERCENT_REP", "PERCENT_WHITE")
+SCALED = tuple(c for c in COUNTY.log_columns() if c not in UNSCALED)

@@ -69,6 +69,16 @@ class PanelSpec:
     def with_bands(self) -> list[Column]:
         return [band_share(c, self.population).alias(n) for n, c in self.bands.items()]
 
+    def log_columns(self) -> list[str]:
+        """Names of the logged panel's columns, in order."""
+        keys = dict.fromkeys(c for c in (self.entity, self.date, self.name) if c)
+        logged = [f"{self.log_prefix}{c}" for c in (self.cases, self.deaths, self.population)]
+        return [
+            *keys, *logged, *self.ratios, *[f"{self.log_prefix}{c}" for c in self.log_statics],
+            *self.statics, *self.bands, *self.shares, *(["ds"] if self.date != "ds" else []), "y",
+            *self.lags_of(self.case_lag), *self.lags_of(self.death_lag),
+        ]
+
     def logged(self, cols: Sequence[str]) -> list[Column]:
         return [round_ln(c).alias(f"{self.log_prefix}{c}") for c in cols]
 

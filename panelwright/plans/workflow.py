@@ -6,16 +6,22 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelwright.operators.evaluate import forecast_error, rmse
-from panelwright.operators.forecast import forecast
+from panelwright.operators.forecast import forecast, predict_rows
 from panelwright.operators.regress import OlsModel, ols
 from panelwright.operators.scaling import minmax_fit, minmax_transform
 from panelwright.operators.split import train_split
 
 
 def scaled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``df`` with ``cols`` min-max scaled by their own range."""
+    """``df`` with ``cols`` min-max scaled by their own range.
+
+    ``df`` is marked to be kept, so that range and result are one computation of it; ``df.unpersist()``
+    releases it.
+    """
+    df.persist(StorageLevel.MEMORY_AND_DISK)
     return minmax_transform(df, minmax_fit(df, cols), cols)
 
 
@@ -25,7 +31,7 @@ def scaled_ols(
     """Model on min-max scaled columns. The scaler sees all rows, the model the complete ones,
     so the columns are kept while both passes read them."""
     keys = [k for k in (by, order) if k]
-    data = df.select(*dict.fromkeys([*keys, y, *xs])).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.select(*dict.fromkeys([*keys, y, *xs]))
     try:
         return ols(scaled(data, [y, *xs]), y, xs, by, order, keep=False)
     finally:
@@ -48,18 +54,35 @@ def training_error(
     return forecast_error(in_sample, panel, keys=(by, "ds"))
 
 
-def training_rmse(forecasts: DataFrame, by: str = "entity_id") -> DataFrame:
-    """RMSE per entity on the training dates; the forecast carries the actual, so no join."""
-    return rmse(forecasts.where("not is_future"), by=(by,))
+def training_rmse(
+    forecasts: DataFrame, series: DataFrame | None = None, by: str | Sequence[str] = "entity_id"
+) -> DataFrame:
+    """RMSE per entity over the training rows.
+
+    A forecast has one row per date. Where dates repeat, pass the training ``series``: every row of it
+    then counts. Without it each date must stand for one row, or the job fails.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    in_sample = forecasts.where("not is_future")
+    if series is not None:
+        return rmse(predict_rows(series, in_sample, keys), by=keys)
+    single = F.when(F.col("n_obs") == 1, F.col("y")).otherwise(
+        F.raise_error(F.lit("a date has several rows: pass the series")).cast("double")
+    )
+    return rmse(in_sample.withColumn("y", single), by=keys)
 
 
 def forecast_error_model(
-    panel: DataFrame, y: str, xs: Sequence[str], by: str = "entity_id", **settings
+    panel: DataFrame, y: str, xs: Sequence[str], by: str = "entity_id",
+    entities: Sequence | None = None, cutoff: str | None = None, **settings,
 ) -> OlsModel:
-    """Forecast the raw cases of every entity in ``panel``, join the in-sample errors back to
-    the features, and regress ``y`` (``error``) on ``xs``. The panel is kept while both the
-    forecast and the join read it."""
-    data = panel.select(*dict.fromkeys([by, "ds", "y", *xs])).persist(StorageLevel.MEMORY_AND_DISK)
+    """Forecast the raw cases of the chosen entities of ``panel`` from their rows up to ``cutoff``
+    (default: all of both), join the in-sample errors back to the features, and regress ``y``
+    (``error``) on ``xs``. The panel is kept while both the forecast and the join read it."""
+    rows = panel.select(*dict.fromkeys([by, "ds", "y", *xs]))
+    rows = rows if entities is None else rows.where(F.col(by).isin(*entities))
+    rows = rows if cutoff is None else rows.where(F.col("ds") <= F.lit(cutoff).cast("date"))
+    data = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forecasts = forecast(data.select(by, "ds", "y"), by=(by,), **settings)
         return ols(training_error(forecasts, data, by), y, xs, by, "ds")

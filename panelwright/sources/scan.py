@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def scan_panel(
@@ -13,12 +14,14 @@ def scan_panel(
     source: str,
     columns: Sequence[str] | dict[str, str] | None = None,
     where: Column | None = None,
+    unique: Sequence[str] = (),
 ) -> DataFrame:
     """Lazy scan of a parquet path or a catalog table, with projection, renames and a filter.
 
     ``columns`` is a list of names or a map ``{output name: source name}``; ``where`` speaks of
     source names and reaches the parquet reader. NaN becomes NULL. The filter is applied once
     more after that, because Spark sorts NaN above every number and would let it pass ``> 0``.
+    ``unique`` names the source's keys: a job at once makes sure that they are neither NULL nor repeated.
     """
     df = spark.read.parquet(source) if "/" in source else spark.table(source)
     if where is not None:
@@ -26,6 +29,8 @@ def scan_panel(
         df = clean.where(where) if clean is not df else df.where(where)
     else:
         df = nan_to_null(df)
+    if unique:
+        assert_unique(df, unique)
     if columns is None:
         return df
     names = columns if isinstance(columns, dict) else {c: c for c in columns}
@@ -47,22 +52,32 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` itself, failing at run time when two rows share the same ``keys``.
+    """``df`` itself, failing at run time when two rows share the same ``keys`` or a key is NULL.
 
-    One aggregation on the keys. A later join or aggregation on the same keys reuses its
-    partitioning, so before such a join the check needs no shuffle of its own.
+    The test rides on a sort by the keys, which a join on them needs anyway and reuses.
     """
-    rest = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"), F.first(F.struct(*rest)).alias("__row")
+    window = Window.partitionBy(*keys).orderBy(*keys)
+    name = F.concat_ws(" ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    missing = F.lit(False)
+    for k in keys:
+        missing |= F.col(k).isNull()
+    failure = F.raise_error(
+        F.concat(F.when(missing, "NULL key").otherwise("duplicate key"), F.lit(f" ({', '.join(keys)}): "), name)
     )
-    message = F.concat_ws(
-        " ",
-        F.lit(f"duplicate key ({', '.join(keys)}):"),
-        *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys],
-    )
-    checked = grouped.withColumn(
-        "__row", F.when(F.col("__rows") == 1, F.col("__row")).otherwise(F.raise_error(message))
-    )
-    out = [c if c in keys else f"__row.{c}" for c in df.columns]
-    return checked.select(*out)
+    tested = df.withColumn("__repeated", (F.row_number().over(window) > 1) | missing)
+    fine = F.when(F.col("__repeated"), failure.cast("boolean")).otherwise(F.lit(True))
+    return tested.where(fine).drop("__repeated")
+
+
+def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` itself, after a job that made sure that no key is NULL and no two rows share their
+    ``keys``, whichever columns are read later. Counts are combined map-side."""
+    repeated = df.groupBy(*keys).count()
+    missing = F.lit(False)
+    for k in keys:
+        missing |= F.col(k).isNull()
+    bad = repeated.where((F.col("count") > 1) | missing).first()
+    if bad is not None:
+        kind = "NULL key" if any(bad[k] is None for k in keys) else "duplicate key"
+        raise ValueError(f"{kind} ({', '.join(keys)}): {' '.join(str(bad[k]) for k in keys)}")
+    return df

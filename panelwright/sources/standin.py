@@ -62,19 +62,22 @@ def panel_supplier(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataF
     """Supplier x month: cases, deaths, population, the supplier's balance, and, if ``wide``,
     20 band counts and 11 share counts per supplier.
 
-    Line items collapse to supplier x month before the shuffle. The population is a window sum
-    over those rows, which shares the ``entity_id`` partitioning with the joins and with
-    later lag windows. The 31 counts come from their own aggregation over disjoint columns, in
-    long form: far less to shuffle than 31 counters on every supplier x month row.
+    Line items are read once and collapse to supplier x month before the shuffle. Population and counts
+    are window sums over those rows, which share the ``entity_id`` partitioning with the joins and
+    with later lag windows. The first and last band and discount are open, so every line counts; a line
+    status other than O and F fails the job.
     """
     lines = _table(spark, sf_dir, "lineitem")
+    counts = _supplier_counts() if wide else {}
+    whole = Window.partitionBy("entity_id")
     monthly = (
         lines.groupBy(F.col("l_suppkey").alias("entity_id"), _month("l_shipdate").alias("ds"))
         .agg(
             F.count(F.lit(1)).alias("cases"),
             F.count_if(F.col("l_returnflag") == "R").alias("deaths"),
+            *[F.count_if(c).alias(n) for n, c in counts.items()],
         )
-        .withColumn("pop", F.sum("cases").over(Window.partitionBy("entity_id")))
+        .withColumns({"pop": F.sum("cases").over(whole), **{n: F.sum(n).over(whole) for n in counts}})
     )
     supplier = _table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("entity_id"),
@@ -82,32 +85,21 @@ def panel_supplier(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataF
         F.col("s_acctbal").alias("acctbal"),
         F.col("s_nationkey").alias("nation_id"),
     )
-    panel = monthly.join(supplier, "entity_id")
-    return panel.join(_supplier_counts(lines), "entity_id", "left") if wide else panel
-
-
-def _supplier_counts(lines: DataFrame) -> DataFrame:
-    """One row per supplier with the lines in each status x quantity band and discount."""
-    band = F.floor((F.col("l_quantity") - 1) / 5)
-    status = F.when(F.col("l_linestatus") == "O", 0).when(F.col("l_linestatus") == "F", 1)
-    discount = F.round(F.col("l_discount") * 100)
-    names = (*BAND_COUNTS, *DISCOUNT_COUNTS)
-    cell = F.explode(
-        F.array(
-            F.when(band.between(0, 9), status * 10 + band).cast("int"),
-            F.when(discount.between(0, 10), F.lit(len(BAND_COUNTS)) + discount).cast("int"),
-        )
-    )
-    counts = (
-        lines.select(F.col("l_suppkey").alias("entity_id"), cell.alias("cell"))
-        .groupBy("entity_id", "cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    wide = counts.groupBy("entity_id").pivot("cell", list(range(len(names)))).agg(F.first("n"))
-    return wide.select(
-        "entity_id",
-        *[F.coalesce(F.col(str(i)), F.lit(0)).alias(name) for i, name in enumerate(names)],
+    out = monthly.join(supplier, "entity_id")
+    head = ["entity_id", "ds", "cases", "deaths", "pop", "entity_name", "acctbal", "nation_id"]
+    return out.select(*head, *counts)
+
+
+def _supplier_counts() -> dict[str, Column]:
+    """Whether a line belongs to each status x quantity band, and to each discount."""
+    status = F.when(F.col("l_linestatus").isin(*STATUSES), F.col("l_linestatus")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown line status "), F.coalesce("l_linestatus", F.lit("NULL"))))
     )
+    last = len(QUANTITY_BANDS) - 1
+    band = F.greatest(F.lit(0), F.least(F.lit(last), F.floor((F.col("l_quantity") - 1) / 5)))
+    discount = F.greatest(F.lit(0), F.least(F.lit(DISCOUNTS[-1]), F.round(F.col("l_discount") * 100)))
+    bands = [(status == s) & (band == i) for s in STATUSES for i in range(last + 1)]
+    return dict(zip((*BAND_COUNTS, *DISCOUNT_COUNTS), [*bands, *[discount == d for d in DISCOUNTS]]))
 
 
 def series_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:

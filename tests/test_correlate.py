@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelwright import operators as op
-from panelwright.operators.moments import Moments, null_patterns
+from panelwright.operators.moments import Moments
 
 
 def matrix(df, cols):
@@ -97,10 +97,10 @@ def test_merged_moments_equal_moments_of_all_rows(seed, parts, k, offset):
     np.testing.assert_array_equal(again.sxx, merged.sxx)
 
 
-def test_null_patterns_split_all_rows():
-    x = np.array([[1, np.nan], [2, 3], [4, np.nan], [np.nan, np.nan]])
-    got = {k: len(v) for k, v in null_patterns(x)}
-    assert got == {"00": 1, "01": 2, "11": 1}
+def test_no_row_of_the_target_table_is_dropped(spark):
+    df = spark.range(30).select(*[F.rand(i).alias(f"c{i}") for i in range(60)])
+    names = [f"c{i}" for i in range(60)]
+    assert op.corr_targets(df, names, ["c0", "c1"]).count() == 120
 
 
 def test_no_pair_of_rows_or_columns_is_exploded(spark):

@@ -48,6 +48,7 @@ def test_schema(source, table):
     assert set(percapita.columns) - set(log.columns) == {"EP_PCI", "EP_POV"}
     assert set(log.columns) - set(percapita.columns) == {"PERCENT_WHITE"}
     scaled = [c for c in log.columns if c not in county.UNSCALED]
+    assert tuple(scaled) == county.SCALED and log.columns == COUNTY.log_columns()
     assert len(scaled) == 49 and len(county.CORRELATED) == 31
     assert [len(x) for _, x in county.FORMULAS.values()] == [31, 37, 30, 25]
     assert [len(v) for v in county.DESCRIBED.values()] == [2, 8, 7, 15]
@@ -68,6 +69,13 @@ def test_values_equal_pandas(source, table):
     np.testing.assert_allclose(got.FEMALE_OVER_50, kept[fine].sum(axis=1) / kept.E_TOTPOP)
 
 
+def test_scaled_columns_lie_between_0_and_1(source):
+    out = wf.scaled(panel_log(source, COUNTY), county.SCALED).agg(
+        *[F.min(c).alias(f"lo_{c}") for c in county.SCALED], *[F.max(c).alias(f"hi_{c}") for c in county.SCALED]
+    ).first().asDict()
+    assert all(v is None or 0 <= v <= 1 for v in out.values())
+
+
 def test_lags_by_county_name_mix_counties(source):
     by_key = lag_frame(source, COUNTY, keys=True).where("CCT_1 is null").count()
     by_name = lag_frame(source, COUNTY, by_name=True, keys=True).where("CCT_1 is null").count()

@@ -211,3 +211,53 @@ def test_split_future_and_union(spark):
     assert {r.entity_id: r.d for r in first.collect()} == {"a": day(2), "b": day(1)}
     both = op.union_entities(train, df.limit(1).withColumn("extra", F.lit(1)))
     assert both.where("extra is null").count() == 3 and both.count() == 4
+
+
+# Keys and plans ----------------------------------------------------------------------------
+
+
+def test_null_keys_are_rejected(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 2), ("a", day(1), 3)], "entity_id string, ds date, y int")
+    for calendar in (False, True):
+        with pytest.raises(Exception, match="NULL key"):
+            op.add_lags(df, {"y": "y"}, (1,), calendar=calendar).collect()
+
+
+def test_a_table_is_tested_once_for_its_keys(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([("a", 1), ("a", 1)], "k string, d int").write.parquet(path)
+    with pytest.raises(ValueError, match="duplicate key"):
+        scan_panel(spark, path, unique=("k", "d"))
+    assert scan_panel(spark, path).count() == 2
+
+
+def test_an_error_column_of_the_panel_is_kept(spark):
+    predicted = spark.createDataFrame([("a", day(1), 2.0)], "entity_id string, ds date, yhat double")
+    source = spark.createDataFrame([("a", day(1), 5.0, 9.0)], "entity_id string, ds date, y double, error double")
+    r = op.forecast_error(predicted, source).first()
+    assert (r.error, r.error_panel) == (3.0, 9.0)
+
+
+def test_entity_frames_equal_the_union_of_frames(spark):
+    df = panel(spark, {e: {d: d for d in range(3)} for e in "abc"})
+    frames = [df.where(F.col("entity_id") == e) for e in "ab"]
+    frames[0] = frames[0].withColumn("twice", 2 * F.col("y"))
+    one = op.entity_frames(df, ["a", "b"], {"a": {"twice": 2 * F.col("y")}})
+    assert sorted(map(str, one.collect())) == sorted(map(str, op.union_entities(*frames).collect()))
+
+
+def test_line_items_are_read_once_and_all_counted(spark, tmp_path):
+    lines = [(1, dt.datetime(2020, 1, 5), q, d, "O", "R") for q, d in ((0.0, -0.02), (75.0, 0.5), (50.0, 0.1))]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate timestamp_ntz, l_quantity double, l_discount double, l_linestatus string, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "s", 1.0, 3)], "s_suppkey long, s_name string, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = panel_supplier(spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    r = out.first()
+    assert (r.pop, r.O_q01_05, r.O_q46_50, r.disc_00, r.disc_10) == (3, 1, 2, 1, 2)
+    assert sum(r[c] for c in out.columns if c.startswith(("O_", "F_"))) == 3
+
+
+def test_uniqueness_needs_no_sorted_aggregate(spark):
+    df = panel(spark, {"a": {d: d for d in range(3)}})
+    plan = op.join_actual_pred(df, df.withColumnRenamed("y", "yhat"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -1,3 +1,6 @@
+import datetime
+import math
+
 import numpy as np
 import pytest
 from frames import DAY0, day, panel
@@ -66,7 +69,7 @@ def test_interval_covers_the_future(days, kink):
         y = y + rng.normal(0, 8, len(d))
         train = y[:days]
         series = _Series(d[:days], np.ones(days), train, train**2, np.abs(train).max(), 0.5)
-        _, lower, upper, _, _ = series.predict(d[days:], 0.95)
+        _, lower, upper, *_ = series.predict(d[days:], 0.95)
         hits.append(((y[days:] >= lower) & (y[days:] <= upper)).mean())
     assert 0.93 <= np.mean(hits) <= 0.98
 
@@ -182,3 +185,50 @@ def test_whole_forecast_workflow(spark):
     assert errors.count() == 60
     worst = wf.training_rmse(forecasts).agg(F.max("rmse"), F.count("*")).first()
     assert worst[0] < 1e-5 and worst[1] == 2
+
+
+# Seasons and spacing -----------------------------------------------------------------------
+
+
+def test_a_yearly_wave_is_carried_on(spark):
+    wave = {d: 80 + 20 * math.sin(2 * math.pi * d / 365.25) for d in range(3 * 365)}
+    got = op.forecast(panel(spark, {"a": wave})).where("is_future").orderBy("ds").collect()
+    for k, r in enumerate(got):
+        want = 80 + 20 * math.sin(2 * math.pi * (3 * 365 + k) / 365.25)
+        assert abs(r.yhat - want) < 1 and r.yhat_lower < want + 1 and r.yhat_upper > want - 1
+
+
+def test_monthly_series_have_no_weekly_term_and_go_on_by_months(spark):
+    rng = np.random.default_rng(0)
+    rows = [("a", datetime.date(2015 + k // 12, k % 12 + 1, 1), float(rng.normal(10, 3))) for k in range(20)]
+    got = op.forecast(spark.createDataFrame(rows, "entity_id string, ds date, y double"), horizon=5)
+    assert got.where("weekly != 0").count() == 0
+    future = [r.ds for r in got.where("is_future").orderBy("ds").collect()]
+    assert future == [datetime.date(2016, m, 1) for m in range(9, 13)] + [datetime.date(2017, 1, 1)]
+
+
+def test_rows_of_repeated_dates_all_count(spark):
+    rows = [(e, day(d), base + 1.0 * d) for e, base in (("a", 0.0), ("b", 100.0)) for d in range(28)]
+    df = spark.createDataFrame(rows, "entity_id string, ds date, y double")
+    pooled = op.forecast_pooled(df)
+    predicted = op.predict_rows(df, pooled)
+    assert predicted.count() == 56
+    total = op.rmse(predicted.withColumn("all", F.lit(1)), by=["all"]).first()
+    assert total.n == 56 and total.rmse == pytest.approx(50, abs=1e-6)
+    assert wf.training_rmse(op.forecast(df)).count() == 2
+    one = df.withColumn("entity_id", F.lit("x"))
+    with pytest.raises(Exception, match="several rows"):
+        wf.training_rmse(op.forecast(one)).collect()
+    assert wf.training_rmse(op.forecast(one), one).first().rmse == pytest.approx(50, abs=1e-6)
+
+
+def test_error_model_of_chosen_entities_and_dates(spark):
+    rng = np.random.default_rng(3)
+    rows = [(e, day(d), float(rng.poisson(20)), float(rng.normal())) for e in "abc" for d in range(40)]
+    df = spark.createDataFrame(rows, "entity_id string, ds date, y double, x double")
+    model = wf.forecast_error_model(df, "error", ["x"], entities=["a", "b"], cutoff=str(day(29)))
+    assert model.fit.first().n == 60
+    fitted = op.forecast(df.where("entity_id != 'c'").where(F.col("ds") <= F.lit(day(29))))
+    pdf = df.join(fitted.where("not is_future").select("entity_id", "ds", "yhat"), ["entity_id", "ds"]).toPandas()
+    slope = np.polyfit(pdf.x, pdf.y - pdf.yhat, 1)[0]
+    assert model.coef.where("term = 'x'").first().coef == pytest.approx(slope, rel=1e-6)

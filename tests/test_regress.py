@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelwright import operators as op
 from panelwright.functions import distributions as dist
-from panelwright.operators.moments import Moments
+from panelwright.operators.factors import Factor
 from panelwright.operators.regress import _omnibus, solve
 
 XS = ["a", "b", "c"]
@@ -146,7 +146,7 @@ def test_solve_equals_lstsq(seed, k, n):
     rng = np.random.default_rng(seed)
     x = rng.normal(rng.normal(0, 100, k), 1 + rng.random(k), (n, k))
     y = rng.normal(size=n)
-    fit = solve(Moments.of(np.column_stack([y, x])), 0, range(1, k + 1))
+    fit = solve(Factor.of(np.column_stack([y, x])), 0, range(1, k + 1))
     beta, rss, _, rank, *_ = lstsq(y, x.T)
     np.testing.assert_allclose(fit.beta, beta, rtol=1e-6, atol=1e-6)
     assert fit.rank == rank and fit.rss == pytest.approx(rss, rel=1e-8, abs=1e-9)
@@ -195,12 +195,11 @@ def selection_frame(seed):
     return pdf
 
 
-@pytest.mark.parametrize("max_patterns", [4096, 1])
 @pytest.mark.parametrize("seed", [0, 1])
-def test_forward_selection_equals_brute_force(spark, seed, max_patterns):
+def test_forward_selection_equals_brute_force(spark, seed):
     pdf = selection_frame(seed)
     df = to_spark(spark, pdf).withColumn("text", F.lit("dropped"))
-    got = op.forward_selection(df, "y", max_patterns=max_patterns).orderBy("step").collect()
+    got = op.forward_selection(df, "y").orderBy("step").collect()
     want = brute_force(pdf, "y", list("abcdef"))
     assert [r.term for r in got] == [t for t, _ in want]
     np.testing.assert_allclose([r.adj_r2 for r in got], [s for _, s in want], atol=1e-10)
@@ -220,3 +219,85 @@ def test_equal_scores_go_to_the_last_name(spark):
 def test_nothing_selected_is_no_row(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (0.5, 1.0)], "y double, c double")
     assert op.forward_selection(df, "y").count() == 0
+
+
+# Ill-conditioned designs -------------------------------------------------------------------
+
+
+def test_near_collinear_design_is_solved_like_lstsq(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=2000)
+    z = x + 1e-7 * rng.normal(size=2000)
+    y = (z - x) * 1e7 + 0.05 * rng.normal(size=2000)
+    model = op.ols(to_spark(spark, pd.DataFrame({"y": y, "x": x, "z": z})), "y", ["x", "z"])
+    fit = model.fit.first()
+    beta, *_ = np.linalg.lstsq(np.column_stack([np.ones(2000), x, z]), y, rcond=None)
+    assert fit.rank == 3 and fit.r2 > 0.99
+    np.testing.assert_allclose([r.coef for r in model.coef.collect()][1:], beta[1:], rtol=1e-5)
+
+
+@pytest.mark.parametrize("power", [3, 8, 11])
+def test_condition_number(power):
+    rng = np.random.default_rng(power)
+    u, _ = np.linalg.qr(rng.normal(size=(500, 3)))
+    x = u @ np.diag([1.0, 1.0, 10.0**-power]) @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    fit = solve(Factor.of(np.column_stack([rng.normal(size=500), x])), 0, range(1, 4))
+    want = np.linalg.cond(np.column_stack([np.ones(500), x]))
+    assert fit.rank == 4 and fit.condition_number == pytest.approx(want, rel=1e-2)
+
+
+def test_factors_merge_to_the_factor_of_all_rows():
+    x = np.random.default_rng(0).normal(50, 1, (300, 4))
+    parts = [Factor.of(p) for p in np.array_split(x, 7)]
+    merged = sum(parts[1:], parts[0])
+    again = Factor.from_bytes(merged.to_bytes())
+    assert again.n == 300
+    np.testing.assert_allclose(abs(again.r), abs(Factor.of(x).r), rtol=1e-9, atol=1e-9)
+
+
+def test_merge_has_a_bounded_fan_in(spark, monkeypatch):
+    """5,000 tasks: no merge sees more than FAN_IN parts."""
+    from panelwright.operators import moments
+
+    class Count:
+        most = 0
+
+        def __init__(self, n, seen=1):
+            self.n, self.seen = n, seen
+
+        def __add__(self, other):
+            return Count(self.n + other.n, self.seen + 1)
+
+        def to_bytes(self):
+            assert self.seen <= moments.FAN_IN
+            return str(self.n).encode()
+
+        @classmethod
+        def from_bytes(cls, data):
+            return cls(int(data))
+
+    rows = spark.range(5000).select(
+        F.lit("").alias("key"), F.col("id").cast("int").alias("part"), F.lit(b"1").alias("payload")
+    )
+    assert moments.merged(rows, Count)[""].n == 5000
+
+
+def test_names_e_and_before_are_free(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"e": np.repeat([1, 2], 20), "before": np.tile(np.arange(20), 2), "y": rng.normal(size=40), "x": rng.normal(size=40)})
+    assert op.ols(to_spark(spark, pdf), "y", ["x"], "e", "before").fit.first().durbin_watson > 0
+
+
+def test_nan_is_missing_in_regression_and_selection(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.1, 2.0), (2.9, 3.0), (float("nan"), 4.0), (5.0, float("nan"))], "y double, x double")
+    assert op.ols(df, "y", ["x"]).fit.first().n == 3
+    assert op.forward_selection(df, "y").first().term == "x"
+
+
+def test_selection_over_many_candidates_with_nulls(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.normal(size=(400, 60)), columns=[f"c{i:02d}" for i in range(60)])
+    pdf["y"] = pdf.c07 - pdf.c31 + 0.1 * rng.normal(size=400)
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.02)
+    got = op.forward_selection(to_spark(spark, pdf).select("y", "c07", "c31", *[f"c{i:02d}" for i in range(8, 31)]), "y").orderBy("step").collect()
+    assert [r.term for r in got][:2] in (["c07", "c31"], ["c31", "c07"])
