@@ -5,12 +5,13 @@ H = (100 - t)(a + b) / (100 + t) shingles. Sizes fall into bands [2^k, 2^(k+1)).
 hash deals the universe of shingles into m segments. By the pigeonhole principle two similar sets agree
 wholly in m - H segments or more, so a set need be indexed under H + 1 of its segment subsets
 only, if both choose by one order of subsets. The order is by cost: subsets of many shingles are
-rare and come first, small ones and empty ones last. A set is also indexed in the band below its
-own if a partner can be there.
+rare and come first, small ones and empty ones last, where shingles that a thousandth of all texts
+share do not count. A set is also indexed in the band below its own if a partner can be there.
 
 Texts that meet under a key are tested against the key's least text, exactly, on the shingle sets; only
 pairs whose numbers of shingles in each of some finer segments differ by H at most in all need that.
-Only where that leaves a key with several components are pairs between components tested. Keys that very
+Only where that leaves a key with several components are pairs between components tested, by the
+counts first, block by block within a task. Keys that very
 many unconnected texts share would be costly to resolve so. Their texts are allotted other segments, none of
 them under such a key, and meet again; two similar sets can be missed by this only if both are made
 up of such keys, up to H segments. Those sets go through an index of half as many, larger
@@ -33,20 +34,25 @@ from panelwright.llm.tokens import mix, pieces, salt, shingles, word_hashes, wor
 
 U = np.uint64
 #: Texts under one key, up to which pairs between its components are simply tested.
-WIDE = 48
+WIDE = 256
 #: A key with more texts than this in one task is led by one of them elsewhere.
-LOCAL = 64
+LOCAL = 256
 #: Entries of one list, so that no row grows with a key.
 CHUNK = 4096
-#: Ids up to this number (16 bytes each) go to all executors to pick texts; more are joined.
+#: Ids and keys up to this number (16 bytes each) go to all executors to pick texts and segments; more are joined.
 SMALL = 500_000
 BANDS = 40
+#: Share of texts that makes a shingle common, and how many are kept (their average size over the share bounds
+#: their number; they steer costs, not results).
+COMMON, MOST_COMMON = 0.001, 1_000_000
 
 
 class Scheme:
     """Bands, segments and allocations for shingle sets at a similarity of ``percent``."""
 
-    def __init__(self, percent: int, deletions: bool = False) -> None:
+    def __init__(self, percent: int, deletions: bool = False, common: np.ndarray | None = None, shut: np.ndarray | None = None) -> None:
+        self.common = np.empty(0, U) if common is None else common
+        self.shut = np.empty(0, U) if shut is None else shut
         if not 50 <= percent <= 100:
             raise ValueError("the similarity must be 50 to 100 percent")
         self.percent, self.deletions = percent, deletions
@@ -60,8 +66,8 @@ class Scheme:
     def keys(self, hashes: np.ndarray, of: np.ndarray, size: np.ndarray, costly: np.ndarray, parts: int, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Keys, their text numbers, and texts that costly keys may hide.
 
-        ``hashes`` are distinct shingles ``of`` the texts with set sizes ``size``; ``costly`` holds
-        :func:`tagged` keys that a text is not to be indexed under; ``every`` gives the keys of all segments.
+        ``hashes`` are distinct shingles ``of`` the texts with set sizes ``size``. Texts are not indexed under
+        keys in ``shut`` and, :func:`tagged` with their text, in ``costly``; ``every`` gives the keys of all segments.
         """
         own = np.frexp(np.maximum(size, 1).astype(float))[1].astype(np.int64) - 1
         low = np.left_shift(1, own)
@@ -93,11 +99,11 @@ class Scheme:
             if every:
                 yield key, text, np.empty(0, np.int64)
                 continue
-            held = np.bincount(at, minlength=len(sums))
+            held = np.bincount(at[~np.isin(h, self.common)], minlength=len(sums))
             order = (U(255) - np.minimum(held, 255).astype(U) << U(56)) | (key >> U(8))
             left, hidden = np.arange(len(sums)), np.empty(0, np.int64)
-            if len(costly):
-                shut = np.isin(tagged(key, text), costly)
+            if len(costly) or len(self.shut):
+                shut = np.isin(tagged(key, text), costly) | np.isin(key, self.shut)
                 left = np.flatnonzero(~shut)
                 hidden = np.flatnonzero(there & (np.bincount(text[shut], minlength=len(size)) > count - need))
             left = left[np.lexsort((order[left], text[left]))]
@@ -136,7 +142,7 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
 
 def _spread_counts(hashes: np.ndarray, of: np.ndarray, size: np.ndarray) -> list[bytes]:
     """How many shingles of each set fall into each of 2^k segments, k by the set's size; a byte each, up to 255."""
-    bits = np.maximum(np.frexp(np.maximum(size, 1).astype(float))[1].astype(np.int64) - 2, 3)
+    bits = np.maximum(np.frexp(np.maximum(size, 1).astype(float))[1].astype(np.int64) - 1, 3)
     segments = np.left_shift(1, bits)
     base = np.cumsum(segments) - segments
     place = mix(hashes ^ salt(43)) >> (64 - bits).astype(U)[of]
@@ -160,17 +166,100 @@ def _may_agree(percent: int):
     return run
 
 
-def _sizes(width: int):
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one key's sets in different components that sizes and counts do not rule out.
+
+    Rows ``(bucket, id, component, n, counts, percent)`` come key by key. Sets are compared in blocks; no pair
+    leaves the task but those found.
+    """
+    held: list[tuple] = []
+    last, out = None, [np.empty((0, 2), np.int64)]
+
+    def compare():
+        ids, component, n = (np.array([h[k] for h in held], np.int64) for k in range(3))
+        percent = held[0][4]
+        kinds = np.array([len(h[3]) for h in held])
+        levels = {b: np.flatnonzero(kinds == b) for b in sorted(set(kinds.tolist()))}
+        grids = {b: np.stack([np.frombuffer(held[x][3], np.uint8) for x in at]).astype(np.int16) for b, at in levels.items()}
+        for b, at in levels.items():
+            for c, other in levels.items():
+                if c < b:
+                    continue
+                far = grids[c]
+                while far.shape[1] > b:  # neighbouring segments are one at half the number
+                    far = np.minimum(far.reshape(len(far), -1, 2).sum(2), 255)
+                side = max(1, int((4_000_000 // b) ** 0.5))
+                for i in range(0, len(at), side):
+                    for j in range(i if c == b else 0, len(other), side):
+                        p, q = at[i : i + side], other[j : j + side]
+                        total = n[p][:, None] + n[q][None, :]
+                        near = (component[p][:, None] != component[q][None, :]) & (100 * np.minimum(n[p][:, None], n[q][None, :]) >= percent * np.maximum(n[p][:, None], n[q][None, :]))
+                        if near.any():
+                            gap = np.abs(grids[b][i : i + side][:, None, :] - far[j : j + side][None, :, :]).sum(2, dtype=np.int64)
+                            x, y = np.nonzero(near & (gap * (100 + percent) <= (100 - percent) * total))
+                            u, v = ids[p[x]], ids[q[y]]
+                            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+
+    for rows in batches:
+        for r in zip(*(rows.column(c).to_pylist() for c in ("bucket", "id", "component", "n", "counts", "percent")), strict=True):
+            if r[0] != last and held:
+                compare()
+                held = []
+            last = r[0]
+            held.append(r[1:])
+        if sum(map(len, out)) > 1_000_000:
+            out = [np.unique(np.concatenate(out), axis=0)]
+    if held:
+        compare()
+    pairs = np.unique(np.concatenate(out), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+
+_SIZES = "id long, n long, d1 long, d2 long, counts binary, texts long, common array<struct<shingle:long,texts:long>>"
+
+
+def _sizes(width: int, block: int = 3_000_000):
+    """A row for each text; and one for each block of shingles with the common ones among them."""
+
+    def row(ids, n, one, two, counts, texts, common):
+        kind = pa.list_(pa.struct([("shingle", pa.int64()), ("texts", pa.int64())]))
+        arrays = [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(counts, pa.binary()), pa.array(texts, pa.int64()), pa.array(common, kind)]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "d1", "d2", "counts", "texts", "common"])
+
+    def block_row(held, texts):
+        name, count = np.unique(np.concatenate(held), return_counts=True)
+        often = count >= max(3, COMMON * texts)
+        common = [{"shingle": a, "texts": b} for a, b in zip(name[often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+        return row(pa.array([None], pa.int64()), [-1], [0], [0], [None], [texts], [common])
+
     def run(batches):
+        held, texts, n = [], 0, 0
         for rows, data, at in pieces(batches, "text"):
             hashes, of, size = shingle_sets(data, at, width)
             one, two = _digests(hashes, of, size)
-            counts = _spread_counts(hashes, of, size)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(size), pa.array(one), pa.array(two), pa.array(counts, pa.binary())], names=["id", "n", "d1", "d2", "counts"])
+            blank = [None] * len(size)
+            yield row(rows.column("id"), size, one, two, _spread_counts(hashes, of, size), blank, blank)
+            held.append(hashes)
+            texts += len(size)
+            n += len(hashes)
+            if n > block:
+                yield block_row(held, texts)
+                held, texts, n = [], 0, 0
+        if n:
+            yield block_row(held, texts)
 
     return run
 
 
+def _common(sizes: DataFrame) -> np.ndarray:
+    """Shingles that about a thousandth of all texts share."""
+    block = sizes.where("n = -1")
+    texts = block.agg(F.sum("texts")).first()[0] or 0
+    found = block.select(F.inline("common")).groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    found = found.where(F.col("texts") >= max(3, COMMON * texts)).orderBy(F.desc("texts"), "shingle").limit(MOST_COMMON)
+    return np.sort(found.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(U))
+
+
 def _sets(width: int):
     def run(batches):
         for rows, data, at in pieces(batches, "text"):
@@ -187,11 +276,11 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)] if len(keys) else np.zeros(1, np.int64)
 
 
-def _lists(keys: np.ndarray, ids: np.ndarray, named: np.ndarray, name_all: bool = False) -> Iterator[pa.RecordBatch]:
+def _lists(keys: np.ndarray, ids: np.ndarray, named: np.ndarray, wide: int) -> Iterator[pa.RecordBatch]:
     """Texts under one key, for every key with two or more.
 
-    Lists of many texts are named by their key, and so are those whose key is in ``named``; others
-    by their texts, and equal ones come once. ``keys`` and ``ids`` are sorted and distinct pairs.
+    Lists of more than ``wide`` texts are named by their key, and so are those whose key is in ``named``;
+    others by their texts, and equal ones come once. ``keys`` and ``ids`` are sorted and distinct pairs.
     """
     cuts = _runs(keys)
     size = np.diff(cuts)
@@ -199,7 +288,7 @@ def _lists(keys: np.ndarray, ids: np.ndarray, named: np.ndarray, name_all: bool
     if not len(many):
         return
     total = np.add.reduceat(mix(ids.view(U) + salt(29)), cuts[:-1])[many]
-    own = np.isin(keys[cuts[many]], named) | (size[many] > WIDE) | name_all
+    own = np.isin(keys[cuts[many]], named) | (size[many] > wide)
     bucket = np.where(own, keys[cuts[many]], mix(total + size[many].astype(U)) | U(1 << 63))
     once = np.unique(bucket, return_index=True)[1]
     out = []
@@ -259,11 +348,13 @@ def _index(scheme: Scheme, width: int, parts: int, flush: int = 2_000_000):
     hide go out as a list with no leader.
     """
 
+    local = CHUNK if scheme.deletions else LOCAL
+
     def packed(keys, ids):
         k, i = _sorted(keys, ids)
         size = np.diff(_runs(k))
-        hot = np.repeat(size > LOCAL, size)
-        yield from _as_rows(_lists(k[hot], i[hot], np.empty(0, U), True))
+        hot = np.repeat(size > local, size)
+        yield from _as_rows(_lists(k[hot], i[hot], np.empty(0, U), 0))
         lead = ~hot | np.r_[True, k[1:] != k[:-1]][: len(k)]
         k, i = k[lead], i[lead]
         part = (k >> U(40)).astype(np.int64)
@@ -330,20 +421,24 @@ def _as_rows(lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row([r["bucket"] >> 40 for r in rows], [None] * len(rows), rows)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(wide: int):
     """Lists of texts under one key, from all entries of some parts of the key space."""
-    keys, ids, named = [], [], []
-    for rows in batches:
-        for data in rows.column("data").drop_null().to_pylist():
-            k, i = _unpacked(data)
-            keys.append(k)
-            ids.append(i)
-        if rows.column("list").null_count < rows.num_rows:
-            lists = pa.RecordBatch.from_struct_array(rows.column("list").drop_null())
-            named.append(lists.column("bucket").to_numpy().view(U))
-            yield lists
-    k, i = _sorted(keys, ids)
-    yield from _lists(k, i, np.concatenate([*named, np.empty(0, U)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, named = [], [], []
+        for rows in batches:
+            for data in rows.column("data").drop_null().to_pylist():
+                k, i = _unpacked(data)
+                keys.append(k)
+                ids.append(i)
+            if rows.column("list").null_count < rows.num_rows:
+                lists = pa.RecordBatch.from_struct_array(rows.column("list").drop_null())
+                named.append(lists.column("bucket").to_numpy().view(U))
+                yield lists
+        k, i = _sorted(keys, ids)
+        yield from _lists(k, i, np.concatenate([*named, np.empty(0, U)]), wide)
+
+    return run
 
 
 LIST = "bucket long, leader long, members array<long>"
@@ -352,7 +447,7 @@ LIST = "bucket long, leader long, members array<long>"
 def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
     """``(bucket, leader, members)`` of every key that two or more texts share; leader null: texts that costly keys may hide."""
     packed = docs.mapInArrow(_index(scheme, width, 8 * parts), "part long, data binary, list struct<bucket:long,leader:long,members:array<long>>")
-    lists = packed.repartition(parts, "part").mapInArrow(_meet, LIST)
+    lists = packed.repartition(parts, "part").mapInArrow(_meet(CHUNK if scheme.deletions else WIDE), LIST)
     return written(lists.dropDuplicates(["bucket", "leader", "members"]), "lists")
 
 
@@ -403,27 +498,33 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     parts = shuffle_width(spark, docs, "text", 16)
-    sizes = written(docs.mapInArrow(_sizes(width), "id long, n long, d1 long, d2 long, counts binary"), "sizes")
+    sizes = written(docs.mapInArrow(_sizes(width), _SIZES), "sizes")
+    common = _common(sizes)
+    sizes = sizes.where("n >= 0")
     first = sizes.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("set_id"))
     sets = written(sizes.join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ids")
     same = sets.where("n > 0 and id != set_id").select(F.col("id").alias("u"), F.col("set_id").alias("v"))
     named = docs.where("id is not null")
     linked = written(same, "links")
     to = sets.where("n > 0 and id is not null").select("id", "set_id", "n").distinct()
-    counts = sizes.where("n > 0 and id is not null").select("id", "n", "counts")
+    counts = sizes.where("n > 0 and id is not null").join(to.where("id = set_id").select("id", "n"), ["id", "n"], "left_semi").select("id", "n", "counts").dropDuplicates(["id", "n"])
 
     def possible(pairs: DataFrame) -> DataFrame:
         for side in ("u", "v"):
             pairs = pairs.join(counts.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side)
         return pairs.mapInArrow(_may_agree(percent), "u long, v long").distinct()
 
-    texts, scheme, costly, hidden = named, Scheme(percent), None, None
+    tested = None
+    texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
     while True:
         lists = _candidates(texts, scheme, width, parts)
         gone = lists.where("leader is null").select(F.explode("members").alias("id"))
         lists = lists.where("leader is not null")
         led = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v"))
         pairs = written(possible(_similar_sizes(led, to, percent)), "pairs")
+        if tested is not None:
+            pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         linked = linked.unionByName(_verified(pairs, named, width, percent))
         entries = written(_unresolved(lists, linked, to), "open")
         if entries.isEmpty():
@@ -431,10 +532,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         # In the last round nothing is too wide; before that, keys with a wide list are for other segments.
         wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
         near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
-        left = near.select("bucket", F.col("component").alias("c"), F.col("id").alias("u"))
-        right = near.select("bucket", F.col("component").alias("d"), F.col("id").alias("v"))
-        across = left.join(right, "bucket").where("c < d").select("u", "v")
-        across = written(possible(_similar_sizes(across, to, percent)).join(pairs, ["u", "v"], "left_anti"), "pairs")
+        across = near.join(counts, "id").withColumn("percent", F.lit(percent))
+        across = across.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_apart, "u long, v long")
+        across = written(across.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = tested.unionByName(across)
         linked = linked.unionByName(_verified(across, named, width, percent))
         if scheme.deletions:
             break
@@ -442,10 +543,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         shut = wide.select("bucket").distinct()
         costly = shut if costly is None else costly.union(shut).distinct()
         if not wide.isEmpty():
-            again = written(_only(named, wide.select("id").distinct()), "texts")
-            held = again.mapInArrow(_all_keys(scheme, width, 8 * parts), "id long, keys array<long>").select("id", F.explode("keys").alias("bucket"))
-            held = held.join(costly, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("costly"))
-            texts = written(again.join(held, "id"), "texts")
+            texts = written(_only(named, wide.select("id").distinct()), "texts")
+            costly = written(costly, "costly")
+            if costly.count() <= SMALL:
+                keys = np.sort(costly.toPandas()["bucket"].to_numpy(np.int64).view(U))
+                scheme = Scheme(percent, common=common, shut=keys)
+            else:
+                held = texts.mapInArrow(_all_keys(scheme, width, 8 * parts), "id long, keys array<long>").select("id", F.explode("keys").alias("bucket"))
+                held = held.join(costly, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("costly"))
+                texts, scheme = written(texts.join(held, "id"), "texts"), Scheme(percent, common=common)
         else:
             again = hidden.distinct()
             if again.isEmpty():

@@ -5,7 +5,8 @@ co-occur in the corpus so that seeing the term makes the entity likely: the poin
 information PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is held against the information of the entity
 itself, IC(e) = log2(N / n(e)), which it reaches if t never stands without e. All counts are of distinct texts of
 the whole corpus, so copies of one text prove nothing, and a term must be seen beside the entity in several different
-surroundings, so near copies prove nothing either. Terms above the lower threshold are generalised, above the upper one
+surroundings, as many as half the texts at least, so near copies, which keep the words next to the entity, prove nothing
+either. Terms above the lower threshold are generalised, above the upper one
 removed, in the texts that hold the entity.
 """
 
@@ -126,12 +127,13 @@ def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: in
     # A word that the reach cuts through is no term; nor is a piece of another entity.
     left = F.when(F.col("e.start") > reach, F.regexp_replace(left, rf"^{WORD}", "")).otherwise(left)
     right = F.when(F.char_length("text") > F.col("e.end") + reach, F.regexp_replace(right, rf"{WORD}$", "")).otherwise(right)
-    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ").alias("near"))
-    held = written(held.select("h1", "h2", "kind", "entity", F.xxhash64("near").alias("around"), F.array_distinct(_words(F.col("near"))).alias("terms")), "entities")
+    around = F.xxhash64(F.regexp_extract(left, r"(\S*)\s*$", 1), F.regexp_extract(right, r"^\s*(\S*)", 1))
+    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), around.alias("around"), F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ").alias("near"))
+    held = written(held.select("h1", "h2", "kind", "entity", "around", F.array_distinct(_words(F.col("near"))).alias("terms")), "entities")
 
     pair = held.select("h1", "h2", "kind", "entity", "around", F.explode("terms").alias("term"))
     seen = pair.groupBy("kind", "entity", "term").agg(F.count_distinct("around").alias("around"), F.count_distinct("h1", "h2").alias("both"))
-    seen = written(seen.where(F.col("around") >= support), "pairs")
+    seen = written(seen.where((F.col("around") >= support) & (2 * F.col("around") >= F.col("both"))), "pairs")
     if seen.isEmpty():
         return seen.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "term", F.lit(0.0).alias("disclosure"))
 

@@ -70,7 +70,7 @@ def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document under dropout, and the hash of what they decode to."""
     docs = table(spark, sf_dir, "documents")
-    spelled = subwords.decode(subwords.encode(docs, dropout=0.1, seed=1))
+    spelled = subwords.encode(docs, dropout=0.1, seed=1, spelled=True)
     return spelled.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -238,7 +238,7 @@ def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndar
     ids, words = [], []
     for low, high in ((0, 4), (4, 8), (8, 16), (16, LONG)):
         pick = np.flatnonzero((size > low) & (size <= high))
-        for part in np.array_split(pick, len(pick) // 100_000 + 1):
+        for part in np.array_split(pick, len(pick) // 30_000 + 1):
             if len(part):
                 cols = np.arange(high)
                 grid = symbols[np.minimum(begin[part][:, None] + cols, len(symbols) - 1)]
@@ -275,31 +275,41 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, spelled: bool = False) -> DataFrame:
     """``(row, ids)``: each row of ``docs`` as a struct without its text, and the pieces of the whole text.
 
     ``dropout`` is the share of candidate merges that are skipped: 0 gives the vocabulary's usual
     segmentation, 1 single characters. The same seed and text give the same pieces wherever the
     text stands, so repeated rows get equal results. An empty text has no pieces, a null text
     null. ``model`` is read on the driver and sent to the tasks (a vocabulary is of fixed size).
+    With ``spelled`` a column ``text`` holds what the pieces decode to, made in the same pass.
     Texts are valid UTF-8, as Spark's strings are. Other columns may be null and have any name.
     """
     proto = _model(model)
 
     def run(batches):
         v = vocabulary(proto)
-        for rows, data, at in pieces(batches, "text", 4 << 20):
+        for rows, data, at in pieces(batches, "text"):
             power, inverse = _power(len(data) + 1)
             sums = np.r_[np.zeros(1, U), np.cumsum(mix(data.astype(U) + U(1)) * power[: len(data)])]
             named = mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]])
             ids, cuts = encode_block(v, data, at, named, dropout, seed, variants)
             missing = rows.column("text").is_null()
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()), mask=missing if missing.true_count else None)
-            yield pa.RecordBatch.from_arrays([rows.column("row"), lists], names=["row", "ids"])
+            more = [_texts(v, ids, cuts, missing)] if spelled else []
+            yield pa.RecordBatch.from_arrays([rows.column("row"), lists, *more], names=["row", "ids", "text"][: 2 + spelled])
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     bare = docs.select(F.struct(*(rest or [F.lit(None).alias("none")])).alias("row"), F.col(text).alias("text"))
-    return bare.mapInArrow(run, f"row {bare.schema['row'].dataType.simpleString()}, ids array<int>")
+    return bare.mapInArrow(run, f"row {bare.schema['row'].dataType.simpleString()}, ids array<int>" + ", text string" * spelled)
+
+
+def _texts(v: Vocabulary, ids: np.ndarray, cuts: np.ndarray, missing: pa.Array) -> pa.Array:
+    """What the pieces of each text spell; null where ``missing``."""
+    data, at = decode_block(v, ids, cuts)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    texts = texts.cast(pa.large_string()).cast(pa.string())
+    return pc.if_else(missing, pa.scalar(None, pa.string()), texts)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -314,11 +324,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 column = rows.column("ids")
                 size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 values = column.flatten().to_numpy(zero_copy_only=False)
-                data, at = decode_block(v, values, np.r_[0, np.cumsum(size)])
-                texts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-                texts = texts.cast(pa.large_string())
-                if column.null_count:
-                    texts = pc.if_else(column.is_null(), pa.scalar(None, pa.large_string()), texts)
-                yield pa.RecordBatch.from_arrays([rows.column("row"), column, texts.cast(pa.string())], names=["row", "ids", "text"])
+                texts = _texts(v, values, np.r_[0, np.cumsum(size)], column.is_null())
+                yield pa.RecordBatch.from_arrays([rows.column("row"), column, texts], names=["row", "ids", "text"])
 
     return encoded.mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, text string")

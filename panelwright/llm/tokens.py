@@ -100,7 +100,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     total = mix(size.astype(np.uint64))
     for j in range(width):
         part = np.zeros(len(hashes), np.uint64)
-        part[: len(hashes) - j] = hashes[j:]
+        part[: max(len(hashes) - j, 0)] = hashes[j:]
         total = total + np.where(j < size, mix(part + salt(j)), np.uint64(0))
     whole = (left >= width) | (left == count[of])
     return mix(total[whole]), of[whole]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.tokens import _power, flat, mix, pieces, salt
 
 #: Bound of the sample: documents of each label, and tokens of one of them (a middle stretch of longer ones).
-DOCUMENTS, TOKENS = 1500, 4000
+DOCUMENTS, TOKENS = 1500, 2000
 BITS = 20
 WINDOW = 384
 STARTS = (4, 5, 6, 8)
@@ -180,19 +180,23 @@ def label_tokens(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np
     A feature's sights are counted by distinct neighbours. It must be ten times as common in toxic texts, at a
     likelihood ratio that no feature of as many would reach by chance in a hundred trials.
     """
-    count = np.diff(first)
-    of = np.repeat(toxic.astype(bool), count)
+    of = np.repeat(toxic.astype(bool), np.diff(first))
     word = hashes[:, 0]
     around = mix(np.r_[U(0), word[:-1]] + mix(np.r_[word[1:], U(0)] + salt(5))) if len(word) else word
     marked = np.zeros(len(word), bool)
     for k in range(hashes.shape[1] - 1):  # an end alone says too little
         there = hashes[:, k] != 0
-        sight = np.unique(np.stack([hashes[there, k], around[there], of[there].astype(U)]), axis=1)
-        name, which = np.unique(sight[0], return_inverse=True)
+        found = []
+        for kind in (True, False):
+            here = there & (of == kind)
+            once = np.unique(mix(hashes[here, k] + around[here]), return_index=True)[1]
+            found.append(np.unique(hashes[here, k][once], return_counts=True))
+        name = np.unique(np.concatenate([found[0][0], found[1][0]]))
         if not len(name):
             continue
-        bad = np.bincount(which, weights=sight[2].astype(float), minlength=len(name))
-        good = np.bincount(which, minlength=len(name)) - bad
+        bad, good = np.zeros(len(name)), np.zeros(len(name))
+        for into, (which, count) in zip((bad, good), found, strict=True):
+            into[np.searchsorted(name, which)] = count
         all_bad, all_good = max(bad.sum(), 1.0), max(good.sum(), 1.0)
         share = all_bad / (all_bad + all_good)
         n = bad + good
@@ -205,15 +209,18 @@ def label_tokens(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
     """A field for labelled texts, by full-batch gradient steps of its penalised likelihood."""
-    data, at = flat(pa.array(texts, pa.large_string()))
-    start, end, first = tokens(data, at)
-    middle = []  # a stretch of each text
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        skip = max(0, (b - a - TOKENS) // 2)
-        middle.append(np.arange(a + skip, min(b, a + skip + TOKENS)))
-    take = np.concatenate([*middle, np.empty(0, np.int64)]).astype(np.int64)
-    first = np.r_[0, np.cumsum([len(m) for m in middle])].astype(np.int64)
-    hashes = features(data, start, end)[take]
+    parts, count = [], []
+    for low in range(0, len(texts), 100):  # few texts at a time: bytes take far more room than features
+        data, at = flat(pa.array(texts[low : low + 100], pa.large_string()))
+        start, end, first = tokens(data, at)
+        whole = features(data, start, end)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            skip = max(0, (b - a - TOKENS) // 2)  # the middle of a long text
+            parts.append(whole[a + skip : min(b, a + skip + TOKENS)].copy())
+            count.append(len(parts[-1]))
+    hashes = np.concatenate([*parts, np.empty((0, len(STARTS) + 2), U)])
+    del parts
+    first = np.r_[0, np.cumsum(count)].astype(np.int64)
     y = label_tokens(hashes, first, toxic).astype(float)
 
     slots = _slots(hashes)
