@@ -7,8 +7,9 @@ and another seed others. Characters without a piece become bytes. Whatever is sk
 pieces spell the text, so decoding gives back every text exactly.
 
 Pieces never hold a word mark after another character, so words are encoded one by one, equal words
-of a block of texts once for each variant: an occurrence takes one of ``variants`` dropout patterns
-by a hash of seed, text and place. Short words are merged many at a time, one
+of a task once for each variant: an occurrence takes one of ``variants`` dropout patterns
+by a hash of seed, text and place. Words are known by a hash; every block is decoded again at once, and one that
+does not come out as it went in (two words of one hash) is encoded word by word. Short words are merged many at a time, one
 merge of each a round; long ones by an agenda, with the same result.
 """
 
@@ -39,10 +40,9 @@ class Vocabulary:
     """Pieces, and the merges that make them, from the bytes of a model file."""
 
     names: list[str]
-    chars: np.ndarray  # symbol of each code point that a piece holds, sorted by code point
-    points: np.ndarray
-    pairs: np.ndarray  # left * 2^32 + right of each merge, sorted
-    ranks: np.ndarray  # of the piece that the pair makes
+    chars: np.ndarray  # symbol of each code point; -1 - code point where no piece holds it
+    pairs: list[np.ndarray]  # left * 2^32 + right of each merge, in tables by two hashes, and the rest sorted
+    ranks: list[np.ndarray]  # of the piece that the pair makes
     made: np.ndarray  # piece of each rank
     bytes_: np.ndarray  # piece of each byte
     spelled: np.ndarray  # what all pieces spell, one after the other
@@ -77,8 +77,12 @@ def vocabulary(model: bytes) -> Vocabulary:
             left, right = symbol.get(names[i][:cut]), symbol.get(names[i][cut:])
             if left is not None and right is not None:
                 merges[left << 32 | right] = rank
-    pairs = np.array(sorted(merges), np.int64)
-    chars = sorted((ord(c), s) for c, s in symbol.items() if len(c) == 1)
+    chars = -1 - np.arange(0x110000, dtype=np.int32)
+    for c, k in symbol.items():
+        if len(c) == 1:
+            chars[ord(c)] = k
+    chars[32], chars[ord(MARK)] = symbol[MARK], -1 - ord(MARK)  # a mark in a text is not a space
+    pairs, ranks = _tables(np.array(sorted(merges), np.int64), np.array([merges[k] for k in sorted(merges)], np.int32))
     spelled = [b""] * n
     for i in plain:
         spelled[i] = names[i].replace(MARK, " ").encode()
@@ -86,10 +90,9 @@ def vocabulary(model: bytes) -> Vocabulary:
         spelled[i] = bytes([b])
     return Vocabulary(
         names,
-        np.array([s for _, s in chars], np.int32),
-        np.array([c for c, _ in chars], np.int64),
+        chars,
         pairs,
-        np.array([merges[p] for p in pairs.tolist()], np.int32),
+        ranks,
         np.array(order, np.int32),
         np.array([byte[b] for b in range(256)], np.int32),
         np.frombuffer(b"".join(spelled), np.uint8),
@@ -98,19 +101,45 @@ def vocabulary(model: bytes) -> Vocabulary:
     )
 
 
-def _symbols(v: Vocabulary, points: np.ndarray) -> np.ndarray:
-    """The symbol of each code point; -1 - code point where no piece holds it. A space is a word mark."""
-    wanted = np.where(points == 32, ord(MARK), points)
-    at = np.minimum(np.searchsorted(v.points, wanted), len(v.points) - 1)
-    known = (v.points[at] == wanted) & (points != ord(MARK))
-    return np.where(known, v.chars[at], -1 - points).astype(np.int32)
+def _slot(pair: np.ndarray, table: int, bits: int) -> np.ndarray:
+    return ((pair.view(U) * salt(47, table)) >> U(64 - bits)).astype(np.int64)
+
+
+BITS = 18
+
+
+def _tables(pairs: np.ndarray, ranks: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Two tables by hash, each slot with the first pair that falls there; what finds no slot stays sorted."""
+    out = [], []
+    for table in (0, 1):
+        slot = _slot(pairs, table, BITS)
+        first = np.unique(slot, return_index=True)[1]
+        there, rank = np.full(1 << BITS, -1, np.int64), np.full(1 << BITS, NONE, np.int32)
+        there[slot[first]], rank[slot[first]] = pairs[first], ranks[first]
+        out[0].append(there)
+        out[1].append(rank)
+        left = np.ones(len(pairs), bool)
+        left[first] = False
+        pairs, ranks = pairs[left], ranks[left]
+    return [*out[0], np.r_[pairs, np.iinfo(np.int64).max]], [*out[1], np.r_[ranks, NONE]]
+
+
+def _rank(v: Vocabulary, pair: np.ndarray) -> np.ndarray:
+    """Rank of the piece that each pair makes; ``NONE`` where it makes none."""
+    rank = NONE
+    for table in (0, 1):
+        slot = _slot(pair, table, BITS)
+        rank = np.minimum(rank, np.where(v.pairs[table][slot] == pair, v.ranks[table][slot], NONE))
+    if len(v.pairs[2]) > 1:
+        at = np.searchsorted(v.pairs[2], pair)
+        rank = np.minimum(rank, np.where(v.pairs[2][at] == pair, v.ranks[2][at], NONE))
+    return rank
 
 
 def _candidates(v: Vocabulary, left, right, place, key, skip: int) -> np.ndarray:
     """Rank of each merge; ``NONE`` if there is none or the keyed hash skips it."""
-    pair = (left.astype(np.int64) << 32) | right.astype(np.int64)
-    at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
-    rank = np.where((v.pairs[at] == pair) & (left >= 0) & (right >= 0), v.ranks[at], NONE)
+    pair = np.where((left >= 0) & (right >= 0), (left.astype(np.int64) << 32) | right.astype(np.int64), -2)
+    rank = _rank(v, pair)
     if skip:
         here = rank != NONE
         key = np.broadcast_to(key, rank.shape)[here]
@@ -204,8 +233,34 @@ def _spelled_out(v: Vocabulary, ids: np.ndarray, word: np.ndarray) -> tuple[np.n
     return out, np.repeat(word, size)
 
 
-def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all texts of a block, and where each text's begin; ``named`` is a hash of each text."""
+class Known:
+    """Pieces of the words met so far, by key; forgets them all beyond ``most``."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.key, self.begin, self.n, self.ids = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def missing(self, key: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.key, key)
+        return np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != key) if len(self.key) else np.arange(len(key))
+
+    def add(self, key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """``key`` in order."""
+        at = np.searchsorted(self.key, key)
+        self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(n) - n)
+        self.n = np.insert(self.n, at, n)
+        self.key = np.insert(self.key, at, key)
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndarray, dropout: float, seed: int, variants: int, known: Known | None = None, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all texts of a block, and where each text's begin; ``named`` is a hash of each text.
+
+    ``apart`` takes no two words for equal.
+    """
     if not len(data):
         return np.empty(0, np.int32), np.zeros(len(at), np.int64)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -231,9 +286,14 @@ def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndar
         nth = np.arange(len(word)) - np.repeat(first[:-1], count)
         drawn = mix(np.repeat(named, count) + salt(seed) + nth.astype(U))
         word = mix(word + salt(seed, 1)) + drawn % U(variants)
-    key, where, which = np.unique(word, return_index=True, return_inverse=True)
-    size, begin = size[where], start[where]
-    symbols = _symbols(v, points)
+    known = Known() if known is None or apart else known
+    draw, place = word, np.arange(len(word), dtype=U) if apart else word
+    key, where, which = np.unique(place, return_index=True, return_inverse=True)
+    if len(known.key) + len(key) > known.most:
+        known.forget()
+    new = known.missing(key)
+    size, begin, draw = size[where[new]], start[where[new]], draw[where[new]]
+    symbols = v.chars[points]
 
     ids, words = [], []
     for low, high in ((0, 4), (4, 8), (8, 16), (16, LONG)):
@@ -243,20 +303,19 @@ def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndar
                 cols = np.arange(high)
                 grid = symbols[np.minimum(begin[part][:, None] + cols, len(symbols) - 1)]
                 grid = np.where(cols < size[part][:, None], grid, np.iinfo(np.int32).min).astype(np.int32)
-                done, n = _together(v, grid, key[part], skip)
+                done, n = _together(v, grid, draw[part], skip)
                 ids.append(done[done != np.iinfo(np.int32).min])
                 words.append(np.repeat(part, n))
     for k in np.flatnonzero(size > LONG):
-        found = _agenda(v, symbols[begin[k] : begin[k] + size[k]], key[k], skip)
+        found = _agenda(v, symbols[begin[k] : begin[k] + size[k]], draw[k], skip)
         ids.append(found)
         words.append(np.full(len(found), k))
-    ids, words = _spelled_out(v, np.concatenate(ids), np.concatenate(words))
+    ids, words = _spelled_out(v, np.concatenate([*ids, np.empty(0, np.int32)]), np.concatenate([*words, np.empty(0, np.int64)]))
     order = np.argsort(words, kind="stable")
-    ids = ids[order]
-    n = np.bincount(words, minlength=len(key))
-    begin = np.cumsum(n) - n
-    out = ids[_spread(begin[which], n[which])]
-    return out, np.r_[0, np.cumsum(n[which])][first]
+    known.add(key[new], ids[order], np.bincount(words, minlength=len(new)))
+    at_key = np.searchsorted(known.key, key)[which]
+    n = known.n[at_key]
+    return known.ids[_spread(known.begin[at_key], n)], np.r_[0, np.cumsum(n)][first]
 
 
 def decode_block(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,15 +347,20 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: flo
     proto = _model(model)
 
     def run(batches):
-        v = vocabulary(proto)
+        v, known = vocabulary(proto), Known()
         for rows, data, at in pieces(batches, "text"):
             power, inverse = _power(len(data) + 1)
             sums = np.r_[np.zeros(1, U), np.cumsum(mix(data.astype(U) + U(1)) * power[: len(data)])]
             named = mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]])
-            ids, cuts = encode_block(v, data, at, named, dropout, seed, variants)
+            ids, cuts = encode_block(v, data, at, named, dropout, seed, variants, known)
+            again, at_again = decode_block(v, ids, cuts)
+            if not (np.array_equal(again, data) and np.array_equal(at_again, at)):
+                ids, cuts = encode_block(v, data, at, named, dropout, seed, variants, apart=True)
+                known.forget()
+                again, at_again = decode_block(v, ids, cuts)
             missing = rows.column("text").is_null()
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()), mask=missing if missing.true_count else None)
-            more = [_texts(v, ids, cuts, missing)] if spelled else []
+            more = [_texts(again, at_again, missing)] if spelled else []
             yield pa.RecordBatch.from_arrays([rows.column("row"), lists, *more], names=["row", "ids", "text"][: 2 + spelled])
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
@@ -304,12 +368,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: flo
     return bare.mapInArrow(run, f"row {bare.schema['row'].dataType.simpleString()}, ids array<int>" + ", text string" * spelled)
 
 
-def _texts(v: Vocabulary, ids: np.ndarray, cuts: np.ndarray, missing: pa.Array) -> pa.Array:
-    """What the pieces of each text spell; null where ``missing``."""
-    data, at = decode_block(v, ids, cuts)
+def _texts(data: np.ndarray, at: np.ndarray, missing: pa.Array) -> pa.Array:
+    """Texts from their bytes; null where ``missing``."""
     texts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-    texts = texts.cast(pa.large_string()).cast(pa.string())
-    return pc.if_else(missing, pa.scalar(None, pa.string()), texts)
+    return pc.if_else(missing, pa.scalar(None, pa.string()), texts.cast(pa.large_string()).cast(pa.string()))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -324,7 +386,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
                 column = rows.column("ids")
                 size = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 values = column.flatten().to_numpy(zero_copy_only=False)
-                texts = _texts(v, values, np.r_[0, np.cumsum(size)], column.is_null())
+                texts = _texts(*decode_block(v, values, np.r_[0, np.cumsum(size)]), column.is_null())
                 yield pa.RecordBatch.from_arrays([rows.column("row"), column, texts], names=["row", "ids", "text"])
 
     return encoded.mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, text string")
