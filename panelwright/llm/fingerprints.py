@@ -3,7 +3,7 @@
 The sketch of a text is the k least of the distinct hashes of its shingles (five words each). The sketch of a
 union is the k least of the sketches' union, so sketches merge across parts. From two sketches
 come estimates of resemblance and containment, from one the number of distinct shingles; all are exact
-for texts of at most k distinct shingles.
+for texts of fewer than k distinct shingles.
 """
 
 from __future__ import annotations
@@ -42,10 +42,17 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
+def _whole(a: Column, b: Column, k: int) -> Column:
+    """Whether both sketches hold all hashes of their texts."""
+    return (F.size(a) < k) & (F.size(b) < k)
+
+
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated Jaccard similarity: the share of the union's sketch that both have. Two empty texts resemble fully."""
+    """Jaccard similarity: the share of the union's sketch that both have, or of the whole union where both texts have
+    fewer than k shingles. Two empty texts resemble fully."""
     both = F.array_intersect(a, b)
-    union = merged(a, b, k)
+    union = F.array_union(a, b)
+    union = F.when(_whole(a, b, k), union).otherwise(F.slice(F.sort_array(union), 1, k))
     return F.when(F.size(union) == 0, 1.0).otherwise(F.size(F.array_intersect(union, both)) / F.size(union))
 
 
@@ -57,7 +64,8 @@ def distinct_shingles(of: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of the shingles of ``a`` that ``b`` has: the common shingles by those of ``a``. 1 for an empty ``a``."""
-    shared = resemblance(a, b, k) * distinct_shingles(merged(a, b, k), k)
+    union = F.when(_whole(a, b, k), F.size(F.array_union(a, b)).cast("double")).otherwise(distinct_shingles(merged(a, b, k), k))
+    shared = resemblance(a, b, k) * union
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), shared / distinct_shingles(a, k)))
 
 
