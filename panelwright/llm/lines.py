@@ -19,7 +19,8 @@ def shared_lines(docs: DataFrame, id: str, text: str, documents: int, length: in
     """``(id, text_hash, drop)``: positions of the lines to drop, for each text that has some.
 
     Only hashes of lines travel: the lines are counted by document with partial counts of distinct
-    (line, document) pairs, so a line of very many documents is spread over all tasks.
+    (line, document) pairs, and the commonest are looked up where the lines are, so a line of very many documents is
+    spread over all tasks.
     """
     key = F.translate(F.btrim(F.col("at.line"), F.lit(BLANK)), UPPER, LOWER)
     line = docs.where(F.col(id).isNotNull()).select(
@@ -30,7 +31,11 @@ def shared_lines(docs: DataFrame, id: str, text: str, documents: int, length: in
     line = line.select("id", "text_hash", "at.pos", key.alias("key")).where(F.char_length("key") >= length)
     line = written(line.select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "lines")
     often = line.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= documents)
-    gone = line.join(often.select("h1", "h2", "keeper"), ["h1", "h2"]).where("id != keeper")
+    often = written(often, "shared")
+    common = F.col("n") * 1000 >= line.count()  # a thousand lines at most, in so many texts that one task could not hold them
+    hot, rest = often.where(common).drop("n"), often.where(~common).drop("n")
+    gone = line.join(F.broadcast(hot), ["h1", "h2"]).unionByName(line.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
+    gone = gone.where("id != keeper")
     return gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
 
