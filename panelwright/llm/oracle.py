@@ -12,7 +12,7 @@ WITH RECURSIVE texts AS (
 ), sets AS (
   SELECT doc_id, list_sort(list_distinct(CASE
     WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) END)) AS shingles
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingles
   FROM texts
 ), named AS (
   SELECT doc_id, shingles, len(shingles) AS n, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY shingles) END AS set_id FROM sets
