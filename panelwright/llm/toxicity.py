@@ -223,11 +223,15 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
     first = np.r_[0, np.cumsum(count)].astype(np.int64)
     y = label_tokens(hashes, first, toxic).astype(float)
 
-    slots = _slots(hashes)
-    used, local = np.unique(slots, return_inverse=True)
-    local = local.reshape(slots.shape).astype(np.int32)
-    del slots
-    w = np.zeros(len(used))
+    slots = np.empty(hashes.shape, np.int32)
+    for k in range(hashes.shape[1]):
+        slots[:, k] = _slots(hashes[:, k])
+    del hashes
+    w = np.zeros(1 << BITS)
+
+    def emissions():
+        return sum((w[slots[:, k]] for k in range(slots.shape[1])), np.full(len(slots), bias))
+
     bias, steps = -4.0, np.zeros((2, 2))
     width = 64
     (begin, stop), _, _ = _windows(np.diff(first), first[:-1], 0)
@@ -240,17 +244,19 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
     if len(y):
         label = y[grid_at].astype(int)
         np.add.at(gold, (label[:, :-1][pair], label[:, 1:][pair]), 1)
-    sq_w, sq_b, sq_t = np.zeros(len(used)), 0.0, np.zeros((2, 2))
+    sq_w, sq_b, sq_t = np.zeros(1 << BITS), 0.0, np.zeros((2, 2))
     for _ in range(rounds if len(y) else 0):
-        emit = w[local].sum(1) + bias
+        emit = emissions()
         grid = np.where(inside, emit[grid_at], np.nan)
         ahead, back, _ = _forward_backward(grid, steps)
         odds = ahead * back
         p = np.zeros(len(y))
         p[grid_at[inside]] = (odds / (1 + odds))[inside]
         gap = y - p
-        grad_w = sum(np.bincount(local[:, k], weights=gap, minlength=len(used)) for k in range(local.shape[1])) - 0.05 * w
-        grad_w[used == 0] = 0
+        grad_w = -0.05 * w
+        for k in range(slots.shape[1]):
+            grad_w += np.bincount(slots[:, k], weights=gap, minlength=1 << BITS)
+        grad_w[0] = 0  # what a short token lacks
         # expected transitions
         e = np.exp(np.minimum(np.nan_to_num(grid), 500))
         t = np.exp(steps)
@@ -265,11 +271,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
         w += 0.8 * grad_w / np.sqrt(sq_w + 1e-8)
         bias += 0.5 * grad_b / math.sqrt(sq_b + 1e-8)
         steps = steps + 0.2 * grad_t / np.sqrt(sq_t + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[used] = w
-    weights[0] = 0.0
-    field = Field(weights, bias, steps, np.zeros(3))
-    prob = marginals(field.emissions(hashes), first, steps) if len(y) else y
+    prob = marginals(emissions(), first, steps) if len(y) else y
+    field = Field(w, bias, steps, np.zeros(3))
     field.score = _logistic(_evidence(prob, first), toxic.astype(float))
     return field
 
