@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -321,8 +322,9 @@ def _forecast(spark, sf):
 
 
 def _supplier_line_errors(spark, sf):
-    """In-sample errors of a line per supplier, joined back to the logged feature panel."""
-    panel = _log(spark, sf)
+    """In-sample errors of a line per supplier, joined back to the logged feature panel, which is
+    kept because both sides read it."""
+    panel = _log(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     predictions = line_predictions(panel.select(*KEYS, "y"))
     return op.forecast_error(predictions, panel)
 
@@ -351,7 +353,7 @@ def q_trend_concavity(spark, sf):
 def _pooled_line_model(spark, sf):
     """Errors of one line through all suppliers, regressed on the features: unlike those of a line
     per supplier, they do not sum to zero in each, so the coefficients mean something."""
-    panel = _log(spark, sf).withColumn("t", F.datediff("ds", F.lit("2024-01-01").cast("date")).cast("double"))
+    panel = _log(spark, sf).persist(StorageLevel.MEMORY_AND_DISK).withColumn("t", F.datediff("ds", F.lit("2024-01-01").cast("date")).cast("double"))
     line = panel.agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("start")).first()
     predictions = panel.select(*KEYS, (F.lit(line["start"]) + F.lit(line["slope"]) * F.col("t")).alias("yhat"))
     return op.ols(op.forecast_error(predictions, panel), *ERROR_OLS, *KEYS)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.sources.scan import nan_to_null
+from panelwright.sources.scan import is_scan, nan_to_null
 
 QUARTILES = (0.25, 0.5, 0.75)
 _NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max", "skew")
@@ -54,16 +53,10 @@ def _long(df: DataFrame, per_column: Mapping[str, Sequence[Column]], names: Sequ
     return df.select(F.inline(F.array(*parts)))
 
 
-def _is_scan(df: DataFrame) -> bool:
-    """Whether reading ``df`` again costs no more than a scan: no join, aggregate, window or sort below."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not re.search(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Union|Distinct|MapIn)", plan, re.M)
-
-
 def _summary(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
     spark = df.sparkSession
     data = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    keep = not approx and not _is_scan(data)
+    keep = not approx and not is_scan(data)
     if keep:
         data.persist(StorageLevel.MEMORY_AND_DISK)
     try:

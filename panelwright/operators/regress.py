@@ -26,7 +26,7 @@ from panelwright.functions.distributions import (
     t_two_sided,
 )
 from panelwright.operators.factors import Factor, collect_factors
-from panelwright.sources.scan import nan_to_null
+from panelwright.sources.scan import is_scan, nan_to_null
 
 COEF_SCHEMA = "term string, coef double, se double, t double, p double, lo double, hi double"
 FIT_SCHEMA = (
@@ -126,8 +126,8 @@ def ols(
 ) -> OlsModel:
     """Regress ``y`` on ``xs`` with an intercept, over the rows complete in these columns.
 
-    The rows are read twice; ``keep`` holds them between, needless where ``df`` comes straight
-    from a cached table.
+    The rows are read twice; ``keep`` holds them between unless ``df`` is no more than a scan, needless
+    also where it is a cached table.
 
     NaN counts as NULL. ``by`` and ``order`` name the entity and date keys. The Durbin-Watson statistic needs them:
     it sums successive differences inside each entity; without them it is NULL.
@@ -137,6 +137,7 @@ def ols(
     keys = [k for k in (by, order) if k]
     df = nan_to_null(df, [y, *xs])
     data = df.select(*dict.fromkeys([*keys, y, *xs])).dropna(subset=[y, *xs])
+    keep = keep and not is_scan(data)
     if keep:
         data.persist(StorageLevel.MEMORY_AND_DISK)
     try:

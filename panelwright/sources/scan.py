@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,12 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether reading ``df`` again costs no more than a scan: no join, aggregate, window or sort below."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not re.search(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Union|Distinct|MapIn)", plan, re.M)
+
+
 def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` itself, failing at run time when two rows share the same ``keys`` or a key is NULL.
 

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelwright import operators as op
-from panelwright.operators.describe import _is_scan, order_statistics
+from panelwright.operators.describe import order_statistics
+from panelwright.sources.scan import is_scan
 
 SETTINGS = settings(max_examples=8, deadline=None)
 
@@ -109,5 +110,5 @@ def test_no_sketch_and_nothing_kept_for_a_scan(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(1000).select(F.col("id").cast("double").alias("x")).write.parquet(path)
     df = spark.read.parquet(path)
-    assert _is_scan(df) and not _is_scan(df.groupBy().agg(F.sum("x").alias("x")))
+    assert is_scan(df) and not is_scan(df.groupBy().agg(F.sum("x").alias("x")))
     assert op.describe(df, ["x"]).first()["p50"] == 499.5
