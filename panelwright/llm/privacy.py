@@ -5,8 +5,8 @@ co-occur in the corpus so that seeing the term makes the entity likely: the poin
 information PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is held against the information of the entity
 itself, IC(e) = log2(N / n(e)), which it reaches if t never stands without e. All counts are of distinct texts of
 the whole corpus, so copies of one text prove nothing, and a term must be seen beside the entity in several different
-surroundings, as many as half the texts at least, so near copies, which keep the words next to the entity, prove nothing
-either. Terms above the lower threshold are generalised, above the upper one
+surroundings, as many as half the texts at least. Surroundings count as different only if the words next to the entity
+differ and so do least hashes of the words around it, which near copies share, so near copies prove nothing either. Terms above the lower threshold are generalised, above the upper one
 removed, in the texts that hold the entity.
 """
 
@@ -114,6 +114,10 @@ def _words(part: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)), lambda w: F.char_length(w) >= 3)
 
 
+def _least_hash(terms: str, seed: int) -> Column:
+    return F.array_min(F.transform(terms, lambda t: F.xxhash64(F.lit(seed), t)))
+
+
 def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """``(h1, h2, term, disclosure)``: for each text (by two hashes) the terms that disclose an entity in it.
 
@@ -128,11 +132,18 @@ def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: in
     left = F.when(F.col("e.start") > reach, F.regexp_replace(left, rf"^{WORD}", "")).otherwise(left)
     right = F.when(F.char_length("text") > F.col("e.end") + reach, F.regexp_replace(right, rf"{WORD}$", "")).otherwise(right)
     around = F.xxhash64(F.regexp_extract(left, r"(\S*)\s*$", 1), F.regexp_extract(right, r"^\s*(\S*)", 1))
-    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), around.alias("around"), F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ").alias("near"))
-    held = written(held.select("h1", "h2", "kind", "entity", "around", F.array_distinct(_words(F.col("near"))).alias("terms")), "entities")
-
-    pair = held.select("h1", "h2", "kind", "entity", "around", F.explode("terms").alias("term"))
-    seen = pair.groupBy("kind", "entity", "term").agg(F.count_distinct("around").alias("around"), F.count_distinct("h1", "h2").alias("both"))
+    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), around.alias("around"), F.split(F.concat_ws(" ", left, right), r"\s+").alias("beside"), F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ").alias("near"))
+    held = held.withColumn("terms", F.array_distinct(_words(F.col("near"))))
+    least = [_least_hash("beside", k).alias(f"least{k}") for k in range(3)]
+    held = written(held.select("h1", "h2", "kind", "entity", "around", "terms", *least), "entities")
+
+    pair = held.select("h1", "h2", "kind", "entity", "around", "least0", "least1", "least2", F.explode("terms").alias("term"))
+    seen = pair.groupBy("kind", "entity", "term").agg(
+        *[F.count_distinct(c).alias(c) for c in ("around", "least0", "least1", "least2")], F.count_distinct("h1", "h2").alias("both")
+    )
+    # One of the least hashes may be the disclosing term's own, in all surroundings; the median of three is not.
+    middle = F.element_at(F.sort_array(F.array("least0", "least1", "least2")), 2)
+    seen = seen.select("kind", "entity", "term", F.least("around", middle).alias("around"), "both")
     seen = written(seen.where((F.col("around") >= support) & (2 * F.col("around") >= F.col("both"))), "pairs")
     if seen.isEmpty():
         return seen.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "term", F.lit(0.0).alias("disclosure"))
