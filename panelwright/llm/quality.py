@@ -41,6 +41,8 @@ LEAST = 100
 #: Share of normal vectors beyond the cut.
 TAIL = 1e-7
 MIN_WORDS = 50
+#: Groups up to which their fits (some 250 bytes each) go to all executors; more are joined.
+SMALL = 100_000
 
 
 def _sums(flag: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -187,43 +189,48 @@ def _fitted(factor: float):
 _SCHEMA = "grp string, start int, " + ", ".join(f"{c} double" for c in PARAMS)
 
 
-def _step(vectors: DataFrame, params: DataFrame, cut: Column | None, factor: float) -> DataFrame:
+def _sent(groups: DataFrame, few: bool) -> DataFrame:
+    """A table of groups ready to be joined: rows of one source need not meet for it if the groups are few."""
+    return F.broadcast(groups) if few else groups
+
+
+def _step(vectors: DataFrame, params: DataFrame, cut: Column | None, factor: float, few: bool) -> DataFrame:
     """New centre and scatter of each fit from the vectors within ``cut``, or its nearest ``SHARE``."""
-    near = vectors.join(params, "grp").withColumn("d2", _distance())
+    near = vectors.join(_sent(params, few), "grp").withColumn("d2", _distance())
     if cut is None:
         edge = near.groupBy("grp", "start").agg(F.percentile_approx("d2", SHARE, 2000).alias("edge"))
-        near, cut = near.join(edge, ["grp", "start"]), F.col("edge")
+        near, cut = near.join(_sent(edge, few), ["grp", "start"]), F.col("edge")
     kept = near.where(F.col("d2") <= cut).groupBy("grp", "start").agg(*_moments())
     return written(kept.mapInPandas(_fitted(factor), _SCHEMA), "fit")
 
 
-def _starts(vectors: DataFrame) -> DataFrame:
+def _starts(vectors: DataFrame, few: bool) -> DataFrame:
     """Two first fits of each group: coordinate-wise median and spread; and correlation of squashed values."""
     middle = vectors.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in X])
     spread = [F.greatest(F.lit(low), (F.col(x)[2] - F.col(x)[0]) / 1.349) for x, low in zip(X, FLOORS, strict=True)]
     middle = written(middle.select("grp", *[F.col(x)[1].alias(f"m{i}") for i, x in enumerate(X)], *[s.alias(f"z{i}") for i, s in enumerate(spread)]), "fit")
     plain = middle.select("grp", F.lit(0).alias("start"), F.lit(0.0).alias("log_det"), *[f"m{i}" for i in range(P)], *[((1 / F.col(f"z{i}")) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS])
-    squashed = vectors.join(middle, "grp").select("grp", F.lit(1).alias("start"), *[F.col(f"m{i}") for i in range(P)], *[(F.col(f"m{i}") + F.col(f"z{i}") * F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"z{i}"))).alias(f"x{i}") for i in range(P)])
+    squashed = vectors.join(_sent(middle, few), "grp").select("grp", F.lit(1).alias("start"), *[F.col(f"m{i}") for i in range(P)], *[(F.col(f"m{i}") + F.col(f"z{i}") * F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"z{i}"))).alias(f"x{i}") for i in range(P)])
     second = squashed.groupBy("grp", "start").agg(*_moments()).mapInPandas(_fitted(1.0), _SCHEMA)
     return written(plain.unionByName(second), "fit")
 
 
-def fits(vectors: DataFrame, steps: int = 50) -> DataFrame:
+def fits(vectors: DataFrame, few: bool, steps: int = 50) -> DataFrame:
     """One row a group: centre and inverse Cholesky factor of its reweighted MCD estimate.
 
     C-steps go on until no determinant falls by more than a thousandth, ``steps`` at most (the
     determinant falls with each, and ten or so are usual).
     """
-    now = _step(vectors, _starts(vectors), None, _consistent(SHARE))
+    now = _step(vectors, _starts(vectors, few), None, _consistent(SHARE), few)
     for _ in range(steps):
-        new = _step(vectors, now, None, _consistent(SHARE))
+        new = _step(vectors, now, None, _consistent(SHARE), few)
         fall = new.join(now.select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"])
         now = new
         if not fall.where("before - log_det > 0.001").limit(1).count():
             break
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", *PARAMS), F.struct("log_det", "start")).alias("b")).select("grp", "b.*")
     usual = chi2_quantile(0.975, P)
-    return _step(vectors, best, F.lit(usual), 0.975 / chi2_cdf(usual, P + 2))
+    return _step(vectors, best, F.lit(usual), 0.975 / chi2_cdf(usual, P + 2), few)
 
 
 def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
@@ -250,12 +257,13 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     small = size.where("own is null").groupBy("g_lang").agg(F.sum("count").alias("pooled"))
     size = size.join(small, "g_lang", "left").select("g_lang", "g_source", F.coalesce("own", F.when(F.col("pooled") >= LEAST, F.col("g_lang")), F.lit("\n\n")).alias("grp"))
     size = written(size, "groups")
-    vector = stats.withColumns({"g_lang": name[0], "g_source": name[1]}).join(size, ["g_lang", "g_source"], "left")
+    few = size.count() <= SMALL
+    vector = stats.withColumns({"g_lang": name[0], "g_source": name[1]}).join(_sent(size, few), ["g_lang", "g_source"], "left")
     vector = vector.withColumns({x: F.when(~F.col("base_failed"), v) for x, v in zip(X, _vector(), strict=True)})
     vector = written(vector.select("row", *COUNTS, "base_failed", "grp", *X), "vectors")
     used = vector.where("not base_failed").select("grp", *X)
-    used = used.join(used.groupBy("grp").count().where(F.col("count") >= LEAST).select("grp"), "grp", "left_semi")
-    fit = fits(used)
+    used = used.join(_sent(used.groupBy("grp").count().where(F.col("count") >= LEAST).select("grp"), few), "grp", "left_semi")
+    fit = fits(used, few)
     cut = chi2_quantile(1 - tail, P)
-    out = vector.join(fit.drop("start", "log_det"), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = vector.join(_sent(fit.drop("start", "log_det"), few), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.select("row", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept"))

@@ -63,7 +63,7 @@ def test_mcd_is_not_moved_by_a_fifth_of_outliers(spark):
     shape = rng.normal(size=(ql.P, ql.P)) / 3 + np.eye(ql.P)
     good, bad = rng.normal(size=(4000, ql.P)) @ shape.T, rng.normal(8, 0.3, (1000, ql.P))
     rows = [("g", *map(float, x)) for x in np.vstack([good, bad])]
-    fit = ql.fits(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in ql.X))).first()
+    fit = ql.fits(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in ql.X)), True).first()
     centre = np.array([fit[f"m{i}"] for i in range(ql.P)])
     assert np.abs(centre).max() < 0.25
     root = np.zeros((ql.P, ql.P))
