@@ -14,9 +14,9 @@ Only where that leaves a key with several components are pairs between component
 counts first, block by block within a task. Keys that very
 many unconnected texts share would be costly to resolve so. Their texts are allotted other segments, none of
 them under such a key, and meet again; two similar sets can be missed by this only if both are made
-up of such keys, up to H segments. Those sets go through an index of half as many, larger
-segments, each under its subset and its one-deletion neighbourhood, which covers two differences;
-what that leaves open is compared in full.
+up of such keys, up to H segments, or meet under further such keys. Those sets go through an index of half as
+many, larger segments, each under its subset and its one-deletion neighbourhood, which covers two
+differences; what that leaves open is compared in full.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from panelwright.llm.tokens import mix, pieces, salt, shingles, word_hashes, wor
 U = np.uint64
 #: Texts under one key, up to which pairs between its components are simply tested.
 WIDE = 256
+#: How often texts under such keys are allotted other segments before what is left goes to the second index.
+ROUNDS = 1
 #: A key with more texts than this in one task is led by one of them elsewhere.
 LOCAL = 256
 #: Entries of one list, so that no row grows with a key.
@@ -514,7 +516,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
             pairs = pairs.join(counts.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side)
         return pairs.mapInArrow(_may_agree(percent), "u long, v long").distinct()
 
-    tested = None
+    tested, rounds = None, 0
     texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
     while True:
         lists = _candidates(texts, scheme, width, parts)
@@ -542,7 +544,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         hidden = gone if hidden is None else hidden.union(gone)
         shut = wide.select("bucket").distinct()
         costly = shut if costly is None else costly.union(shut).distinct()
-        if not wide.isEmpty():
+        rounds += 1
+        if rounds <= ROUNDS and not wide.isEmpty():
             texts = written(_only(named, wide.select("id").distinct()), "texts")
             costly = written(costly, "costly")
             if costly.count() <= SMALL:
@@ -553,7 +556,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 held = held.join(costly, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("costly"))
                 texts, scheme = written(texts.join(held, "id"), "texts"), Scheme(percent, common=common)
         else:
-            again = hidden.distinct()
+            again = hidden.union(wide.select("id")).distinct()
             if again.isEmpty():
                 break
             texts, scheme = written(_only(named, again), "texts"), Scheme(percent, deletions=True)
