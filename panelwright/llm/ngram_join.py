@@ -35,6 +35,8 @@ from panelwright.llm.tokens import mix, pieces, salt, shingles, word_hashes, wor
 U = np.uint64
 #: Texts under one key, up to which pairs between its components are simply tested.
 WIDE = 256
+#: Texts for each task, at least, where Python works on keys and pairs.
+TEXTS = 2000
 #: How often texts under such keys are allotted other segments before what is left goes to the second index.
 ROUNDS = 1
 #: A key with more texts than this in one task is led by one of them elsewhere.
@@ -446,10 +448,10 @@ def _meet(wide: int):
 LIST = "bucket long, leader long, members array<long>"
 
 
-def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int) -> DataFrame:
+def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int, tasks: int) -> DataFrame:
     """``(bucket, leader, members)`` of every key that two or more texts share; leader null: texts that costly keys may hide."""
     packed = docs.mapInArrow(_index(scheme, width, 8 * parts), "part long, data binary, list struct<bucket:long,leader:long,members:array<long>>")
-    lists = packed.repartition(parts, "part").mapInArrow(_meet(CHUNK if scheme.deletions else WIDE), LIST)
+    lists = packed.repartition(parts, "part").coalesce(tasks).mapInArrow(_meet(CHUNK if scheme.deletions else WIDE), LIST)
     return written(lists.dropDuplicates(["bucket", "leader", "members"]), "lists")
 
 
@@ -474,7 +476,7 @@ def _agree(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """The pairs ``(u, v)`` whose shingle sets are similar enough, tested on the whole sets."""
     if pairs.isEmpty():
         return pairs
@@ -482,7 +484,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     sets = written(_only(docs, ids).mapInArrow(_sets(width), "id long, set binary"), "sets")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("set_b"))
-    return written(pairs.join(a, "u").join(b, "v").mapInArrow(_agree(percent), "u long, v long"), "links")
+    return written(pairs.join(a, "u").join(b, "v").coalesce(tasks).mapInArrow(_agree(percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -503,6 +505,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     sizes = written(docs.mapInArrow(_sizes(width), _SIZES), "sizes")
     common = _common(sizes)
     sizes = sizes.where("n >= 0")
+    tasks = max(8, sizes.count() // TEXTS)  # fewer would hold too much, more would be idle
     first = sizes.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("set_id"))
     sets = written(sizes.join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ids")
     same = sets.where("n > 0 and id != set_id").select(F.col("id").alias("u"), F.col("set_id").alias("v"))
@@ -514,12 +517,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     def possible(pairs: DataFrame) -> DataFrame:
         for side in ("u", "v"):
             pairs = pairs.join(counts.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side)
-        return pairs.mapInArrow(_may_agree(percent), "u long, v long").distinct()
+        return pairs.coalesce(tasks).mapInArrow(_may_agree(percent), "u long, v long").distinct()
 
     tested, rounds = None, 0
     texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
     while True:
-        lists = _candidates(texts, scheme, width, parts)
+        lists = _candidates(texts, scheme, width, parts, tasks)
         gone = lists.where("leader is null").select(F.explode("members").alias("id"))
         lists = lists.where("leader is not null")
         led = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v"))
@@ -527,7 +530,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         if tested is not None:
             pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        linked = linked.unionByName(_verified(pairs, named, width, percent))
+        linked = linked.unionByName(_verified(pairs, named, width, percent, tasks))
         entries = written(_unresolved(lists, linked, to), "open")
         if entries.isEmpty():
             break
@@ -535,10 +538,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
         near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
         across = near.join(counts, "id").withColumn("percent", F.lit(percent))
-        across = across.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_apart, "u long, v long")
+        across = across.repartition(parts, "bucket").coalesce(tasks).sortWithinPartitions("bucket").mapInArrow(_apart, "u long, v long")
         across = written(across.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(across)
-        linked = linked.unionByName(_verified(across, named, width, percent))
+        linked = linked.unionByName(_verified(across, named, width, percent, tasks))
         if scheme.deletions:
             break
         hidden = gone if hidden is None else hidden.union(gone)
