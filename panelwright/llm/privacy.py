@@ -5,8 +5,8 @@ co-occur in the corpus so that seeing the term makes the entity likely: the poin
 information PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is held against the information of the entity
 itself, IC(e) = log2(N / n(e)), which it reaches if t never stands without e. All counts are of distinct texts of
 the whole corpus, so copies of one text prove nothing, and a term must be seen beside the entity in several different
-surroundings, as many as half the texts at least. Surroundings count as different only if the words next to the entity
-differ and so do least hashes of the words around it, which near copies share, so near copies prove nothing either. Terms above the lower threshold are generalised, above the upper one
+surroundings: texts that are near copies of each other (by sketches of their shingles, and what those link) are one
+surrounding, so near copies prove nothing either. Terms above the lower threshold are generalised, above the upper one
 removed, in the texts that hold the entity.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import fingerprints
+from panelwright.llm.linked import components
 from panelwright.llm.scratch import written
 
 #: Patterns of entities, fixed values. A match begins where the last one ended or where no longer one could begin,
@@ -34,6 +36,8 @@ WORD = r"[\p{L}\p{M}\p{N}_'’-]+"
 REACH = 120
 #: Surroundings in which a term must be seen beside an entity.
 SUPPORT = 3
+#: Resemblance from which texts are near copies, and least shingles of a text by which they are looked for.
+ALIKE, KEYS = 0.75, 8
 GENERALISE, REMOVE = 0.8, 0.95
 #: Rows of terms up to which they go to all executors (under 100 bytes each); more are joined.
 SMALL = 100_000
@@ -114,8 +118,21 @@ def _words(part: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)), lambda w: F.char_length(w) >= 3)
 
 
-def _least_hash(terms: str, seed: int) -> Column:
-    return F.array_min(F.transform(terms, lambda t: F.xxhash64(F.lit(seed), t)))
+def _surroundings(texts: DataFrame) -> DataFrame:
+    """``(h1, around)``: a name for each text that it shares with its near copies.
+
+    ``texts`` has ``h1`` and ``sketch``, a row for each text. Texts that have one of their least shingles in
+    common are compared with the least text that has it; those that are alike are linked.
+    """
+    keys = texts.select("h1", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
+    least = keys.groupBy("key").agg(F.min("h1").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
+    pairs = keys.join(least, "key").where("h1 != u").select("u", F.col("h1").alias("v")).distinct()
+    for side in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("h1").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
+    alike = fingerprints.resemblance(F.col("u_sketch"), F.col("v_sketch")) >= ALIKE
+    found = components(pairs.where(alike).select("u", "v"))
+    found = texts.select("h1").join(found.withColumnRenamed("node", "h1"), "h1", "left")
+    return found.select("h1", F.coalesce("component", "h1").alias("around"))
 
 
 def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
@@ -131,27 +148,28 @@ def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: in
     # A word that the reach cuts through is no term; nor is a piece of another entity.
     left = F.when(F.col("e.start") > reach, F.regexp_replace(left, rf"^{WORD}", "")).otherwise(left)
     right = F.when(F.char_length("text") > F.col("e.end") + reach, F.regexp_replace(right, rf"{WORD}$", "")).otherwise(right)
-    around = F.xxhash64(F.regexp_extract(left, r"(\S*)\s*$", 1), F.regexp_extract(right, r"^\s*(\S*)", 1))
-    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), around.alias("around"), F.split(F.concat_ws(" ", left, right), r"\s+").alias("beside"), F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ").alias("near"))
-    held = held.withColumn("terms", F.array_distinct(_words(F.col("near"))))
-    least = [_least_hash("beside", k).alias(f"least{k}") for k in range(3)]
-    held = written(held.select("h1", "h2", "kind", "entity", "around", "terms", *least), "entities")
-
-    pair = held.select("h1", "h2", "kind", "entity", "around", "least0", "least1", "least2", F.explode("terms").alias("term"))
-    seen = pair.groupBy("kind", "entity", "term").agg(
-        *[F.count_distinct(c).alias(c) for c in ("around", "least0", "least1", "least2")], F.count_distinct("h1", "h2").alias("both")
-    )
-    # One of the least hashes may be the disclosing term's own, in all surroundings; the median of three is not.
-    middle = F.element_at(F.sort_array(F.array("least0", "least1", "least2")), 2)
-    seen = seen.select("kind", "entity", "term", F.least("around", middle).alias("around"), "both")
-    seen = written(seen.where((F.col("around") >= support) & (2 * F.col("around") >= F.col("both"))), "pairs")
+    near = F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ")
+    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), F.array_distinct(_words(near)).alias("terms"))
+    held = written(held, "entities")
+    of_entity = held.groupBy("kind", "entity").agg(F.count_distinct("h1", "h2").alias("with_entity"))
+    # An entity of fewer texts has fewer surroundings.
+    of_entity = written(of_entity.where(F.col("with_entity") >= support), "shared")
+    few = of_entity.count() <= SMALL
+    held = held.join(F.broadcast(of_entity) if few else of_entity, ["kind", "entity"]).drop("with_entity")
+    ids = written(held.select("h1", "h2").distinct(), "ids")
+    few = ids.count() <= SMALL
+    texts = rows.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).join(F.broadcast(ids) if few else ids, ["h1", "h2"])
+    texts = written(texts.select("h1", fingerprints.sketch(F.col("text")).alias("sketch")).dropDuplicates(["h1"]), "texts")
+    around = written(_surroundings(texts), "around")
+    pair = held.join(around, "h1").select("h1", "h2", "kind", "entity", "around", F.explode("terms").alias("term"))
+    seen = pair.groupBy("kind", "entity", "term").agg(F.count_distinct("around").alias("around"), F.count_distinct("h1", "h2").alias("both"))
+    seen = written(seen.where(F.col("around") >= support), "pairs")
     if seen.isEmpty():
         return seen.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "term", F.lit(0.0).alias("disclosure"))
 
     terms = written(seen.select("term").distinct(), "terms")
     words = rows.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     of_term = words.join(F.broadcast(terms) if terms.count() <= SMALL else terms, "term").groupBy("term").agg(F.count_distinct("h1", "h2").alias("with_term"))
-    of_entity = held.groupBy("kind", "entity").agg(F.count_distinct("h1", "h2").alias("with_entity"))
     texts = rows.select(F.count_distinct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).first()[0]
     told = seen.join(of_term, "term").join(of_entity, ["kind", "entity"])
     content = F.log2(F.lit(float(texts)) / F.col("with_entity"))

@@ -77,6 +77,15 @@ def test_common_words_copies_and_near_copies_prove_nothing(spark):
     assert all(kind != 4 for s in got.values() for _, kind, _ in s)
 
 
+def test_many_texts_and_a_fixed_label_take_no_disclosing_term_away(spark):
+    rng = np.random.default_rng(3)
+    texts = [f"{' '.join(words(rng, 30, 300))}\nName: Zanthor Quill Email: jo@mail.org\n{' '.join(words(rng, 30, 300))}" for _ in range(1000)]
+    texts += [" ".join(words(rng, 60, 300)) for _ in range(2000)]
+    rows = {r.row.doc_id: r for r in privacy.personal_data(corpus(spark, texts)).collect()}
+    assert all({"zanthor", "quill"} <= {s.value.lower() for s in rows[i].spans if s.kind == 4} for i in range(1000))
+    assert all(not rows[i].spans for i in range(1000, 3000))
+
+
 def test_nulls_and_empty_tables(spark):
     rows = privacy.personal_data(corpus(spark, [None, None], [None, None])).collect()
     assert [(r.entities, r.spans, r.clean) for r in rows] == [([], [], "")] * 2
