@@ -4,14 +4,17 @@ Entities (addresses, numbers) are found by pattern. A term discloses an entity i
 co-occur in the corpus so that seeing the term makes the entity likely: the pointwise mutual
 information PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is held against the information of the entity
 itself, IC(e) = log2(N / n(e)), which it reaches if t never stands without e. All counts are of distinct texts of
-the whole corpus, so copies of one text prove nothing, and a term must be seen beside the entity in several different
+the whole corpus, so copies of one text prove nothing, and a term, any word or number outside the entities of a text, must be seen with the entity in several different
 surroundings: texts that are near copies of each other (by sketches of their shingles, and what those link) are one
-surrounding, so near copies prove nothing either. Terms above the lower threshold are generalised, above the upper one
+surrounding, so near copies prove nothing either. Nor do meetings that chance explains: by the binomial likelihood ratio fewer than one of
+all terms tried would stand with the entity so often. Terms above the lower threshold are generalised, above the upper one
 removed, in the texts that hold the entity.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +35,7 @@ KINDS = [*PATTERNS, "term"]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 STRIDE = 256
 WORD = r"[\p{L}\p{M}\p{N}_'’-]+"
-#: Code points on each side of an entity where terms are looked for.
-REACH = 120
-#: Surroundings in which a term must be seen beside an entity.
+#: Surroundings in which a term must be seen with an entity.
 SUPPORT = 3
 #: Resemblance from which texts are near copies, and least shingles of a text by which they are looked for.
 ALIKE, KEYS = 0.75, 8
@@ -114,8 +115,15 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _words(part: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)), lambda w: F.char_length(w) >= 3)
+def _terms(text: Column) -> Column:
+    """The distinct words and numbers of a whole text outside its entities."""
+    blanks = F.transform(entities(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("put")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(sanitised(text, blanks), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table ready to be joined: to all executors if it is small."""
+    return F.broadcast(table) if table.count() <= SMALL else table
 
 
 def _surroundings(texts: DataFrame) -> DataFrame:
@@ -135,47 +143,56 @@ def _surroundings(texts: DataFrame) -> DataFrame:
     return found.select("h1", F.coalesce("component", "h1").alias("around"))
 
 
-def disclosing_terms(docs: DataFrame, text: str, reach: int = REACH, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text: str, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """``(h1, h2, term, disclosure)``: for each text (by two hashes) the terms that disclose an entity in it.
 
-    Pairs of entity and term are counted with partial counts before each shuffle, so an entity of very many
-    texts is spread over all tasks.
+    Terms are looked for in whole texts that hold an entity of ``support`` texts or more. Pairs of entity and term are
+    counted with partial counts before each shuffle, so an entity of very many texts is spread over all tasks; terms that
+    are in too many texts to reach ``threshold`` even if they stood with every sight of the entity make no pairs.
     """
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    held = rows.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.explode(entities(F.col("text"))).alias("e"))
-    left = F.substring("text", F.greatest(F.lit(1), F.col("e.start") + 1 - reach), F.least(F.lit(reach), F.col("e.start")))
-    right = F.substring("text", F.col("e.end") + 1, F.lit(reach))
-    # A word that the reach cuts through is no term; nor is a piece of another entity.
-    left = F.when(F.col("e.start") > reach, F.regexp_replace(left, rf"^{WORD}", "")).otherwise(left)
-    right = F.when(F.char_length("text") > F.col("e.end") + reach, F.regexp_replace(right, rf"{WORD}$", "")).otherwise(right)
-    near = F.regexp_replace(F.concat(left, F.lit("\n"), right), r"\S*[@0-9]\S*", " ")
-    held = held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity"), F.array_distinct(_words(near)).alias("terms"))
-    held = written(held, "entities")
-    of_entity = held.groupBy("kind", "entity").agg(F.count_distinct("h1", "h2").alias("with_entity"))
+    name = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select("text", *name)
+    held = rows.select("h1", "h2", F.explode(entities(F.col("text"))).alias("e"))
+    held = written(held.select("h1", "h2", "e.kind", F.lower("e.value").alias("entity")).distinct(), "entities")
     # An entity of fewer texts has fewer surroundings.
-    of_entity = written(of_entity.where(F.col("with_entity") >= support), "shared")
-    few = of_entity.count() <= SMALL
-    held = held.join(F.broadcast(of_entity) if few else of_entity, ["kind", "entity"]).drop("with_entity")
+    shared = written(held.groupBy("kind", "entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= support), "shared")
+    most = shared.agg(F.max("with_entity")).first()[0]
+    if most is None:
+        return held.select("h1", "h2", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
+    held = written(held.join(_sent(shared), ["kind", "entity"]), "held")
+    n = float(rows.select(F.count_distinct("h1", "h2")).first()[0])
+
     ids = written(held.select("h1", "h2").distinct(), "ids")
-    few = ids.count() <= SMALL
-    texts = rows.select("text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).join(F.broadcast(ids) if few else ids, ["h1", "h2"])
-    texts = written(texts.select("h1", fingerprints.sketch(F.col("text")).alias("sketch")).dropDuplicates(["h1"]), "texts")
-    around = written(_surroundings(texts), "around")
-    pair = held.join(around, "h1").select("h1", "h2", "kind", "entity", "around", F.explode("terms").alias("term"))
-    seen = pair.groupBy("kind", "entity", "term").agg(F.count_distinct("around").alias("around"), F.count_distinct("h1", "h2").alias("both"))
+    texts = rows.join(_sent(ids), ["h1", "h2"]).select("h1", "h2", fingerprints.sketch(F.col("text")).alias("sketch"), _terms(F.col("text")).alias("terms"))
+    texts = written(texts.dropDuplicates(["h1", "h2"]), "texts")
+    around = written(_surroundings(texts.select("h1", "sketch").dropDuplicates(["h1"])), "around")
+    words = texts.select("h1", "h2", F.explode("terms").alias("term"))
+
+    def bound(with_entity: Column) -> Column:
+        return F.lit(1 + 1e-9) * F.pow(F.lit(n), F.lit(1 - threshold)) * F.pow(with_entity, F.lit(threshold))
+
+    terms = words.groupBy("term").agg(F.count("*").alias("held"))
+    terms = written(terms.where((F.col("held") >= support) & (F.col("held") <= bound(F.lit(most))) & F.col("term").rlike(r"[\p{L}\p{N}]")), "terms")
+    tried = max(1, terms.count())
+    pair = words.join(_sent(terms), "term").join(held, ["h1", "h2"]).where(F.col("held") <= bound(F.col("with_entity"))).join(_sent(around), "h1")
+    seen = pair.groupBy("kind", "entity", "term", "with_entity", "around").agg(F.count("*").alias("both"))
+    seen = seen.groupBy("kind", "entity", "term", "with_entity").agg(F.count("*").alias("around"), F.sum("both").alias("both"))
     seen = written(seen.where(F.col("around") >= support), "pairs")
     if seen.isEmpty():
         return seen.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "term", F.lit(0.0).alias("disclosure"))
 
     terms = written(seen.select("term").distinct(), "terms")
-    words = rows.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    of_term = words.join(F.broadcast(terms) if terms.count() <= SMALL else terms, "term").groupBy("term").agg(F.count_distinct("h1", "h2").alias("with_term"))
-    texts = rows.select(F.count_distinct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).first()[0]
-    told = seen.join(of_term, "term").join(of_entity, ["kind", "entity"])
-    content = F.log2(F.lit(float(texts)) / F.col("with_entity"))
-    mutual = F.log2(F.lit(float(texts)) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
+    words = rows.select("h1", "h2", F.explode(_terms(F.col("text"))).alias("term"))
+    of_term = words.join(_sent(terms), "term").groupBy("term").agg(F.count_distinct("h1", "h2").alias("with_term"))
+    told = seen.join(of_term, "term")
+    content = F.log2(F.lit(n) / F.col("with_entity"))
+    mutual = F.log2(F.lit(n) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
     told = told.withColumn("disclosure", F.when(content > 0, mutual / content).otherwise(0.0)).where(F.col("disclosure") >= threshold)
-    told = held.select("h1", "h2", "kind", "entity").distinct().join(told.select("kind", "entity", "term", "disclosure"), ["kind", "entity"])
+    p, q = F.col("both") / F.col("with_term"), F.col("with_entity") / F.lit(n)
+    apart = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    told = told.where(F.col("with_term") * (p * F.log(p / q) + apart) >= math.log(tried))
+    told = held.join(told.select("kind", "entity", "term", "disclosure"), ["kind", "entity"])
+    told = told.join(texts.select("h1", "h2", F.explode("terms").alias("term")), ["h1", "h2", "term"])
     return told.groupBy("h1", "h2", "term").agg(F.max("disclosure").alias("disclosure"))
 
 

@@ -86,6 +86,29 @@ def test_many_texts_and_a_fixed_label_take_no_disclosing_term_away(spark):
     assert all(not rows[i].spans for i in range(1000, 3000))
 
 
+def test_terms_anywhere_in_the_text_and_identifiers_are_found(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(8):
+        far = [" ".join(words(rng, 60, 10**6)) for _ in range(3)]
+        beside = "Quorra" if i == 0 else ""
+        after = "" if i == 0 else "Quorra"
+        texts.append(f"Zanthor\n\n{far[0]}\n\nstaff AB4711 {beside} jo@mail.org\n\n{far[1]} {after}\n\n{far[2]} Wu")
+    texts += [" ".join(words(rng, 60, 10**6)) for _ in range(40)]
+    got = {r.row.doc_id: r for r in privacy.personal_data(corpus(spark, texts)).collect()}
+    for i in range(8):
+        found = {s.value.lower() for s in got[i].spans if s.kind == 4}
+        assert found == {"zanthor", "staff", "ab4711", "quorra", "wu"}
+    assert all(not got[i].spans for i in range(8, 48))
+
+
+def test_rare_words_that_meet_a_common_entity_by_chance_stay(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(words(rng, 40, 4000)) + (" info@mail.org" if k % 3 == 0 else "") for k in range(600)]
+    got = spans(corpus(spark, texts), "spans")
+    assert all(kind != 4 for s in got.values() for _, kind, _ in s)
+
+
 def test_nulls_and_empty_tables(spark):
     rows = privacy.personal_data(corpus(spark, [None, None], [None, None])).collect()
     assert [(r.entities, r.spans, r.clean) for r in rows] == [([], [], "")] * 2
