@@ -1,8 +1,8 @@
 """Quality rules: documents whose statistics lie far from those of their language and source.
 
 Each text becomes a vector of transformed statistics. For each (language, source) the minimum
-covariance determinant estimate (Rousseeuw's C-steps from two deterministic starts, then
-reweighting) gives a centre and scatter that a share of junk cannot move; texts whose Mahalanobis distance
+covariance determinant estimate of its different vectors (Rousseeuw's C-steps on the nearest half from three deterministic
+starts, then reweighting) gives a centre and scatter that junk cannot move, short of half of them; texts whose Mahalanobis distance
 is beyond a chi-square quantile are rejected.
 
 The statistics of a text are the only thing made in Python. C-steps are aggregations over the
@@ -31,12 +31,12 @@ _MARKS = np.zeros(256, bool)
 _MARKS[list(b"!?")] = True
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
-#: Share of each group that a fit rests on.
-SHARE = 0.75
+#: Share of each group that a fit rests on; floors keep the scatter of any number of vectors regular.
+SHARE = 0.5
 #: Least standard deviation of each transformed statistic: smaller differences mean nothing. One line
 #: said twice in a short text is no junk, so repeated lines and words have wider ones.
 FLOORS = (0.05, 0.05, 0.08, 0.08, 0.05, 0.05)
-#: Groups with fewer texts are pooled by language, then altogether.
+#: Groups with fewer different vectors are pooled by language, then altogether.
 LEAST = 100
 #: Share of normal vectors beyond the cut.
 TAIL = 1e-7
@@ -205,11 +205,17 @@ def _step(vectors: DataFrame, params: DataFrame, cut: Column | None, factor: flo
 
 
 def _starts(vectors: DataFrame, few: bool) -> DataFrame:
-    """Two first fits of each group: coordinate-wise median and spread; and correlation of squashed values."""
+    """Three first fits of each group: coordinate-wise median and spread; correlation of squashed values; and the median
+    with the spread of the narrower side, which junk on one side leaves as it is."""
     middle = vectors.groupBy("grp").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(x) for x in X])
     spread = [F.greatest(F.lit(low), (F.col(x)[2] - F.col(x)[0]) / 1.349) for x, low in zip(X, FLOORS, strict=True)]
-    middle = written(middle.select("grp", *[F.col(x)[1].alias(f"m{i}") for i, x in enumerate(X)], *[s.alias(f"z{i}") for i, s in enumerate(spread)]), "fit")
-    plain = middle.select("grp", F.lit(0).alias("start"), F.lit(0.0).alias("log_det"), *[f"m{i}" for i in range(P)], *[((1 / F.col(f"z{i}")) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS])
+    narrow = [F.greatest(F.lit(low), F.least(F.col(x)[2] - F.col(x)[1], F.col(x)[1] - F.col(x)[0]) / 0.6745) for x, low in zip(X, FLOORS, strict=True)]
+    middle = written(middle.select("grp", *[F.col(x)[1].alias(f"m{i}") for i, x in enumerate(X)], *[s.alias(f"z{i}") for i, s in enumerate(spread)], *[s.alias(f"y{i}") for i, s in enumerate(narrow)]), "fit")
+
+    def diagonal(start: int, side: str) -> DataFrame:
+        return middle.select("grp", F.lit(start).alias("start"), F.lit(0.0).alias("log_det"), *[f"m{i}" for i in range(P)], *[((1 / F.col(f"{side}{i}")) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS])
+
+    plain = diagonal(0, "z").unionByName(diagonal(2, "y"))
     squashed = vectors.join(_sent(middle, few), "grp").select("grp", F.lit(1).alias("start"), *[F.col(f"m{i}") for i in range(P)], *[(F.col(f"m{i}") + F.col(f"z{i}") * F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"z{i}"))).alias(f"x{i}") for i in range(P)])
     second = squashed.groupBy("grp", "start").agg(*_moments()).mapInPandas(_fitted(1.0), _SCHEMA)
     return written(plain.unionByName(second), "fit")
@@ -240,7 +246,7 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     of them in repeated 3-word windows; such texts are rejected and take no part in a fit. The
     others are kept if their squared distance from the centre of their group is within the
     chi-square quantile of ``1 - tail``. A group is a (language, source), null being a value of its
-    own; groups of fewer than ``LEAST`` texts are pooled by language and then altogether, and a
+    own; groups of fewer than ``LEAST`` different vectors are pooled by language and then altogether, and a
     pool that is still too small rejects nothing (null distance). Ids are not looked at, so they
     may be null or repeat.
     """
@@ -251,7 +257,7 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     stats = written(stats.withColumn("base_failed", failed), "stats")
 
     name = [F.coalesce(F.concat(F.lit("="), F.col(f"row.`{c}`").cast("string")), F.lit("")) for c in (lang, source)]
-    size = stats.where("not base_failed").groupBy(name[0].alias("g_lang"), name[1].alias("g_source")).count()
+    size = stats.where("not base_failed").select(name[0].alias("g_lang"), name[1].alias("g_source"), *COUNTS).distinct().groupBy("g_lang", "g_source").count()
     own = F.when(F.col("count") >= LEAST, F.concat_ws("\n", "g_lang", "g_source"))
     size = size.withColumn("own", own)
     small = size.where("own is null").groupBy("g_lang").agg(F.sum("count").alias("pooled"))
@@ -261,7 +267,7 @@ def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     vector = stats.withColumns({"g_lang": name[0], "g_source": name[1]}).join(_sent(size, few), ["g_lang", "g_source"], "left")
     vector = vector.withColumns({x: F.when(~F.col("base_failed"), v) for x, v in zip(X, _vector(), strict=True)})
     vector = written(vector.select("row", *COUNTS, "base_failed", "grp", *X), "vectors")
-    used = vector.where("not base_failed").select("grp", *X)
+    used = written(vector.where("not base_failed").select("grp", *X).distinct(), "used")  # copies count once
     used = used.join(_sent(used.groupBy("grp").count().where(F.col("count") >= LEAST).select("grp"), few), "grp", "left_semi")
     fit = fits(used, few)
     cut = chi2_quantile(1 - tail, P)

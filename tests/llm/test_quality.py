@@ -72,3 +72,14 @@ def test_mcd_is_not_moved_by_a_fifth_of_outliers(spark):
     distance = ((np.vstack([good, bad]) - centre) @ root.T) ** 2
     cut = ql.chi2_quantile(0.9999, ql.P)
     assert (distance.sum(1)[:4000] <= cut).mean() > 0.99 and (distance.sum(1)[4000:] > cut).all()
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_two_fifths_of_junk_and_a_third_of_copies_are_rejected(spark, copies):
+    rng = np.random.default_rng(4)
+    clean = [" ".join(words(rng, int(rng.integers(60, 300)), 5000)) for _ in range(300)]
+    junk = [" ".join(f"{w}***" for w in words(rng, int(rng.integers(60, 300)), 5000)) for _ in range(200)]
+    junk = junk[:1] * 150 if copies else junk
+    kept = {r.row.doc_id: r.kept for r in ql.quality(corpus(spark, clean + junk)).collect()}
+    assert all(kept[i] for i in range(300))
+    assert not any(kept[i] for i in range(300, 300 + len(junk)))
