@@ -6,9 +6,10 @@ candidate merge is skipped if a keyed hash of its place says so, so that one see
 and another seed others. Characters without a piece become bytes. Whatever is skipped, the
 pieces spell the text, so decoding gives back every text exactly.
 
-Pieces never hold a word mark after another character, so words are encoded one by one, equal words
-of a task once for each variant: an occurrence takes one of ``variants`` dropout patterns
-by a hash of seed, text and place. Words are known by a hash; every block is decoded again at once, and one that
+Pieces never hold a word mark after another character, so words are encoded one by one. Every occurrence of a word draws
+its own skips, by a hash of seed, text and place. Equal words of a task are encoded once without skips, and
+an occurrence takes that result if it skips none of the merges that made it, for then the merges are the same;
+others are encoded one by one. Words are known by a hash; every block is decoded again at once, and one that
 does not come out as it went in (two words of one hash) is encoded word by word. Short words are merged many at a time, one
 merge of each a round; long ones by an agenda, with the same result.
 """
@@ -136,20 +137,31 @@ def _rank(v: Vocabulary, pair: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.int64) << 32) | right.astype(np.int64)
+
+
+def _skipped(key, place: np.ndarray, pair: np.ndarray, skip: int) -> np.ndarray:
+    """Whether the keyed hash skips the merge of a pair at a place."""
+    return mix(mix(key + place.astype(U)) ^ pair.view(U)) < U(skip)
+
+
 def _candidates(v: Vocabulary, left, right, place, key, skip: int) -> np.ndarray:
     """Rank of each merge; ``NONE`` if there is none or the keyed hash skips it."""
-    pair = np.where((left >= 0) & (right >= 0), (left.astype(np.int64) << 32) | right.astype(np.int64), -2)
+    pair = np.where((left >= 0) & (right >= 0), _pair(left, right), -2)
     rank = _rank(v, pair)
     if skip:
         here = rank != NONE
         key = np.broadcast_to(key, rank.shape)[here]
-        drawn = mix(mix(key + place[here].astype(U)) ^ pair[here].view(U))
-        rank[here] = np.where(drawn < U(skip), NONE, rank[here])
+        rank[here] = np.where(_skipped(key, place[here], pair[here], skip), NONE, rank[here])
     return rank
 
 
-def _together(v: Vocabulary, symbols: np.ndarray, key: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the words in the rows of ``symbols`` (padded by the least int32); final symbols and their numbers."""
+def _together(v: Vocabulary, symbols: np.ndarray, key: np.ndarray, skip: int, made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the words in the rows of ``symbols`` (padded by the least int32); final symbols and their numbers.
+
+    ``made`` gets row, place and pair of all merges.
+    """
     pad = np.iinfo(np.int32).min
     n, width = symbols.shape
     done = np.full((n, width), pad, np.int32)
@@ -167,6 +179,8 @@ def _together(v: Vocabulary, symbols: np.ndarray, key: np.ndarray, skip: int) ->
             if not len(row):
                 break
         r = np.arange(len(row))
+        if made is not None:
+            made.append((row, place[r, j], _pair(symbols[r, j], symbols[r, j + 1])))
         symbols[r, j] = v.made[best]
         later = np.minimum(cols + (cols[None, :] > j[:, None]), width - 1)
         symbols = np.take_along_axis(symbols, later, 1)
@@ -234,7 +248,7 @@ def _spelled_out(v: Vocabulary, ids: np.ndarray, word: np.ndarray) -> tuple[np.n
 
 
 class Known:
-    """Pieces of the words met so far, by key; forgets them all beyond ``most``."""
+    """Pieces of the words met so far, by key, and the merges that made them; forgets them all beyond ``most``."""
 
     def __init__(self, most: int = 400_000) -> None:
         self.most = most
@@ -242,24 +256,56 @@ class Known:
 
     def forget(self) -> None:
         self.key, self.begin, self.n, self.ids = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.from_, self.merges, self.place, self.pair = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def missing(self, key: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.key, key)
         return np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != key) if len(self.key) else np.arange(len(key))
 
-    def add(self, key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """``key`` in order."""
+    def add(self, key: np.ndarray, ids: np.ndarray, n: np.ndarray, made: tuple) -> None:
+        """``key`` in order; ``made``: word, place and pair of each merge, by word."""
         at = np.searchsorted(self.key, key)
+        merges = np.bincount(made[0], minlength=len(key))
         self.begin = np.insert(self.begin, at, len(self.ids) + np.cumsum(n) - n)
+        self.from_ = np.insert(self.from_, at, len(self.place) + np.cumsum(merges) - merges)
         self.n = np.insert(self.n, at, n)
+        self.merges = np.insert(self.merges, at, merges)
         self.key = np.insert(self.key, at, key)
         self.ids = np.concatenate([self.ids, ids])
+        self.place, self.pair = np.concatenate([self.place, made[1]]), np.concatenate([self.pair, made[2]])
+
+
+def _encoded(v: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, draw: np.ndarray, skip: int, merges: bool = False) -> tuple:
+    """Pieces of the words ``symbols[begin[k] : begin[k] + size[k]]``, how many each has, and word, place and pair of the merges."""
+    pad = np.iinfo(np.int32).min
+    ids, words, made = [], [], [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
+    for low, high in ((0, 4), (4, 8), (8, 16), (16, LONG)):
+        pick = np.flatnonzero((size > low) & (size <= high))
+        for part in np.array_split(pick, len(pick) // 30_000 + 1):
+            if len(part):
+                cols = np.arange(high)
+                grid = symbols[np.minimum(begin[part][:, None] + cols, len(symbols) - 1)]
+                grid = np.where(cols < size[part][:, None], grid, pad).astype(np.int32)
+                steps = [] if merges else None
+                done, n = _together(v, grid, draw[part], skip, steps)
+                ids.append(done[done != pad])
+                words.append(np.repeat(part, n))
+                made += [(part[row], place, pair) for row, place, pair in steps or []]
+    for k in np.flatnonzero(size > LONG):
+        found = _agenda(v, symbols[begin[k] : begin[k] + size[k]], draw[k], skip)
+        ids.append(found)
+        words.append(np.full(len(found), k))
+    ids, words = _spelled_out(v, np.concatenate([*ids, np.empty(0, np.int32)]), np.concatenate([*words, np.empty(0, np.int64)]))
+    order = np.argsort(words, kind="stable")
+    made = [np.concatenate([m[k] for m in made]) for k in range(3)]
+    by = np.argsort(made[0], kind="stable")
+    return ids[order], np.bincount(words, minlength=len(size)), tuple(m[by] for m in made)
 
 
-def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndarray, dropout: float, seed: int, variants: int, known: Known | None = None, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndarray, dropout: float, seed: int, variants: int | None = None, known: Known | None = None, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts of a block, and where each text's begin; ``named`` is a hash of each text.
 
-    ``apart`` takes no two words for equal.
+    ``apart`` takes no two words for equal. ``variants`` has no effect: every occurrence draws for itself.
     """
     if not len(data):
         return np.empty(0, np.int32), np.zeros(len(at), np.int64)
@@ -281,41 +327,31 @@ def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndar
     np.cumsum(mix(points.astype(U) + U(1)) * power[: len(points)], out=sums[1:])
     word = mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(U))
     skip = int(dropout * 2**64) if dropout < 1 else 2**64 - 1
-    if skip:
-        count = np.diff(first)
-        nth = np.arange(len(word)) - np.repeat(first[:-1], count)
-        drawn = mix(np.repeat(named, count) + salt(seed) + nth.astype(U))
-        word = mix(word + salt(seed, 1)) + drawn % U(variants)
-    known = Known() if known is None or apart else known
-    draw, place = word, np.arange(len(word), dtype=U) if apart else word
-    key, where, which = np.unique(place, return_index=True, return_inverse=True)
+    count = np.diff(first)
+    nth = np.arange(len(word)) - np.repeat(first[:-1], count)
+    draw = mix(mix(np.repeat(named, count) + salt(seed) + nth.astype(U)) + salt(seed, 1))
+    symbols = v.chars[points]
+    if apart:
+        ids, n, _ = _encoded(v, symbols, start, size, draw, skip)
+        return ids, np.r_[0, np.cumsum(n)][first]
+    known = Known() if known is None else known
+    key, where, which = np.unique(word, return_index=True, return_inverse=True)
     if len(known.key) + len(key) > known.most:
         known.forget()
     new = known.missing(key)
-    size, begin, draw = size[where[new]], start[where[new]], draw[where[new]]
-    symbols = v.chars[points]
-
-    ids, words = [], []
-    for low, high in ((0, 4), (4, 8), (8, 16), (16, LONG)):
-        pick = np.flatnonzero((size > low) & (size <= high))
-        for part in np.array_split(pick, len(pick) // 30_000 + 1):
-            if len(part):
-                cols = np.arange(high)
-                grid = symbols[np.minimum(begin[part][:, None] + cols, len(symbols) - 1)]
-                grid = np.where(cols < size[part][:, None], grid, np.iinfo(np.int32).min).astype(np.int32)
-                done, n = _together(v, grid, draw[part], skip)
-                ids.append(done[done != np.iinfo(np.int32).min])
-                words.append(np.repeat(part, n))
-    for k in np.flatnonzero(size > LONG):
-        found = _agenda(v, symbols[begin[k] : begin[k] + size[k]], draw[k], skip)
-        ids.append(found)
-        words.append(np.full(len(found), k))
-    ids, words = _spelled_out(v, np.concatenate([*ids, np.empty(0, np.int32)]), np.concatenate([*words, np.empty(0, np.int64)]))
-    order = np.argsort(words, kind="stable")
-    known.add(key[new], ids[order], np.bincount(words, minlength=len(new)))
+    known.add(key[new], *_encoded(v, symbols, start[where[new]], size[where[new]], draw[where[new]], 0, merges=skip > 0))
     at_key = np.searchsorted(known.key, key)[which]
-    n = known.n[at_key]
-    return known.ids[_spread(known.begin[at_key], n)], np.r_[0, np.cumsum(n)][first]
+    n, begin, from_ = known.n[at_key], known.begin[at_key], known.ids
+    if skip:
+        merges = known.merges[at_key]
+        of, step = np.repeat(np.arange(len(word)), merges), _spread(known.from_[at_key], merges)
+        other = size > LONG  # their merges are not kept
+        other[of[_skipped(draw[of], known.place[step], known.pair[step], skip)]] = True
+        other = np.flatnonzero(other)
+        own, n_own, _ = _encoded(v, symbols, start[other], size[other], draw[other], skip)
+        n[other], begin[other] = n_own, len(from_) + np.cumsum(n_own) - n_own
+        from_ = np.concatenate([from_, own])
+    return from_[_spread(begin, n)], np.r_[0, np.cumsum(n)][first]
 
 
 def decode_block(v: Vocabulary, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +370,7 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, spelled: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, spelled: bool = False) -> DataFrame:
     """``(row, ids)``: each row of ``docs`` as a struct without its text, and the pieces of the whole text.
 
     ``dropout`` is the share of candidate merges that are skipped: 0 gives the vocabulary's usual
@@ -352,10 +388,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, dropout: flo
             power, inverse = _power(len(data) + 1)
             sums = np.r_[np.zeros(1, U), np.cumsum(mix(data.astype(U) + U(1)) * power[: len(data)])]
             named = mix((sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]])
-            ids, cuts = encode_block(v, data, at, named, dropout, seed, variants, known)
+            ids, cuts = encode_block(v, data, at, named, dropout, seed, known=known)
             again, at_again = decode_block(v, ids, cuts)
             if not (np.array_equal(again, data) and np.array_equal(at_again, at)):
-                ids, cuts = encode_block(v, data, at, named, dropout, seed, variants, apart=True)
+                ids, cuts = encode_block(v, data, at, named, dropout, seed, apart=True)
                 known.forget()
                 again, at_again = decode_block(v, ids, cuts)
             missing = rows.column("text").is_null()

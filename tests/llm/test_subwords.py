@@ -64,5 +64,13 @@ def test_known_words_and_words_apart_agree(vocabulary):
     assert again == [encoded(vocabulary, text, 0.2, apart=True)] * 3
 
 
+def test_every_occurrence_draws_its_own_skips(vocabulary):
+    text = ["understanding"] * 4000
+    found = encoded(vocabulary, text, 0.1)
+    kinds, usual = {tuple(x) for x in found}, encoded(vocabulary, text[:1], 0.0)[0]
+    assert len(kinds) > 20 and 0.2 < np.mean([x == usual for x in found]) < 0.8
+    assert found == encoded(vocabulary, text, 0.1, apart=True)
+
+
 def test_empty_table(spark):
     assert subwords.encode(spark.createDataFrame([], SCHEMA)).count() == 0
