@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
+#: Start tags that end an open paragraph, and elements that one is not looked for beyond.
+ENDS_P = HEADINGS | frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+KEEPS_P = frozenset("button caption html object table td template th".split())
 PURPOSES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr privacy notice notices alert "
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comment comments reply replies respond disqus discussion "
@@ -73,6 +77,7 @@ def _purpose(name: str, rest: str) -> bool:
 def blocks(page: str) -> Iterator[Block]:
     """The text blocks of a page in order, with the first pass's labels."""
     stack: list[tuple[str, bool, bool]] = []  # name, whether dropped, whether main text
+    opened = Counter()  # names on the stack
     dropped = main = links = 0
     text: list[tuple[str, bool]] = []
     heading = False
@@ -88,6 +93,26 @@ def blocks(page: str) -> Iterator[Block]:
             text.clear()
         heading = False
 
+    def implied(name: str) -> int:
+        """Height of the stack after the start tag ``name`` has ended what needs no end tag."""
+        height = len(stack)
+        if opened["p"] and name in ENDS_P:
+            for k in range(height - 1, -1, -1):
+                if stack[k][0] in KEEPS_P:
+                    break
+                if stack[k][0] == "p":
+                    height = k
+                    break
+        if name in HEADINGS and height and stack[height - 1][0] in HEADINGS:
+            height -= 1
+        same = ("li",) if name == "li" else ("dt", "dd") if name in ("dt", "dd") else ()
+        for k in range(height - 1, -1, -1) if any(opened[n] for n in same) else ():
+            if stack[k][0] in same:
+                return k
+            if stack[k][0] not in INLINE and stack[k][0] not in ("address", "div", "p"):
+                break
+        return height
+
     size = len(page)
     while at < size:
         token = TOKEN.search(page, at)
@@ -108,6 +133,7 @@ def blocks(page: str) -> Iterator[Block]:
             if any(n == name for n, _, _ in stack):
                 while stack:
                     n, d, m = stack.pop()
+                    opened[n] -= 1
                     dropped, main = dropped - d, main - m
                     if n == name:
                         break
@@ -120,6 +146,10 @@ def blocks(page: str) -> Iterator[Block]:
             yield from ended()
             links = 0
             heading = name in HEADINGS
+            for _ in range(len(stack) - implied(name)):
+                n, d, m = stack.pop()
+                opened[n] -= 1
+                dropped, main = dropped - d, main - m
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
@@ -136,6 +166,7 @@ def blocks(page: str) -> Iterator[Block]:
             if not drop:
                 continue
         stack.append((name, drop, name in MAIN))
+        opened[name] += 1
         dropped, main = dropped + drop, main + (name in MAIN)
     yield from ended()
 

@@ -25,6 +25,21 @@ def test_cases(page, text):
     assert "\n".join(html_text.main_blocks(page)) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p class=ad>buy<p>Real text</p></article>", "Real text"),
+        ("<article><p class=ad>buy <span class=share>now<div>Real text</div><p>More</article>", "Real text\nMore"),
+        ("<article><ul><li class=ad>buy<li>Real text</ul></article>", "Real text"),
+        ("<article><ul><li class=ad>buy<ul><li>inner</ul>buy<li>Real text</ul></article>", "Real text"),
+        ("<article><dl><dt class=ad>buy<dd>Real text</dl><h2 class=ad>buy<h3>Title</h3><p>More</article>", "Real text\nTitle\nMore"),
+        ("<article><div class=ad><p>buy<p>this</div><p>Real text</article>", "Real text"),
+    ],
+)
+def test_dropped_elements_without_an_end_tag_end_where_html_ends_them(page, text):
+    assert "\n".join(html_text.main_blocks(page)) == text
+
+
 def test_rows(spark):
     rows = [(i, "u", page) for i, (page, _) in enumerate(CASES)] + [(None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as row")
