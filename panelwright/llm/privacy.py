@@ -182,8 +182,10 @@ def disclosing_terms(docs: DataFrame, text: str, support: int = SUPPORT, thresho
         return seen.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "term", F.lit(0.0).alias("disclosure"))
 
     terms = written(seen.select("term").distinct(), "terms")
-    words = rows.select("h1", "h2", F.explode(_terms(F.col("text"))).alias("term"))
-    of_term = words.join(_sent(terms), "term").groupBy("term").agg(F.count_distinct("h1", "h2").alias("with_term"))
+    # Each of m copies of a text counts 1 / m, so texts need not meet to be counted once.
+    copies = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    words = rows.join(_sent(copies), ["h1", "h2"], "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(_terms(F.col("text"))).alias("term"))
+    of_term = words.join(_sent(terms), "term").groupBy("term").agg(F.round(F.sum(1 / F.col("copies"))).alias("with_term"))
     told = seen.join(of_term, "term")
     content = F.log2(F.lit(n) / F.col("with_entity"))
     mutual = F.log2(F.lit(n) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
