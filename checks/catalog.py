@@ -33,6 +33,7 @@ SELECT_X = (
     "acctbal", "cases", "pop", "CC_PER_CAPITA", "D_PER_CC", "O_q01_10", "O_q31_50",
     "F_q31_50", "share_disc_01", "share_disc_05",
 )
+SELECT_LAGS = (*SELECT_X, *sup.CASE_LAGS, *sup.DEATH_LAGS)
 DESCRIBED = {
     "measures": ("cases", "deaths"),
     "bands": tuple(SUPPLIER.bands),
@@ -292,11 +293,9 @@ def q_forward_selection(spark, sf):
     return rounded(op.forward_selection(_percapita(spark, sf), SELECT_Y, SELECT_X))
 
 
-
 def q_forward_selection_lags(spark, sf):
     """Candidates with NULLs at the start of every series: each model on its own rows."""
-    candidates = (*SELECT_X, *sup.CASE_LAGS, *sup.DEATH_LAGS)
-    return rounded(op.forward_selection(_percapita(spark, sf), SELECT_Y, candidates))
+    return rounded(op.forward_selection(_percapita(spark, sf), SELECT_Y, SELECT_LAGS))
 
 
 # Forecasts ---------------------------------------------------------------------------------
@@ -410,6 +409,18 @@ def q_forecast_trend_shape(spark, sf):
     return rounded(op.trend_concavity(_forecast(spark, sf)))
 
 
+def q_forecast_sparse(spark, sf):
+    """The few changes of slope of every nation's monthly series."""
+    series = panel_nation(spark, sf).select(*KEYS, F.col("cases").alias("y"))
+    return rounded(op.changepoints(series, trend="sparse"))
+
+
+def q_forecast_simulated(spark, sf):
+    """Forecasts with bands of simulated courses, the same from one seed."""
+    series = _train(spark, sf)
+    return rounded(op.forecast(series, trend="sparse", bands="simulated", seed=1))
+
+
 def q_forecast_suppliers(spark, sf):
     """Every supplier's monthly series forecast in one job."""
     series = _filtered(spark, sf).select(*KEYS, F.col("cases").alias("y"))
@@ -482,6 +493,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_changepoints": q_forecast_changepoints,
     "forecast_rmse": q_forecast_rmse,
     "forecast_trend_shape": q_forecast_trend_shape,
+    "forecast_sparse": q_forecast_sparse,
+    "forecast_simulated": q_forecast_simulated,
     "forecast_suppliers": q_forecast_suppliers,
     "forecast_error_model": q_forecast_error_model,
 }

@@ -431,6 +431,66 @@ SELECT step::INTEGER AS step, term, {_round('score', 'adj_r2')} FROM greedy
 WHERE step > 0 AND better"""
 
 
+def _forward_with_gaps() -> str:
+    """Greedy selection where candidates have NULLs: cross products of each pattern of NULLs, added up for each
+    candidate over the patterns that have it and the selected columns, and swept pivot by pivot."""
+    y, xs = cat.SELECT_Y, cat.SELECT_LAGS
+    k, m = len(xs), len(xs) + 2
+    cols = [*xs, y]
+    z = ["1.0::DOUBLE AS z1"] + [f"(x{i} - m{i}) / s{i} AS z{i + 1}" for i in range(1, k + 2)]
+    gram = _list("[" + _list(f"sum(coalesce(z{i} * z{j}, 0))" for j in range(1, m + 1)) + "]" for i in range(1, m + 1))
+    names = _list(f"'{x}'" for x in xs)
+
+    def each(body: str) -> str:
+        return f"list_transform(range(1, {m + 1}), lambda i: list_transform(range(1, {m + 1}), lambda j: {body}))"
+
+    def summed(wanted: str) -> str:
+        """A candidate's cross products over the patterns that lack none of ``wanted``."""
+        fit = f"list_filter(p, lambda q: len(list_filter({wanted}, lambda w: q.lacks[w])) = 0)"
+        return f"list_reduce(list_concat([{each('0.0::DOUBLE')}], list_transform({fit}, lambda q: q.a)), lambda s, t: {each('s[i][j] + t[i][j]')})"
+
+    def start(used: str) -> str:
+        left = f"list_filter(range(1, {k + 1}), lambda c: NOT list_contains({used}, c))"
+        return (
+            f"list_transform(list_transform({left}, lambda c: {{'c': c, 'a': {summed(f'list_append({used}, c)')}}}), "
+            "lambda x: {'c': x.c, 'a': x.a, 'n': x.a[1][1], 't': 0.0::DOUBLE, 'r': 0::BIGINT})"
+        )
+
+    swept = each(
+        """CASE WHEN i = x.v AND j = x.v THEN -1 / x.a[x.v][x.v] WHEN i = x.v THEN x.a[x.v][j] / x.a[x.v][x.v]
+        WHEN j = x.v THEN x.a[i][x.v] / x.a[x.v][x.v] ELSE x.a[i][j] - x.a[i][x.v] * x.a[x.v][j] / x.a[x.v][x.v] END"""
+    )
+    return f"""WITH RECURSIVE {PANEL_PERCAPITA},
+seen AS (SELECT {_list(f"{c}::DOUBLE AS x{i}" for i, c in enumerate(cols, 1))} FROM panel WHERE {y} IS NOT NULL),
+stats AS (SELECT {_list(f"avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) > 1e-12 THEN stddev_pop(x{i}) ELSE 1 END AS s{i}" for i in range(1, k + 2))} FROM seen),
+z AS (SELECT {_list(z)}, [{_list(f"x{i} IS NULL" for i in range(1, k + 1))}] AS lacks FROM seen, stats),
+patterns AS (SELECT lacks, [{gram}] AS a FROM z GROUP BY lacks),
+held AS (SELECT list({{'lacks': lacks, 'a': a}}) AS p FROM patterns),
+walk AS (
+  SELECT 0 AS step, []::BIGINT[] AS used, 0.0::DOUBLE AS best, true AS better, 1::BIGINT AS k, {start('[]::BIGINT[]')} AS cs FROM held
+  UNION ALL
+  SELECT step + CASE WHEN k > len(used) + 2 THEN 1 ELSE 0 END,
+    CASE WHEN k > len(used) + 2 AND top.score > best THEN list_append(used, top.c) ELSE used END,
+    CASE WHEN k > len(used) + 2 AND top.score > best THEN top.score ELSE best END,
+    k <= len(used) + 2 OR coalesce(top.score > best, false),
+    CASE WHEN k > len(used) + 2 THEN 1 ELSE k + 1 END,
+    CASE WHEN k > len(used) + 2 AND top.score > best THEN {start('list_append(used, top.c)')}
+      WHEN k > len(used) + 2 THEN cs
+      ELSE list_transform(
+        list_transform(cs, lambda x: {{'c': x.c, 'a': x.a, 'n': x.n, 't': x.t, 'r': x.r,
+          'v': CASE WHEN k = 1 THEN 1 WHEN k <= len(used) + 1 THEN used[k - 1] + 1 ELSE x.c + 1 END}}),
+        lambda x: {{'c': x.c, 'a': CASE WHEN x.a[x.v][x.v] > 1e-9 * x.n THEN {swept} ELSE x.a END, 'n': x.n,
+          't': CASE WHEN k = 1 THEN x.a[{m}][{m}] - x.a[1][{m}] * x.a[1][{m}] / x.a[1][1] ELSE x.t END,
+          'r': x.r + CASE WHEN x.a[x.v][x.v] > 1e-9 * x.n THEN 1 ELSE 0 END}}) END
+  FROM (
+    SELECT walk.*, p, CASE WHEN k > len(used) + 2 THEN list_max(list_transform(
+        list_filter(cs, lambda x: x.n > x.r AND x.t > 0),
+        lambda x: {{'score': round(1 - x.a[{m}][{m}] / x.t * (x.n - 1) / (x.n - x.r), 12), 'term': [{names}][x.c], 'c': x.c}})) END AS top
+    FROM walk, held WHERE better))
+SELECT step::INTEGER AS step, [{names}][used[step]] AS term, {_round('best', 'adj_r2')} FROM walk
+WHERE k = 1 AND better AND step > 0"""
+
+
 # Predictions by a line ---------------------------------------------------------------------
 
 
@@ -556,7 +616,8 @@ frame AS (
   SELECT entity_id, ds, is_future, n::BIGINT AS n_obs, sy / n AS y, scale * (trend + weekly) AS yhat,
     scale * (trend + weekly - {Z975} * sqrt(variance)) AS yhat_lower,
     scale * (trend + weekly + {Z975} * sqrt(variance)) AS yhat_upper,
-    scale * trend AS trend, scale * weekly AS weekly, 0.0::DOUBLE AS yearly, cps, b, scale, span FROM parts)
+    scale * trend AS trend, scale * weekly AS weekly, 0.0::DOUBLE AS yearly,
+    true AS converged, cps, b, scale, span FROM parts)
 {select}"""
 
 
@@ -565,7 +626,7 @@ _FRAME = ("y", "yhat", "yhat_lower", "yhat_upper", "trend", "weekly", "yearly")
 
 def _frame(train: str, keys: str = "entity_id, ", where: str = "true") -> str:
     cols = _list(_round(c, c) for c in _FRAME)
-    return _forecast(train, f"SELECT {keys}ds, is_future, n_obs, {cols} FROM frame WHERE {where}")
+    return _forecast(train, f"SELECT {keys}ds, is_future, n_obs, {cols}, converged FROM frame WHERE {where}")
 
 
 def _union() -> str:
@@ -661,6 +722,7 @@ FROM ({_corr(PANEL_LOG, sup.CORRELATED, sup.CORRELATED)}) GROUP BY var_x""",
     ),
     "ols_summary_fit": _fit_one_predictor(),
     "forward_selection": _forward(),
+    "forward_selection_lags": _forward_with_gaps(),
     "join_actual_pred": f"""WITH {TRAIN}, {_line_ctes('train')}
 SELECT entity_id, ds, y, {_round('yhat', 'yhat')} FROM predicted""",
     "forecast_error": f"""WITH {PANEL_LOG}, {_line_ctes('panel')}

@@ -1,8 +1,8 @@
 """Pairwise-complete second moments of many columns in one pass.
 
 Each task turns its Arrow batches into K x K matrices and emits one row; those rows are merged
-by a tree of fixed fan-in, so no task and not the driver ever sees more than ``FAN_IN`` K x K
-matrices of a key at once, whatever the number of rows and tasks. Matrices are
+by a tree of fixed fan-in, as high as their number asks for, so no task and not the driver ever sees more than
+``FAN_IN`` K x K matrices of a key at once, whatever the number of rows and tasks. Matrices are
 centred where they are made and merged with the parallel update of Chan, Golub & LeVeque
 (1983), so no precision is lost on columns with a large mean, and no earlier pass is needed
 to find the means.
@@ -16,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FAN_IN = 64
-#: Levels of the tree: 64^4 = 16.8 million tasks meet in 64 groups of 64 groups of ... of one.
-LEVELS = 3
+#: Bytes up to which the last matrices are merged on the driver.
+COLLECTED = 64 << 20
 SCHEMA = "key string, part int, payload binary"
 
 
@@ -136,11 +136,19 @@ def merged(rows: DataFrame, kind: type) -> dict:
             {"key": group["key"].iloc[:1], "part": group["part"].iloc[:1], "payload": total.to_bytes()}
         )
 
-    for _ in range(LEVELS):
-        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-        rows = rows.groupBy("key", "part").applyInPandas(merge, SCHEMA)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        tasks, size = rows.agg(F.max("part") + 1, F.sum(F.length("payload"))).first()
+        top = rows
+        while (tasks or 0) > FAN_IN or (tasks or 0) > 1 and size > COLLECTED:
+            top = top.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+            top = top.groupBy("key", "part").applyInPandas(merge, SCHEMA)
+            tasks, size = -(-tasks // FAN_IN), size // FAN_IN
+        found = top.collect()
+    finally:
+        rows.unpersist()
     out: dict = {}
-    for row in rows.collect():
+    for row in found:
         part = kind.from_bytes(row["payload"])
         out[row["key"]] = out[row["key"]] + part if row["key"] in out else part
     return out

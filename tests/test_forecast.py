@@ -1,4 +1,5 @@
 import datetime
+import importlib
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from panelwright import operators as op
 from panelwright.operators.forecast import _Series
 from panelwright.plans import workflow as wf
 
+forecast_module = importlib.import_module("panelwright.operators.forecast")
 EPOCH_DAY0 = (np.datetime64(DAY0) - np.datetime64(0, "D")).astype(int)
 
 
@@ -232,3 +234,122 @@ def test_error_model_of_chosen_entities_and_dates(spark):
     pdf = df.join(fitted.where("not is_future").select("entity_id", "ds", "yhat"), ["entity_id", "ds"]).toPandas()
     slope = np.polyfit(pdf.x, pdf.y - pdf.yhat, 1)[0]
     assert model.coef.where("term = 'x'").first().coef == pytest.approx(slope, rel=1e-6)
+
+
+# Balance, sparse changepoints and simulated bands ------------------------------------------
+
+
+def simulated_series(rng, kind, n):
+    d = np.arange(n)
+    return {
+        "constant": lambda: np.full(n, 3.3),
+        "zero": lambda: np.zeros(n),
+        "line": lambda: 1.5 + 0.3 * d,
+        "exponential": lambda: np.exp(0.02 * d),
+        "counts": lambda: rng.poisson(2, n).astype(float),
+        "spikes": lambda: np.where(rng.random(n) < 0.02, 1e6, 1.0),
+        "noise": lambda: rng.normal(0, 1e-3, n),
+        "wave": lambda: 50 + 6 * np.sin(2 * np.pi * d / 7) + rng.normal(0, 8, n),
+    }[kind]()
+
+
+@pytest.mark.parametrize("kind", ["constant", "zero", "line", "exponential", "counts", "spikes", "noise", "wave"])
+def test_every_series_settles(kind):
+    """2,500 series of each kind, gaps and single dates included."""
+    rng = np.random.default_rng(len(kind))
+    for k in range(2500):
+        n = int(rng.integers(1, 60)) if k % 10 else int(rng.integers(60, 400))
+        days = 19_000 + (np.arange(n) if k % 2 else np.sort(rng.choice(3 * n, n, replace=False)))
+        y = simulated_series(rng, kind, n)
+        fitted = _Series(days, np.ones(n), y, y**2, np.abs(y).max(), 0.5, "sparse" if k % 10 == 3 else "smooth")
+        assert fitted.converged and np.isfinite(fitted.beta).all() and fitted.sigma2 >= 0
+        assert np.isfinite(fitted.predict(np.r_[days, days[-1] + 5], 0.95)).all()
+
+
+def test_the_balance_is_a_fixed_point():
+    rng = np.random.default_rng(8)
+    days = np.arange(120)
+    y = 5 + 0.2 * days + rng.normal(0, 2, 120)
+    fitted = _Series(days, np.ones(120), y, y**2, np.abs(y).max(), 0.5)
+    x = fitted.design(days)
+    penalty = np.zeros(x.shape[1])
+    penalty[2 : 2 + len(fitted.changepoints)] = fitted.sigma2 / 0.25
+    inverse = np.linalg.inv(x.T @ x + np.diag(penalty))
+    beta = inverse @ x.T @ (y / fitted.scale)
+    rss = ((y / fitted.scale - x @ beta) ** 2).sum()
+    assert fitted.sigma2 == pytest.approx(rss / (120 - np.trace(inverse @ x.T @ x)), rel=1e-8)
+
+
+def kinked(rng, n, noise, at=None):
+    """A series with one change of slope, and its fit with few changes."""
+    days = np.arange(n)
+    at = n // 3 if at is None else at
+    y = 5 + 0.1 * days + np.maximum(days - at, 0) + rng.normal(0, noise, n)
+    return _Series(days, np.ones(n), y, y**2, np.abs(y).max(), 0.5, "sparse")
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.5, 2.0])
+def test_one_planted_kink_gives_few_changes(noise):
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        fitted = kinked(rng, 150, noise)
+        changed = np.flatnonzero(fitted.deltas)
+        assert 1 <= len(changed) <= 3
+        assert np.abs(fitted.changepoints[changed] - 50).min() <= 8
+        assert fitted.deltas.sum() == pytest.approx(1.0, abs=0.15)
+    flat = [_Series(np.arange(120), np.ones(120), y, y**2, np.abs(y).max(), 0.5, "sparse") for y in rng.normal(20, 2, (40, 120))]
+    assert np.mean([(f.deltas != 0).sum() for f in flat]) < 0.2
+
+
+def test_soft_threshold_equals_coordinate_descent():
+    rng = np.random.default_rng(10)
+    a = rng.normal(size=(30, 4))
+    left, lean = a.T @ a, rng.normal(size=4) * 8
+    size = np.linalg.solve(left, lean)
+    for threshold in (0.0, 0.3, 3.0, 1e3):
+        got, done = forecast_module._soft(left, lean, threshold, size)
+        assert done
+        pull = lean - left @ got
+        np.testing.assert_allclose(pull[got != 0], threshold * np.sign(got[got != 0]), atol=1e-8)
+        assert (np.abs(pull[got == 0]) <= threshold + 1e-8).all()
+
+
+@pytest.mark.parametrize("trend,kink", [("smooth", 0.0), ("smooth", 1.0), ("sparse", 1.0)])
+def test_simulated_bands_cover_the_future(trend, kink):
+    rng = np.random.default_rng(7)
+    days = np.arange(19_700, 19_700 + 164)
+    hits = []
+    for k in range(150):
+        i = np.arange(len(days))
+        y = 50 + 0.4 * i + kink * np.maximum(i - 70, 0) + 6 * np.sin(2 * np.pi * days / 7) + rng.normal(0, 8, len(days))
+        train = y[:150]
+        fitted = _Series(days[:150], np.ones(150), train, train**2, np.abs(train).max(), 0.5, trend)
+        yhat, lower, upper, *_ = fitted.predict(days[150:], 0.95, np.random.default_rng(k))
+        assert (lower < yhat).all() and (yhat < upper).all()
+        hits.append(((y[150:] >= lower) & (y[150:] <= upper)).mean())
+    assert 0.93 <= np.mean(hits) <= 0.98
+
+
+def test_simulated_and_normal_bands_agree_where_no_change_is_to_come():
+    rng = np.random.default_rng(12)
+    days = np.arange(100)
+    y = rng.normal(20, 3, 100)
+    fitted = _Series(days, np.ones(100), y, y**2, np.abs(y).max(), 0.5)
+    _, low, high, *_ = fitted.predict(days, 0.95)
+    _, low_drawn, high_drawn, *_ = fitted.predict(days, 0.95, np.random.default_rng(1), 20_000)
+    np.testing.assert_allclose(high_drawn - low_drawn, high - low, rtol=0.05)
+
+
+def test_a_seed_gives_the_same_bands_at_any_partitioning(spark, shuffle_partitions):
+    df = line_wave(spark, 40).withColumn("y", F.col("y") + F.hash("ds", "entity_id") % 3)
+    frames = []
+    for n in (1, 5):
+        shuffle_partitions(n)
+        frames.append(op.forecast(df.repartition(n), bands="simulated", trend="sparse", seed=3).orderBy("entity_id", "ds").toPandas())
+    np.testing.assert_allclose(frames[0].yhat_lower, frames[1].yhat_lower, rtol=1e-9)
+    other = op.forecast(df, bands="simulated", trend="sparse", seed=4).orderBy("entity_id", "ds").toPandas()
+    assert frames[0].converged.all() and (frames[0].yhat_lower != other.yhat_lower).any()
+    with pytest.raises(ValueError):
+        op.forecast(df, trend="other")
+    with pytest.raises(ValueError):
+        op.changepoints(df, trend="other")

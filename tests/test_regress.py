@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright import operators as op
 from panelwright.functions import distributions as dist
+from panelwright.operators import selection
 from panelwright.operators.factors import Factor
 from panelwright.operators.regress import _omnibus, solve
 
@@ -301,3 +303,33 @@ def test_selection_over_many_candidates_with_nulls(spark):
     pdf = pdf.mask(rng.random(pdf.shape) < 0.02)
     got = op.forward_selection(to_spark(spark, pdf).select("y", "c07", "c31", *[f"c{i:02d}" for i in range(8, 31)]), "y").orderBy("step").collect()
     assert [r.term for r in got][:2] in (["c07", "c31"], ["c31", "c07"])
+
+
+def test_selection_from_hundreds_of_candidates_stays_off_the_decompositions():
+    """Each step is one projection: 300 candidates take seconds on the driver."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 300))
+    x[:, 299] = x[:, :3].sum(axis=1)
+    y = x[:, :40] @ np.linspace(1, 2, 40) + rng.normal(size=900)
+    names = [f"c{i:03d}" for i in range(300)]
+    factors = {"0" * 300: Factor.of(np.column_stack([y, x]))}
+    start = time.perf_counter()
+    steps = selection._greedy(names, selection._Scores(["y", *names], factors, None))
+    assert time.perf_counter() - start < 10
+    assert {t for _, t, _ in steps} >= set(names[3:40]) and len(steps) < 300
+    pdf = pd.DataFrame(x, columns=names)
+    for k in (0, 20, 60, len(steps) - 1):
+        chosen = [t for _, t, _ in steps[: k + 1]]
+        assert steps[k][2] == pytest.approx(adj_r2(pd.Series(y), [pdf[c] for c in chosen]), abs=1e-10)
+
+
+@pytest.mark.parametrize("patterns", [1, 4, 1024])
+def test_selection_holds_common_patterns_and_reads_the_others(spark, monkeypatch, patterns):
+    monkeypatch.setattr(selection, "PATTERNS", patterns)
+    pdf = selection_frame(5)
+    pdf.loc[:39, ["a", "b"]] = np.nan
+    pdf.loc[40:79, ["d"]] = np.nan
+    got = op.forward_selection(to_spark(spark, pdf), "y").orderBy("step").collect()
+    want = brute_force(pdf, "y", list("abcdef"))
+    assert [r.term for r in got] == [t for t, _ in want]
+    np.testing.assert_allclose([r.adj_r2 for r in got], [s for _, s in want], atol=1e-10)
