@@ -14,6 +14,7 @@ removed, in the texts that hold the entity.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,15 @@ from panelwright.llm.scratch import written
 #: which spares the search quadratic time on long runs; a number is tested for length by the pattern itself.
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-STRIDE = 256
+#: Matches whose places are added up together, so that a text of n of them takes n times this and not n squared.
+STRIDE = 128
 WORD = r"[\p{L}\p{M}\p{N}_'’-]+"
 #: Surroundings in which a term must be seen with an entity.
 SUPPORT = 3
@@ -44,24 +46,55 @@ GENERALISE, REMOVE = 0.8, 0.95
 SMALL = 100_000
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches, leftmost and not overlapping: ``array<struct<start, end, value>>`` in code points, end exclusive."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sides = F.split(text, pattern, -1)
-    steps = F.transform(values, lambda v, k: F.struct(v.alias("value"), F.char_length(F.get(sides, k)).alias("gap"), F.char_length(v).alias("size")))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRIDE).cast("int")),
-        lambda b: F.aggregate(F.slice(steps, b * STRIDE + 1, STRIDE), F.lit(0), lambda a, s: a + s["gap"] + s["size"]),
-    )
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of the values, each worked out once; in a lambda an expression is worked out for every element."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body), F.lit(0))
+
+
+def _blocks(size: Column) -> Column:
+    """Numbers of the blocks of ``STRIDE`` elements; one for none."""
+    return F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / STRIDE).cast("int"))
+
+
+def _block(elements: Column, b: Column) -> Column:
+    return F.slice(elements, b * STRIDE + 1, STRIDE)
+
+
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All matches, leftmost and not overlapping: ``array<struct<start, end, value>>`` in code points, end exclusive.
+
+    With ``keep`` only those whose value it is true of.
+    """
 
-    def span(s: Column, k: Column, steps: Column, sums: Column) -> Column:
-        block = F.floor(k / STRIDE).cast("int")
-        before = F.aggregate(F.slice(sums, 1, block), F.lit(0), lambda a, x: a + x)
-        before = before + F.aggregate(F.slice(steps, block * STRIDE + 1, k - block * STRIDE), F.lit(0), lambda a, x: a + x["gap"] + x["size"])
-        return F.struct((before + s["gap"]).alias("start"), (before + s["gap"] + s["size"]).alias("end"), s["value"].alias("value"))
+    def length(steps: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda a, s: a + s["gap"] + s["size"])
 
-    made = F.transform(F.array(F.struct(steps.alias("steps"), sums.alias("sums"))), lambda x: F.transform(x["steps"], lambda s, k: span(s, k, x["steps"], x["sums"])))
-    return F.when(F.size(values) > 0, F.get(made, F.lit(0))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def spans(steps: Column, before: Column) -> Column:
+        numbered = F.transform(steps, lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+        if keep is not None:
+            numbered = F.filter(numbered, lambda x: keep(x["s"]["value"]))
+
+        def span(x: Column) -> Column:
+            start = before + length(F.slice(steps, F.lit(1), x["k"])) + x["s"]["gap"]
+            return F.struct(start.alias("start"), (start + x["s"]["size"]).alias("end"), x["s"]["value"].alias("value"))
+
+        return F.transform(numbered, span)
+
+    def placed(x: Column) -> Column:
+        of_blocks = F.transform(_blocks(F.size(x["steps"])), lambda b: _block(x["steps"], b))
+        return _let(
+            lambda y: F.flatten(F.transform(y["blocks"], lambda steps, b: spans(steps, F.aggregate(F.slice(y["sums"], F.lit(1), b), F.lit(0), lambda a, n: a + n)))),
+            blocks=of_blocks,
+            sums=F.transform(of_blocks, length),
+        )
+
+    step = F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        F.split(text, pattern, -1),
+        lambda v, gap: F.struct(v.alias("value"), F.char_length(gap).alias("gap"), F.char_length(v).alias("size")),
+    )
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.coalesce(_let(placed, steps=F.filter(step, lambda s: s["value"].isNotNull())), none)
 
 
 def _digits(value: Column) -> Column:
@@ -115,10 +148,14 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of its spans."""
+    return sanitised(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("put"))))
+
+
 def _terms(text: Column) -> Column:
     """The distinct words and numbers of a whole text outside its entities."""
-    blanks = F.transform(entities(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("put")))
-    return F.array_distinct(F.transform(F.regexp_extract_all(sanitised(text, blanks), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_blanked(text, entities(text)), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
 def _sent(table: DataFrame) -> DataFrame:
@@ -201,18 +238,56 @@ def disclosing_terms(docs: DataFrame, text: str, support: int = SUPPORT, thresho
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with its spans replaced by the names of their kinds, or by nothing where the value to put is empty.
 
-    ``spans`` has ``start``, ``end`` and ``put``; of overlapping spans the first counts.
+    ``spans`` has ``start``, ``end`` and ``put`` and is sorted; of overlapping spans the first counts.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        start,
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["put"]).alias("out")),
-        ).otherwise(a),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    kind = "array<struct<start:int,end:int,put:string>>"
+
+    def apart(spans: Column, at: Column) -> Column:
+        """Those that begin where the one before has ended, and the last end."""
+        state = F.struct(at.alias("at"), F.array().cast(kind).alias("kept"))
+        return F.aggregate(
+            spans,
+            state,
+            lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a),
+        )
+
+    def kept(x: Column) -> Column:
+        def more(a: Column, b: Column) -> Column:
+            return _let(lambda y: F.struct(y["new"]["at"].alias("at"), F.concat(y["kept"], F.array(y["new"]["kept"])).alias("kept")), new=apart(_block(x["spans"], b), a["at"]), kept=a["kept"])
+
+        state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("kept"))
+        return F.flatten(F.aggregate(_blocks(F.size(x["spans"])), state, more)["kept"])
+
+    def end(spans: Column, k: Column) -> Column:
+        """Where the k-th span ends, counted from 1; 0 before the first."""
+        return F.when(k > 0, F.get(spans, k - 1)["end"]).otherwise(0)
+
+    def part(spans: Column, b: Column) -> Column:
+        """The text of a block of spans, put together from that part of the text alone."""
+        first = end(spans, b * STRIDE)
+        last = end(spans, F.least((b + 1) * STRIDE, F.size(spans)))
+        return _let(
+            lambda y: F.array_join(
+                F.transform(
+                    y["here"],
+                    lambda s, k: _let(
+                        lambda z: F.concat(F.substring(y["text"], z["from"] - y["first"] + 1, s["start"] - z["from"]), s["put"]),
+                        **{"from": F.when(k > 0, F.get(y["here"], k - 1)["end"]).otherwise(y["first"])},
+                    ),
+                ),
+                "",
+            ),
+            here=_block(spans, b),
+            first=first,
+            text=F.substring(text, first + 1, last - first),
+        )
+
+    def joined(x: Column) -> Column:
+        tail = F.substring(text, end(x["spans"], F.size(x["spans"])) + 1, F.char_length(text))
+        return F.concat(F.array_join(F.transform(_blocks(F.size(x["spans"])), lambda b: part(x["spans"], b)), ""), tail)
+
+    typed = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["put"].cast("string").alias("put")))
+    return F.when(F.size(spans) > 0, _let(lambda x: _let(joined, spans=kept(x)), spans=typed)).otherwise(text)
 
 
 def personal_data(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
@@ -225,16 +300,18 @@ def personal_data(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     told = written(disclosing_terms(docs, text, **limits), "disclosing")
-    rows = rows.withColumn("entities", entities(F.col("text")))
+    # Generated, so that no column built on them works them out again.
+    rows = rows.select("row", "text", F.explode(F.array(entities(F.col("text")))).alias("entities"))
     if told.isEmpty():
         rows = rows.withColumn("terms", F.lit(None).cast("map<string,double>"))
     else:
         told = written(told.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("terms")), "disclosing")
         key = (F.xxhash64("text") == F.col("h1")) & (F.xxhash64(F.lit(1), "text") == F.col("h2"))
         rows = rows.join(F.broadcast(told) if told.count() <= SMALL // 10 else told, key, "left")
-    hits = F.filter(located(F.col("text"), WORD), lambda s: F.map_contains_key("terms", F.lower(s["value"])))
-    clear = F.filter(_as_kind(hits, "term"), lambda s: ~F.exists("entities", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
-    rows = rows.withColumn("spans", F.when(F.col("terms").isNull(), F.col("entities")).otherwise(F.sort_array(F.concat("entities", clear))))
+    hits = located(_blanked(F.col("text"), F.col("entities")), WORD, lambda v: F.map_contains_key("terms", F.lower(v)))
+    clear = _as_kind(hits, "term")
+    spans = F.when(F.col("terms").isNull(), F.col("entities")).otherwise(F.sort_array(F.concat("entities", clear)))
+    rows = rows.withColumn("spans", F.explode(F.array(spans)))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     put = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when((s["kind"] == KINDS.index("term")) & (F.element_at("terms", F.lower(s["value"])) >= REMOVE), F.lit("")).otherwise(F.get(tags, s["kind"])).alias("put")))
     return rows.select("row", "entities", "spans", sanitised(F.col("text"), put).alias("clean"))

@@ -113,3 +113,34 @@ def test_nulls_and_empty_tables(spark):
     rows = privacy.personal_data(corpus(spark, [None, None], [None, None])).collect()
     assert [(r.entities, r.spans, r.clean) for r in rows] == [([], [], "")] * 2
     assert privacy.personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_with_many_matches_and_terms(spark):
+    """Twenty thousand words: places are added up in blocks, and only the text's own terms are placed."""
+    rng = np.random.default_rng(11)
+    few = leaky(rng, 12)
+    mails = " ".join(f"é {w}@mail{k}.org" for k, w in enumerate(words(rng, 9000, 10**6)))
+    dots = "a@" + "b." * 20_000 + "c " + "1" * 60_000 + " 1.2.3" * 3000
+    long = " ".join(words(rng, 20_000, 10**6)) + " Zanthor said jo@mail.org and Quill went Zanthor"
+    texts = [*few, mails, dots, long]
+    rows = {r.row.doc_id: r for r in privacy.personal_data(corpus(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.start, s.kind, s.end) for s in rows[i].entities] == brute(t)
+    found = [long[s.start : s.end] for s in rows[14].spans]
+    assert found == ["Zanthor", "jo@mail.org", "Quill", "Zanthor"]
+    assert rows[14].clean.endswith(long[-48:].replace("Zanthor", "").replace("jo@mail.org", "[EMAIL]").replace("Quill", ""))
+    assert rows[12].clean.count("[EMAIL]") == 9000 and len(rows[12].spans) == 9000
+
+
+def test_overlapping_spans_count_once_in_blocks(spark):
+    n = 1000
+    text = "".join(chr(97 + k % 26) for k in range(4 * n)) + "é"
+    given = [(4 * k, 4 * k + 5 if k % 3 == 0 else 4 * k + 2, str(k % 10)) for k in range(n)]
+    df = spark.createDataFrame([(text, given), ("abc", [])], "text string, spans array<struct<start:int,end:int,put:string>>")
+    want, at = "", 0
+    for a, b, put in given:
+        if a >= at:
+            want += text[at:a] + put
+            at = b
+    got = [r.s for r in df.select(privacy.sanitised(F.col("text"), F.col("spans")).alias("s")).collect()]
+    assert got == [want + text[at:], "abc"]
