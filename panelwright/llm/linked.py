@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.scratch import written
+from panelwright.llm.scratch import drop, held_by, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of the edges ``(u, v)``; a component is named by its least node.
 
-    Minima are combined before each shuffle and no neighbourhood is gathered, so a node with very
-    many edges costs no more than as many edges elsewhere. Each round is written to the shared
-    folder. Nodes without an edge to another node are left out, and so are null ones.
+    Minima are combined before each shuffle and no neighbourhood is gathered; the edges of a node that very many others
+    share meet in one join, which adaptive execution splits. Each round is written to the shared
+    folder and replaces the one before. Nodes without an edge to another node are left out, and so are null ones.
     """
     now = written(edges.where("u != v").select("u", "v").distinct(), "edges")
     mark = None
@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-        now = written(_small(_large(now).distinct()).distinct(), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        before, now = now, written(_small(_large(now).distinct()).distinct(), "edges")
+        drop(before)
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    return held_by(found, now)

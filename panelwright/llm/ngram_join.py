@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.linked import components
-from panelwright.llm.scratch import shuffle_width, written
+from panelwright.llm.scratch import drop, held_by, looked_up, shuffle_width, written
 from panelwright.llm.tokens import mix, pieces, salt, shingles, word_hashes, words
 
 U = np.uint64
 #: Texts under one key, up to which pairs between its components are simply tested.
 WIDE = 256
+#: Texts of a key that are compared in one task with those of one more block.
+BLOCK = 2048
 #: Texts for each task, at least, where Python works on keys and pairs.
 TEXTS = 2000
 #: How often texts under such keys are allotted other segments before what is left goes to the second index.
@@ -170,47 +172,71 @@ def _may_agree(percent: int):
     return run
 
 
+def _parities(grid: np.ndarray) -> np.ndarray:
+    """Whether each count is odd, packed; counts held at 255 are taken as even."""
+    bits = np.packbits((grid & 1).astype(bool) & (grid < 255), axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(U)
+
+
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one key's sets in different components that sizes and counts do not rule out.
 
-    Rows ``(bucket, id, component, n, counts, percent)`` come key by key. Sets are compared in blocks; no pair
+    Rows ``(bucket, low, high, side, id, component, n, counts, percent)`` come pair of blocks by pair of blocks; of two blocks
+    only texts of different sides are compared. Two sets differ by no less than their counts do, and those by no less than
+    the number of counts of which just one is odd, which a few machine words tell. No pair
     leaves the task but those found.
     """
     held: list[tuple] = []
     last, out = None, [np.empty((0, 2), np.int64)]
 
+    def halved(grid: np.ndarray) -> np.ndarray:
+        """Neighbouring segments are one at half the number."""
+        return np.minimum(grid.reshape(len(grid), -1, 2).sum(2), 255)
+
     def compare():
-        ids, component, n = (np.array([h[k] for h in held], np.int64) for k in range(3))
-        percent = held[0][4]
-        kinds = np.array([len(h[3]) for h in held])
+        side, ids, component, n = (np.array([h[k] for h in held], np.int64) for k in range(4))
+        percent, single = held[0][5], last[1] == last[2]
+        kinds = np.array([len(h[4]) for h in held])
         levels = {b: np.flatnonzero(kinds == b) for b in sorted(set(kinds.tolist()))}
-        grids = {b: np.stack([np.frombuffer(held[x][3], np.uint8) for x in at]).astype(np.int16) for b, at in levels.items()}
+        grids = {b: np.stack([np.frombuffer(held[x][4], np.uint8) for x in at]).astype(np.int16) for b, at in levels.items()}
         for b, at in levels.items():
+            own, odd = grids[b], _parities(grids[b])
+            full = (own >= 255).any()
             for c, other in levels.items():
                 if c < b:
                     continue
                 far = grids[c]
-                while far.shape[1] > b:  # neighbouring segments are one at half the number
-                    far = np.minimum(far.reshape(len(far), -1, 2).sum(2), 255)
-                side = max(1, int((4_000_000 // b) ** 0.5))
-                for i in range(0, len(at), side):
-                    for j in range(i if c == b else 0, len(other), side):
-                        p, q = at[i : i + side], other[j : j + side]
+                while far.shape[1] > b:
+                    far = halved(far)
+                odd_far = _parities(far)
+                exact = not full and not (far >= 255).any()  # the parities of counts held at 255 are not known
+                for i in range(0, len(at), 512):
+                    for j in range(i if c == b else 0, len(other), 512):
+                        p, q = at[i : i + 512], other[j : j + 512]
                         total = n[p][:, None] + n[q][None, :]
                         near = (component[p][:, None] != component[q][None, :]) & (100 * np.minimum(n[p][:, None], n[q][None, :]) >= percent * np.maximum(n[p][:, None], n[q][None, :]))
-                        if near.any():
-                            gap = np.abs(grids[b][i : i + side][:, None, :] - far[j : j + side][None, :, :]).sum(2, dtype=np.int64)
-                            x, y = np.nonzero(near & (gap * (100 + percent) <= (100 - percent) * total))
-                            u, v = ids[p[x]], ids[q[y]]
+                        if not single:
+                            near &= side[p][:, None] != side[q][None, :]
+                        if exact and near.any():
+                            least = np.zeros(near.shape, np.int64)
+                            for k in range(odd.shape[1]):
+                                least += np.bitwise_count(odd[i : i + 512, k][:, None] ^ odd_far[j : j + 512, k][None, :])
+                            near &= least * (100 + percent) <= (100 - percent) * total
+                        x, y = np.nonzero(near)
+                        for low in range(0, len(x), 1 << 16):
+                            a, d = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
+                            gap = np.abs(own[i + a] - far[j + d]).sum(1, dtype=np.int64)
+                            fits = gap * (100 + percent) <= (100 - percent) * total[a, d]
+                            u, v = ids[p[a[fits]]], ids[q[d[fits]]]
                             out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
 
     for rows in batches:
-        for r in zip(*(rows.column(c).to_pylist() for c in ("bucket", "id", "component", "n", "counts", "percent")), strict=True):
-            if r[0] != last and held:
+        for r in zip(*(rows.column(c).to_pylist() for c in ("bucket", "low", "high", "side", "id", "component", "n", "counts", "percent")), strict=True):
+            if r[:3] != last and held:
                 compare()
                 held = []
-            last = r[0]
-            held.append(r[1:])
+            last = r[:3]
+            held.append(r[3:])
         if sum(map(len, out)) > 1_000_000:
             out = [np.unique(np.concatenate(out), axis=0)]
     if held:
@@ -456,9 +482,9 @@ def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int, tasks:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an ``id`` of ``ids``, without moving texts where the ids are few."""
+    """The rows of ``docs`` with an ``id`` of ``ids``, without moving texts where the ids are few; holds a table of the ids."""
     ids = written(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id")
+    return held_by(docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id"), ids)
 
 
 def _agree(percent: int):
@@ -479,16 +505,19 @@ def _agree(percent: int):
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """The pairs ``(u, v)`` whose shingle sets are similar enough, tested on the whole sets."""
     if pairs.isEmpty():
-        return pairs
+        return pairs.select("u", "v")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = written(_only(docs, ids).mapInArrow(_sets(width), "id long, set binary"), "sets")
+    texts = _only(docs, ids)
+    sets = written(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("set_b"))
-    return written(pairs.join(a, "u").join(b, "v").coalesce(tasks).mapInArrow(_agree(percent), "u long, v long"), "links")
+    links = written(pairs.join(a, "u").join(b, "v").coalesce(tasks).mapInArrow(_agree(percent), "u long, v long"), "links")
+    drop(texts, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """``(doc_id, n_shingles, set_id, component_id)`` of each row, all long.
+    """``(doc_id, n_shingles, set_id, component_id)`` of each row, all long; ids are whole numbers.
 
     ``n_shingles`` counts the distinct shingles of ``width`` words of the whole text, A-Z taken as
     a-z. A text with fewer words is one shingle; a text without words (null, empty or white
@@ -504,53 +533,69 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     parts = shuffle_width(spark, docs, "text", 16)
     sizes = written(docs.mapInArrow(_sizes(width), _SIZES), "sizes")
     common = _common(sizes)
-    sizes = sizes.where("n >= 0")
-    tasks = max(8, sizes.count() // TEXTS)  # fewer would hold too much, more would be idle
-    first = sizes.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("set_id"))
-    sets = written(sizes.join(first, ["n", "d1", "d2"], "left").select("id", "n", F.coalesce("set_id", "id").alias("set_id")), "ids")
-    same = sets.where("n > 0 and id != set_id").select(F.col("id").alias("u"), F.col("set_id").alias("v"))
+    rows = sizes.where("n >= 0")
+    n_rows = rows.count()
+    tasks = max(8, n_rows // TEXTS)  # fewer would hold too much, more would be idle
+    digest = ["d1", "d2", "n"]
+    first = written(rows.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("set_id"), F.count("*").alias("copies")), "first")
+    sets = looked_up(rows.select("id", *digest), first, digest, n_rows)
+    sets = written(sets.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("set_id", "id")).alias("set_id")), "ids")
+    leaders = first.select(F.col("set_id").alias("id"), *digest)
+    held = rows.join(F.broadcast(leaders) if leaders.count() <= SMALL else leaders, ["id", *digest])
+    counts = written(held.groupBy("id", *digest).agg(F.first("counts").alias("counts")).select("id", "n", "counts"), "counts")
+    drop(sizes)
     named = docs.where("id is not null")
-    linked = written(same, "links")
-    to = sets.where("n > 0 and id is not null").select("id", "set_id", "n").distinct()
-    counts = sizes.where("n > 0 and id is not null").join(to.where("id = set_id").select("id", "n"), ["id", "n"], "left_semi").select("id", "n", "counts").dropDuplicates(["id", "n"])
+    # Links are between sets, each by its least id; an id with several sets ties them.
+    known = sets.where("id is not null")
+    tied = known.groupBy("id").agg(F.min("set_id").alias("u"), F.max("set_id").alias("low")).where("u != low").select("id", "u")
+    linked = written(known.join(tied, "id").where("u != set_id").select("u", F.col("set_id").alias("v")).distinct(), "links")
+    to = written(known.where("n > 0").select("id", "set_id", "n").distinct(), "to")
 
     def possible(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "met")
+        wanted = _only(counts, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+        there = written(wanted, "counts")
         for side in ("u", "v"):
-            pairs = pairs.join(counts.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side)
-        return pairs.coalesce(tasks).mapInArrow(_may_agree(percent), "u long, v long").distinct()
+            pairs = held_by(pairs.join(there.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side), pairs)
+        out = written(pairs.coalesce(tasks).mapInArrow(_may_agree(percent), "u long, v long").distinct(), "pairs")
+        drop(pairs, wanted, there)
+        return out
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
 
     tested, rounds = None, 0
     texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
     while True:
         lists = _candidates(texts, scheme, width, parts, tasks)
-        gone = lists.where("leader is null").select(F.explode("members").alias("id"))
-        lists = lists.where("leader is not null")
-        led = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v"))
-        pairs = written(possible(_similar_sizes(led, to, percent)), "pairs")
-        if tested is not None:
-            pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        gone = written(lists.where("leader is null").select(F.explode("members").alias("id")).distinct(), "gone")
+        led = lists.where("leader is not null").select(F.col("leader").alias("u"), F.explode("members").alias("v"))
+        met = possible(_similar_sizes(led, to, percent))
+        pairs = written(untested(met), "pairs")
+        drop(met)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        linked = linked.unionByName(_verified(pairs, named, width, percent, tasks))
-        entries = written(_unresolved(lists, linked, to), "open")
+        linked = _extended(linked, _verified(pairs, named, width, percent, tasks))
+        entries = written(_unresolved(lists.where("leader is not null"), linked, to), "open")
+        drop(lists)
         if entries.isEmpty():
             break
-        # In the last round nothing is too wide; before that, keys with a wide list are for other segments.
+        # Keys with a wide list are for other segments; in the last round their texts are dealt in blocks.
         wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
         near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
-        across = near.join(counts, "id").withColumn("percent", F.lit(percent))
-        across = across.repartition(parts, "bucket").coalesce(tasks).sortWithinPartitions("bucket").mapInArrow(_apart, "u long, v long")
-        across = written(across.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        across = _in_blocks(near).join(counts, "id").withColumn("percent", F.lit(percent))
+        across = across.repartition(parts, "bucket", "low", "high").coalesce(tasks).sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart, "u long, v long")
+        across = written(untested(across.distinct()), "pairs")
         tested = tested.unionByName(across)
-        linked = linked.unionByName(_verified(across, named, width, percent, tasks))
+        linked = _extended(linked, _verified(across, named, width, percent, tasks))
         if scheme.deletions:
             break
         hidden = gone if hidden is None else hidden.union(gone)
         shut = wide.select("bucket").distinct()
-        costly = shut if costly is None else costly.union(shut).distinct()
+        costly = written(shut if costly is None else costly.union(shut).distinct(), "costly")
         rounds += 1
+        before = texts
         if rounds <= ROUNDS and not wide.isEmpty():
             texts = written(_only(named, wide.select("id").distinct()), "texts")
-            costly = written(costly, "costly")
             if costly.count() <= SMALL:
                 keys = np.sort(costly.toPandas()["bucket"].to_numpy(np.int64).view(U))
                 scheme = Scheme(percent, common=common, shut=keys)
@@ -563,15 +608,38 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
             if again.isEmpty():
                 break
             texts, scheme = written(_only(named, again), "texts"), Scheme(percent, deletions=True)
-    found = components(linked).withColumnRenamed("node", "id")
-    return sets.join(found, "id", "left").select(
+        drop(entries, before)
+    found = components(linked).withColumnRenamed("node", "set_id")
+    size = first.groupBy("set_id").agg(F.sum("copies").alias("copies"))
+    of_set = size.join(found, "set_id", "full")
+    return looked_up(sets, of_set, ["set_id"], n_rows).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         "set_id",
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+        F.coalesce("component", "set_id").alias("component_id"),
     )
 
 
+def _extended(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """All links as stars: what was linked before, and more."""
+    found = components(linked.select("u", "v").unionByName(more.select("u", "v")))
+    out = written(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
+    drop(found, linked, more)
+    return out
+
+
+def _in_blocks(entries: DataFrame) -> DataFrame:
+    """The texts of a key for each pair of its blocks; ``side`` tells the blocks of a pair apart.
+
+    A key of up to ``BLOCK`` texts is one block. Every two texts of a key meet in one pair of blocks, so that very
+    many are compared by many tasks, none of which holds more than two blocks.
+    """
+    blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    out = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component")
+
+
 def _similar_sizes(pairs: DataFrame, to: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of sets, each by its least text, that are near enough in size to be similar."""
     for side in ("u", "v"):
@@ -581,9 +649,9 @@ def _similar_sizes(pairs: DataFrame, to: DataFrame, percent: int) -> DataFrame:
 
 
 def _unresolved(lists: DataFrame, linked: DataFrame, to: DataFrame) -> DataFrame:
-    """``(bucket, id, component, texts)`` of the keys whose texts are not all in one component, one text a set."""
+    """``(bucket, id, component, texts)`` of the keys whose texts are not all in one component, one text a set; ``linked`` are stars."""
     entry = lists.select("bucket", F.explode("members").alias("id")).join(to, "id").select("bucket", F.col("set_id").alias("id")).distinct()
-    entry = entry.join(components(linked).select(F.col("node").alias("id"), "component"), "id", "left")
+    entry = entry.join(linked.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
     entry = entry.withColumn("component", F.coalesce("component", "id"))
     several = entry.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("texts"))
     return entry.join(several.where("low != high").select("bucket", "texts"), "bucket")

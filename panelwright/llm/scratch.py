@@ -27,13 +27,64 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which ends its lineage; dropped with the session."""
+    """``df`` as a Parquet table in the shared folder, which ends its lineage; dropped with the session, or by :func:`drop`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_paths = [path]
+    return out
+
+
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables (or what :func:`held_by` names) once nothing reads them any more."""
+    for table in tables:
+        for path in table.__dict__.pop("scratch_paths", ()):
+            place, files = _place(table.sparkSession, path)
+            files.delete(place, True)
+            files.cancelDeleteOnExit(place)
+
+
+def held_by(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which reads ``tables``: to drop it is to drop them."""
+    df.scratch_paths = [p for t in tables for p in t.__dict__.get("scratch_paths", ())]
+    return df
+
+
+#: Classes of more than this share of all rows (of ten million at least) are looked up in place; no more than its inverse exist.
+HOT_SHARE = 1e-4
+
+
+def looked_up(rows: DataFrame, classes: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``n`` rows with what is known of their class, if anything, by the keys (long, never null in ``classes``).
+
+    ``classes`` has a row for each class and its number of rows as ``copies``. Large classes go to all executors,
+    10,000 of them at most, so that their rows need not meet in one task.
+    """
+    least = F.lit(HOT_SHARE * max(n, 1e7))
+    values = [c for c in classes.columns if c not in (*keys, "copies")]
+    large = F.coalesce("copies", F.lit(0)) > least
+    hot = classes.where(large).select(*[F.col(k).alias(f"hot_{k}") for k in keys], *[F.col(v).alias(f"hot_{v}") for v in values])
+    rest = classes.where(~large).select(*[F.col(k).alias(f"known_{k}") for k in keys], *values)
+    names = rows.columns
+    for k in keys:
+        same = rows[k] == F.col(f"hot_{k}") if k == keys[0] else same & (rows[k] == F.col(f"hot_{k}"))
+    rows = rows.join(F.broadcast(hot), same, "left")
+    # Rows that are done are spread; what they might hit by chance is not taken.
+    done = F.col(f"hot_{keys[0]}").isNotNull()
+    rows = rows.withColumn("spread", F.when(done, F.xxhash64(*names)).otherwise(F.col(keys[0])))
+    same = F.col("spread") == F.col(f"known_{keys[0]}")
+    for k in keys[1:]:
+        same = same & (F.col(k) == F.col(f"known_{k}"))
+    rows = rows.join(rest, same, "left")
+    return rows.select(*names, *[F.when(done, F.col(f"hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
 
 
 def shuffle_width(spark: SparkSession, docs: DataFrame, text: str, mb: int) -> int:

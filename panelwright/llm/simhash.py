@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from panelwright.llm.linked import components
-from panelwright.llm.scratch import written
+from panelwright.llm.scratch import looked_up, written
 from panelwright.llm.tokens import mix
 
 U = np.uint64
@@ -44,10 +44,6 @@ KEY_SPACE = 3 << 24
 PART_KEYS = 1_000_000
 #: Fingerprints under one key up to which neighbours are compared side by side for all keys at once.
 FEW = 32
-#: Groups of copies of more than this share of all rows are looked up in place; no more than its inverse exist.
-HOT_SHARE = 1e-4
-
-
 _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -251,16 +247,4 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     linked = components(links.unionByName(tied))
     of_class = classes.join(linked, classes["least"] == linked["node"], "left")
     of_class = written(of_class.select("print", "copies", F.coalesce("component", "least").alias("component_id")), "classes")
-    return _looked_up(found, of_class).select(F.col("id").alias("doc_id"), "print", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def _looked_up(rows: DataFrame, of_class: DataFrame) -> DataFrame:
-    """The rows with their class's component. Large classes go to all executors, so that their rows need not meet in one task."""
-    least = F.lit(HOT_SHARE * max(rows.count(), 1e7))
-    hot = of_class.where(F.col("copies") > least).select(F.col("print").alias("hot"), F.col("component_id").alias("of_hot"))
-    rows = rows.join(F.broadcast(hot), rows["print"] == F.col("hot"), "left")
-    # Rows that are done are spread; a class they might hit by chance is not taken from.
-    at = F.when(F.col("hot").isNull(), F.col("print")).otherwise(F.xxhash64("id", "print"))
-    rest = of_class.where(F.col("copies") <= least).select(F.col("print").alias("known"), "component_id")
-    joined = rows.withColumn("at", at).join(rest, F.col("at") == F.col("known"), "left")
-    return joined.select("id", "print", F.coalesce("of_hot", "component_id").alias("component_id"))
+    return looked_up(found, of_class, ["print"], found.count()).select(F.col("id").alias("doc_id"), "print", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

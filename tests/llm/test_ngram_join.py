@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.llm import ngram_join as nj
+from panelwright.llm import scratch
 from texts import SCHEMA, corpus, edited, linked_components, odd_texts, shingles, words
 
 
@@ -98,3 +99,26 @@ def test_packing_keeps_keys_and_ids():
     ids = np.random.default_rng(1).integers(-5, 5, 1000)
     k, i = nj._unpacked(nj._packed(keys, ids))
     assert (k == keys).all() and (i == ids).all()
+
+
+def test_blocks_of_a_wide_key_and_large_classes_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 16)
+    monkeypatch.setattr(scratch, "HOT_SHARE", 1e-6)  # classes of more than ten rows
+    rng = np.random.default_rng(6)
+    passage = words(rng, 60, 10**6)
+    texts = [" ".join(passage + words(rng, n, 10**6)) for n in (10, 14, 20) for _ in range(60)]
+    texts += [" ".join(edited(rng, texts[k].split(), 1)) for k in range(0, 180, 12)] + [texts[5]] * 30 + [""] * 3
+    got = found(corpus(spark, texts).repartition(3))
+    assert {i: r.component_id for i, r in got.items()} == linked_components(texts, range(len(texts)))
+    assert len({got[i].set_id for i in range(195, 225)} | {got[5].set_id}) == 1
+
+
+def test_each_two_texts_of_a_key_meet_once_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK", 4)
+    entries = spark.createDataFrame([(b, i, i, n) for b, n in ((1, 3), (2, 23)) for i in range(n)], "bucket long, id long, component long, texts long")
+    cells = {}
+    for r in nj._in_blocks(entries).collect():
+        cells.setdefault((r.bucket, r.low, r.high), []).append((r.side, r.id))
+    met = [(k[0], min(a, b), max(a, b)) for k, rows in cells.items() for s, a in rows for t, b in rows if a < b and (k[1] == k[2] or s != t)]
+    assert sorted(met) == sorted((b, i, j) for b, n in ((1, 3), (2, 23)) for i in range(n) for j in range(i + 1, n))
+    assert max(map(len, cells.values())) < 23

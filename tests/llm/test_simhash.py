@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from panelwright.llm import simhash
+from panelwright.llm import scratch, simhash
 from texts import FOLD, SCHEMA, WORD, corpus, edited, odd_texts, words
 from xxhash import xxh64_intdigest
 
@@ -98,7 +98,7 @@ def test_links_join_what_all_pairs_join(monkeypatch, spark, few):
 
 
 def test_repeated_ids_nulls_copies_and_other_columns(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_SHARE", 1e-6)
+    monkeypatch.setattr(scratch, "HOT_SHARE", 1e-6)
     rng = np.random.default_rng(5)
     a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
     df = corpus(spark, [a] * 30 + [b, b, c, a, "", None], [*range(10, 40), 5, 7, 7, None, 90, 91], id=("int", 1), print=("string", "p"), u=("int", 2), known=("int", 3))
