@@ -174,13 +174,17 @@ def q_lags_calendar(spark, sf):
 
 
 def q_lags_sliced(spark, sf):
-    out = op.add_lags(
-        _filtered(spark, sf), {"cases": "cases"}, offsets=(1, 7),
-        slice_by=F.trunc("ds", "year"), slice_rows=31,
-    )
+    """Entities of more than 31 rows in ranges, each with the last rows before it."""
+    out = op.add_lags(_filtered(spark, sf), {"cases": "cases"}, offsets=(1, 7), max_rows=31)
     return out.select(*KEYS, "cases_1", "cases_7")
 
 
+def q_lags_ranged(spark, sf):
+    """What ``lags_log_cases`` gives, without a window over a whole entity."""
+    panel = op.log_transform(_filtered(spark, sf), ("cases",))
+    return op.add_lags(panel, {"CCT": "log_cases"}, max_rows=40).select(*KEYS, *[f"CCT_{k}" for k in op.OFFSETS])
+
+
 # Splits ------------------------------------------------------------------------------------
 
 
@@ -208,6 +212,19 @@ def _describe(group: str) -> Callable:
     return query
 
 
+def q_describe_approx(spark, sf):
+    """Sketched quartiles, held against the shares of rows below them: a rank error of half a percent is allowed."""
+    panel, cols = _percapita(spark, sf), DESCRIBED["bands"]
+    sketched = op.describe(panel, cols, approx=True).select("variable", "count", "p25", "p50", "p75")
+    rows = panel.unpivot([], list(cols), "name", "x").where("x is not null").join(F.broadcast(sketched), F.col("name") == F.col("variable"))
+
+    def near(p: int):
+        low, high = (F.avg((F.col("x") < F.col(f"p{p}")).cast("int")), F.avg((F.col("x") <= F.col(f"p{p}")).cast("int")))
+        return ((low - 0.005 <= p / 100) & (p / 100 <= high + 0.005)).alias(f"p{p}_near")
+
+    return rows.groupBy("variable", "count").agg(*[near(p) for p in (25, 50, 75)])
+
+
 def q_skew_report(spark, sf):
     panel = op.log_transform(_filtered(spark, sf), ("cases", "deaths"))
     return rounded(op.skew_report(panel, SKEWED))
@@ -450,11 +467,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lags_percapita": q_lags_percapita,
     "lags_calendar": q_lags_calendar,
     "lags_sliced": q_lags_sliced,
+    "lags_ranged": q_lags_ranged,
     "train_split": q_train_split,
     "future_dates": q_future_dates,
     "union_entities": q_union_entities,
     "describe_measures": _describe("measures"),
     "describe_bands": _describe("bands"),
+    "describe_approx": q_describe_approx,
     "describe_shares": _describe("shares"),
     "describe_covariates": _describe("covariates"),
     "skew_report": q_skew_report,

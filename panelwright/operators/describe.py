@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from panelwright.sources.scan import is_scan, nan_to_null
 
 QUARTILES = (0.25, 0.5, 0.75)
+#: Size of a quantile sketch, sketches that one reducer merges, and levels of merging: enough for 64^4 tasks.
+SKETCH, FAN_IN, LEVELS = 1000, 64, 3
 _NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max", "skew")
 _SCHEMA = "variable string, count bigint, " + ", ".join(f"{n} double" for n in _NUMBERS)
 
@@ -21,7 +24,7 @@ def describe(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFr
 
     Quartiles interpolate linearly between order statistics, which :func:`order_statistics` finds
     by counting, with a handful of passes over ``df`` (worth keeping if it is costly to compute).
-    ``approx=True`` takes them from a quantile sketch in the first pass.
+    ``approx=True`` takes them from quantile sketches, in one pass, with a rank error of about 0.3 % of the rows.
     """
     return _summary(df, cols, approx).drop("skew")
 
@@ -62,7 +65,6 @@ def _summary(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
     try:
         x = F.col("x")
         long = _long(data, {c: [F.col(c)] for c in cols}, ["x"]).where(x.isNotNull())
-        sketch = [F.percentile_approx(x, list(QUARTILES), 1000).alias("sketch")] if approx else []
         stats = {
             row["variable"]: row.asDict()
             for row in long.groupBy("variable")
@@ -73,13 +75,12 @@ def _summary(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
                 F.min(x).alias("min"),
                 F.max(x).alias("max"),
                 F.skewness(x).alias("skew"),
-                *sketch,
             )
             .collect()
         }
         counts = {c: s["count"] for c, s in stats.items()}
         if approx:
-            quartiles = {c: dict(zip(QUARTILES, s["sketch"])) for c, s in stats.items()}
+            quartiles = _sketched(long)
         else:
             ranks = {c: _ranks(n) for c, n in counts.items()}
             ends = {c: (s["min"], s["max"]) for c, s in stats.items()}
@@ -103,6 +104,21 @@ def _summary(df: DataFrame, cols: Sequence[str], approx: bool) -> DataFrame:
     return spark.createDataFrame(rows, _SCHEMA)
 
 
+def _sketched(long: DataFrame) -> dict[str, dict[float, float]]:
+    """Quartiles of each ``variable`` from KLL sketches of ``x`` (Karnin, Lang & Liberty 2016).
+
+    Sketches merge by a tree over the tasks that made them, so no reducer sees more than ``FAN_IN`` of a variable,
+    however many tasks there are.
+    """
+    rows = long.withColumn("part", F.floor(F.spark_partition_id() / FAN_IN))
+    sketches = rows.groupBy("variable", "part").agg(F.kll_sketch_agg_double("x", SKETCH).alias("sketch"))
+    for _ in range(LEVELS):
+        sketches = sketches.groupBy("variable", F.floor(F.col("part") / FAN_IN).alias("part"))
+        sketches = sketches.agg(F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+    quartiles = sketches.select("variable", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{p}") for p in QUARTILES])
+    return {r["variable"]: {p: r[f"p{p}"] for p in QUARTILES} for r in quartiles.collect()}
+
+
 def _ranks(n: int) -> set[int]:
     """0-based ranks that the quartiles of ``n`` values interpolate between."""
     return {r for p in QUARTILES for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
@@ -126,9 +142,11 @@ def order_statistics(
     """Exact values at the given 0-based ranks of each column, by counting.
 
     ``ends`` are each column's minimum and maximum. Each pass counts, map-side combined, the rows in
-    ``parts`` equal parts of every zone that holds a wanted rank, with the least and greatest
+    the parts of every zone that holds a wanted rank, with the least and greatest
     value of each part; parts that hold a rank are the next pass's zones, until a part is a single
-    value. State is ``parts`` counters a zone at any data size, and no task gathers rows.
+    value. A zone is cut like the bits of its numbers: by sign and power of two where it spans several, then into ``parts``
+    equal parts of what is left, so a double's 52 bits of fraction take six passes of 512 parts however far
+    its values spread. State is some thousand counters a zone at any data size, and no task gathers rows.
     """
     found: dict[str, dict[int, float]] = {c: {} for c in ranks}
     # A zone: a column, the ranks wanted in it, how many rows lie below it, its least and greatest value.
@@ -146,7 +164,12 @@ def order_statistics(
 
 
 def _part(x: Column, lo: float, hi: float, parts: int) -> Column:
-    """A number from 0 to ``parts`` - 1 that does not fall as x grows, 0 at ``lo`` and the last at ``hi``."""
+    """A number that does not fall as x grows, at ``hi`` another than at ``lo``."""
+    if lo <= 0 <= hi or max(lo / hi, hi / lo) > 4:
+        # Powers of two reach from -1074 to 1023; logarithms do not fall, so rounding moves no part past another.
+        power = F.floor(F.log2(F.least(F.abs(x), F.lit(sys.float_info.max)))).cast("int") + 1100
+        part = F.when(x > 0, power).when(x < 0, -power).otherwise(0)
+        return F.when(x.between(lo, hi), F.when(x == lo, -3000).when(x == hi, 3000).otherwise(part))
     width = hi / parts - lo / parts
     if width > 0:
         step = F.floor((x / parts - F.lit(lo / parts)) / F.lit(width) * parts).cast("int")

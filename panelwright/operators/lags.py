@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 # The lag offsets, in rows.
 OFFSETS = (1, 2, 3, 7, 14, 21, 31)
+#: Cells for each range of a large entity, and at most for one; most large entities, which go to all executors.
+CELLS, MOST_CELLS, MOST_LARGE = 16, 1 << 14, 1_000_000
 
 
 def with_lags(
@@ -73,8 +75,7 @@ def add_lags(
     order: str | Sequence[str] = "ds",
     calendar: bool = False,
     unique: bool = True,
-    slice_by: Column | None = None,
-    slice_rows: int = 100_000,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Add ``{name}_{k}``: the value ``k`` rows earlier in the entity.
 
@@ -82,18 +83,17 @@ def add_lags(
 
     One window per entity is right when the entity is bounded, as in a panel: one row per date
     is some 37,000 rows a century. Where ``by`` has no such bound (high-frequency order keys,
-    entities merged by name), pass ``slice_by``, any non-decreasing function of ``order`` such
-    as ``F.trunc("ds", "year")``: rows are then numbered slice by slice and lagged in
-    chunks of ``slice_rows`` that carry the last rows of the chunk before, with the same
-    result and no task holding a whole entity.
+    entities merged by name), give ``max_rows``: entities with more rows are split into ranges of their first order key of
+    about that many, each of which carries the last rows before it, with the same result. ``df`` is then read
+    three times: to count entities, to count parts of the large ones, and for the lags.
     """
     keys = [by] if isinstance(by, str) else list(by)
     orders = [order] if isinstance(order, str) else list(order)
     checked = unique and len(orders) == 1
     if calendar:
         return _calendar_lags(df, exprs, offsets, keys, orders[0], checked)
-    if slice_by is not None:
-        return _sliced_lags(df, exprs, offsets, keys, orders, checked, slice_by, slice_rows)
+    if max_rows is not None:
+        return _ranged_lags(df, exprs, offsets, keys, orders, checked, max_rows)
     return with_lags(df, ["*"], exprs, keys, orders, offsets, checked)
 
 
@@ -123,42 +123,60 @@ def _calendar_lags(df, exprs, offsets, keys, order, checked):
     return lagged.drop("__same_day")
 
 
-def _sliced_lags(df, exprs, offsets, keys, orders, checked, slice_by, slice_rows):
+def _place(df: DataFrame, order: str) -> Column:
+    """A number that does not fall as the order key grows."""
+    kind = dict(df.dtypes)[order]
+    if kind == "date":
+        return F.unix_date(order).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(order).cast("double")
+    if kind == "timestamp_ntz":
+        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    return F.col(order).cast("double")
+
+
+def _ranged_lags(df, exprs, offsets, keys, orders, checked, max_rows):
+    """Lags with large entities in ranges.
+
+    The span of a large entity is cut into ``CELLS`` equal cells for each range it will have, and the rows of the cells are
+    counted, map-side combined: so the number of rows before each cell is known without a sort. Neighbouring cells make
+    a range of ``max_rows`` rows or a little more; the cells with the last rows before a range are read by it as well.
+    """
     halo = max(offsets)
-    if slice_rows < halo:
-        raise ValueError("slice_rows must be at least the largest offset")
-    sliced = df.withColumn("__slice", slice_by)
-    slice_keys = [*keys, "__slice"]
-
-    # Rows before each slice: counts are combined map-side, the window sees one row per slice.
-    counts = sliced.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = counts.select(
-        *[F.col(c).alias(f"__b_{c}") for c in slice_keys],
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
-    )
-    same_slice = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in slice_keys]
-
-    in_slice = F.row_number().over(Window.partitionBy(*slice_keys).orderBy(*orders))
-    numbered = (
-        sliced.withColumn("__in_slice", in_slice)
-        .join(before, same_slice)
-        .withColumn("__pos", F.col("__before") + F.col("__in_slice") - 1)
-        .withColumn("__home", F.floor(F.col("__pos") / slice_rows))
-    )
-    # The last rows of a chunk travel along with the next one, for its first rows to look at.
-    near_end = F.col("__pos") % slice_rows >= slice_rows - halo
-    copies = numbered.withColumn(
-        "__chunk",
-        F.explode(
-            F.when(near_end, F.array("__home", F.col("__home") + 1)).otherwise(F.array("__home"))
-        ),
-    )
-    # Ties share a chunk or meet in its halo, so the check for repeated keys holds here too.
-    order = [*orders, "__pos"]
-    lagged = with_lags(
-        copies, [*df.columns, "__home", "__chunk"], exprs, [*keys, "__chunk"], order, offsets, checked
+    if max_rows < halo:
+        raise ValueError("max_rows must be at least the largest offset")
+    place = _place(df, orders[0])
+    entity = df.groupBy(*keys).agg(F.count(place).alias("__n"), F.min(place).alias("__lo"), F.max(place).alias("__hi"))
+    total = entity.agg(F.sum("__n"), F.max("__n")).first()
+    rows = max(max_rows, (total[0] or 0) // MOST_LARGE)
+    if (total[1] or 0) <= rows:
+        return with_lags(df, ["*"], exprs, keys, orders, offsets, checked)
+    # No more than MOST_LARGE of them, about a hundred bytes each.
+    cells = F.least(F.lit(MOST_CELLS), CELLS * F.ceil(F.col("__n") / rows)).cast("int")
+    large = entity.where(F.col("__n") > rows).select(*[F.col(k).alias(f"__e_{k}") for k in keys], "__lo", "__hi", cells.alias("__cells"))
+    same = [F.col(k) == F.col(f"__e_{k}") for k in keys]
+    share = F.try_divide(place - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    cell = F.least(F.col("__cells") - 1, F.coalesce(F.floor(share * F.col("__cells")).cast("int"), F.lit(0)))
+    placed = df.join(F.broadcast(large), same, "left").withColumn("__cell", F.when(place.isNotNull(), cell))
+
+    counted = placed.where("__cell is not null").groupBy(*keys, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    counted = counted.withColumn("__home", F.floor(F.col("__before") / rows).cast("int"))
+    whole = Window.partitionBy(*keys)
+    starts = F.array_agg(F.when(F.col("__first"), F.struct(F.col("__home").alias("home"), F.col("__before").alias("before"))))
+    first = F.lag("__home").over(Window.partitionBy(*keys).orderBy("__cell"))
+    counted = counted.withColumn("__first", first.isNull() | (first != F.col("__home")))
+    counted = counted.withColumn("__starts", starts.over(whole))
+    # A later range looks at the cells that reach into the rows just before it.
+    reads = F.transform(
+        F.filter("__starts", lambda s: (s["home"] > F.col("__home")) & (s["before"] - halo < F.col("__before") + F.col("__n"))),
+        lambda s: s["home"],
     )
-    return lagged.where(F.col("__home") == F.col("__chunk")).drop("__home", "__chunk")
+    ranges = counted.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__cell").alias("__c"), "__home", F.concat(F.array("__home"), reads).alias("__ranges"))
+    same = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__cell") == F.col("__c")]
+    found = placed.join(ranges, same, "left").withColumn("__home", F.coalesce("__home", F.lit(0)))
+    copies = found.withColumn("__range", F.explode(F.coalesce("__ranges", F.array(F.lit(0)))))
+    # Rows of one order value share a cell, so the check for repeated keys holds here too.
+    lagged = with_lags(copies, [*df.columns, "__home", "__range"], exprs, [*keys, "__range"], orders, offsets, checked)
+    return lagged.where(F.col("__home") == F.col("__range")).drop("__home", "__range")

@@ -1,3 +1,4 @@
+import importlib
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from panelwright import operators as op
 from panelwright.operators.describe import order_statistics
 from panelwright.sources.scan import is_scan
 
+describe_module = importlib.import_module("panelwright.operators.describe")
 SETTINGS = settings(max_examples=8, deadline=None)
 
 
@@ -48,6 +50,21 @@ def test_counted_quartiles_equal_gathered_ones(spark, name):
     np.testing.assert_allclose([counted[p] for p in ("p25", "p50", "p75")], want, rtol=1e-12)
 
 
+def test_passes_do_not_grow_with_the_spread(spark, monkeypatch):
+    """Values over thirty decades, both signs, zeros and the least numbers there are: eight passes."""
+    rng = np.random.default_rng(3)
+    x = 10.0 ** rng.uniform(-15, 15, 3000) * rng.choice([-1, 1], 3000)
+    x = np.r_[x, np.zeros(5), 5e-324, -5e-324, 1.7e308]
+    passes = []
+    count = describe_module._count_parts
+    monkeypatch.setattr(describe_module, "_count_parts", lambda *a: passes.append(1) or count(*a))
+    df = column(spark, [float(v) for v in x])
+    ranks = {0, 1, 700, 1503, 1504, 1505, 2500, len(x) - 1}
+    got = order_statistics(df, {"x": ranks}, {"x": (float(x.min()), float(x.max()))})
+    assert got["x"] == {r: float(np.sort(x)[r]) for r in ranks}
+    assert len(passes) <= 8
+
+
 @pytest.mark.parametrize("parts", [2, 8])
 def test_order_statistics_narrow_down_without_gathering(spark, parts):
     x = HEAVY["lognormal"]
@@ -112,3 +129,18 @@ def test_no_sketch_and_nothing_kept_for_a_scan(spark, tmp_path):
     df = spark.read.parquet(path)
     assert is_scan(df) and not is_scan(df.groupBy().agg(F.sum("x").alias("x")))
     assert op.describe(df, ["x"]).first()["p50"] == 499.5
+
+
+def test_sketched_quartiles_are_near_in_rank(spark, monkeypatch):
+    """Partial sketches of many tasks meet in a tree; ties, NULLs and NaN included."""
+    monkeypatch.setattr(describe_module, "FAN_IN", 2)
+    monkeypatch.setattr(describe_module, "LEVELS", 5)
+    rng = np.random.default_rng(4)
+    x = np.sort(np.r_[np.exp(rng.normal(0, 4, 30_000)), np.repeat([0.0, 3.0], 5000)])
+    values = [(float(v),) for v in rng.permutation(x)] + [(None,), (float("nan"),)]
+    r = op.describe(spark.createDataFrame(values, "x double").repartition(40), ["x"], approx=True).first()
+    assert r["count"] == len(x) and (r.min, r.max) == (x[0], x[-1])
+    for p, v in ((0.25, r.p25), (0.5, r.p50), (0.75, r.p75)):
+        low, high = np.searchsorted(x, v, "left") / len(x), np.searchsorted(x, v, "right") / len(x)
+        assert low - 0.006 <= p <= high + 0.006
+    assert op.describe(column(spark, [None]), ["x"], approx=True).first()["count"] == 0

@@ -2,9 +2,11 @@ import datetime as dt
 import math
 import re
 
+import numpy as np
 import pytest
 from frames import column, day, panel
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright import operators as op
@@ -91,11 +93,9 @@ def test_lags_stay_inside_the_entity_and_keep_single_rows(spark):
     assert values(op.add_lags(df, {"y": "y"}, (1,)), "y_1", "entity_id", "ds") == [None, 1.0, None]
 
 
-@pytest.mark.parametrize("how", [{}, {"calendar": True}, {"slices": 1}])
+@pytest.mark.parametrize("how", [{}, {"calendar": True}, {"max_rows": 2}])
 def test_duplicate_keys_fail(spark, how):
-    df = panel(spark, {"a": {1: 1, 2: 2}}).union(panel(spark, {"a": {2: 5}}))
-    if how.pop("slices", None):
-        how = {"slice_by": F.trunc("ds", "year"), "slice_rows": 2}
+    df = panel(spark, {"a": {1: 1, 2: 2, 3: 1, 9: 4}}).union(panel(spark, {"a": {2: 5}}))
     with pytest.raises(PySparkException, match="duplicate key"):
         op.add_lags(df, {"y": "y"}, (1,), **how).collect()
 
@@ -107,25 +107,34 @@ def test_lag_of_lag_adds_offsets(spark):
     assert both.where(~F.col("q_3").eqNullSafe(F.col("r_5"))).count() == 0
 
 
-def test_sliced_lags_equal_one_window(spark):
-    df = panel(spark, {"hot": {d: d for d in range(900)}, "b": {d: -d for d in range(0, 50, 3)}})
+@pytest.mark.parametrize("rows", [31, 40, 333, 10_000])
+def test_ranged_lags_equal_one_window(spark, rows):
+    crowded = {int(d): int(d) for d in 5000 * np.random.default_rng(0).random(700) ** 6}
+    df = panel(spark, {"hot": {d: d for d in range(900)}, "b": {d: -d for d in range(0, 50, 3)}, "crowded": crowded})
     offsets = (1, 7, 31)
     plain = op.add_lags(df, {"y": "y"}, offsets)
-    sliced = op.add_lags(
-        df, {"y": "y"}, offsets, slice_by=F.trunc("ds", "month"), slice_rows=40
-    )
-    assert plain.exceptAll(sliced).count() == 0 and sliced.exceptAll(plain).count() == 0
+    ranged = op.add_lags(df, {"y": "y"}, offsets, max_rows=rows)
+    assert plain.exceptAll(ranged).count() == 0 and ranged.exceptAll(plain).count() == 0
+
+
+def test_ranged_lags_of_other_order_keys(spark):
+    rows = [("a", k % 3, k * 1.5, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * k), float(k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "entity_id string, tie int, x double, t timestamp, y double")
+    for order in ("x", "t", ["x", "tie"]):
+        plain = op.add_lags(df, {"y": "y"}, (1, 5), order=order)
+        ranged = op.add_lags(df, {"y": "y"}, (1, 5), order=order, max_rows=20)
+        assert plain.exceptAll(ranged).count() == 0
 
 
-def test_sliced_lags_hold_no_whole_entity(spark):
-    """Each window group of the sliced plan is a slice or a chunk with its halo."""
+def test_ranged_lags_hold_no_whole_entity(spark):
+    """The window with the lags is over ranges, and the only other one over counts of cells."""
     df = panel(spark, {"hot": {d: d for d in range(400)}})
-    sliced = op.add_lags(df, {"y": "y"}, (1,), slice_by=F.trunc("ds", "month"), slice_rows=50)
-    plan = sliced._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert any("__chunk" in w for w in windows) and any("__slice" in w for w in windows)
-    raw = [w for w in windows if "lag(" in w]
-    assert raw and all("__chunk" in w for w in raw)
+    ranged = op.add_lags(df, {"y": "y"}, (1,), max_rows=50)
+    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
+    raw = [line for line in plan.splitlines() if "Window [" in line and "__value_y" in line]
+    assert raw and all("__range" in w for w in raw)
+    largest = ranged.withColumn("n", F.count("*").over(Window.partitionBy("entity_id"))).first()
+    assert largest.n == 400
 
 
 def test_unread_lags_leave_the_plan(spark):
