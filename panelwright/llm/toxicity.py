@@ -19,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.tokens import _power, flat, mix, pieces, salt
 
-#: Bound of the sample: documents of each label, and tokens of one of them (a middle stretch of longer ones).
-DOCUMENTS, TOKENS = 1500, 2000
+#: Bound of the sample: documents of each label, and bytes of all of them together, in whole texts.
+DOCUMENTS, BYTES = 1500, 4 << 20
+#: Steps of the fit, unless it settles before: when a step moves the marginals by less than this share of the toxic tokens.
+ROUNDS, SETTLED = 200, 1e-2
 BITS = 20
 WINDOW = 384
 STARTS = (4, 5, 6, 8)
@@ -84,6 +86,7 @@ class Field:
     bias: float
     steps: np.ndarray  # [from, to]
     score: np.ndarray  # intercept, strongest marginal's log odds, log count of toxic tokens
+    settled: bool = True
 
     def emissions(self, hashes: np.ndarray) -> np.ndarray:
         return self.weights[_slots(hashes)].sum(1) + self.bias
@@ -207,16 +210,18 @@ def label_tokens(hashes: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np
     return marked & of
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
-    """A field for labelled texts, by full-batch gradient steps of its penalised likelihood."""
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS) -> Field:
+    """A field for labelled texts, by full-batch gradient steps of its penalised likelihood until the marginals stand still.
+
+    Every token of every text counts. ``settled`` of the field is false if they still moved after ``rounds`` steps.
+    """
     parts, count = [], []
     for low in range(0, len(texts), 100):  # few texts at a time: bytes take far more room than features
         data, at = flat(pa.array(texts[low : low + 100], pa.large_string()))
         start, end, first = tokens(data, at)
         whole = features(data, start, end)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            skip = max(0, (b - a - TOKENS) // 2)  # the middle of a long text
-            parts.append(whole[a + skip : min(b, a + skip + TOKENS)].copy())
+            parts.append(whole[a:b].copy())
             count.append(len(parts[-1]))
     hashes = np.concatenate([*parts, np.empty((0, len(STARTS) + 2), U)])
     del parts
@@ -245,6 +250,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
         label = y[grid_at].astype(int)
         np.add.at(gold, (label[:, :-1][pair], label[:, 1:][pair]), 1)
     sq_w, sq_b, sq_t = np.zeros(1 << BITS), 0.0, np.zeros((2, 2))
+    before, settled = np.zeros(len(y)), not len(y)
     for _ in range(rounds if len(y) else 0):
         emit = emissions()
         grid = np.where(inside, emit[grid_at], np.nan)
@@ -252,6 +258,10 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
         odds = ahead * back
         p = np.zeros(len(y))
         p[grid_at[inside]] = (odds / (1 + odds))[inside]
+        settled = np.abs(p - before).sum() <= SETTLED * max(y.sum(), 1.0)
+        if settled:
+            break
+        before = p
         gap = y - p
         grad_w = -0.05 * w
         for k in range(slots.shape[1]):
@@ -272,7 +282,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60) -> Field:
         bias += 0.5 * grad_b / math.sqrt(sq_b + 1e-8)
         steps = steps + 0.2 * grad_t / np.sqrt(sq_t + 1e-8)
     prob = marginals(emissions(), first, steps) if len(y) else y
-    field = Field(w, bias, steps, np.zeros(3))
+    field = Field(w, bias, steps, np.zeros(3), bool(settled))
     field.score = _logistic(_evidence(prob, first), toxic.astype(float))
     return field
 
@@ -289,17 +299,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def learned(docs: DataFrame, labels: DataFrame, use: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = DOCUMENTS) -> Field:
+def learned(docs: DataFrame, labels: DataFrame, use: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = DOCUMENTS, size: int = BYTES) -> Field:
     """A field fitted to labelled documents where ``use`` (of the id) holds.
 
-    Of each label, the ``documents`` with the least hash of their id are taken, all if there are
-    fewer. Null ids, labels and texts are left out. Without any toxic and any clean document, all scores are 0.5.
+    Of each label, the ``documents`` with the least hash of their id are taken, all if there are fewer, as far as their whole
+    texts have ``size`` bytes together (but one at least). Null ids, labels and texts are left out. Without any toxic and
+    any clean document, all scores are 0.5.
     """
     known = labels.select(F.col(id).alias("known_id"), F.col(label).cast("int").alias("known")).where(use & F.col("known").isin(0, 1))
     order = F.xxhash64(F.lit(7), "known_id"), F.col("known_id")
     taken = [known.where(F.col("known") == k).orderBy(*order).limit(documents) for k in (0, 1)]
     rows = docs.select(F.col(id).alias("known_id"), F.col(text).alias("text")).where("text is not null")
-    rows = rows.join(F.broadcast(taken[0].unionByName(taken[1])), "known_id").select("known_id", "text", "known").orderBy("known_id", "text").toPandas()
+    taken = F.broadcast(taken[0].unionByName(taken[1]))
+    upto = Window.partitionBy("known").orderBy(*order, "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Two times a bounded number of narrow rows: the texts are not moved for this.
+    sizes = rows.join(taken, "known_id").select("known_id", "known", F.octet_length("text").alias("bytes"))
+    sizes = sizes.withColumn("sum", F.sum("bytes").over(upto)).groupBy("known_id", "known").agg(F.max("sum").alias("sum"))
+    first = F.row_number().over(Window.partitionBy("known").orderBy("sum")) == 1
+    taken = sizes.withColumn("first", first).where((F.col("sum") <= size) | F.col("first")).select("known_id", "known")
+    rows = rows.join(F.broadcast(taken), "known_id").select("known_id", "text", "known").orderBy("known_id", "text").toPandas()
     toxic = rows["known"].to_numpy()
     if not len(rows) or toxic.min() == toxic.max():
         return Field(np.zeros(1 << BITS), -20.0, np.zeros((2, 2)), np.zeros(3))

@@ -81,3 +81,30 @@ def test_held_out_rows_teach_nothing(spark):
     assert zlib.crc32(b"0") % 5 == spark.range(1).select((F.crc32(F.lit("0")) % 5).alias("r")).first().r
     nothing = tx.learned(df, labels.where("toxic = 7"), use)
     assert tx.toxicity(df, nothing).agg(F.max("score")).first()[0] == 0.5
+
+
+def test_a_passage_at_the_end_of_a_long_labelled_text_is_learned(spark):
+    """Whole texts train the field; what bounds the sample is documents and bytes."""
+    rng = np.random.default_rng(21)
+    sizes = [20_000, *[2500] * 40]
+    texts = [" ".join(words(rng, n, 3000)) for n in sizes] + [" ".join(words(rng, n, 3000)) + " endfoulness" for n in sizes]
+    field = tx.fit(texts, np.repeat([0, 1], len(sizes)))
+    probe = ["quiet words of no harm", "quiet endfoulness of no harm"]
+    assert field.settled
+    clean, bad = (r.score for r in sorted(tx.toxicity(corpus(spark, probe), field).collect(), key=lambda r: r.row.doc_id))
+    assert bad > 0.5 > clean
+
+
+def test_the_sample_is_bounded_by_documents_and_bytes(spark, monkeypatch):
+    texts, toxic = labelled(np.random.default_rng(22), 80)
+    docs = corpus(spark, [*texts, texts[0]], [*range(80), 0])
+    known = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tx, "fit", lambda t, y: seen.append((t, y)))
+    for limits in ({}, {"documents": 5}, {"size": 2000}, {"size": 1}):
+        tx.learned(docs, known, F.lit(True), **limits)
+    (every, y), (few, few_y), (small, _), (one, one_y) = seen
+    assert sorted(every) == sorted([*texts, texts[0]]) and y.sum() == 21
+    assert len(set(few)) == 10 and 5 <= few_y.sum() <= 6
+    assert 2 < len(small) < 40 and all(t in texts for t in small)
+    assert set(one_y.tolist()) == {0, 1} and 2 <= len(one) <= 4
