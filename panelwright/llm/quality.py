@@ -221,14 +221,14 @@ def _starts(vectors: DataFrame, few: bool) -> DataFrame:
     return written(plain.unionByName(second), "fit")
 
 
-def fits(vectors: DataFrame, few: bool, steps: int = 50) -> DataFrame:
+def fits(vectors: DataFrame, few: bool) -> DataFrame:
     """One row a group: centre and inverse Cholesky factor of its reweighted MCD estimate.
 
-    C-steps go on until no determinant falls by more than a thousandth, ``steps`` at most (the
-    determinant falls with each, and ten or so are usual).
+    C-steps go on until no determinant falls by more than a thousandth; they end, since the floors of the spreads hold every
+    determinant up (ten or so are usual).
     """
     now = _step(vectors, _starts(vectors, few), None, _consistent(SHARE), few)
-    for _ in range(steps):
+    while True:
         new = _step(vectors, now, None, _consistent(SHARE), few)
         fall = new.join(now.select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"])
         now = new
