@@ -94,15 +94,15 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], id: str
     return scored.select("row", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(domains))])
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, id: str = "doc_id", text: str = "text", total: float | None = None, temper: float = 1.0, tolerance: float = 1e-3, steps: int = 300) -> tuple[DataFrame, dict[str, dict[str, float]]]:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, id: str = "doc_id", text: str = "text", total: float | None = None, temper: float = 1.0, tolerance: float = 1e-3) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """``(row, tokens, posteriors, rate)`` of each row, and the totals by domain: natural, target, reached.
 
     ``targets`` gives the weight of each domain. Where it is None, the weights are the natural shares
     of the labelled domains to the power ``temper``, and the total is the least for which no domain
     is asked for less than it has. Otherwise ``total`` is in tokens (words), by default all there
     are. Steps go on until every total is within ``tolerance`` of the whole from its target, or the
-    totals no longer change (targets that no nonnegative rates reach), ``steps`` at most; what was reached is
-    returned and says so. Null and empty texts have no tokens and get the rate of their
+    totals no longer change (targets that no nonnegative rates reach), however many that takes; what was reached is
+    returned, and :func:`missed` says how far from the targets that is. Null and empty texts have no tokens and get the rate of their
     posteriors. Null ids are not labelled; rows that share an id are labelled alike. An empty
     table gives an empty result.
     """
@@ -132,7 +132,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     goal = [goal_total * x / scale for x in weight]
 
     w, reached, pending = F.col("w"), natural, 0
-    for _ in range(steps):
+    while True:
         if max(abs(a - t) for a, t in zip(reached, goal, strict=True)) <= tolerance * max(goal_total, 1.0):
             break
         step = [(a - t) / max(s, 1e-9) for a, t, s in zip(reached, goal, natural, strict=True)]
@@ -150,6 +150,12 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     return out, report
 
 
+def missed(report: dict[str, dict[str, float]]) -> float:
+    """The largest gap between a domain's reached total and its target, as a share of all targets."""
+    whole = sum(r["target"] for r in report.values())
+    return max((abs(r["reached"] - r["target"]) for r in report.values()), default=0.0) / max(whole, 1.0)
+
+
 def copies(rate: Column, id: Column, seed: int = 1) -> Column:
     """How often to take a document: its rate, rounded up or down by a hash of seed and id so that the mean is the rate."""
     drawn = F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -91,9 +91,12 @@ def known_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates, with the shares of tokens that the domains reach and by how much of all tokens the targets are missed at most."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rates, _ = mixing.mixing_rates(docs, known_domains(docs, labels), TARGETS)
-    return rates.select("row.doc_id", "tokens", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS)], "rate")
+    rates, report = mixing.mixing_rates(docs, known_domains(docs, labels), TARGETS)
+    reached = [F.lit(report[d]["reached"] / max(sum(r["reached"] for r in report.values()), 1.0)).alias(f"reached_{d}") for d in TARGETS]
+    posteriors = [F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS)]
+    return rates.select("row.doc_id", "tokens", *posteriors, "rate", *reached, F.lit(mixing.missed(report)).alias("missed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,12 @@ def test_odd_rows(spark):
 def test_copies_average_to_the_rate(spark):
     n = spark.range(20_000).select(mixing.copies(F.lit(1.3), F.col("id")).alias("n")).agg(F.avg("n"), F.max("n")).first()
     assert n[0] == pytest.approx(1.3, abs=0.02) and n[1] == 2
+
+
+def test_missed_targets_show(spark):
+    df, known = two_kinds(spark, np.random.default_rng(2))
+    _, report = mixing.mixing_rates(df, known, {"a": 0.4, "b": 0.6})
+    assert mixing.missed(report) <= 1e-3
+    mixed = df.withColumn("text", F.lit("the same text for all"))  # nothing tells domains apart
+    _, report = mixing.mixing_rates(mixed, known, {"a": 0.01, "b": 0.99})
+    assert mixing.missed(report) > 0.05 and mixing.missed({}) == 0
