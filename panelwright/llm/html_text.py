@@ -1,9 +1,10 @@
 """The main text of web pages by two passes of rules over their blocks.
 
-A page is cut into blocks at block-level tags. The first pass decides each block on its own: markup
-that names its purpose (menus, adverts, comments; or the article) decides at once, then link density,
+A page is cut into blocks at block-level tags. The first pass decides each block on its own: markup that names a purpose
+other than main text (menus, adverts, comments) decides at once, then link density,
 length and the density of stop words do. Short and middling blocks stay open; in the second pass they
-take the label of the nearest decided blocks before and after them.
+take the label of the nearest decided blocks before and after them. Inside ``article`` or ``main`` that markup is a prior: a
+block that density would rule out stays open, looks to decided blocks of the article alone, and is kept where there are none.
 """
 
 from __future__ import annotations
@@ -55,6 +56,7 @@ class Block:
     linked: int  # code points of the text inside links
     heading: bool
     label: str  # "good", "bad", "near", "short"
+    main: bool = False  # inside an article, and not dropped there
 
 
 def _purpose(name: str, rest: str) -> bool:
@@ -89,7 +91,7 @@ def blocks(page: str) -> Iterator[Block]:
             whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
             if whole:
                 linked = len("".join(html.unescape("".join(t for t, a in text if a)).split()))
-                yield Block(whole, linked, heading, _first_pass(whole, linked, dropped > 0, main > 0))
+                yield Block(whole, linked, heading, _first_pass(whole, linked, dropped > 0, main > 0), main > 0 and not dropped)
             text.clear()
         heading = False
 
@@ -130,7 +132,7 @@ def blocks(page: str) -> Iterator[Block]:
                 yield from ended()
             elif name == "a" and links:
                 links -= 1
-            if any(n == name for n, _, _ in stack):
+            if opened[name]:
                 while stack:
                     n, d, m = stack.pop()
                     opened[n] -= 1
@@ -174,38 +176,32 @@ def blocks(page: str) -> Iterator[Block]:
 def _first_pass(text: str, linked: int, dropped: bool, main: bool) -> str:
     if dropped:
         return "bad"
-    if main:
-        return "good"
+    unlikely = "near" if main else "bad"
     dense = linked / max(1, len(text) - text.count(" "))
     if dense > LINKS or "©" in text:
-        return "bad"
+        return unlikely
     if len(text) < LENGTH_LOW:
-        return "bad" if linked else "short"
+        return unlikely if linked else "short"
     found = [w.strip(".,;:!?\"'()[]«»“”#*$%&|").lower() for w in text.split()]
     stop = sum(w in STOP_WORDS for w in found) / len(found)
     if stop >= STOP_HIGH:
         return "good" if len(text) > LENGTH_HIGH else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= STOP_LOW else unlikely
 
 
-def main_blocks(page: str) -> list[str]:
-    """The texts of the blocks that the two passes keep."""
-    found = list(blocks(page))
-    if any(b.label == "good" for b in found) is False:
-        # No block decides for main text on its own: middling ones are the best there is.
-        for b in found:
-            b.label = "good" if b.label == "near" else b.label
+def _second_pass(found: list[Block], edge: str) -> list[bool]:
+    """Whether each block is kept; ``edge`` is what stands before the first block and after the last."""
     n = len(found)
-    before, after = ["bad"] * n, ["bad"] * n
+    before, after = [edge] * n, [edge] * n
     gap_before, gap_after = [n] * n, [n] * n
     for order, label, gap in ((range(n), before, gap_before), (range(n - 1, -1, -1), after, gap_after)):
-        last, far = "bad", n
+        last, far = edge, n
         for i in order:
             label[i], gap[i] = last, far
             far += 1
             if found[i].label in ("good", "bad"):
                 last, far = found[i].label, 1
-    out = []
+    kept = []
     for i, b in enumerate(found):
         if b.label == "near":
             keep = "good" in (before[i], after[i])
@@ -218,9 +214,22 @@ def main_blocks(page: str) -> list[str]:
                 keep = (before[i] if gap_before[i] <= gap_after[i] else after[i]) == "good"
         else:
             keep = b.label == "good"
-        if keep:
-            out.append(b.text)
-    return out
+        kept.append(keep)
+    return kept
+
+
+def main_blocks(page: str) -> list[str]:
+    """The texts of the blocks that the two passes keep."""
+    found = list(blocks(page))
+    if not any(b.label == "good" or b.main for b in found):
+        # No block decides for main text on its own: middling ones are the best there is.
+        for b in found:
+            b.label = "good" if b.label == "near" else b.label
+    inner = [b for b in found if b.main]
+    of_article = iter(_second_pass(inner, "good"))
+    for b in inner:
+        b.label = "good" if next(of_article) else "bad"
+    return [b.text for b, keep in zip(found, _second_pass(found, "bad"), strict=True) if keep]
 
 
 def _extract(batches):
