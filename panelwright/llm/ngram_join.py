@@ -22,6 +22,7 @@ differences; what that leaves open is compared in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ U = np.uint64
 WIDE = 256
 #: Texts of a key that are compared in one task with those of one more block.
 BLOCK = 2048
+#: Entries of a key up to which neighbours are compared side by side for all keys at once, and bytes of entries a task holds, about.
+FEW, HELD = 48, 8 << 20
 #: Texts for each task, at least, where Python works on keys and pairs.
 TEXTS = 2000
 #: How often texts under such keys are allotted other segments before what is left goes to the second index.
@@ -172,77 +175,130 @@ def _may_agree(percent: int):
     return run
 
 
-def _parities(grid: np.ndarray) -> np.ndarray:
-    """Whether each count is odd, packed; counts held at 255 are taken as even."""
-    bits = np.packbits((grid & 1).astype(bool) & (grid < 255), axis=1)
-    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(U)
+class _Entries:
+    """Sets under keys, row by row: group, side, id, component, n, and counts by segment."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        name = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
+        new = np.r_[True, np.any([x[1:] != x[:-1] for x in name], axis=0)]
+        self.group = np.cumsum(new)
+        self.start = np.r_[np.flatnonzero(new), len(new)]
+        self.single = name[1] == name[2]
+        self.side, self.ids, self.component, self.n = (rows.column(c).to_numpy() for c in ("side", "id", "component", "n"))
+        counts = rows.column("counts").cast(pa.large_binary()).combine_chunks()
+        counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
+        at = np.frombuffer(counts.buffers()[1], np.int64)[counts.offset : counts.offset + len(counts) + 1]
+        data = np.frombuffer(counts.buffers()[2], np.uint8)
+        self.wide = np.diff(at)
+        self.place = np.zeros(len(at) - 1, np.int64)
+        self.grids = {}
+        for w in np.unique(self.wide).tolist():
+            here = np.flatnonzero(self.wide == w)
+            self.place[here] = np.arange(len(here))
+            self.grids[w] = data[at[here][:, None] + np.arange(w)]
+
+    def counts(self, x: np.ndarray, wide: int) -> np.ndarray:
+        """Counts of the rows ``x``, all of one width, in ``wide`` segments: neighbouring ones are one at half the number."""
+        own = self.grids[int(self.wide[x[0]])][self.place[x]]
+        return own if own.shape[1] == wide else np.minimum(own.reshape(len(x), wide, -1).sum(2, dtype=np.int32), 255)
+
+    def may_agree(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether counts leave pairs of rows a chance: two sets differ by no less than their counts do."""
+        out = np.zeros(len(x), bool)
+        for a in np.unique(self.wide[x]).tolist():
+            for b in np.unique(self.wide[y]).tolist():
+                here = np.flatnonzero((self.wide[x] == a) & (self.wide[y] == b))
+                wide = min(a, b)
+                step = max(1, (4 << 20) // wide)
+                for low in range(0, len(here), step):
+                    k = here[low : low + step]
+                    gap = np.abs(self.counts(x[k], wide).astype(np.int16) - self.counts(y[k], wide)).sum(1, dtype=np.int64)
+                    out[k] = gap * (100 + percent) <= (100 - percent) * (self.n[x[k]] + self.n[y[k]])
+        return out
 
+    def near(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+        """Whether rows of one key are in different components, on different sides, and near enough in size."""
+        apart = (self.component[x] != self.component[y]) & (self.single[x] | (self.side[x] != self.side[y]))
+        return apart & (100 * np.minimum(self.n[x], self.n[y]) >= percent * np.maximum(self.n[x], self.n[y]))
+
+    def odd(self, x: np.ndarray, wide: int) -> np.ndarray | None:
+        """Which counts of the rows are odd, packed into words; None where a count is held at 255, which may be either."""
+        grid = self.counts(x, wide)
+        if (grid >= 255).any():
+            return None
+        bits = np.packbits((grid & 1).astype(bool), axis=1)
+        return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(U)
+
+    def of_large(self, low: int, high: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a key with many rows. Sets differ by no less than the number of counts of which just one is odd, which a few words tell."""
+        rows = np.arange(low, high)
+        kinds = [rows[self.wide[rows] == w] for w in np.unique(self.wide[rows])]
+        parts = [k[i : i + 512] for k in kinds for i in range(0, len(k), 512)]
+        for i, p in enumerate(parts):
+            for q in parts[i:]:
+                wide = int(min(self.wide[p[0]], self.wide[q[0]]))
+                x, y = np.repeat(p, len(q)), np.tile(q, len(p))
+                fits = self.near(x, y, percent)
+                one, two = self.odd(p, wide), self.odd(q, wide)
+                if one is not None and two is not None and fits.any():
+                    least = np.zeros((len(p), len(q)), np.int64)
+                    for k in range(one.shape[1]):
+                        least += np.bitwise_count(one[:, k][:, None] ^ two[:, k][None, :])
+                    fits &= least.ravel() * (100 + percent) <= (100 - percent) * (self.n[x] + self.n[y])
+                yield x[fits], y[fits]
+
+    def pairs(self, percent: int) -> np.ndarray:
+        """Ids of pairs that sizes and counts do not rule out, each once."""
+        found = []
+        size = np.diff(self.start)
+        here = np.flatnonzero(np.repeat(size <= FEW, size))
+        for step in range(1, FEW):
+            here = here[here + step < len(self.group)]
+            here = here[self.group[here + step] == self.group[here]]
+            if not len(here):
+                break
+            fits = self.near(here, here + step, percent)
+            found.append((here[fits], here[fits] + step))
+        for k in np.flatnonzero(size > FEW):
+            found += self.of_large(self.start[k], self.start[k + 1], percent)
+        x, y = (np.concatenate([f[k] for f in found] + [np.empty(0, np.int64)]) for k in (0, 1))
+        u, v = np.minimum(self.ids[x], self.ids[y]), np.maximum(self.ids[x], self.ids[y])
+        _, once = np.unique(np.stack([u, v], 1), axis=0, return_index=True)
+        fits = once[self.may_agree(x[once], y[once], percent)]
+        return np.stack([u[fits], v[fits]], 1)
+
+
+def _apart(percent: int):
+    """Pairs of a key's sets in different components that sizes and counts do not rule out.
+
+    Rows ``(bucket, low, high, side, id, component, n, counts)`` come pair of blocks by pair of blocks; of two blocks
+    only texts of different sides are compared. No pair leaves the task but those found.
+    """
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one key's sets in different components that sizes and counts do not rule out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held):
+            found = _Entries(held).pairs(percent)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-    Rows ``(bucket, low, high, side, id, component, n, counts, percent)`` come pair of blocks by pair of blocks; of two blocks
-    only texts of different sides are compared. Two sets differ by no less than their counts do, and those by no less than
-    the number of counts of which just one is odd, which a few machine words tell. No pair
-    leaves the task but those found.
-    """
-    held: list[tuple] = []
-    last, out = None, [np.empty((0, 2), np.int64)]
-
-    def halved(grid: np.ndarray) -> np.ndarray:
-        """Neighbouring segments are one at half the number."""
-        return np.minimum(grid.reshape(len(grid), -1, 2).sum(2), 255)
-
-    def compare():
-        side, ids, component, n = (np.array([h[k] for h in held], np.int64) for k in range(4))
-        percent, single = held[0][5], last[1] == last[2]
-        kinds = np.array([len(h[4]) for h in held])
-        levels = {b: np.flatnonzero(kinds == b) for b in sorted(set(kinds.tolist()))}
-        grids = {b: np.stack([np.frombuffer(held[x][4], np.uint8) for x in at]).astype(np.int16) for b, at in levels.items()}
-        for b, at in levels.items():
-            own, odd = grids[b], _parities(grids[b])
-            full = (own >= 255).any()
-            for c, other in levels.items():
-                if c < b:
-                    continue
-                far = grids[c]
-                while far.shape[1] > b:
-                    far = halved(far)
-                odd_far = _parities(far)
-                exact = not full and not (far >= 255).any()  # the parities of counts held at 255 are not known
-                for i in range(0, len(at), 512):
-                    for j in range(i if c == b else 0, len(other), 512):
-                        p, q = at[i : i + 512], other[j : j + 512]
-                        total = n[p][:, None] + n[q][None, :]
-                        near = (component[p][:, None] != component[q][None, :]) & (100 * np.minimum(n[p][:, None], n[q][None, :]) >= percent * np.maximum(n[p][:, None], n[q][None, :]))
-                        if not single:
-                            near &= side[p][:, None] != side[q][None, :]
-                        if exact and near.any():
-                            least = np.zeros(near.shape, np.int64)
-                            for k in range(odd.shape[1]):
-                                least += np.bitwise_count(odd[i : i + 512, k][:, None] ^ odd_far[j : j + 512, k][None, :])
-                            near &= least * (100 + percent) <= (100 - percent) * total
-                        x, y = np.nonzero(near)
-                        for low in range(0, len(x), 1 << 16):
-                            a, d = x[low : low + (1 << 16)], y[low : low + (1 << 16)]
-                            gap = np.abs(own[i + a] - far[j + d]).sum(1, dtype=np.int64)
-                            fits = gap * (100 + percent) <= (100 - percent) * total[a, d]
-                            u, v = ids[p[a[fits]]], ids[q[d[fits]]]
-                            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-
-    for rows in batches:
-        for r in zip(*(rows.column(c).to_pylist() for c in ("bucket", "low", "high", "side", "id", "component", "n", "counts", "percent")), strict=True):
-            if r[:3] != last and held:
-                compare()
-                held = []
-            last = r[:3]
-            held.append(r[3:])
-        if sum(map(len, out)) > 1_000_000:
-            out = [np.unique(np.concatenate(out), axis=0)]
-    if held:
-        compare()
-    pairs = np.unique(np.concatenate(out), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        held, size = [], 0
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            held.append(rows)
+            size += rows.nbytes
+            if size > HELD:
+                # The last key may go on in the next batch.
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                name = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
+                cut = int(np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in name], axis=0)])[-1])
+                if cut:
+                    yield out([rows.slice(0, cut)])
+                held, size = [rows.slice(cut)], rows.slice(cut).nbytes
+        if held:
+            yield out(held)
+
+    return run
 
 
 _SIZES = "id long, n long, d1 long, d2 long, counts binary, texts long, common array<struct<shingle:long,texts:long>>"
@@ -564,7 +620,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
 
-    tested, rounds = None, 0
+    tested, rounds, stars = None, 0, None
     texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
     while True:
         lists = _candidates(texts, scheme, width, parts, tasks)
@@ -574,19 +630,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         pairs = written(untested(met), "pairs")
         drop(met)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        linked = _extended(linked, _verified(pairs, named, width, percent, tasks))
-        entries = written(_unresolved(lists.where("leader is not null"), linked, to), "open")
+        fresh = _verified(pairs, named, width, percent, tasks)
+        stars = _stars(stars, linked, fresh)
+        entries = written(_unresolved(lists.where("leader is not null"), stars, to), "open")
         drop(lists)
+        linked = None
         if entries.isEmpty():
             break
         # Keys with a wide list are for other segments; in the last round their texts are dealt in blocks.
         wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
         near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
-        across = _in_blocks(near).join(counts, "id").withColumn("percent", F.lit(percent))
-        across = across.repartition(parts, "bucket", "low", "high").coalesce(tasks).sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart, "u long, v long")
+        held = _only(counts, near.select("id").distinct())
+        across = _in_blocks(near).join(held, "id").repartition(parts, "bucket", "low", "high").coalesce(tasks)
+        across = across.sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart(percent), "u long, v long")
         across = written(untested(across.distinct()), "pairs")
+        drop(held)
         tested = tested.unionByName(across)
-        linked = _extended(linked, _verified(across, named, width, percent, tasks))
+        linked = _verified(across, named, width, percent, tasks)
         if scheme.deletions:
             break
         hidden = gone if hidden is None else hidden.union(gone)
@@ -609,7 +669,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 break
             texts, scheme = written(_only(named, again), "texts"), Scheme(percent, deletions=True)
         drop(entries, before)
-    found = components(linked).withColumnRenamed("node", "set_id")
+    stars = _stars(stars, linked)
+    found = stars.select(F.col("u").alias("set_id"), F.col("v").alias("component"))
     size = first.groupBy("set_id").agg(F.sum("copies").alias("copies"))
     of_set = size.join(found, "set_id", "full")
     return looked_up(sets, of_set, ["set_id"], n_rows).select(
@@ -620,11 +681,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def _extended(linked: DataFrame, more: DataFrame) -> DataFrame:
-    """All links as stars: what was linked before, and more."""
-    found = components(linked.select("u", "v").unionByName(more.select("u", "v")))
+def _stars(stars: DataFrame | None, *links: DataFrame | None) -> DataFrame:
+    """What was linked before and ``links``, as links of each set to the least one it reaches."""
+    links = [x for x in links if x is not None]
+    more = [x for x in links if not x.isEmpty()]
+    if stars is not None and not more:
+        return stars
+    edges = [x.select("u", "v") for x in ([stars] if stars is not None else []) + (more or links)]
+    found = components(reduce(DataFrame.unionByName, edges))
     out = written(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
-    drop(found, linked, more)
+    drop(found, *links, *([stars] if stars is not None else []))
     return out
 
 
@@ -648,10 +714,10 @@ def _similar_sizes(pairs: DataFrame, to: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("u_set", "v_set").alias("u"), F.greatest("u_set", "v_set").alias("v")).distinct()
 
 
-def _unresolved(lists: DataFrame, linked: DataFrame, to: DataFrame) -> DataFrame:
-    """``(bucket, id, component, texts)`` of the keys whose texts are not all in one component, one text a set; ``linked`` are stars."""
+def _unresolved(lists: DataFrame, stars: DataFrame, to: DataFrame) -> DataFrame:
+    """``(bucket, id, component, texts)`` of the keys whose texts are not all in one component, one text a set."""
     entry = lists.select("bucket", F.explode("members").alias("id")).join(to, "id").select("bucket", F.col("set_id").alias("id")).distinct()
-    entry = entry.join(linked.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
+    entry = entry.join(stars.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
     entry = entry.withColumn("component", F.coalesce("component", "id"))
     several = entry.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("texts"))
     return entry.join(several.where("low != high").select("bucket", "texts"), "bucket")
