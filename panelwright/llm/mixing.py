@@ -103,7 +103,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     are. Steps go on until every total is within ``tolerance`` of the whole from its target, or the
     totals no longer change (targets that no nonnegative rates reach), however many that takes; what was reached is
     returned, and :func:`missed` says how far from the targets that is. Null and empty texts have no tokens and get the rate of their
-    posteriors. Null ids are not labelled; rows that share an id are labelled alike. An empty
+    posteriors. Null ids are not labelled; rows that share an id are labelled alike. Where no document is labelled and no
+    targets are given, all rates are 1. Other columns come back in ``row``, whatever their names. An empty
     table gives an empty result.
     """
     if targets is None:
@@ -111,9 +112,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     else:
         domains = list(targets)
     n = len(domains)
-    if docs.isEmpty():
-        nothing = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.lit(0).alias("tokens"), F.array(*[F.lit(0.0)] * n).alias("posteriors"), F.lit(1.0).alias("rate"))
-        return nothing, {d: {"natural": 0.0, "target": 0.0, "reached": 0.0} for d in domains}
+    if not domains or docs.isEmpty():
+        count = F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
+        same = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), count.alias("tokens"), F.array(*[F.lit(0.0)] * n).cast("array<double>").alias("posteriors"), F.lit(1.0).alias("rate"))
+        return same, {d: {"natural": 0.0, "target": 0.0, "reached": 0.0} for d in domains}
     p = [f"p{k}" for k in range(n)]
     now = written(posteriors(docs, labelled, domains, id, text).withColumn("w", F.lit(1.0)), "rates")
 

@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from checks import compare
-from panelwright.llm import oracle, queries, quality, subwords
+from panelwright.llm import mixing, oracle, quality, queries, subwords
 from panelwright.llm.tokens import flat
-from texts import linked_components, without_shared_lines
+from texts import SCHEMA, corpus, linked_components, without_shared_lines, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,22 +67,57 @@ def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[5].count()
 
 
-def test_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     names = set(contract.queries())
-    assert {k for k in names if k.startswith("op")} == set(queries.QUERIES) and len(queries.QUERIES) == 10 and "pipeline" in names
+    assert {k for k in names if k.startswith("op")} == set(queries.QUERIES) and len(queries.QUERIES) == 13 and "pipeline" in names
 
 
 @pytest.mark.parametrize("key", list(oracle.ORACLE))
 def test_query_equals_sql(spark, key):
-    names = ["n_shingles", "set_id", "component_id"] if key.startswith("op1_") else ["n_lines", "n_dropped", "kept_sha256"]
-    got = {r.doc_id: tuple(r[n] for n in names) for r in queries.QUERIES[key](spark, SF).collect()}
     cur = compare.connect(SF).execute(oracle.ORACLE[key])
-    cols = [d[0] for d in cur.description]
-    want = {r[cols.index("doc_id")]: tuple(r[cols.index(n)] for n in names) for r in cur.fetchall()}
-    assert got == want
+    cols = sorted(d[0] for d in cur.description)
+    place = [[d[0] for d in cur.description].index(c) for c in cols]
+    want = sorted((tuple(r[k] for k in place) for r in cur.fetchall()), key=repr)
+    assert sorted((tuple(r) for r in queries.QUERIES[key](spark, SF).select(*cols).collect()), key=repr) == want and want
 
 
 @pytest.mark.parametrize("key", [k for k in queries.QUERIES if k not in oracle.ORACLE])
 def test_query_has_a_row_for_each_document(spark, key):
     table = "pages" if key == "op5_html_text" else "documents"
     assert queries.QUERIES[key](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_copies_follow_the_rates(spark, stages):
+    """Each document as often as its rate says, rounded by a hash, and once at least."""
+    docs = stages[3]
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    known = docs.join(labels, "doc_id", "left_semi").select("doc_id", F.col("lang").alias("domain"))
+    rates, report = mixing.mixing_rates(docs, known, None, temper=0.8)
+    want = {r.doc_id: max(1, r.times) for r in rates.select("row.doc_id", mixing.copies(F.col("rate"), F.col("row.doc_id")).alias("times")).collect()}
+    assert collections.Counter(r.doc_id for r in stages[4].collect()) == want
+    assert mixing.missed(report) <= 0.01 and max(want.values()) > 1
+
+
+def odd_docs(spark):
+    """Null ids and texts, repeated rows, and columns named like those a stage makes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(words(rng, 80, 3000)) for _ in range(30)]
+    more = {c: ("int", k) for k, c in enumerate(("copy", "times", "row", "gone_id", "gone_hash", "times_id", "text_hash", "kept", "rate", "u"))}
+    return corpus(spark, [*texts, texts[0], None, "", texts[1]], [*range(30), 0, 31, 32, None], **more)
+
+
+def test_stages_stand_odd_rows_and_names(spark):
+    docs = odd_docs(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == odd_docs(spark).columns
+    kept = collections.Counter(r.doc_id for r in docs.collect())
+    assert {*range(2, 30), 0, None} <= set(kept) and not {31, 32} & set(kept)
+    assert corpus_pipeline.encode(spark, docs, SF).count() == docs.count()
+
+
+def test_stages_of_an_empty_table_are_empty(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.count() == 0
