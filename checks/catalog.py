@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright import operators as op
+from panelwright.operators.correlate import tiled
 from panelwright.plans import supplier as sup
 from panelwright.plans import workflow as wf
 from panelwright.plans.panels import lag_frame, panel_filter, panel_log, panel_percapita
@@ -254,6 +255,11 @@ def q_corr_matrix_wide(spark, sf):
     return rounded(op.corr_matrix(_log(spark, sf), sup.CORRELATED))
 
 
+def q_corr_tiles(spark, sf):
+    """Every pair of the logged panel's columns, tile by tile as for thousands of them."""
+    return rounded(tiled(_log(spark, sf), list(sup.CORRELATED), None, 8))
+
+
 def q_corr_targets(spark, sf):
     return rounded(op.corr_targets(_log(spark, sf), sup.CORRELATED, ("log_cases", "log_deaths")))
 
@@ -306,6 +312,22 @@ def _fit(name: str) -> Callable:
     return lambda spark, sf: rounded(_model(name, spark, sf).fit.select(*FIT_CHECKED), 6)
 
 
+def _together(spark, sf):
+    """The three models from one panel, with one pass over it and one over the residuals."""
+    formulas = {name: sup.FORMULAS[name] for name in ("cases", "deaths", "percapita")}
+    return wf.models_together(panel_supplier(spark, sf), SUPPLIER, formulas, ("cases", "deaths"), ("percapita",))
+
+
+def q_ols_together(spark, sf):
+    coefs = [rounded(m.coef, 8, t=6, p=6).select(F.lit(name).alias("model"), "*") for name, m in _together(spark, sf).items()]
+    return coefs[0].unionByName(coefs[1]).unionByName(coefs[2])
+
+
+def q_ols_together_fit(spark, sf):
+    fits = [rounded(m.fit.select(*FIT_CHECKED), 6) for m in _together(spark, sf).values()]
+    return fits[0].unionByName(fits[1]).unionByName(fits[2])
+
+
 def q_forward_selection(spark, sf):
     return rounded(op.forward_selection(_percapita(spark, sf), SELECT_Y, SELECT_X))
 
@@ -447,7 +469,7 @@ def q_forecast_suppliers(spark, sf):
 def q_forecast_error_model(spark, sf):
     """Forecast every supplier, join errors to the features, regress them on the statics."""
     model = wf.forecast_error_model(_log(spark, sf), *sup.FORMULAS["forecast_error"])
-    return rounded(model.coef)
+    return rounded(model.coef, 5, t=4, p=6)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -482,6 +504,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minmax_scaled": q_minmax_scaled,
     "corr_matrix": q_corr_matrix,
     "corr_matrix_wide": q_corr_matrix_wide,
+    "corr_tiles": q_corr_tiles,
     "corr_targets": q_corr_targets,
     "autocorr_raw": q_autocorr_raw,
     "cross_corr_lags": q_cross_corr_lags,
@@ -497,6 +520,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ols_percapita_fit": _fit("percapita"),
     "ols_forecast_error": q_ols_forecast_error,
     "ols_forecast_error_fit": q_ols_forecast_error_fit,
+    "ols_together": q_ols_together,
+    "ols_together_fit": q_ols_together_fit,
     "forward_selection": q_forward_selection,
     "forward_selection_lags": q_forward_selection_lags,
     "join_actual_pred": q_join_actual_pred,

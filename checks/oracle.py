@@ -621,6 +621,131 @@ frame AS (
 {select}"""
 
 
+def _sweep(a: str, v: str, size: str) -> str:
+    """The matrix ``a`` after the sweep of pivot ``v``."""
+    return f"""list_transform(range(1, {size} + 1), lambda i: list_transform(range(1, {size} + 1), lambda j:
+      CASE WHEN i = {v} AND j = {v} THEN -1 / {a}[{v}][{v}] WHEN i = {v} THEN {a}[{v}][j] / {a}[{v}][{v}]
+           WHEN j = {v} THEN {a}[i][{v}] / {a}[{v}][{v}] ELSE {a}[i][j] - {a}[i][{v}] * {a}[{v}][j] / {a}[{v}][{v}] END))"""
+
+
+def _monthly(train: str, rounds: int = 40) -> str:
+    """CTEs of the additive model of monthly series, with yearly terms for two years or more.
+
+    Level, slope and yearly terms are swept out once; the balance of noise and penalty then needs the hinges' block
+    alone, swept anew each round; a last sweep of all under the balanced penalty gives coefficients and covariance.
+    """
+    dot = "list_sum(list_transform(range(1, m + 1), lambda i: {0} * {1}))"
+    days = "date_diff('day', DATE '1970-01-01', d.ds)"
+    waves = _list(f"{f}(2 * pi() * {k} * {days} / 365.25)" for k in range(1, 11) for f in ("sin", "cos"))
+    return f"""{train},
+daily AS (
+  SELECT entity_id, ds, count(y)::DOUBLE AS n, sum(y)::DOUBLE AS sy, sum(y * y)::DOUBLE AS syy, max(abs(y))::DOUBLE AS top
+  FROM train GROUP BY 1, 2),
+gaps AS (SELECT entity_id, ds, date_diff('month', lag(ds) OVER (PARTITION BY entity_id ORDER BY ds), ds) AS gap FROM daily),
+info AS (
+  SELECT entity_id, min(ds) AS start, max(ds) AS last, max(top) AS scale, sum(n) AS total, min(gap) AS step,
+    greatest(date_diff('day', min(ds), max(ds)), 1)::DOUBLE AS span, sum(syy) AS syy,
+    floor(count(*) * 0.8) AS early, date_diff('day', min(ds), max(ds)) >= 730 AS yearly
+  FROM daily JOIN gaps USING (entity_id, ds) GROUP BY 1),
+wanted AS (
+  SELECT *, least(25, (date_diff('day', start, last) + 1) // 7, early - 1) AS cnt FROM info),
+places AS (
+  SELECT DISTINCT entity_id, round_even(g * (early - 1.0) / cnt, 0)::BIGINT AS place
+  FROM wanted, range(1, 26) AS r(g) WHERE g <= cnt),
+ranked AS (
+  SELECT entity_id, ds, row_number() OVER (PARTITION BY entity_id ORDER BY ds) - 1 AS place FROM daily),
+points AS (
+  SELECT entity_id, list(ds ORDER BY ds) AS cps
+  FROM places JOIN ranked USING (entity_id, place) GROUP BY 1),
+dates AS (
+  SELECT entity_id, ds, false AS is_future FROM daily
+  UNION ALL
+  SELECT entity_id, CAST(last + to_months(CAST(step * i AS INTEGER)) AS DATE), true FROM info, range(1, 15) AS r(i)),
+design AS (
+  SELECT d.entity_id, d.ds, is_future, cps, scale, span, greatest(date_diff('day', last, d.ds), 0) / span AS ahead,
+    list_concat([1.0, date_diff('day', start, d.ds) / span],
+      list_transform(cps, lambda c: greatest(date_diff('day', c, d.ds), 0) / span),
+      CASE WHEN yearly THEN [{waves}] ELSE [] END) AS x
+  FROM dates d JOIN info USING (entity_id) JOIN points USING (entity_id)),
+seen AS (SELECT entity_id, n, list_append(x, sy / n / scale) AS x FROM design JOIN daily USING (entity_id, ds) WHERE NOT is_future),
+cells AS (
+  SELECT entity_id, i, j, sum(x[i] * x[j] * n) AS v
+  FROM seen, range(1, 49) AS a(i), range(1, 49) AS b(j) WHERE i <= len(x) AND j <= len(x) GROUP BY 1, 2, 3),
+products AS (
+  SELECT entity_id, list(line ORDER BY i) AS g
+  FROM (SELECT entity_id, i, list(v ORDER BY j) AS line FROM cells GROUP BY 1, 2) GROUP BY 1),
+ready AS (
+  SELECT entity_id, g, len(g) - 1 AS m, len(cps) AS s, syy / (scale * scale) AS yy, total,
+    list_concat([1, 2], range(len(cps) + 3, len(g))) AS plain
+  FROM products JOIN info USING (entity_id) JOIN points USING (entity_id)),
+freed AS (
+  SELECT entity_id, m, s, yy, total, plain, 1::BIGINT AS k, g AS a FROM ready
+  UNION ALL
+  SELECT entity_id, m, s, yy, total, plain, k + 1, {_sweep('a', 'plain[k]', '(m + 1)')} FROM freed WHERE k <= len(plain)),
+block AS (
+  SELECT entity_id, s, total - len(plain) AS free, yy - a0 + a[m + 1][m + 1] AS unexplained,
+    list_transform(range(3, s + 3), lambda i: list_transform(range(3, s + 3), lambda j: a[i][j])) AS h,
+    list_transform(range(3, s + 3), lambda i: a[i][m + 1]) AS lean
+  FROM freed JOIN (SELECT entity_id, g[len(g)][len(g)] AS a0 FROM ready) USING (entity_id) WHERE k = len(plain) + 1),
+rounds AS (
+  SELECT entity_id, s, free, unexplained, h, lean, 0 AS done, 1::BIGINT AS k, 1.0::DOUBLE AS weight, NULL::DOUBLE AS sigma2,
+    list_transform(range(1, s + 1), lambda i: list_transform(range(1, s + 1), lambda j: h[i][j] + CASE WHEN i = j THEN 1.0 ELSE 0.0 END)) AS a
+  FROM block
+  UNION ALL
+  SELECT entity_id, s, free, unexplained, h, lean, done + (k > s)::INTEGER, CASE WHEN k > s THEN 1 ELSE k + 1 END,
+    CASE WHEN k > s THEN greatest(next_sigma2 / 0.25, 1e-12) ELSE weight END, CASE WHEN k > s THEN next_sigma2 ELSE sigma2 END,
+    CASE WHEN k > s THEN list_transform(range(1, s + 1), lambda i: list_transform(range(1, s + 1), lambda j:
+        h[i][j] + CASE WHEN i = j THEN greatest(next_sigma2 / 0.25, 1e-12) ELSE 0.0 END))
+      ELSE {_sweep('a', 'k', 's')} END
+  FROM (
+    SELECT *, CASE WHEN k > s THEN greatest(unexplained - list_sum(list_transform(range(1, s + 1), lambda i: d[i] * (2 * lean[i] - list_sum(
+          list_transform(range(1, s + 1), lambda j: h[i][j] * d[j]))))), 0)
+        / (free - list_sum(list_transform(range(1, s + 1), lambda i: list_sum(list_transform(range(1, s + 1), lambda j: -a[i][j] * h[j][i]))))) END AS next_sigma2
+    FROM (
+      SELECT *, CASE WHEN k > s THEN list_transform(range(1, s + 1), lambda i: list_sum(list_transform(range(1, s + 1), lambda j: -a[i][j] * lean[j]))) END AS d
+      FROM rounds WHERE done < {rounds}))),
+settled AS (SELECT entity_id, weight, sigma2 FROM rounds WHERE done = {rounds} AND k = 1),
+swept AS (
+  SELECT entity_id, m, s, sigma2, 1::BIGINT AS k,
+    list_transform(range(1, m + 2), lambda i: list_transform(range(1, m + 2), lambda j:
+      g[i][j] + CASE WHEN i = j AND i > 2 AND i <= s + 2 THEN weight ELSE 0.0 END)) AS a
+  FROM ready JOIN settled USING (entity_id)
+  UNION ALL
+  SELECT entity_id, m, s, sigma2, k + 1, {_sweep('a', 'k', '(m + 1)')} FROM swept WHERE k <= m),
+fitted AS (
+  SELECT entity_id, m, s, sigma2, list_transform(range(1, m + 1), lambda i: a[i][m + 1]) AS b, a FROM swept WHERE k = m + 1),
+parts AS (
+  SELECT d.*, f.s, f.sigma2, n.n, n.sy,
+    list_sum(list_transform(range(1, s + 3), lambda i: x[i] * b[i])) AS trend,
+    coalesce(list_sum(list_transform(range(s + 3, m + 1), lambda i: x[i] * b[i])), 0) AS yearly,
+    sigma2 * (1 - list_sum(list_transform(range(1, m + 1), lambda i: x[i] * list_sum(
+      list_transform(range(1, m + 1), lambda j: a[i][j] * x[j])))))
+    + s * 2 * pow(list_avg(list_transform(range(3, s + 3), lambda i: abs(b[i]))), 2) * pow(ahead, 3) / 3 AS variance
+  FROM design d JOIN fitted f USING (entity_id) LEFT JOIN daily n USING (entity_id, ds)),
+frame AS (
+  SELECT entity_id, ds, is_future, n::BIGINT AS n_obs, sy / n AS y, scale * (trend + yearly) AS yhat,
+    scale * (trend + yearly - {Z975} * sqrt(variance)) AS yhat_lower,
+    scale * (trend + yearly + {Z975} * sqrt(variance)) AS yhat_upper,
+    scale * trend AS trend, 0.0::DOUBLE AS weekly, scale * yearly AS yearly, true AS converged FROM parts)"""
+
+
+def _error_model() -> str:
+    """The model of supplier errors. The rounded log of the population is one number here, so the term goes with the
+    intercept; the shortest solution shares the intercept's coefficient between the two."""
+    ctes = f"""{_monthly(f"{PANEL_LOG}, train AS (SELECT entity_id, ds, y FROM panel)")},
+missed AS (SELECT p.*, p.y - f.yhat AS error FROM panel p JOIN frame f ON p.entity_id = f.entity_id AND p.ds = f.ds WHERE NOT f.is_future),
+same AS (SELECT max(log_pop) AS c FROM panel)"""
+    columns = ("coef", "se", "t", "p", "lo", "hi")
+    head, _, _ = _coef(ctes, "missed", *cat.ERROR_OLS, columns).rpartition("\nSELECT ")
+    size = ("coef", "se", "lo", "hi")
+    shared = [f"{c} * f AS {c}" if c in size else c for c in columns]
+    return f"""{head}
+SELECT term, {_list(_round(c, c, 5 if c in size else 4 if c == "t" else 6) for c in columns)} FROM (
+  SELECT term, {_list(shared)} FROM (SELECT table_.*, CASE WHEN term = 'Intercept' THEN 1 / (c * c + 1) ELSE 1 END AS f FROM table_, same)
+  UNION ALL
+  SELECT 'log_pop', {_list(shared)} FROM (SELECT table_.*, c / (c * c + 1) AS f FROM table_, same WHERE term = 'Intercept'))"""
+
+
 _FRAME = ("y", "yhat", "yhat_lower", "yhat_upper", "trend", "weekly", "yearly")
 
 
@@ -708,6 +833,7 @@ FROM series GROUP BY 1""",
     "corr_matrix": _corr(PANEL_LOG, sup.CORRELATED, sup.CORRELATED),
     "corr_matrix_wide": f"""SELECT var_x, {_list(f"max(r) FILTER (WHERE var_y = '{c}') AS {c}" for c in sup.CORRELATED)}
 FROM ({_corr(PANEL_LOG, sup.CORRELATED, sup.CORRELATED)}) GROUP BY var_x""",
+    "corr_tiles": _corr(PANEL_LOG, sup.CORRELATED, sup.CORRELATED),
     "corr_targets": _corr(PANEL_LOG, sup.CORRELATED, ("log_cases", "log_deaths"))
     + " ORDER BY var_x, var_y",
     "autocorr_raw": _corr(
@@ -795,6 +921,9 @@ FROM means""",
     }
 )
 
+ORACLE["forecast_suppliers"] = f"""WITH RECURSIVE {_monthly(f"{SUPPLIERS}, train AS (SELECT entity_id, ds, cases AS y FROM filtered)")}
+SELECT entity_id, ds, is_future, n_obs, {_list(_round(c, c) for c in _FRAME)}, converged FROM frame"""
+ORACLE["forecast_error_model"] = _error_model()
 _ERRORS = f"""{PANEL_LOG},
 pooled AS (SELECT regr_slope(y, t) AS slope, regr_intercept(y, t) AS start
            FROM (SELECT y, date_diff('day', DATE '2024-01-01', ds) AS t FROM panel)),
@@ -821,3 +950,7 @@ for _name, (_y, _xs) in sup.FORMULAS.items():
         _ctes, _table, _y, _xs, ("coef", "se", "t", "p", "lo", "hi")
     )
     ORACLE[f"ols_{_name}_fit"] = _fit(_ctes, _table, _y, _xs, cat.FIT_CHECKED)
+
+_MODELS = ("cases", "deaths", "percapita")
+ORACLE["ols_together"] = "\nUNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({ORACLE[f'ols_{m}']})" for m in _MODELS)
+ORACLE["ols_together_fit"] = "\nUNION ALL ".join(f"SELECT * FROM ({ORACLE[f'ols_{m}_fit']})" for m in _MODELS)

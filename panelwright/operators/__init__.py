@@ -22,7 +22,7 @@ from panelwright.operators.forecast import (
     predict_rows,
 )
 from panelwright.operators.lags import OFFSETS, add_lags
-from panelwright.operators.regress import OlsModel, ols
+from panelwright.operators.regress import OlsModel, ols, ols_together
 from panelwright.operators.scaling import minmax_fit, minmax_transform
 from panelwright.operators.selection import forward_selection
 from panelwright.operators.split import entity_frames, future_dates, train_split, union_entities
@@ -51,6 +51,7 @@ __all__ = [
     "minmax_transform",
     "numeric_view",
     "ols",
+    "ols_together",
     "per_capita",
     "population_shares",
     "predict_rows",

@@ -98,8 +98,8 @@ def all_rows(x: np.ndarray) -> Iterable[tuple[str, np.ndarray]]:
     return [("", x)]
 
 
-def partials(of: Callable[[np.ndarray], object], group: Grouping):
-    """One row per task and key, with the combined ``of`` of its row blocks."""
+def partials(of: Callable[[np.ndarray], object], group: Grouping, prefix: str = ""):
+    """One row per task and key, with the combined ``of`` of its row blocks; ``prefix`` goes before the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, object] = {}
@@ -114,7 +114,7 @@ def partials(of: Callable[[np.ndarray], object], group: Grouping):
         if acc:
             yield pa.RecordBatch.from_pydict(
                 {
-                    "key": list(acc),
+                    "key": [prefix + k for k in acc],
                     "part": pa.array([TaskContext.get().partitionId()] * len(acc), pa.int32()),
                     "payload": pa.array([m.to_bytes() for m in acc.values()], pa.binary()),
                 }
@@ -123,26 +123,29 @@ def partials(of: Callable[[np.ndarray], object], group: Grouping):
     return run
 
 
-def merged(rows: DataFrame, kind: type) -> dict:
-    """All rows ``(key, part, payload)`` of each key combined, by a tree over ``part``.
-
-    A group holds the rows of ``FAN_IN`` neighbouring parts, so its size does not grow with the
-    number of tasks.
-    """
-
+def _merge(kind: type):
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         total = _sum(kind, group["payload"])
         return pd.DataFrame(
             {"key": group["key"].iloc[:1], "part": group["part"].iloc[:1], "payload": total.to_bytes()}
         )
 
+    return merge
+
+
+def merged(rows: DataFrame, kind: type) -> dict:
+    """All rows ``(key, part, payload)`` of each key combined, by a tree over ``part``.
+
+    A group holds the rows of ``FAN_IN`` neighbouring parts, so its size does not grow with the
+    number of tasks.
+    """
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tasks, size = rows.agg(F.max("part") + 1, F.sum(F.length("payload"))).first()
         top = rows
         while (tasks or 0) > FAN_IN or (tasks or 0) > 1 and size > COLLECTED:
             top = top.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-            top = top.groupBy("key", "part").applyInPandas(merge, SCHEMA)
+            top = top.groupBy("key", "part").applyInPandas(_merge(kind), SCHEMA)
             tasks, size = -(-tasks // FAN_IN), size // FAN_IN
         found = top.collect()
     finally:
@@ -154,6 +157,17 @@ def merged(rows: DataFrame, kind: type) -> dict:
     return out
 
 
+def merged_rows(rows: DataFrame, kind: type, levels: int = 3) -> DataFrame:
+    """What :func:`merged` gives as one row ``(key, part, payload)`` a key, which stays on the executors.
+
+    ``levels`` of the tree are enough for 64^levels tasks.
+    """
+    for _ in range(levels):
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        rows = rows.groupBy("key", "part").applyInPandas(_merge(kind), SCHEMA)
+    return rows
+
+
 def _sum(kind: type, payloads: Iterable[bytes]):
     total = None
     for data in payloads:

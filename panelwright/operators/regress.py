@@ -8,7 +8,7 @@ expressions only, takes the moments of the residuals.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -26,6 +26,7 @@ from panelwright.functions.distributions import (
     t_two_sided,
 )
 from panelwright.operators.factors import Factor, collect_factors
+from panelwright.operators.scaling import minmax_columns, minmax_fit
 from panelwright.sources.scan import is_scan, nan_to_null
 
 COEF_SCHEMA = "term string, coef double, se double, t double, p double, lo double, hi double"
@@ -157,6 +158,99 @@ def ols(
     )
 
 
+def ols_together(
+    df: DataFrame,
+    formulas: Mapping[str, tuple[str, Sequence[str]]],
+    by: str | None = None,
+    order: str | None = None,
+    level: float = 0.95,
+    scaled: Collection[str] = (),
+) -> dict[str, OlsModel]:
+    """Several models ``name: (y, xs)`` on one frame; each uses the rows complete in its own columns.
+
+    One pass keeps a factor for each formula, all from the same batches and the same test for missing values; a
+    second one takes the moments of all residuals. The models named in ``scaled`` are those on columns
+    min-max scaled over all rows: scaling is linear, so it is applied to the factor and not to the rows.
+    Columns are computed once and held between the passes.
+    """
+    spark = df.sparkSession
+    formulas = {name: (y, list(xs)) for name, (y, xs) in formulas.items()}
+    columns = list(dict.fromkeys(c for y, xs in formulas.values() for c in (y, *xs)))
+    keys = [k for k in (by, order) if k]
+    df = nan_to_null(df, columns)
+    data = df.select(*dict.fromkeys([*keys, *columns])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        places = {name: [columns.index(c) for c in (y, *xs)] for name, (y, xs) in formulas.items()}
+        factors = collect_factors(data, columns, _by_formula(places))
+        if missing := [name for name in formulas if name not in factors]:
+            raise ValueError(f"no complete row for the formula of {missing[0]}")
+        wide = list(dict.fromkeys(c for name in scaled for c in (formulas[name][0], *formulas[name][1])))
+        params = minmax_fit(data, wide).first().asDict() if wide else {}
+        fits, errors, values = {}, {}, {}
+        for name, (y, xs) in formulas.items():
+            exprs = minmax_columns(params, [y, *xs]) if name in scaled else {c: F.col(c).cast("double") for c in (y, *xs)}
+            factor = _scaled_factor(factors[name], [y, *xs], params) if name in scaled else factors[name]
+            fits[name] = solve(factor, 0, range(1, len(xs) + 1))
+            values[name] = exprs
+            errors[name] = exprs[y] - _predictor(fits[name].beta, [exprs[x] for x in xs])
+        moments = _moments_together(data, errors, by, order)
+    finally:
+        data.unpersist()
+    out = {}
+    for name, (y, xs) in formulas.items():
+        fitted = df.dropna(subset=[y, *xs]).select(*[values[name].get(c, F.col(c)).alias(c) for c in df.columns])
+        fitted = fitted.withColumn("yhat", linear_predictor(fits[name].beta, xs))
+        out[name] = OlsModel(
+            spark.createDataFrame(_coef_rows(fits[name], xs, moments[name]["rss"], level), COEF_SCHEMA),
+            spark.createDataFrame([_fit_row(fits[name], y, moments[name])], FIT_SCHEMA),
+            fitted.withColumn("residual", F.col(y) - F.col("yhat")),
+        )
+    return out
+
+
+def _by_formula(places: Mapping[str, list[int]]):
+    """For each formula its columns of the rows that are complete in them."""
+
+    def group(x: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        there = ~np.isnan(x)
+        for name, cols in places.items():
+            yield name, x[there[:, cols].all(axis=1)][:, cols]
+
+    return group
+
+
+def _scaled_factor(factor: Factor, cols: Sequence[str], params: Mapping[str, float]) -> Factor:
+    """The factor of the min-max scaled columns: of a linear map of the rows it is the same map of its own columns."""
+    r = factor.r.copy()
+    for k, c in enumerate(cols, start=1):
+        lo, hi = params[f"{c}_min"], params[f"{c}_max"]
+        r[:, k] = (r[:, k] - lo * r[:, 0]) / (hi - lo) if hi > lo else 0.0
+    return Factor(factor.n, r)
+
+
+def _predictor(beta: Sequence[float], xs: Sequence[Column]) -> Column:
+    return reduce(add, [F.lit(float(b)) * x for b, x in zip(beta[1:], xs)], F.lit(float(beta[0])))
+
+
+def _moments_together(
+    data: DataFrame, errors: Mapping[str, Column], by: str | None, order: str | None
+) -> dict[str, dict[str, float | None]]:
+    """What :func:`_residual_moments` gives, for several residuals at once; NULL where a row lacks something."""
+    names = list(errors)
+    keys = [F.col(c).alias(f"__{n}") for n, c in (("by", by), ("order", order)) if c]
+    rows = data.select(*keys, *[errors[n].alias(f"__e{k}") for k, n in enumerate(names)])
+    if by and order:
+        before = Window.partitionBy("__by").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.select("*", *[F.last(f"__e{k}", ignorenulls=True).over(before).alias(f"__b{k}") for k in range(len(names))])
+    found = []
+    for k in range(len(names)):
+        e = F.col(f"__e{k}")
+        step = e - F.col(f"__b{k}") if by and order else F.lit(None).cast("double")
+        found += [F.sum(e * e).alias(f"rss{k}"), F.skewness(e).alias(f"skew{k}"), F.kurtosis(e).alias(f"excess{k}"), F.sum(step * step).alias(f"successive{k}")]
+    row = rows.agg(*found).first()
+    return {n: {m: row[f"{m}{k}"] for m in ("rss", "skew", "excess", "successive")} for k, n in enumerate(names)}
+
+
 def _residual_moments(
     data: DataFrame, y: str, predictor: Column, by: str | None, order: str | None
 ) -> dict[str, float | None]:

@@ -88,9 +88,10 @@ def panel_filter(spec: PanelSpec) -> Column:
     return reduce(and_, [F.col(c) > 0 for c in spec.positive])
 
 
-def panel_log(source: DataFrame, spec: PanelSpec, by_name: bool = False) -> DataFrame:
+def panel_log(source: DataFrame, spec: PanelSpec, by_name: bool = False, percapita: str | None = None) -> DataFrame:
     """Logged panel: rounded logs of cases, deaths, population and the log statics; ratios;
-    lags of log cases and of raw deaths; bands; shares; raw cases as ``y``."""
+    lags of log cases and of raw deaths; bands; shares; raw cases as ``y``. With ``percapita`` also the lags of the
+    per-capita ratios, named with it in front: one window then serves the models of both panels."""
     keep = [
         *spec.keys(),
         *spec.logged([spec.cases, spec.deaths, spec.population]),
@@ -102,6 +103,8 @@ def panel_log(source: DataFrame, spec: PanelSpec, by_name: bool = False) -> Data
         *_series(spec),
     ]
     lags = {spec.case_lag: round_ln(spec.cases), spec.death_lag: F.col(spec.deaths)}
+    if percapita is not None:
+        lags |= {f"{percapita}{spec.case_lag}": ratio(spec.cases, spec.population), f"{percapita}{spec.death_lag}": ratio(spec.deaths, spec.population)}
     return _panel(source.where(panel_filter(spec)), spec, keep, lags, by_name)
 
 

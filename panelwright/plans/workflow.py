@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.evaluate import forecast_error, rmse
 from panelwright.operators.forecast import forecast, predict_rows
-from panelwright.operators.regress import OlsModel, ols
+from panelwright.operators.regress import OlsModel, ols, ols_together
 from panelwright.operators.scaling import minmax_fit, minmax_transform
 from panelwright.operators.split import train_split
+from panelwright.plans.panels import PanelSpec, panel_log
 
 
 def scaled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -38,6 +40,28 @@ def scaled_ols(
         data.unpersist()
 
 
+def models_together(
+    source: DataFrame, spec: PanelSpec, formulas: Mapping[str, tuple[str, Sequence[str]]],
+    scaled: Collection[str], percapita: Collection[str], **settings,
+) -> dict[str, OlsModel]:
+    """Models of the logged and of the per-capita panel from one panel, read once.
+
+    ``scaled`` are on min-max scaled columns. The lags in the formulas named in ``percapita`` are those of the per-capita
+    ratios; their terms keep the usual names.
+    """
+    own = "percapita_"
+    lags = {f"{n}_{k}" for n in (spec.case_lag, spec.death_lag) for k in spec.offsets}
+    panel = panel_log(source, spec, percapita=own)
+    named = {
+        name: (y, [own + x if name in percapita and x in lags else x for x in xs]) for name, (y, xs) in formulas.items()
+    }
+    models = ols_together(panel, named, spec.entity, spec.date, scaled=scaled, **settings)
+    for name in percapita:
+        term = F.regexp_replace("term", f"^{own}", "")
+        models[name] = replace(models[name], coef=models[name].coef.withColumn("term", term))
+    return models
+
+
 def training_forecast(
     series: DataFrame, entities: Sequence | None, cutoff: str, by: str = "entity_id", **settings
 ) -> DataFrame:

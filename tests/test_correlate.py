@@ -1,3 +1,5 @@
+import importlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from panelwright import operators as op
 from panelwright.operators.moments import Moments
 
+correlate_module = importlib.import_module("panelwright.operators.correlate")
+
 
 def matrix(df, cols):
     return {(r.var_x, r.var_y): (r.n, r.r) for r in op.correlate(df, cols).collect()}
@@ -107,3 +111,30 @@ def test_no_pair_of_rows_or_columns_is_exploded(spark):
     """The data side of the plan is a projection into the task function."""
     df = spark.range(10).select(F.col("id").cast("double").alias("a"), F.rand().alias("b"))
     assert op.correlate(df, ["a", "b"]).count() == 4
+
+
+@pytest.mark.parametrize("targets", [None, ["c03", "c19"]])
+def test_tiles_equal_one_matrix(spark, targets):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 23)) + 1e3
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 5.0
+    names = [f"c{k:02d}" for k in range(23)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"{n} double" for n in names)).repartition(5)
+    whole = {(r.var_x, r.var_y): (r.n, r.r) for r in op.correlate(df, names, targets).collect()}
+    tiles = [(r.var_x, r.var_y, r.n, r.r) for r in correlate_module.tiled(df, names, targets, 6).collect()]
+    assert len(tiles) == len(whole) == 23 * len(targets or names)
+    for a, b, n, r in tiles:
+        assert whole[a, b][0] == n and (r is None) == (whole[a, b][1] is None)
+        assert r is None or r == pytest.approx(whole[a, b][1], abs=1e-12)
+    empty = correlate_module.tiled(df.limit(0), names[:3], None, 2).collect()
+    assert len(empty) == 9 and all((r.n, r.r) == (0, None) for r in empty)
+
+
+def test_many_columns_go_by_tiles(spark, monkeypatch):
+    """No task holds more than two blocks of columns."""
+    monkeypatch.setattr(correlate_module, "WHOLE", 10)
+    df = spark.range(50).select(*[(F.col("id") * k % 7).cast("double").alias(f"c{k}") for k in range(1, 15)])
+    got = op.correlate(df, df.columns)
+    assert got.count() == 14 * 14
+    assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()

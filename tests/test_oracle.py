@@ -13,9 +13,8 @@ def connection():
     return compare.connect(SF)
 
 
-# Queries without SQL have tests of their own (test_forecast): forecasts of monthly series and the error model on them, sparse
-# changepoints and simulated bands.
-WITHOUT_SQL = {"forecast_sparse", "forecast_simulated", "forecast_suppliers", "forecast_error_model"}
+# Queries without SQL have tests of their own (test_forecast): sparse changepoints and simulated bands.
+WITHOUT_SQL = {"forecast_sparse", "forecast_simulated"}
 
 
 def test_only_known_queries_are_without_sql():
