@@ -21,12 +21,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return near.unionByName(low.withColumnRenamed("low", "v"))
 
 
+#: Edges for each task, about: so many need no shuffle.
+EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of the edges ``(u, v)``; a component is named by its least node.
 
     Minima are combined before each shuffle and no neighbourhood is gathered; the edges of a node that very many others
     share meet in one join, which adaptive execution splits. Each round is written to the shared
-    folder and replaces the one before. Nodes without an edge to another node are left out, and so are null ones.
+    folder, in files of about ``EDGES`` edges, and replaces the one before; a single file is worked on by a single task. Nodes
+    without an edge to another node are left out, and so are null ones.
     """
     now = written(edges.where("u != v").select("u", "v").distinct(), "edges")
     mark = None
@@ -35,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-        before, now = now, written(_small(_large(now).distinct()).distinct(), "edges")
+        files = max(1, -(-seen[0] // EDGES))
+        step = _small(_large(now.coalesce(files)).distinct()).distinct()
+        before, now = now, written(step, "edges", files)
         drop(before)
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

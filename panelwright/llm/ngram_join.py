@@ -8,7 +8,7 @@ only, if both choose by one order of subsets. The order is by cost: subsets of m
 rare and come first, small ones and empty ones last, where shingles that a thousandth of all texts
 share do not count. A set is also indexed in the band below its own if a partner can be there.
 
-Texts that meet under a key are tested against the key's least text, exactly, on the shingle sets; only
+Texts that meet under keys are tested against two of the keys' least texts, exactly, on the shingle sets; only
 pairs whose numbers of shingles in each of some finer segments differ by H at most in all need that.
 Only where that leaves a key with several components are pairs between components tested, by the
 counts first, block by block within a task. Keys that very
@@ -534,12 +534,12 @@ def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int, tasks:
     """``(bucket, leader, members)`` of every key that two or more texts share; leader null: texts that costly keys may hide."""
     packed = docs.mapInArrow(_index(scheme, width, 8 * parts), "part long, data binary, list struct<bucket:long,leader:long,members:array<long>>")
     lists = packed.repartition(parts, "part").coalesce(tasks).mapInArrow(_meet(CHUNK if scheme.deletions else WIDE), LIST)
-    return written(lists.dropDuplicates(["bucket", "leader", "members"]), "lists")
+    return written(lists.dropDuplicates(["bucket", "leader", "members"]), "lists", tasks)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame, tasks: int) -> DataFrame:
     """The rows of ``docs`` with an ``id`` of ``ids``, without moving texts where the ids are few; holds a table of the ids."""
-    ids = written(ids, "ids")
+    ids = written(ids, "ids", tasks)
     return held_by(docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, "id"), ids)
 
 
@@ -563,7 +563,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, tasks
     if pairs.isEmpty():
         return pairs.select("u", "v")
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = _only(docs, ids)
+    texts = _only(docs, ids, tasks)
     sets = written(texts.mapInArrow(_sets(width), "id long, set binary"), "sets")
     a = sets.select(F.col("id").alias("u"), F.col("set").alias("set_a"))
     b = sets.select(F.col("id").alias("v"), F.col("set").alias("set_b"))
@@ -593,27 +593,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     n_rows = rows.count()
     tasks = max(8, n_rows // TEXTS)  # fewer would hold too much, more would be idle
     digest = ["d1", "d2", "n"]
-    first = written(rows.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("set_id"), F.count("*").alias("copies")), "first")
+    first = written(rows.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("set_id"), F.count("*").alias("copies")), "first", tasks)
     sets = looked_up(rows.select("id", *digest), first, digest, n_rows)
-    sets = written(sets.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("set_id", "id")).alias("set_id")), "ids")
+    sets = written(sets.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("set_id", "id")).alias("set_id")), "ids", tasks)
     leaders = first.select(F.col("set_id").alias("id"), *digest)
     held = rows.join(F.broadcast(leaders) if leaders.count() <= SMALL else leaders, ["id", *digest])
-    counts = written(held.groupBy("id", *digest).agg(F.first("counts").alias("counts")).select("id", "n", "counts"), "counts")
+    counts = written(held.groupBy("id", *digest).agg(F.first("counts").alias("counts")).select("id", "n", "counts"), "counts", tasks)
     drop(sizes)
     named = docs.where("id is not null")
     # Links are between sets, each by its least id; an id with several sets ties them.
     known = sets.where("id is not null")
     tied = known.groupBy("id").agg(F.min("set_id").alias("u"), F.max("set_id").alias("low")).where("u != low").select("id", "u")
-    linked = written(known.join(tied, "id").where("u != set_id").select("u", F.col("set_id").alias("v")).distinct(), "links")
-    to = written(known.where("n > 0").select("id", "set_id", "n").distinct(), "to")
+    linked = written(known.join(tied, "id").where("u != set_id").select("u", F.col("set_id").alias("v")).distinct(), "links", tasks)
+    to = written(known.where("n > 0").select("id", "set_id", "n").distinct(), "to", tasks)
 
     def possible(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "met")
-        wanted = _only(counts, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-        there = written(wanted, "counts")
+        pairs = written(pairs, "met", tasks)
+        wanted = _only(counts, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), tasks)
+        there = written(wanted, "counts", tasks)
         for side in ("u", "v"):
             pairs = held_by(pairs.join(there.withColumnsRenamed({"id": side, "n": f"n_{side}", "counts": f"counts_{side}"}), side), pairs)
-        out = written(pairs.coalesce(tasks).mapInArrow(_may_agree(percent), "u long, v long").distinct(), "pairs")
+        out = written(pairs.coalesce(tasks).mapInArrow(_may_agree(percent), "u long, v long").distinct(), "pairs", tasks)
         drop(pairs, wanted, there)
         return out
 
@@ -624,15 +624,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
     while True:
         lists = _candidates(texts, scheme, width, parts, tasks)
-        gone = written(lists.where("leader is null").select(F.explode("members").alias("id")).distinct(), "gone")
-        led = lists.where("leader is not null").select(F.col("leader").alias("u"), F.explode("members").alias("v"))
-        met = possible(_similar_sizes(led, to, percent))
-        pairs = written(untested(met), "pairs")
+        gone = written(lists.where("leader is null").select(F.explode("members").alias("id")).distinct(), "gone", tasks)
+        met = possible(_led(lists.where("leader is not null"), to, percent))
+        pairs = written(untested(met), "pairs", tasks)
         drop(met)
         tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = _verified(pairs, named, width, percent, tasks)
-        stars = _stars(stars, linked, fresh)
-        entries = written(_unresolved(lists.where("leader is not null"), stars, to), "open")
+        stars = _stars(tasks, stars, linked, fresh)
+        entries = written(_unresolved(lists.where("leader is not null"), stars, to), "open", tasks)
         drop(lists)
         linked = None
         if entries.isEmpty():
@@ -640,10 +639,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         # Keys with a wide list are for other segments; in the last round their texts are dealt in blocks.
         wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
         near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
-        held = _only(counts, near.select("id").distinct())
+        held = _only(counts, near.select("id").distinct(), tasks)
         across = _in_blocks(near).join(held, "id").repartition(parts, "bucket", "low", "high").coalesce(tasks)
         across = across.sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart(percent), "u long, v long")
-        across = written(untested(across.distinct()), "pairs")
+        across = written(untested(across.distinct()), "pairs", tasks)
         drop(held)
         tested = tested.unionByName(across)
         linked = _verified(across, named, width, percent, tasks)
@@ -651,11 +650,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
             break
         hidden = gone if hidden is None else hidden.union(gone)
         shut = wide.select("bucket").distinct()
-        costly = written(shut if costly is None else costly.union(shut).distinct(), "costly")
+        costly = written(shut if costly is None else costly.union(shut).distinct(), "costly", tasks)
         rounds += 1
         before = texts
         if rounds <= ROUNDS and not wide.isEmpty():
-            texts = written(_only(named, wide.select("id").distinct()), "texts")
+            texts = written(_only(named, wide.select("id").distinct(), tasks), "texts")
             if costly.count() <= SMALL:
                 keys = np.sort(costly.toPandas()["bucket"].to_numpy(np.int64).view(U))
                 scheme = Scheme(percent, common=common, shut=keys)
@@ -667,9 +666,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
             again = hidden.union(wide.select("id")).distinct()
             if again.isEmpty():
                 break
-            texts, scheme = written(_only(named, again), "texts"), Scheme(percent, deletions=True)
+            texts, scheme = written(_only(named, again, tasks), "texts"), Scheme(percent, deletions=True)
         drop(entries, before)
-    stars = _stars(stars, linked)
+    stars = _stars(tasks, stars, linked)
     found = stars.select(F.col("u").alias("set_id"), F.col("v").alias("component"))
     size = first.groupBy("set_id").agg(F.sum("copies").alias("copies"))
     of_set = size.join(found, "set_id", "full")
@@ -681,7 +680,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-def _stars(stars: DataFrame | None, *links: DataFrame | None) -> DataFrame:
+def _stars(tasks: int, stars: DataFrame | None, *links: DataFrame | None) -> DataFrame:
     """What was linked before and ``links``, as links of each set to the least one it reaches."""
     links = [x for x in links if x is not None]
     more = [x for x in links if not x.isEmpty()]
@@ -689,7 +688,7 @@ def _stars(stars: DataFrame | None, *links: DataFrame | None) -> DataFrame:
         return stars
     edges = [x.select("u", "v") for x in ([stars] if stars is not None else []) + (more or links)]
     found = components(reduce(DataFrame.unionByName, edges))
-    out = written(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")), "links")
+    out = written(found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")), "links", tasks)
     drop(found, *links, *([stars] if stars is not None else []))
     return out
 
@@ -706,12 +705,17 @@ def _in_blocks(entries: DataFrame) -> DataFrame:
     return out.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component")
 
 
-def _similar_sizes(pairs: DataFrame, to: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets, each by its least text, that are near enough in size to be similar."""
+def _led(lists: DataFrame, to: DataFrame, percent: int) -> DataFrame:
+    """For each set, by its least text, two of the sets that lead its keys and are near enough in size: the first, and the one
+    that shares most keys with it. What these pairs leave apart under a key is compared there."""
+    pairs = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v")).withColumn("shared", F.lit(1))
     for side in ("u", "v"):
-        pairs = pairs.distinct().join(to.select(F.col("id").alias(side), F.col("set_id").alias(f"{side}_set"), F.col("n").alias(f"{side}_n")), side)
+        pairs = pairs.groupBy("u", "v", *[c for c in pairs.columns if c.endswith(("_set", "_n"))]).agg(F.sum("shared").alias("shared"))
+        pairs = pairs.join(to.select(F.col("id").alias(side), F.col("set_id").alias(f"{side}_set"), F.col("n").alias(f"{side}_n")), side)
     pairs = pairs.where((F.col("u_set") != F.col("v_set")) & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")))
-    return pairs.select(F.least("u_set", "v_set").alias("u"), F.greatest("u_set", "v_set").alias("v")).distinct()
+    pairs = pairs.select(F.least("u_set", "v_set").alias("u"), F.greatest("u_set", "v_set").alias("v"), "shared")
+    most = F.max_by("u", F.struct("shared", (-F.col("u")).alias("less")))
+    return pairs.groupBy("v").agg(F.min("u").alias("first"), most.alias("most")).select(F.explode(F.array_distinct(F.array("first", "most"))).alias("u"), "v")
 
 
 def _unresolved(lists: DataFrame, stars: DataFrame, to: DataFrame) -> DataFrame:

@@ -26,13 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="panelwright-"))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which ends its lineage; dropped with the session, or by :func:`drop`."""
+def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which ends its lineage; dropped with the session, or by :func:`drop`.
+
+    ``files`` at most are written, where a table is too narrow to be worth more.
+    """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
+    place, store = _place(spark, path)
+    store.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_paths = [path]
     return out
@@ -47,9 +51,9 @@ def drop(*tables: DataFrame) -> None:
     """Delete written tables (or what :func:`held_by` names) once nothing reads them any more."""
     for table in tables:
         for path in table.__dict__.pop("scratch_paths", ()):
-            place, files = _place(table.sparkSession, path)
-            files.delete(place, True)
-            files.cancelDeleteOnExit(place)
+            place, store = _place(table.sparkSession, path)
+            store.delete(place, True)
+            store.cancelDeleteOnExit(place)
 
 
 def held_by(df: DataFrame, *tables: DataFrame) -> DataFrame:
