@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.scratch import written
+from panelwright.llm.scratch import drop, written
 from panelwright.llm.tokens import _power, flat, mix, pieces, salt
 
 LENGTH = 400
 U = np.uint64
 #: Bytes of one index, and of one anchor's stretches above which its windows are compared by 128-bit hashes instead.
 SHARE, HEAVY = 2 << 20, 16 << 20
-#: Entries of lists (40 bytes each) up to which what is known of texts goes to all executors; more are joined.
-SMALL = 1_000_000
 
 
 def _sums(data: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,21 +268,21 @@ def _hashed(length: int):
     return run
 
 
-def _with(docs: DataFrame, known: DataFrame, entries: str, how: str) -> DataFrame:
-    """``docs`` joined with the list of ``entries`` known of texts by ``id`` (null matching null) and hash; few go to all executors."""
+def _with(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with what is known of texts by ``id`` (null matching null) and hash."""
     renamed = known.withColumnsRenamed({"id": "known_id", "t": "known_t"})
     same = docs["id"].eqNullSafe(renamed["known_id"]) & (docs["t"] == renamed["known_t"])
-    size = known.agg(F.sum(F.size(entries) + 1)).first()[0] or 0
-    return docs.join(F.broadcast(renamed) if size <= SMALL else renamed, same, how).drop("known_id", "known_t")
+    return docs.join(renamed, same, how).drop("known_id", "known_t")
 
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(id, t, first, last)``: stretches of window starts of repeated windows; ``docs`` has id, t (a hash of the text) and text."""
     spark = docs.sparkSession
     gram = max(1, length * 128 // 400)
-    found = written(docs.mapInArrow(_stretched(length, gram), "id long, t long, first long, last long, anchor long, held long, many int"), "stretches")
-    often = found.groupBy("anchor").agg((F.count("*") + F.max("many")).alias("places")).where("places > 1").select("anchor")
-    found = written(found.join(often, "anchor"), "stretches")
+    every = written(docs.mapInArrow(_stretched(length, gram), "id long, t long, first long, last long, anchor long, held long, many int"), "stretches")
+    often = every.groupBy("anchor").agg((F.count("*") + F.max("many")).alias("places")).where("places > 1").select("anchor")
+    found = written(every.join(often, "anchor"), "stretches")
+    drop(every)
     kinds = found.groupBy("anchor", "held").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "t", "first", "last", "many")])
     kinds = written(kinds, "kinds")
     whole = found.join(kinds.where("n > 1").select("anchor", "held"), ["anchor", "held"]).select("id", "t", "first", "last")
@@ -293,21 +291,24 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     doubtful = kinds.join(doubtful.select("anchor", "bytes"), "anchor")
     wanted = written(doubtful.groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "held", "n", "first", "last", "bytes")).alias("wanted")), "wanted")
     total = wanted.select(F.explode("wanted").alias("w")).agg(F.sum(F.when(F.col("w.bytes") <= HEAVY, F.col("w.last") - F.col("w.first") + length)), F.max("w.bytes")).first()
-    marks = whole
+    marks, done = whole, []
     for heavy in (False, True):
         if total[1] is None or (total[1] <= HEAVY if heavy else total[0] is None):
             continue
         part = wanted.withColumn("wanted", F.filter("wanted", lambda w: (w["bytes"] > HEAVY) if heavy else (w["bytes"] <= HEAVY))).where(F.size("wanted") > 0)
-        cut = _with(docs, written(part, "wanted"), "wanted", "inner").mapInArrow(_cut(length), "anchor long, held long, n long, id long, t long, first long, data binary")
+        cut = _with(docs, part, "inner").mapInArrow(_cut(length), "anchor long, held long, n long, id long, t long, first long, data binary")
         if heavy:
             windows = written(cut.dropDuplicates(["anchor", "held"]).mapInArrow(_hashed(length), "h1 long, h2 long, id long, t long, n long, first long"), "windows")
+            done.append(windows)
             twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
             hit = windows.where("n = 1").join(twice, ["h1", "h2"]).select("id", "t", "first", F.col("first").alias("last"))
         else:
             shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total[0] // (4 * SHARE)))
             hit = cut.repartition(shares, "anchor").sortWithinPartitions("anchor").mapInArrow(_indexed(length), _MARK)
         marks = marks.unionByName(hit)
-    return written(marks, "marks")
+    marks = written(marks, "marks")
+    drop(found, kinds, wanted, *done)
+    return marks
 
 
 def _removed(length: int):
@@ -343,7 +344,8 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    marks = repeated_stretches(rows.select("id", "t", "text"), length)
-    marks = written(marks.groupBy("id", "t").agg(F.collect_set(F.struct("first", "last")).alias("marks")), "marks")
-    marked = _with(rows, marks, "marks", "left").select("row", "text", "marks")
+    found = repeated_stretches(rows.select("id", "t", "text"), length)
+    marks = written(found.groupBy("id", "t").agg(F.collect_set(F.struct("first", "last")).alias("marks")), "marks")
+    drop(found)
+    marked = _with(rows, marks, "left").select("row", "text", "marks")
     return marked.mapInArrow(_removed(length), f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
