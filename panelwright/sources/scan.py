@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,10 +51,20 @@ def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+#: Nodes of an optimized plan that cost no more than reading what is below them.
+_CHEAP = frozenset("Project Filter SubqueryAlias LocalLimit GlobalLimit Sample".split())
+
+
 def is_scan(df: DataFrame) -> bool:
-    """Whether reading ``df`` again costs no more than a scan: no join, aggregate, window or sort below."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not re.search(r"^[\s:+-]*(Join|Aggregate|Window|Sort|Generate|Union|Distinct|MapIn)", plan, re.M)
+    """Whether reading ``df`` again costs no more than a scan: nothing but projections and filters over tables or cached rows."""
+    left = [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        below = node.children()
+        if below.size() and node.nodeName() not in _CHEAP:
+            return False
+        left += [below.apply(k) for k in range(below.size())]
+    return True
 
 
 def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

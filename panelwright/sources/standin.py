@@ -30,7 +30,8 @@ def _month(ts: str) -> Column:
 
 
 def panel_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Narrow panel, nation x month: cases, deaths, population and five segment counts.
+    """Narrow panel, nation x month: cases, deaths, population and five segment counts; a customer of another segment
+    fails the job.
 
     The join on the customer key is left to the planner: broadcast if the customers prove small,
     else a shuffle join whose skewed partitions adaptive execution splits. The aggregation after
@@ -48,10 +49,12 @@ def panel_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("c_nationkey").alias("entity_id"), "ds")
         .agg(F.count(F.lit(1)).alias("cases"), F.count_if("is_death").alias("deaths"))
     )
+    other = F.raise_error(F.concat(F.lit("unknown market segment: "), F.col("c_mktsegment")))
+    segment = F.when(F.col("c_mktsegment").isNull() | F.col("c_mktsegment").isin(*SEGMENTS), F.col("c_mktsegment")).otherwise(other)
     static = customer.groupBy(F.col("c_nationkey").alias("entity_id")).agg(
         F.count(F.lit(1)).alias("pop"),
         *[
-            F.count_if(F.col("c_mktsegment") == s).alias(name)
+            F.count_if(segment == s).alias(name)
             for s, name in zip(SEGMENTS, SEGMENT_COUNTS)
         ],
     )

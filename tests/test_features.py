@@ -13,7 +13,8 @@ from panelwright import operators as op
 from panelwright.functions import ratio, round_ln
 from panelwright.plans.panels import lag_frame, panel_log, panel_percapita
 from panelwright.plans.supplier import SUPPLIER
-from panelwright.sources import nan_to_null, panel_supplier, scan_panel, unique_rows
+from panelwright.sources import nan_to_null, panel_nation, panel_supplier, scan_panel, unique_rows
+from panelwright.sources.scan import is_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -270,3 +271,18 @@ def test_uniqueness_needs_no_sorted_aggregate(spark):
     df = panel(spark, {"a": {d: d for d in range(3)}})
     plan = op.join_actual_pred(df, df.withColumnRenamed("y", "yhat"))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_a_sixth_segment_fails(spark, tmp_path):
+    customer = spark.read.parquet(f"{SF}/customer.parquet")
+    other = F.when(F.col("c_custkey") % 50 == 0, "GARDEN").otherwise(F.col("c_mktsegment"))
+    customer.withColumn("c_mktsegment", other).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    with pytest.raises(PySparkException, match="unknown market segment: GARDEN"):
+        panel_nation(spark, str(tmp_path)).collect()
+
+
+def test_a_scan_is_told_by_its_nodes(spark):
+    df = spark.read.parquet(f"{SF}/customer.parquet")
+    assert is_scan(df.where("c_custkey > 3").select(F.col("c_custkey").alias("Join"), F.lit("\nSort").alias("Window")))
+    assert not is_scan(df.join(df.select("c_custkey"), "c_custkey")) and not is_scan(df.distinct())
