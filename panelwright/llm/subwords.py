@@ -302,10 +302,10 @@ def _encoded(v: Vocabulary, symbols: np.ndarray, begin: np.ndarray, size: np.nda
     return ids[order], np.bincount(words, minlength=len(size)), tuple(m[by] for m in made)
 
 
-def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndarray, dropout: float, seed: int, variants: int | None = None, known: Known | None = None, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(v: Vocabulary, data: np.ndarray, at: np.ndarray, named: np.ndarray, dropout: float, seed: int, known: Known | None = None, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all texts of a block, and where each text's begin; ``named`` is a hash of each text.
 
-    ``apart`` takes no two words for equal. ``variants`` has no effect: every occurrence draws for itself.
+    ``apart`` takes no two words for equal; every occurrence draws for itself anyway.
     """
     if not len(data):
         return np.empty(0, np.int32), np.zeros(len(at), np.int64)
