@@ -17,7 +17,7 @@ def vocabulary():
 
 def encoded(vocabulary, texts, dropout, seed=1, **kind):
     data, at = flat(pa.array(texts))
-    ids, cuts = subwords.encode_block(vocabulary, data, at, mix(np.arange(len(texts)).astype(np.uint64)), dropout, seed, 4, **kind)
+    ids, cuts = subwords.encode_block(vocabulary, data, at, mix(np.arange(len(texts)).astype(np.uint64)), dropout, seed, **kind)
     return [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
