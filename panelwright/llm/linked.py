@@ -9,7 +9,8 @@ from panelwright.llm.scratch import drop, held_by, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(ways))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
@@ -17,8 +18,9 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("low"))
-    near = down.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u > v")
-    return near.unionByName(low.withColumnRenamed("low", "v"))
+    # Each node goes to its least neighbour, and so do its other neighbours.
+    near = down.join(low, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))))
+    return near.where("u > v")
 
 
 #: Edges for each task, about: so many need no shuffle.
@@ -33,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     folder, in files of about ``EDGES`` edges, and replaces the one before; a single file is worked on by a single task. Nodes
     without an edge to another node are left out, and so are null ones.
     """
-    now = written(edges.where("u != v").select("u", "v").distinct(), "edges")
+    edges = edges.where("u != v").select("u", "v")
+    files = max(1, -(-edges.count() // EDGES))
+    now = written(edges.coalesce(files).distinct(), "edges", files)
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -41,8 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
         files = max(1, -(-seen[0] // EDGES))
-        step = _small(_large(now.coalesce(files)).distinct()).distinct()
-        before, now = now, written(step, "edges", files)
+        before, now = now, written(_small(_large(now.coalesce(files)).distinct()).distinct(), "edges", files)
         drop(before)
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -248,8 +248,8 @@ class _Entries:
                     fits &= least.ravel() * (100 + percent) <= (100 - percent) * (self.n[x] + self.n[y])
                 yield x[fits], y[fits]
 
-    def pairs(self, percent: int) -> np.ndarray:
-        """Ids of pairs that sizes and counts do not rule out, each once."""
+    def pairs(self, percent: int, few: int | None) -> np.ndarray:
+        """Ids of pairs that sizes and counts do not rule out, each once; of two components ``few`` at most, if given."""
         found = []
         size = np.diff(self.start)
         here = np.flatnonzero(np.repeat(size <= FEW, size))
@@ -266,11 +266,17 @@ class _Entries:
         u, v = np.minimum(self.ids[x], self.ids[y]), np.maximum(self.ids[x], self.ids[y])
         _, once = np.unique(np.stack([u, v], 1), axis=0, return_index=True)
         fits = once[self.may_agree(x[once], y[once], percent)]
+        if few is not None:
+            c = np.sort(np.stack([self.component[x[fits]], self.component[y[fits]]], 1), axis=1)
+            order = np.lexsort((c[:, 1], c[:, 0]))
+            new = np.r_[True, np.any(c[order][1:] != c[order][:-1], axis=1)][: len(order)]
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            fits = fits[order[rank < few]]
         return np.stack([u[fits], v[fits]], 1)
 
 
-def _apart(percent: int):
-    """Pairs of a key's sets in different components that sizes and counts do not rule out.
+def _apart(percent: int, few: int | None):
+    """Pairs of a key's sets in different components that sizes and counts do not rule out; with ``few``, some of two components.
 
     Rows ``(bucket, low, high, side, id, component, n, counts)`` come pair of blocks by pair of blocks; of two blocks
     only texts of different sides are compared. No pair leaves the task but those found.
@@ -278,7 +284,7 @@ def _apart(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
-            found = _Entries(held).pairs(percent)
+            found = _Entries(held).pairs(percent, few)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
         held, size = [], 0
@@ -639,13 +645,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         # Keys with a wide list are for other segments; in the last round their texts are dealt in blocks.
         wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
         near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
-        held = _only(counts, near.select("id").distinct(), tasks)
-        across = _in_blocks(near).join(held, "id").repartition(parts, "bucket", "low", "high").coalesce(tasks)
-        across = across.sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart(percent), "u long, v long")
-        across = written(untested(across.distinct()), "pairs", tasks)
-        drop(held)
-        tested = tested.unionByName(across)
-        linked = _verified(across, named, width, percent, tasks)
+        # First some pairs of every two components, which join what is one cluster; then all pairs of those still apart.
+        for few in (3, None):
+            held = _only(counts, near.select("id").distinct(), tasks)
+            across = _in_blocks(near).join(held, "id").repartition(parts, "bucket", "low", "high").coalesce(tasks)
+            across = across.sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart(percent, few), "u long, v long")
+            across = written(untested(across.distinct()), "pairs", tasks)
+            drop(held)
+            tested = tested.unionByName(across)
+            linked = _verified(across, named, width, percent, tasks)
+            if few is not None:
+                stars = _stars(tasks, stars, linked)
+                linked = None
+                near = written(_still_apart(near, stars), "open", tasks)
+        drop(near)
         if scheme.deletions:
             break
         hidden = gone if hidden is None else hidden.union(gone)
@@ -693,6 +706,14 @@ def _stars(tasks: int, stars: DataFrame | None, *links: DataFrame | None) -> Dat
     return out
 
 
+def _still_apart(entries: DataFrame, stars: DataFrame) -> DataFrame:
+    """The entries of keys that are still in several components, with the components of ``stars``."""
+    now = entries.drop("component").join(stars.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
+    now = now.withColumn("component", F.coalesce("component", "id"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return now.join(several.select("bucket"), "bucket").select("bucket", "id", "component", "texts")
+
+
 def _in_blocks(entries: DataFrame) -> DataFrame:
     """The texts of a key for each pair of its blocks; ``side`` tells the blocks of a pair apart.
 
