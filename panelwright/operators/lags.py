@@ -132,6 +132,8 @@ def _place(df: DataFrame, order: str) -> Column:
         return F.unix_micros(order).cast("double")
     if kind == "timestamp_ntz":
         return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    if not kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        raise ValueError(f"ranges need a date, a time or a number to order by, and {order} is {kind}")
     return F.col(order).cast("double")
 
 

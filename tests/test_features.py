@@ -127,6 +127,12 @@ def test_ranged_lags_of_other_order_keys(spark):
         assert plain.exceptAll(ranged).count() == 0
 
 
+def test_ranges_need_an_order_that_can_be_measured(spark):
+    df = spark.createDataFrame([("a", "x", 1.0)], "entity_id string, ds string, y double")
+    with pytest.raises(ValueError, match="order by"):
+        op.add_lags(df, {"y": "y"}, (1,), max_rows=5)
+
+
 def test_ranged_lags_hold_no_whole_entity(spark):
     """The window with the lags is over ranges, and the only other one over counts of cells."""
     df = panel(spark, {"hot": {d: d for d in range(400)}})
