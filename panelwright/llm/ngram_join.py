@@ -729,12 +729,12 @@ def _in_blocks(entries: DataFrame) -> DataFrame:
 def _led(lists: DataFrame, to: DataFrame, percent: int) -> DataFrame:
     """For each set, by its least text, two of the sets that lead its keys and are near enough in size: the first, and the one
     that shares most keys with it. What these pairs leave apart under a key is compared there."""
-    pairs = lists.select(F.col("leader").alias("u"), F.explode("members").alias("v")).withColumn("shared", F.lit(1))
-    for side in ("u", "v"):
-        pairs = pairs.groupBy("u", "v", *[c for c in pairs.columns if c.endswith(("_set", "_n"))]).agg(F.sum("shared").alias("shared"))
-        pairs = pairs.join(to.select(F.col("id").alias(side), F.col("set_id").alias(f"{side}_set"), F.col("n").alias(f"{side}_n")), side)
-    pairs = pairs.where((F.col("u_set") != F.col("v_set")) & (100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n")))
-    pairs = pairs.select(F.least("u_set", "v_set").alias("u"), F.greatest("u_set", "v_set").alias("v"), "shared")
+    led = lists.join(to.select(F.col("id").alias("leader"), F.col("set_id").alias("u"), F.col("n").alias("u_n")), "leader")
+    led = led.select(F.explode("members").alias("id"), "u", "u_n").groupBy("id", "u", "u_n").agg(F.count("*").alias("shared"))
+    # A text has one leader a key at most; they are a row of it, so that no join returns more rows than there are texts.
+    led = led.groupBy("id").agg(F.collect_list(F.struct("u", "u_n", "shared")).alias("led")).join(to, "id").select("set_id", "n", F.inline("led"))
+    pairs = led.where((F.col("u") != F.col("set_id")) & (100 * F.least("u_n", "n") >= percent * F.greatest("u_n", "n")))
+    pairs = pairs.groupBy(F.least("u", "set_id").alias("u"), F.greatest("u", "set_id").alias("v")).agg(F.sum("shared").alias("shared"))
     most = F.max_by("u", F.struct("shared", (-F.col("u")).alias("less")))
     return pairs.groupBy("v").agg(F.min("u").alias("first"), most.alias("most")).select(F.explode(F.array_distinct(F.array("first", "most"))).alias("u"), "v")
 

@@ -122,3 +122,12 @@ def test_each_two_texts_of_a_key_meet_once_in_blocks(spark, monkeypatch):
     met = [(k[0], min(a, b), max(a, b)) for k, rows in cells.items() for s, a in rows for t, b in rows if a < b and (k[1] == k[2] or s != t)]
     assert sorted(met) == sorted((b, i, j) for b, n in ((1, 3), (2, 23)) for i in range(n) for j in range(i + 1, n))
     assert max(map(len, cells.values())) < 23
+
+
+def test_leaders_of_a_text_are_one_row_of_its_join(spark):
+    lists = spark.createDataFrame([(1, 0, [0, 1, 2, 3]), (2, 1, [1, 2, 3]), (3, 1, [1, 2, 3]), (4, 0, [0, 4])], nj.LIST)
+    to = spark.createDataFrame([(i, i, 10 if i == 4 else 100) for i in range(5)], "id long, set_id long, n long")
+    out = nj._led(lists, to, 75)
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 2 and all("(leader#" in x or "(id#" in x for x in joins)
+    assert sorted((r.u, r.v) for r in out.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
