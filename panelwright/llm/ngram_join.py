@@ -10,13 +10,11 @@ share do not count. A set is also indexed in the band below its own if a partner
 
 Texts that meet under keys are tested against two of the keys' least texts, exactly, on the shingle sets; only
 pairs whose numbers of shingles in each of some finer segments differ by H at most in all need that.
-Only where that leaves a key with several components are pairs between components tested, by the
-counts first, block by block within a task. Keys that very
-many unconnected texts share would be costly to resolve so. Their texts are allotted other segments, none of
-them under such a key, and meet again; two similar sets can be missed by this only if both are made
-up of such keys, up to H segments, or meet under further such keys. Those sets go through an index of half as
-many, larger segments, each under its subset and its one-deletion neighbourhood, which covers two
-differences; what that leaves open is compared in full.
+Where that leaves a key with several components, its texts meet again under the rarest of their shingles (a prefix
+filter): shingles are ordered by the number of components that have them, and a set that is similar to one of another component has
+t % of its shingles or more from the first they share on. A text with too many shingles that its component has alone
+has no key then, as one that shares just a passage with many; a sample of the shingles shows most of those. Pairs between
+components under one shingle are tested by size, place and counts, block by block within a task, and in full if these leave them.
 """
 
 from __future__ import annotations
@@ -34,7 +32,7 @@ from panelwright.llm.scratch import drop, held_by, looked_up, shuffle_width, wri
 from panelwright.llm.tokens import mix, pieces, salt, shingles, word_hashes, words
 
 U = np.uint64
-#: Texts under one key, up to which pairs between its components are simply tested.
+#: Texts under one key, up to which equal lists of texts come once for all their keys.
 WIDE = 256
 #: Texts of a key that are compared in one task with those of one more block.
 BLOCK = 2048
@@ -42,10 +40,12 @@ BLOCK = 2048
 FEW, HELD = 48, 8 << 20
 #: Texts for each task, at least, where Python works on keys and pairs.
 TEXTS = 2000
-#: How often texts under such keys are allotted other segments before what is left goes to the second index.
-ROUNDS = 1
 #: A key with more texts than this in one task is led by one of them elsewhere.
 LOCAL = 256
+#: Bytes of text for each part of the shingles that open texts share, about.
+PART = 8 << 20
+#: Share of the shingles that is looked at first, to see which open texts can be similar to others at all; and the mark of those that come last.
+SAMPLE, LAST = 0.4, 0xFFFFFFFF
 #: Entries of one list, so that no row grows with a key.
 CHUNK = 4096
 #: Ids and keys up to this number (16 bytes each) go to all executors to pick texts and segments; more are joined.
@@ -176,7 +176,7 @@ def _may_agree(percent: int):
 
 
 class _Entries:
-    """Sets under keys, row by row: group, side, id, component, n, and counts by segment."""
+    """Sets under keys, row by row: group, side, id, component, n, rest (shingles from the key on), and counts by segment."""
 
     def __init__(self, batches: list[pa.RecordBatch]) -> None:
         rows = pa.Table.from_batches(batches).combine_chunks()
@@ -185,7 +185,7 @@ class _Entries:
         self.group = np.cumsum(new)
         self.start = np.r_[np.flatnonzero(new), len(new)]
         self.single = name[1] == name[2]
-        self.side, self.ids, self.component, self.n = (rows.column(c).to_numpy() for c in ("side", "id", "component", "n"))
+        self.side, self.ids, self.component, self.n, self.rest = (rows.column(c).to_numpy() for c in ("side", "id", "component", "n", "rest"))
         counts = rows.column("counts").cast(pa.large_binary()).combine_chunks()
         counts = counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts
         at = np.frombuffer(counts.buffers()[1], np.int64)[counts.offset : counts.offset + len(counts) + 1]
@@ -218,9 +218,10 @@ class _Entries:
         return out
 
     def near(self, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-        """Whether rows of one key are in different components, on different sides, and near enough in size."""
+        """Whether rows of one key are in different components, on different sides, near enough in size, and could be similar if it is the first they share."""
         apart = (self.component[x] != self.component[y]) & (self.single[x] | (self.side[x] != self.side[y]))
-        return apart & (100 * np.minimum(self.n[x], self.n[y]) >= percent * np.maximum(self.n[x], self.n[y]))
+        apart &= 100 * np.minimum(self.n[x], self.n[y]) >= percent * np.maximum(self.n[x], self.n[y])
+        return apart & ((100 + percent) * np.minimum(self.rest[x], self.rest[y]) >= percent * (self.n[x] + self.n[y]))
 
     def odd(self, x: np.ndarray, wide: int) -> np.ndarray | None:
         """Which counts of the rows are odd, packed into words; None where a count is held at 255, which may be either."""
@@ -248,8 +249,8 @@ class _Entries:
                     fits &= least.ravel() * (100 + percent) <= (100 - percent) * (self.n[x] + self.n[y])
                 yield x[fits], y[fits]
 
-    def pairs(self, percent: int, few: int | None) -> np.ndarray:
-        """Ids of pairs that sizes and counts do not rule out, each once; of two components ``few`` at most, if given."""
+    def pairs(self, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pairs that sizes and counts do not rule out, each once; of two components ``few`` at most, if given, and whether there are more."""
         found = []
         size = np.diff(self.start)
         here = np.flatnonzero(np.repeat(size <= FEW, size))
@@ -271,21 +272,24 @@ class _Entries:
             order = np.lexsort((c[:, 1], c[:, 0]))
             new = np.r_[True, np.any(c[order][1:] != c[order][:-1], axis=1)][: len(order)]
             rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-            fits = fits[order[rank < few]]
-        return np.stack([u[fits], v[fits]], 1)
+            # The last pair of two components that have more says so.
+            more = (rank == few - 1) & np.r_[(rank[1:] == few), False][: len(order)]
+            fits, more = fits[order[rank < few]], more[rank < few]
+        else:
+            more = np.zeros(len(fits), bool)
+        return u[fits], v[fits], more
 
 
 def _apart(percent: int, few: int | None):
     """Pairs of a key's sets in different components that sizes and counts do not rule out; with ``few``, some of two components.
 
-    Rows ``(bucket, low, high, side, id, component, n, counts)`` come pair of blocks by pair of blocks; of two blocks
+    Rows ``(bucket, low, high, side, id, component, n, rest, counts)`` come pair of blocks by pair of blocks; of two blocks
     only texts of different sides are compared. No pair leaves the task but those found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
-            found = _Entries(held).pairs(percent, few)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _Entries(held).pairs(percent, few)], names=["u", "v", "more"])
 
         held, size = [], 0
         for rows in batches:
@@ -436,16 +440,13 @@ def _index(scheme: Scheme, width: int, parts: int, flush: int = 2_000_000):
     """Keys of every text, packed for each part of the key space.
 
     Of texts with equal sets in a task only the first is indexed. A key that many texts of a task
-    share goes out under its least text, with the rest as a list of its own. Texts that costly keys may
-    hide go out as a list with no leader.
+    share goes out under its least text, with the rest as a list of its own.
     """
 
-    local = CHUNK if scheme.deletions else LOCAL
-
     def packed(keys, ids):
         k, i = _sorted(keys, ids)
         size = np.diff(_runs(k))
-        hot = np.repeat(size > local, size)
+        hot = np.repeat(size > LOCAL, size)
         yield from _as_rows(_lists(k[hot], i[hot], np.empty(0, U), 0))
         lead = ~hot | np.r_[True, k[1:] != k[:-1]][: len(k)]
         k, i = k[lead], i[lead]
@@ -468,17 +469,10 @@ def _index(scheme: Scheme, width: int, parts: int, flush: int = 2_000_000):
                     new[x] = True
             id_ = _ids(rows)
             here = new[of]
-            costly = np.empty(0, U)
-            if "costly" in rows.schema.names:
-                column = rows.column("costly")
-                of_text = np.repeat(np.arange(len(size)), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                costly = tagged(column.flatten().to_numpy(zero_copy_only=False).view(U), of_text)
-            for k, t, hidden in scheme.keys(hashes[here], of[here], np.where(new, size, 0), costly, parts):
+            for k, t, _ in scheme.keys(hashes[here], of[here], np.where(new, size, 0), np.empty(0, U), parts):
                 keys.append(k)
                 ids.append(id_[t])
                 n += len(k)
-                if len(hidden):
-                    yield _row([-1], [None], [{"bucket": 0, "leader": None, "members": id_[hidden]}])
             if n > flush:
                 yield from packed(keys, ids)
                 keys, ids, n = [], [], 0
@@ -488,20 +482,6 @@ def _index(scheme: Scheme, width: int, parts: int, flush: int = 2_000_000):
     return run
 
 
-def _all_keys(scheme: Scheme, width: int, parts: int):
-    """The keys of every segment of every text."""
-
-    def run(batches):
-        for rows, data, at in pieces(batches, "text"):
-            found = [x[:2] for x in scheme.keys(*shingle_sets(data, at, width), np.empty(0, U), parts, every=True)]
-            keys, of = (np.concatenate([x[k] for x in found] + [np.empty(0, (U, np.int64)[k])]) for k in (0, 1))
-            order = np.argsort(of, kind="stable")
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(rows.num_rows + 1)), pa.int32()), pa.array(keys[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), lists], names=["id", "keys"])
-
-    return run
-
-
 def _row(part: list, data: list, lists: list) -> pa.RecordBatch:
     kind = pa.struct([("bucket", pa.int64()), ("leader", pa.int64()), ("members", pa.list_(pa.int64()))])
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(data, pa.large_binary()), pa.array(lists, kind)], names=["part", "data", "list"])
@@ -533,13 +513,240 @@ def _meet(wide: int):
     return run
 
 
+class _Held:
+    """Shingles with their texts, block by block; a text is ``(number, id, component, n, common)``."""
+
+    def __init__(self) -> None:
+        self.keys, self.at, self.often, self.texts, self.n = [], [], [], [], 0
+
+    def add(self, keys: np.ndarray, at: np.ndarray, often: np.ndarray, texts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.at.append(at + self.n)
+        self.often.append(often)
+        self.texts.append(texts)
+        self.n += texts.shape[1]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if not self.texts:
+            return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty((5, 0), np.int64)
+        return np.concatenate(self.keys), np.concatenate(self.at), np.concatenate(self.often), np.concatenate(self.texts, axis=1)
+
+
+def _block(keys: np.ndarray, at: np.ndarray, often: np.ndarray, texts: np.ndarray) -> bytes:
+    """Shingles, the texts they are of and in how many components they are; texts as differences, which compress."""
+    known, at = np.unique(at, return_inverse=True)
+    texts = texts[:, known]
+    texts[2] -= texts[1]
+    texts[:2] = np.diff(texts[:2], axis=1, prepend=0)
+    at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    head = np.array([len(keys), len(known), at.itemsize, keys.itemsize], np.int64)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, texts, keys, often.astype(np.uint32), at))
+
+
+def _unblock(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, m, far, wide = np.frombuffer(data, np.int64, 4).tolist()
+    texts = np.frombuffer(data, np.int64, 5 * m, 32).reshape(5, m).copy()
+    texts[:2] = np.cumsum(texts[:2], axis=1)
+    texts[2] += texts[1]
+    low = 32 + 40 * m
+    at = np.frombuffer(data, f"u{far}", n, low + (wide + 4) * n).astype(np.int64)
+    return np.frombuffer(data, f"u{wide}", n, low), at, np.frombuffer(data, np.uint32, n, low + wide * n), texts
+
+
+def _blocks(part: np.ndarray, keys: np.ndarray, at: np.ndarray, often: np.ndarray, texts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(part, kind="stable")
+    cuts = _runs(part[order])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        k = order[a:b]
+        yield pa.RecordBatch.from_arrays([pa.array([part[k[0]]], pa.int64()), pa.array([_block(keys[k], at[k], often[k], texts)], pa.large_binary())], names=["part", "data"])
+
+
+def _parted(x: np.ndarray, parts: int) -> np.ndarray:
+    return (((mix(x.astype(U)) >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+
+
+def _dealt(percent: int, width: int, parts: int, common: np.ndarray, flush: int = 2_000_000):
+    """The shingles of every text, dealt by shingle. Common ones come last in every text: they go, dealt by text under a
+    negative part, only if a text may need them."""
+
+    def run(batches):
+        held, n = _Held(), 0
+        for rows, data, at in pieces(batches, "text"):
+            hashes, of, size = shingle_sets(data, at, width)
+            last = np.isin(hashes, common)
+            many = np.bincount(of[last], minlength=len(size))
+            number, id_, component = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("number", "id", "component"))
+            texts = np.stack([number, id_, component, size, many])
+            held.add(hashes[~last], of[~last], np.zeros(np.count_nonzero(~last), np.uint32), texts)
+            needed = last & (many >= -(-percent * size // 100))[of]
+            if needed.any():
+                # Sorted by text and shingle: the first are the prefix's.
+                place = np.cumsum(needed) - 1
+                base = np.searchsorted(of[needed], np.arange(len(size)))
+                k, t = hashes[needed], of[needed]
+                rank = place[needed] - base[t]
+                first = rank < (many - -(-percent * size // 100) + 1)[t]
+                k, t = k[first], t[first]
+                yield from _blocks(-1 - _parted(number[t], parts), k, t, np.full(len(k), LAST), texts)
+            n += len(hashes)
+            if n > flush:
+                k, t, often, texts = held.all()
+                yield from _blocks(_parted(k, parts), k, t, often, texts)
+                held, n = _Held(), 0
+        k, t, often, texts = held.all()
+        yield from _blocks(_parted(k, parts), k, t, often, texts)
+
+    return run
+
+
+def _sampled(percent: int, width: int, parts: int, common: np.ndarray, flush: int = 2_000_000):
+    """A share of every text's uncommon shingles, dealt by shingle in four bytes within a part, where some may coincide.
+
+    ``common`` of a text is how many go out. A text that those cannot rule out goes out by itself under a negative part.
+    """
+
+    def run(batches):
+        held, n = _Held(), 0
+        for rows, data, at in pieces(batches, "text"):
+            hashes, of, size = shingle_sets(data, at, width)
+            taken = (mix(hashes ^ salt(47)) < U(int(SAMPLE * 2**64))) & ~np.isin(hashes, common)
+            hashes, of = hashes[taken], of[taken]
+            sent = np.bincount(of, minlength=len(size))
+            number, id_, component = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("number", "id", "component"))
+            texts = np.stack([number, id_, component, size, sent])
+            open_ = sent <= size - -(-percent * size // 100)
+            at = np.flatnonzero(open_)
+            yield from _blocks(-1 - _parted(number[at], parts), np.zeros(len(at), np.uint32), at, np.full(len(at), LAST), texts)
+            held.add(hashes, of, np.zeros(len(of), np.uint32), texts)
+            n += len(hashes)
+            if n > flush:
+                k, t, often, texts = held.all()
+                yield from _blocks(_parted(k, parts), k.astype(np.uint32), t, often, texts)
+                held, n = _Held(), 0
+        k, t, often, texts = held.all()
+        yield from _blocks(_parted(k, parts), k.astype(np.uint32), t, often, texts)
+
+    return run
+
+
+def _screened(percent: int):
+    """The ids of texts of which the sample leaves enough that other components may share."""
+
+    def run(batches):
+        held = _Held()
+        for rows in batches:
+            for data in rows.column("data").to_pylist():
+                held.add(*_unblock(data))
+        _, t, often, texts = held.all()
+        order = np.argsort(texts[0][t], kind="stable")
+        t, often = t[order], often[order].astype(np.int64)
+        cuts = _runs(texts[0][t])[:-1]
+        shared = np.add.reduceat(often, cuts) if len(t) else often
+        _, id_, _, n, sent = texts[:, t[cuts] if len(t) else t]
+        keep = sent - shared <= n - -(-percent * n // 100)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(id_[keep]))], names=["id"])
+
+    return run
+
+
+def _shared(parts: int, counted: bool = False):
+    """The shingles that several components have, dealt by text; with ``counted`` how many they are."""
+
+    def run(batches):
+        held = _Held()
+        for rows in batches:
+            for part, data in zip(rows.column("part").to_pylist(), rows.column("data").to_pylist(), strict=True):
+                if part < 0:  # for the next step
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int64()), pa.array([data], pa.large_binary())], names=["part", "data"])
+                else:
+                    held.add(*_unblock(data))
+        k, t, _, texts = held.all()
+        del held
+        order = np.argsort(k, kind="stable")
+        near = np.r_[False, k[order][1:] == k[order][:-1]][: len(k)]
+        near[:-1] |= near[1:]
+        k, t = k[order[near]], t[order[near]]
+        component = texts[2][t]
+        order = np.lexsort((component, k))
+        k, t, component = k[order], t[order], component[order]
+        cuts = _runs(k)
+        new = np.r_[True, (k[1:] != k[:-1]) | (component[1:] != component[:-1])][: len(k)]
+        often = np.add.reduceat(new, cuts[:-1], dtype=np.int64) if len(k) else np.empty(0, np.int64)
+        often = np.repeat(often, np.diff(cuts))
+        k, t, often = k[often > 1], t[often > 1], np.minimum(often[often > 1], LAST - 1)
+        if counted:
+            t, often = np.unique(t, return_counts=True)
+            k = np.zeros(len(t), np.uint32)
+        yield from _blocks(_parted(texts[0][t], parts), k, t, often, texts)
+
+    return run
+
+
+def _prefixes(percent: int):
+    """The rarest shingles of each text, as many as leave too few for a similar one; those of one component are no keys."""
+
+    def run(batches):
+        held = _Held()
+        for rows in batches:
+            for data in rows.column("data").to_pylist():
+                held.add(*_unblock(data))
+        k, t, often, texts = held.all()
+        del held
+        number = texts[0][t]
+        order = np.lexsort((k, often, number))
+        k, t, often = k[order], t[order], often[order]
+        cuts = _runs(number[order])
+        place = np.arange(len(k)) - np.repeat(cuts[:-1], np.diff(cuts))
+        last = often == LAST
+        few = np.add.reduceat(~last, cuts[:-1], dtype=np.int64) if len(k) else np.empty(0, np.int64)
+        # Of those that other components share the uncommon come first and the common last.
+        n, many = texts[3][t], texts[4][t]
+        rest = np.repeat(few, np.diff(cuts)) + many - place
+        # A similar set has ``percent`` of this one's shingles, from the first they share on.
+        take = 100 * rest >= percent * n
+        for low in range(0, len(at := np.flatnonzero(take)), 50_000):
+            x = at[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[x].view(np.int64)), pa.array(texts[1][t[x]]), pa.array(texts[2][t[x]]), pa.array(n[x]), pa.array(rest[x])],
+                names=["bucket", "id", "component", "n", "rest"],
+            )
+
+    return run
+
+
+def _parts(texts: DataFrame) -> int:
+    return max(8, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+
+
+def _sharing(texts: DataFrame, percent: int, width: int, common: np.ndarray) -> DataFrame:
+    """``id`` of the ``texts`` that can be similar to one of another component: of all others the sample alone has too many
+    shingles that no other component has. Texts as in :func:`_rare`."""
+    parts = _parts(texts)
+    dealt = texts.mapInArrow(_sampled(percent, width, 4 * parts, common), "part long, data binary").repartition(parts, "part")
+    shared = dealt.mapInArrow(_shared(4 * parts, True), "part long, data binary").repartition(parts, "part")
+    return shared.mapInArrow(_screened(percent), "id long").distinct()
+
+
+def _rare(texts: DataFrame, percent: int, width: int, common: np.ndarray) -> DataFrame:
+    """``(bucket, id, component, n, rest)``: the shingles by which a text can be similar to one of another component.
+
+    ``texts`` are ``(id, component, text, number)``, numbers distinct. Shingles have one order: by the number of components
+    that have them, common ones last. The first shingle that two similar sets share has at least ``percent`` % of
+    either set's shingles in the ``rest`` from it on; those of a single component come before and are shared with no other.
+    """
+    parts = _parts(texts)
+    dealt = texts.mapInArrow(_dealt(percent, width, 4 * parts, common), "part long, data binary").repartition(parts, "part")
+    shared = dealt.mapInArrow(_shared(4 * parts), "part long, data binary").repartition(parts, "part")
+    return shared.mapInArrow(_prefixes(percent), "bucket long, id long, component long, n long, rest long")
+
+
 LIST = "bucket long, leader long, members array<long>"
 
 
 def _candidates(docs: DataFrame, scheme: Scheme, width: int, parts: int, tasks: int) -> DataFrame:
-    """``(bucket, leader, members)`` of every key that two or more texts share; leader null: texts that costly keys may hide."""
+    """``(bucket, leader, members)`` of every key that two or more texts share."""
     packed = docs.mapInArrow(_index(scheme, width, 8 * parts), "part long, data binary, list struct<bucket:long,leader:long,members:array<long>>")
-    lists = packed.repartition(parts, "part").coalesce(tasks).mapInArrow(_meet(CHUNK if scheme.deletions else WIDE), LIST)
+    lists = packed.repartition(parts, "part").coalesce(tasks).mapInArrow(_meet(WIDE), LIST)
     return written(lists.dropDuplicates(["bucket", "leader", "members"]), "lists", tasks)
 
 
@@ -626,61 +833,39 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
 
-    tested, rounds, stars = None, 0, None
-    texts, scheme, costly, hidden = named, Scheme(percent, common=common), None, None
-    while True:
-        lists = _candidates(texts, scheme, width, parts, tasks)
-        gone = written(lists.where("leader is null").select(F.explode("members").alias("id")).distinct(), "gone", tasks)
-        met = possible(_led(lists.where("leader is not null"), to, percent))
-        pairs = written(untested(met), "pairs", tasks)
-        drop(met)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        fresh = _verified(pairs, named, width, percent, tasks)
-        stars = _stars(tasks, stars, linked, fresh)
-        entries = written(_unresolved(lists.where("leader is not null"), stars, to), "open", tasks)
-        drop(lists)
-        linked = None
-        if entries.isEmpty():
-            break
-        # Keys with a wide list are for other segments; in the last round their texts are dealt in blocks.
-        wide = entries.where((F.col("texts") > WIDE) & (F.col("bucket") >= 0)) if not scheme.deletions else entries.limit(0)
-        near = entries.join(wide.select("bucket").distinct(), "bucket", "left_anti")
+    lists = _candidates(named, Scheme(percent, common=common), width, parts, tasks)
+    met = possible(_led(lists, to, percent))
+    fresh = _verified(met, named, width, percent, tasks)
+    stars = _stars(tasks, None, linked, fresh)
+    linked = None
+    ids = written(_unresolved(lists, stars, to).select("id", "component").distinct(), "open", tasks)
+    drop(lists)
+    if not ids.isEmpty():
+        # Texts that keys leave in several components meet again under the rarest of their shingles.
+        texts = written(_only(named, ids, tasks).withColumn("number", F.monotonically_increasing_id()), "texts")
+        sharing = _only(texts, _sharing(texts, percent, width, common), tasks)
+        rare = written(_rare(sharing, percent, width, common), "rare", tasks)
+        near = written(_still_apart(rare, stars), "open", tasks)
+        drop(texts, sharing, rare)
+        tested = met
         # First some pairs of every two components, which join what is one cluster; then all pairs of those still apart.
         for few in (3, None):
             held = _only(counts, near.select("id").distinct(), tasks)
-            across = _in_blocks(near).join(held, "id").repartition(parts, "bucket", "low", "high").coalesce(tasks)
-            across = across.sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart(percent, few), "u long, v long")
-            across = written(untested(across.distinct()), "pairs", tasks)
+            across = _in_blocks(near).join(held, ["id", "n"]).repartition(parts, "bucket", "low", "high").coalesce(tasks)
+            across = across.sortWithinPartitions("bucket", "low", "high").mapInArrow(_apart(percent, few), "u long, v long, more boolean")
+            across = written(across.groupBy("u", "v").agg(F.max("more").alias("more")), "pairs", tasks)
             drop(held)
-            tested = tested.unionByName(across)
-            linked = _verified(across, named, width, percent, tasks)
+            untested = written(across.select("u", "v").join(tested, ["u", "v"], "left_anti"), "pairs", tasks)
+            tested = tested.unionByName(untested)
+            linked = _verified(untested, named, width, percent, tasks)
             if few is not None:
+                more = across.where("more").select(F.explode(F.array("u", "v")).alias("id")).distinct()
+                more = near.join(more, "id").select("component").distinct()
+                near = written(near.join(more, "component", "left_semi"), "open", tasks)
                 stars = _stars(tasks, stars, linked)
                 linked = None
                 near = written(_still_apart(near, stars), "open", tasks)
         drop(near)
-        if scheme.deletions:
-            break
-        hidden = gone if hidden is None else hidden.union(gone)
-        shut = wide.select("bucket").distinct()
-        costly = written(shut if costly is None else costly.union(shut).distinct(), "costly", tasks)
-        rounds += 1
-        before = texts
-        if rounds <= ROUNDS and not wide.isEmpty():
-            texts = written(_only(named, wide.select("id").distinct(), tasks), "texts")
-            if costly.count() <= SMALL:
-                keys = np.sort(costly.toPandas()["bucket"].to_numpy(np.int64).view(U))
-                scheme = Scheme(percent, common=common, shut=keys)
-            else:
-                held = texts.mapInArrow(_all_keys(scheme, width, 8 * parts), "id long, keys array<long>").select("id", F.explode("keys").alias("bucket"))
-                held = held.join(costly, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("costly"))
-                texts, scheme = written(texts.join(held, "id"), "texts"), Scheme(percent, common=common)
-        else:
-            again = hidden.union(wide.select("id")).distinct()
-            if again.isEmpty():
-                break
-            texts, scheme = written(_only(named, again, tasks), "texts"), Scheme(percent, deletions=True)
-        drop(entries, before)
     stars = _stars(tasks, stars, linked)
     found = stars.select(F.col("u").alias("set_id"), F.col("v").alias("component"))
     size = first.groupBy("set_id").agg(F.sum("copies").alias("copies"))
@@ -707,11 +892,11 @@ def _stars(tasks: int, stars: DataFrame | None, *links: DataFrame | None) -> Dat
 
 
 def _still_apart(entries: DataFrame, stars: DataFrame) -> DataFrame:
-    """The entries of keys that are still in several components, with the components of ``stars``."""
-    now = entries.drop("component").join(stars.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
+    """The entries of keys that are still in several components, with the components of ``stars`` and the number of ``texts``."""
+    now = entries.drop("component", "texts").join(stars.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left")
     now = now.withColumn("component", F.coalesce("component", "id"))
-    several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return now.join(several.select("bucket"), "bucket").select("bucket", "id", "component", "texts")
+    several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("texts"))
+    return now.join(several.where("low != high").select("bucket", "texts"), "bucket").select("bucket", "id", "n", "rest", "component", "texts")
 
 
 def _in_blocks(entries: DataFrame) -> DataFrame:
@@ -723,7 +908,8 @@ def _in_blocks(entries: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     out = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component")
+    cells = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side")]
+    return out.select("bucket", *cells, *[c for c in entries.columns if c not in ("bucket", "texts")])
 
 
 def _led(lists: DataFrame, to: DataFrame, percent: int) -> DataFrame:

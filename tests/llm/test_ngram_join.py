@@ -131,3 +131,66 @@ def test_leaders_of_a_text_are_one_row_of_its_join(spark):
     joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert len(joins) == 2 and all("(leader#" in x or "(id#" in x for x in joins)
     assert sorted((r.u, r.v) for r in out.collect()) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]
+
+
+def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    """Few entries of keys are left to compare, and components are right."""
+    entries = []
+
+    def written(df, label, files=None):
+        out = scratch.written(df, label, files)
+        if "bucket" in df.columns and label == "open":
+            entries.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "written", written)
+    rng = np.random.default_rng(8)
+    passage = words(rng, 60, 10**6)
+    texts = [" ".join(passage + words(rng, n, 10**6)) for n in (30, 36, 44) for _ in range(60)]
+    texts += [" ".join(edited(rng, texts[k].split(), 1)) for k in range(0, 180, 12)]
+    got = found(corpus(spark, texts).repartition(3))
+    assert {i: r.component_id for i, r in got.items()} == linked_components(texts, range(len(texts)))
+    assert entries and max(entries) < 5 * len(texts)
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_similar_sets_of_two_components_share_a_rare_shingle(spark, common):
+    """And from one of those on both have enough shingles left; also where some are common, or the sample sees few."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in (1, 3, 5, 9, 20, 70, 200):
+        base = words(rng, n, 10**6)
+        texts += [" ".join(base)] + [" ".join(edited(rng, base, k)) for k in (1, 2, 3 + n // 30) for _ in range(2)]
+    texts = list(dict.fromkeys(texts))
+    often = np.empty(0, np.uint64)
+    if common:
+        data = [x.encode() for x in texts[::3]]
+        often, _, _ = nj.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(x) for x in data]), 5)
+        often = np.unique(often)
+    df = spark.createDataFrame([(i, i, t, i) for i, t in enumerate(texts)], "id long, component long, text string, number long").repartition(3)
+    kept = {r.id for r in nj._sharing(df, 75, 5, often).collect()}
+    keys = {}
+    for r in nj._rare(df, 75, 5, often).collect():
+        keys.setdefault(r.id, {})[r.bucket] = r.rest
+    sets, links = [shingles(t) for t in texts], 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                links += 1
+                least = 75 * (len(sets[a]) + len(sets[b]))
+                assert {a, b} <= kept
+                assert any(175 * min(keys[a][k], keys[b][k]) >= least for k in keys[a].keys() & keys[b].keys())
+    assert links > 10
+
+
+def test_components_with_more_pairs_than_a_first_look_takes_say_so(spark):
+    rows = [(1, 0, 0, 0, i, i % 2, 8, 8, bytes([1] * 8)) for i in range(6)]
+    names = "bucket long, low int, high int, side int, id long, component long, n long, rest long, counts binary"
+    df = spark.createDataFrame(rows, names).coalesce(1)
+    out = "u long, v long, more boolean"
+    first = df.mapInArrow(nj._apart(75, 3), out).collect()
+    assert len(first) == 3 and [r.more for r in first].count(True) == 1
+    every = df.mapInArrow(nj._apart(75, None), out).collect()
+    assert len(every) == 9 and not any(r.more for r in every)
+    short = df.withColumn("rest", F.lit(5).cast("long"))
+    assert short.mapInArrow(nj._apart(75, None), out).count() == 0
